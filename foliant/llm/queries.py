@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import packing, quality_rules, simhash, token_records
+from foliant.llm import decontaminate, oracle, packing, quality_rules, secrets, simhash, token_records
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1,
+    "op4_credential_linking": secrets.op4,
+    "op6_winnowing": decontaminate.op6,
     "op7_token_records": token_records.op7,
     "op9_best_fit_packing": packing.op9,
     "op10_simhash_pigeonhole": simhash.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_credential_linking": oracle.SECRETS_SQL,
+    "op6_winnowing": oracle.DECONTAMINATE_SQL,
+}

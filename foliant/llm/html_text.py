@@ -49,7 +49,7 @@ _WORDS = (
     r"footer|header|masthead|comments?|commentlist|disqus|reply|replies|respond|related|recommend\w*|share|sharing|social|popup|modal|overlay|login|signup|widget|toolbar|pagination|pager|tags|skip|search"
 )
 _JUNK = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-]|\d)", re.I)
-_OWN = re.compile(r"^(?:article|entry|post|content|story|main|page|single)[_-]*(?:header|title|heading|body|content|text|main)\b", re.I)
+_OWN = re.compile(r"^(?:article|entry|post|content|story)[_-]*(?:header|title|heading|body|content|text|main)\b", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _MAIN = re.compile(r"(?:^|\s)(?:article|post|entry|story|main)[_-]?(?:body|content|text)?(?:$|\s)", re.I)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, oracle, packing, quality_rules, secrets, simhash, token_records
+from foliant.llm import decontaminate, html_text, line_crf, oracle, packing, quality_rules, secrets, simhash, token_records, toxicity
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +15,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1,
+    "op2_toxicity_lexicon": toxicity.op2,
+    "op3_line_blocks": html_text.op3,
     "op4_credential_linking": secrets.op4,
     "op6_winnowing": decontaminate.op6,
     "op7_token_records": token_records.op7,
+    "op8_line_crf": line_crf.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_simhash_pigeonhole": simhash.op10,
 }

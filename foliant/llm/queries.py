@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, html_text, line_crf, oracle, packing, quality_rules, secrets, simhash, token_records, toxicity
+from foliant.llm import decontaminate, html_text, line_crf, oracle, packing, quality_rules, secrets, simhash, suffix_dedup, token_records, toxicity
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_lexicon": toxicity.op2,
     "op3_line_blocks": html_text.op3,
     "op4_credential_linking": secrets.op4,
+    "op5_suffix_sort": suffix_dedup.op5,
     "op6_winnowing": decontaminate.op6,
     "op7_token_records": token_records.op7,
     "op8_line_crf": line_crf.op8,

@@ -287,12 +287,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: of each component the smallest id, once; all columns are kept."""
-    found = near_duplicates(docs, text_col, id_col)
+    """The rows of docs that stay, with all columns: of each component the smallest id, once.
+
+    Rows without an id cannot be named as copies, so they stay.
+    """
+    numbered = docs.filter(F.col(id_col).isNotNull())
+    found = written(near_duplicates(numbered, text_col, id_col), "components")
     stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stays")).distinct()
-    names = docs.columns
-    kept = docs.join(stay, docs[id_col] == stay["_stays"], "left_semi")
-    return kept.dropDuplicates([id_col]).select(*names)
+    kept = numbered.join(stay, numbered[id_col] == stay["_stays"], "left_semi")
+    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])  # rows that repeat an id
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-
+"""Sources: containers, markup and packages as tables."""

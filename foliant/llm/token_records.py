@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.llm.common import small_batches, split_rows, texts
-from foliant.llm.tokens import Encoder, vocabulary
+from foliant.llm.tokens import encoder, vocabulary
 from foliant.session import scratch_path
 
 MASK_DELTA = 0xA282EAD8
@@ -93,14 +93,13 @@ def write_records(docs: DataFrame, path: str, vocab: str, end_id: int | None = 0
         task = TaskContext.get()
         store, root = open_fs(data)
         name = f"shard-{task.partitionId():07d}.rec"
-        own, encoder, at, ordinal, stream = f"{root}/_attempt-{task.taskAttemptId()}-{name}", None, 0, 0, None
+        own, encode, at, ordinal, stream = f"{root}/_attempt-{task.taskAttemptId()}-{name}", encoder(vocab).encode, 0, 0, None
         for pdf in split_rows(frames, 1 << 21):
             if stream is None:
-                encoder = Encoder(vocab)
                 store.create_dir(root, recursive=True)
                 stream = store.open_output_stream(own)
             rows = []
-            for doc_id, ids in zip(pdf["doc_id"], encoder.encode(pdf["text"].tolist())):
+            for doc_id, ids in zip(pdf["doc_id"], encode(pdf["text"].tolist())):
                 ids = ids if end_id is None else np.append(ids, ids.dtype.type(end_id))
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 record = frame(pack(doc_id, ids))

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
 #: Units in a worker's cache; it is emptied beyond that.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 1_000_000
 LONG_UNIT = 64
 _ODD = re.compile(r" (?=\s)| $")
-_CUT = re.compile(r"(?= \S)")
+_CUT = re.compile(r" (?=\S)")
+_TAIL = ".,!?;:#$%&*|"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +29,14 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: its cache outlives a task, as Spark reuses its Python workers."""
+    own = sys.modules.setdefault("_foliant_worker", types.ModuleType("_foliant_worker"))
+    if getattr(own, "encoder", ("", None))[0] != path:
+        own.encoder = path, Encoder(path)
+    return own.encoder[1]
+
+
 class Encoder:
     """Encodes texts to arrays of ids, equal to what the tokenizers library gives for the whole text."""
 
@@ -36,27 +47,72 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
+        self.cache: dict[str, bytes] = {}  # of a unit without its space: the ids of the space and the unit
+        self.heads: dict[str, bytes] = {}  # of what stands before a text's first cut
 
-    def units(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            return [x for x in _CUT.split(text) if x]
-        first, *rest = text.split(" ")
-        units = [" " + x for x in rest]
-        return [first, *units] if first else units
+    @staticmethod
+    def units(text: str) -> list[str]:
+        """What lies between the cuts; all but the first stand for themselves with a space before them."""
+        return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 1024):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
+        return out
+
+    def _learn(self, units: set[str]) -> None:
+        """Put units into the cache. A mark after a letter begins a new token, so marks at a unit's end go apart."""
+        known, parts, cores, tails = self.cache, [], set(), set()
+        for unit in units:
+            core = unit.rstrip(_TAIL)
+            if len(core) < len(unit) and core and core[-1].isalpha():
+                tail = unit[len(core) :]
+                parts.append((unit, core, tail))
+                cores.add(core)
+                tails.add(tail)
+            else:
+                cores.add(unit)
+        cores = cores.difference(known)
+        plain = [u for u in cores if u.split() == [u]] if self.newline is not None else []
+        width = self.dtype.itemsize
+        for i in range(0, len(plain), 4096):
+            # one text of many units: a newline between them is a token of its own, and no unit holds one
+            some = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" " + "\n ".join(some), add_special_tokens=False).ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) * width
+            raw, start = ids.tobytes(), 0
+            for unit, end in zip(some, ends.tolist(), strict=True):
+                known[unit] = raw[start:end]
+                start = end + width
+        rest = list(cores.difference(known))
+        known.update(zip(rest, self._encode([" " + u for u in rest])))
+        if parts:
+            tails = list(tails)
+            after = dict(zip(tails, self._encode(tails)))
+            for unit, core, tail in parts:
+                known[unit] = known[core] + after[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.units(t) for t in texts]
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        known = self.cache
-        new = list({u for units in split for u in units if u not in known})
-        for i in range(0, len(new), 2048):
-            part = new[i : i + 2048]
-            for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[unit] = np.array(e.ids, self.dtype).tobytes()
-        out = [np.frombuffer(b"".join([known[u] for u in units]), self.dtype) for units in split]
-        for unit in new:
-            if len(unit) > LONG_UNIT:
-                del known[unit]
+        if len(self.heads) > CACHE_UNITS // 10:
+            self.heads.clear()
+        split = [self.units(t) for t in texts]
+        heads, seen = [units[0] for units in split], set()
+        for units in split:
+            del units[0]
+            seen.update(units)
+        new = seen.difference(self.cache)
+        self._learn(new)
+        firsts = list(set(heads).difference(self.heads))
+        self.heads.update(zip(firsts, self._encode(firsts)))
+        find = self.cache.__getitem__
+        out = [np.frombuffer(self.heads[head] + b"".join(map(find, units)), self.dtype) for head, units in zip(heads, split)]
+        for cache, units in ((self.cache, new), (self.heads, firsts)):
+            for unit in units:
+                if len(unit) > LONG_UNIT:
+                    del cache[unit]
         return out

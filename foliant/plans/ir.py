@@ -55,57 +55,58 @@ def normalize(nodes: DataFrame) -> DataFrame:
 
 
 def validate(nodes: DataFrame) -> DataFrame:
-    """doc_id, rule, message, path: the ten rules of the contract."""
-    spark = nodes.sparkSession
-    elements = nodes.filter("name not like '#%'").select("doc_id", "node_id", "parent_id", "name", F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs"), "path")
-    known = F.broadcast(spark.createDataFrame([(k,) for k in ELEMENTS], "name string"))  # 28 rows
-    row = lambda df, rule, message: df.select("doc_id", F.lit(rule).alias("rule"), message.alias("message"), "path")
-    bad = row(elements.join(known, "name", "left_anti"), "element-allowed", F.concat(F.lit("element not allowed: "), F.col("name")))
-    good = elements.join(known, "name", "left_semi")
-    own = F.create_map(*[x for k, v in ELEMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, [*v, *COMMON])))])
-    attrs = good.select("*", F.explode(F.map_keys("attrs")).alias("key")).filter(~F.array_contains(own[F.col("name")], F.col("key")))
-    styles = good.filter(_attr("style").isNotNull()).select("*", F.explode(F.split(_attr("style"), ";")).alias("d")).withColumn("prop", F.trim(F.substring_index("d", ":", 1)))
-    ids = good.filter(F.col("name").isin(*ID_REQUIRED)).withColumn("id", F.when(_attr("data-id") != "", _attr("data-id")))
-    repeated = ids.filter("id is not null").withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "id").orderBy("node_id"))).filter("nth > 1")
-    parents = elements.select("doc_id", F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
-    family = good.join(parents, ["doc_id", "parent_id"], "left")
-    parent = F.coalesce("parent", F.lit(""))
+    """doc_id, rule, message, path: the ten rules of the contract.
+
+    All rules that a node and its parent decide are one projection; ids are
+    counted by one window; footnotes are compared in one group per document.
+    """
+    name, parent = F.col("name"), F.coalesce("parent_name", F.lit(""))
+    elements = nodes.filter("name not like '#%'").select("doc_id", "node_id", "name", "parent_name", F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs"), "path")
+    known, text = name.isin(*ELEMENTS), lambda c: F.coalesce(c, F.lit(""))
+    needs, id_ = name.isin(*ID_REQUIRED), F.when(_attr("data-id") != "", _attr("data-id"))
+    nth = F.row_number().over(W.partitionBy("doc_id", "_id").orderBy("node_id"))
+    # nodes without an id are parted by their own number: no group gathers them
+    numbered = elements.withColumn("_id", F.when(known & needs & id_.isNotNull(), F.concat(F.lit("="), id_)).otherwise(F.col("node_id").cast("string"))).withColumn("_nth", nth)
     must = {"tr": ["table", "tbody"], "tbody": ["table"], "td": ["tr"], "li": ["ul", "ol"], "doc-header": ["doc-section"], "doc-footer": ["doc-section"]}
     misplaced = F.lit(False)
-    for name, allowed in must.items():
-        misplaced = misplaced | ((F.col("name") == name) & ~parent.isin(*allowed))
-    child = elements.join(parents, ["doc_id", "parent_id"])
-    wrong_child = (F.col("parent").isin("ul", "ol") & (F.col("name") != "li")) | (F.col("parent").isin("table", "tbody") & (F.col("name") != "tr") & ~((F.col("parent") == "table") & (F.col("name") == "tbody")))
-    nested = elements.filter(F.col("name").isin("p", "table", "ul", "ol", "doc-textbox", "doc-eq", "doc-pagebreak") & F.regexp_extract("path", "(?:^|> )p(?:#[^ ]*)? > ", 0).contains("p"))
-    nested = nested.withColumn("path", F.regexp_extract("path", "^(.*?(?:^|> )p(?:#[^ ]*)?) > ", 1)).select("doc_id", "path").distinct()
-    sections = good.filter((F.col("name") == "doc-section") & (F.size(F.split("path", "doc-section")) > 2))
-    links = good.filter(F.col("name") == "a")
-    fields = good.filter(F.col("name") == "doc-field")
-    refs = links.select("doc_id", _attr("data-fn-ref").alias("ref")).filter("ref <> ''")
-    bodies = good.filter(F.col("name") == "doc-footnote").select("doc_id", _attr("id").alias("ref"))
-    structure = lambda df, m: row(df, "structure", m)
-    found = [
-        bad,
-        row(attrs, "attr-allowed", F.concat(F.lit("attribute not allowed: "), F.col("key"))),
-        row(styles.filter((F.col("prop") != "") & ~F.col("prop").isin(*STYLES)), "style-allowed", F.concat(F.lit("style property not allowed: "), F.col("prop"))),
-        row(ids.filter("id is null"), "block-id", F.lit("block without data-id")),
-        row(repeated, "block-id", F.concat(F.lit("data-id repeated: "), F.col("id"))),
-        structure(family.filter(misplaced), F.concat(F.col("name"), F.lit(" is misplaced"))),
-        structure(child.filter(wrong_child), F.concat(F.col("name"), F.lit(" may not stand in "), F.col("parent"))),
-        structure(nested, F.lit("block inside p")),
-        structure(sections, F.lit("doc-section is nested")),
-        row(links.filter(_attr("href").isNotNull() & (F.coalesce(_attr("data-fn-ref"), F.lit("")) != "")), "link-target", F.lit("href and data-fn-ref together")),
-        row(links.filter(_attr("href").isNotNull() & ~safe_href(_attr("href"))), "link-target", F.concat(F.lit("link target not allowed: "), _attr("href"))),
-        row(fields.filter(~F.coalesce(_attr("data-kind"), F.lit("")).isin("page", "pages")), "field-kind", F.lit("data-kind must be page or pages")),
-        row(fields.filter(~F.col("path").rlike("doc-(header|footer)")), "field-kind", F.lit("doc-field stands in headers and footers only")),
-        row(good.filter(_attr("data-num").isNotNull() & (_attr("data-num") != "outline")), "outline-scheme", F.lit("data-num must be outline")),
-        row(good.filter((F.col("name") == "doc-eq") & (F.coalesce(_attr("data-latex"), F.lit("")) == "")), "eq-truth", F.lit("doc-eq without data-latex")),
-        refs.join(bodies, ["doc_id", "ref"], "left_anti").select("doc_id", F.lit("footnote-pair").alias("rule"), F.concat(F.lit("no doc-footnote for "), F.col("ref")).alias("message"), F.lit("(document)").alias("path")),
+    for child, allowed in must.items():
+        misplaced = misplaced | ((name == child) & ~parent.isin(*allowed))
+    wrong_child = (parent.isin("ul", "ol") & (name != "li")) | (parent.isin("table", "tbody") & (name != "tr") & ~((parent == "table") & (name == "tbody")))
+    inside_p = name.isin("p", "table", "ul", "ol", "doc-textbox", "doc-eq", "doc-pagebreak") & F.col("path").rlike("(^|> )p(#[^ ]*)? > ")
+    p_path = F.regexp_extract("path", "^(.*?(?:^|> )p(?:#[^ ]*)?) > ", 1)
+    link, field = name == "a", name == "doc-field"
+    href = _attr("href")
+    own = F.create_map(*[x for k, v in ELEMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, [*v, *COMMON])))])
+    found = lambda rule, message, path=None, key=None: F.struct(F.lit(rule).alias("rule"), message.alias("message"), (path if path is not None else F.col("path")).alias("path"), (key if key is not None else F.col("node_id").cast("string")).alias("key"))
+    checks = [
+        (~known, found("element-allowed", F.concat(F.lit("element not allowed: "), name))),
+        (known & needs & id_.isNull(), found("block-id", F.lit("block without data-id"))),
+        (known & needs & id_.isNotNull() & (F.col("_nth") > 1), found("block-id", F.concat(F.lit("data-id repeated: "), text(id_)))),
+        (known & misplaced, found("structure", F.concat(name, F.lit(" is misplaced")))),
+        (parent.isin(*ELEMENTS) & wrong_child, found("structure", F.concat(name, F.lit(" may not stand in "), parent))),
+        (inside_p, found("structure", F.lit("block inside p"), p_path, F.lit("p"))),
+        ((name == "doc-section") & (F.size(F.split("path", "doc-section")) > 2), found("structure", F.lit("doc-section is nested"))),
+        (link & href.isNotNull() & (text(_attr("data-fn-ref")) != ""), found("link-target", F.lit("href and data-fn-ref together"))),
+        (link & href.isNotNull() & ~safe_href(href), found("link-target", F.concat(F.lit("link target not allowed: "), text(href)))),
+        (field & ~text(_attr("data-kind")).isin("page", "pages"), found("field-kind", F.lit("data-kind must be page or pages"))),
+        (field & ~F.col("path").rlike("doc-(header|footer)"), found("field-kind", F.lit("doc-field stands in headers and footers only"))),
+        (known & _attr("data-num").isNotNull() & (_attr("data-num") != "outline"), found("outline-scheme", F.lit("data-num must be outline"))),
+        ((name == "doc-eq") & (text(_attr("data-latex")) == ""), found("eq-truth", F.lit("doc-eq without data-latex"))),
     ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    single = F.array_compact(F.array(*[F.when(test, row) for test, row in checks]))
+    keys = F.when(known, F.filter(F.map_keys("attrs"), lambda k: ~F.array_contains(own[name], k)))
+    props = F.when(known, F.filter(F.transform(F.split(text(_attr("style")), ";"), lambda d: F.trim(F.substring_index(d, ":", 1))), lambda q: (q != "") & ~q.isin(*STYLES)))
+    many = lambda values, rule, said: F.coalesce(F.transform(values, lambda v: found(rule, F.concat(F.lit(said), v), key=F.concat(F.col("node_id").cast("string"), F.lit(" "), v))), F.expr("cast(array() as array<struct<rule:string,message:string,path:string,key:string>>)"))
+    rows = numbered.select("doc_id", F.explode(F.concat(single, many(keys, "attr-allowed", "attribute not allowed: "), many(props, "style-allowed", "style property not allowed: "))).alias("v")).select("doc_id", "v.*")
+    ref = F.when((name == "a") & (text(_attr("data-fn-ref")) != ""), _attr("data-fn-ref"))
+    body = F.when(name == "doc-footnote", _attr("id"))
+    notes = elements.filter(ref.isNotNull() | body.isNotNull()).groupBy("doc_id").agg(F.collect_list(ref).alias("refs"), F.collect_set(body).alias("bodies"))
+    lost = notes.select("doc_id", F.explode(F.filter("refs", lambda r: ~F.array_contains("bodies", r))).alias("ref"))
+    pairs = lost.select("doc_id", F.lit("footnote-pair").alias("rule"), F.concat(F.lit("no doc-footnote for "), F.col("ref")).alias("message"), F.lit("(document)").alias("path"))
+    # of the blocks inside one p only the p is told
+    inner = F.row_number().over(W.partitionBy("doc_id", "key", "path", "message").orderBy("rule"))
+    once = rows.withColumn("_n", F.when(F.col("key") == "p", inner).otherwise(1)).filter("_n = 1")
+    return once.select("doc_id", "rule", "message", "path").unionByName(pairs)
 
 
 def emit(blocks: DataFrame, page_width: int = 59528, page_height: int = 84188) -> DataFrame:

@@ -79,8 +79,8 @@ def conversion_matrix(spark, sf):
     for kind in ("docx", "odt", "hwpx"):
         back = packages.read_text(made.filter(F.col("kind") == kind), kind).withColumn("kind", F.lit(kind))
         out = back if out is None else out.unionByName(back)
-    lost = sink.missing_text(blocks, out, ["doc_id", "kind"]).groupBy("kind").agg(F.count("*").alias("n"))
-    return out.groupBy("kind").agg(F.count_distinct("doc_id").alias("documents")).join(lost, "kind", "left").select("kind", "documents", F.coalesce("n", F.lit(0)).alias("pieces_missing"))
+    lost = sink.missing_text(blocks, out, ["doc_id", "kind"])
+    return lost.groupBy("kind").agg(F.count("*").alias("documents"), F.sum(F.size("missing")).alias("pieces_missing"))
 
 
 def _mixed_files(spark: SparkSession, sf: str) -> DataFrame:

@@ -119,9 +119,9 @@ def build(blocks: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def missing_text(blocks: DataFrame, reread: DataFrame, by: list[str]) -> DataFrame:
-    """Pieces of blocks that the text read back does not hold (doc_id and `by`, piece)."""
+    """Per document and `by`: pieces (array) of the blocks that the text read back does not hold."""
     from foliant.functions.text import piece
 
     whole = reread.groupBy(*by).agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), ""), r"\s+", "").alias("whole"))
-    wanted = blocks.select("doc_id", piece(F.col("text")).alias("piece")).filter("piece is not null").distinct()
-    return wanted.join(whole, "doc_id").filter(~F.contains("whole", "piece")).drop("whole")
+    wanted = blocks.groupBy("doc_id").agg(F.collect_set(piece(F.col("text"))).alias("pieces"))
+    return whole.join(wanted, "doc_id").select(*by, F.filter("pieces", lambda p: ~F.contains(F.col("whole"), p)).alias("missing"))

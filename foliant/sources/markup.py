@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 MAX_DEPTH = 256
-NODE = "doc_id long, part string, node_id int, parent_id int, depth int, name string, attrs map<string,string>, text string, block_id int, path string, error string"
-COLUMNS = [c.split()[0] for c in "doc_id long|part string|node_id int|parent_id int|depth int|name string|attrs|text string|block_id int|path string|error string".split("|")]
+NODE = "doc_id long, part string, node_id int, parent_id int, depth int, name string, attrs map<string,string>, text string, block_id int, path string, parent_name string, error string"
+COLUMNS = ["doc_id", "part", "node_id", "parent_id", "depth", "name", "attrs", "text", "block_id", "path", "parent_name", "error"]
+#: Nodes of a frame, about; documents are not cut.
+FRAME_ROWS = 20_000
 # fixed values: elements without content, elements whose text is raw, and the vocabulary of blocks
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style".split())
@@ -29,12 +31,12 @@ class _Rows:
 
     def add(self, name: str, attrs: dict | None, text: str | None) -> int:
         k = len(self.rows)
-        parent, _, block, path = self.open[-1] if self.open else (None, None, None, "")
+        parent, parent_name, block, path = self.open[-1] if self.open else (None, None, None, "")
         if name != "#text":
             key = (attrs or {}).get("data-id") or (attrs or {}).get("id")
             path = f"{path} > {name}" if path else name
             path = f"{path}#{key}" if key else path
-        self.rows.append([self.doc_id, self.part, k, parent, len(self.open), name, attrs, text, block, path, None])
+        self.rows.append([self.doc_id, self.part, k, parent, len(self.open), name, attrs, text, block, path, parent_name, None])
         return k
 
     def enter(self, name: str, attrs: dict) -> None:
@@ -62,7 +64,7 @@ def xml_rows(doc_id, part: str, data: bytes, blocks: frozenset[str]) -> list[lis
     try:
         p.Parse(data, True)
     except Exception as e:
-        rows.rows.append([doc_id, part, len(rows.rows), None, 0, "#error", None, None, None, "", f"{type(e).__name__}: {e}"])
+        rows.rows.append([doc_id, part, len(rows.rows), None, 0, "#error", None, None, None, "", None, f"{type(e).__name__}: {e}"])
     return rows.rows
 
 
@@ -110,7 +112,7 @@ def html_rows(doc_id, html: str, blocks: frozenset[str]) -> list[list]:
         parser.feed(html)
         parser.close()
     except Exception as e:
-        rows.rows.append([doc_id, "html", len(rows.rows), None, 0, "#error", None, None, None, "", f"{type(e).__name__}: {e}"])
+        rows.rows.append([doc_id, "html", len(rows.rows), None, 0, "#error", None, None, None, "", None, f"{type(e).__name__}: {e}"])
     return rows.rows
 
 
@@ -118,15 +120,24 @@ def _frame(rows: list[list]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=COLUMNS).astype({"parent_id": "Int32", "block_id": "Int32"})
 
 
+def _frames(found: Iterator[list[list]]) -> Iterator[pd.DataFrame]:
+    """Few large frames of many small lists."""
+    rows: list[list] = []
+    for some in found:
+        rows += some
+        if len(rows) >= FRAME_ROWS:
+            yield _frame(rows)
+            rows = []
+    if rows:
+        yield _frame(rows)
+
+
 def xml_nodes(parts: DataFrame, blocks: list[str]) -> DataFrame:
     """The nodes of XML parts (doc_id, path, data); block_id is the nearest ancestor among `blocks`."""
     names = frozenset(blocks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc_id, part, data in zip(pdf["doc_id"], pdf["path"], pdf["data"]):
-                if data is not None:
-                    yield _frame(xml_rows(doc_id, part, data, names))
+        yield from _frames(xml_rows(i, part, data, names) for pdf in frames for i, part, data in zip(pdf["doc_id"], pdf["path"], pdf["data"]) if data is not None)
 
     return parts.select("doc_id", "path", "data").mapInPandas(run, NODE)
 
@@ -138,8 +149,6 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     names = frozenset(blocks or ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "doc-footnote"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc_id, html in zip(pdf["doc_id"], pdf["html"]):
-                yield _frame(html_rows(doc_id, html, names))
+        yield from _frames(html_rows(i, html, names) for pdf in frames for i, html in zip(pdf["doc_id"], pdf["html"]))
 
     return pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(run, NODE)

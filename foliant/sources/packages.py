@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import color, units
 from foliant.operators.ordered import inherit
+from foliant.session import written
 from foliant.sources.containers import zip_entries
 from foliant.sources.markup import xml_nodes
 
@@ -36,22 +37,22 @@ def attr(name: str) -> Column:
 
 
 def paragraphs(nodes: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, ord, text) of the paragraphs in document order; breaks are newlines, tabs tabs."""
+    """(doc_id, ord, text) of the paragraphs in document order; breaks are newlines, tabs tabs. One pass over the nodes:
+    a paragraph's own node makes its group, so that empty ones are there too."""
     br, tab, space = BREAKS[kind]
-    parents = nodes.select("doc_id", "part", F.col("node_id").alias("parent_id"), F.col("name").alias("parent_name"))
+    own = F.col("name").isin(*PARAGRAPHS[kind])
     shown = F.when(F.col("name") == br, F.lit("\n")).when(F.col("name") == tab, F.lit("\t"))
     if space:
         shown = shown.when(F.col("name") == space, F.expr("repeat(' ', least(coalesce(try_cast(element_at(attrs, 'c') as int), 1), 256))"))
-    inline = nodes.filter("block_id is not null").filter(F.col("name").isin(br, tab, "#text", *([space] if space else [])))
-    inline = inline.join(parents, ["doc_id", "part", "parent_id"], "left")
+    words = F.col("name") == "#text"
     if TEXT_PARENT[kind]:
-        inline = inline.filter((F.col("name") != "#text") | (F.col("parent_name") == TEXT_PARENT[kind]))
-    value = F.coalesce(shown, F.col("text"), F.lit(""))
-    texts = inline.groupBy("doc_id", "part", "block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", value.alias("t")))), lambda x: x["t"]), "").alias("text"))
-    ps = nodes.filter(F.col("name").isin(*PARAGRAPHS[kind])).select("doc_id", "part", F.col("node_id").alias("block_id"))
-    out = ps.join(texts, ["doc_id", "part", "block_id"], "left")
+        words = words & (F.col("parent_name") == TEXT_PARENT[kind])
+    shown = shown.when(words, F.col("text")).when(own, F.lit(""))
+    parts = nodes.select("doc_id", "part", F.when(own, F.col("node_id")).otherwise(F.col("block_id")).alias("block_id"), "node_id", shown.alias("t")).filter("block_id is not null and t is not null")
+    # strings are joined in the group: runs of a paragraph are few
+    out = parts.groupBy("doc_id", "part", "block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda x: x["t"]), "").alias("text"))
     w = W.partitionBy("doc_id").orderBy("part", "block_id")
-    return out.select("doc_id", (F.row_number().over(w) - 1).alias("ord"), "block_id", F.coalesce("text", F.lit("")).alias("text"))
+    return out.select("doc_id", (F.row_number().over(w) - 1).alias("ord"), "block_id", "text")
 
 
 def read_text(files: DataFrame, kind: str) -> DataFrame:
@@ -100,7 +101,7 @@ FORMAT = ["bold", "italic", "underline", "color", "size"]
 
 def docx_styles(files: DataFrame) -> DataFrame:
     """(doc_id, style, bold, ...): styles with what they inherit; missing ones of docDefaults come last."""
-    nodes = xml_nodes(zip_entries(files, ["word/styles.xml"]), [])
+    nodes = written(xml_nodes(zip_entries(files, ["word/styles.xml"]), []), "nodes")
     styles = nodes.filter("name = 'style'").select("doc_id", "part", F.col("node_id").alias("node"), attr("styleId").alias("style"))
     based = _children(nodes, "node", ["basedOn"]).select("doc_id", "part", "node", attr("val").alias("parent"))
     out = styles.join(based, ["doc_id", "part", "node"], "left").join(docx_properties(nodes, "style").drop("rstyle"), ["doc_id", "part", "node"], "left")
@@ -109,7 +110,7 @@ def docx_styles(files: DataFrame) -> DataFrame:
 
 def docx_runs(files: DataFrame) -> DataFrame:
     """Runs with their format: direct, else of the run style, else of the paragraph style, else the default."""
-    nodes = nodes_of(files, "docx")
+    nodes = written(nodes_of(files, "docx"), "nodes")  # shredded once, joined often
     runs = nodes.filter("name = 'r'").select("doc_id", "part", F.col("node_id").alias("node"), "block_id")
     texts = nodes.filter("name = 't'").select("doc_id", "part", F.col("node_id").alias("t"), F.col("parent_id").alias("node"))
     chars = nodes.filter("name = '#text'").select("doc_id", "part", F.col("parent_id").alias("t"), "text")
@@ -142,7 +143,7 @@ def docx_cells(files: DataFrame) -> DataFrame:
     """(doc_id, table, row, col, row_span, col_span, text): grid columns from spans, vertical merges folded."""
     from foliant.operators.tables import fold_vertical_merges, grid_columns
 
-    nodes = xml_nodes(zip_entries(files, [BODY["docx"]]), ["tc"])
+    nodes = written(xml_nodes(zip_entries(files, [BODY["docx"]]), ["tc"]), "nodes")
     tc = nodes.filter("name = 'tc'").select("doc_id", "part", F.col("node_id").alias("cell"), F.col("parent_id").alias("row"))
     tr = nodes.filter("name = 'tr'").select("doc_id", "part", F.col("node_id").alias("row"), F.col("parent_id").alias("table"))
     tcpr = nodes.filter("name = 'tcPr'").select("doc_id", "part", F.col("node_id").alias("pr"), F.col("parent_id").alias("cell"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 MIN_PT = 12.0
 
@@ -37,7 +36,7 @@ def fold_vertical_merges(cells: DataFrame, column: list[str], row: str, merge: s
 
 def occupy(cells: DataFrame, table: list[str]) -> DataFrame:
     """Adds col where row-spanning cells push later ones aside: a fold over a table's rows, table by table."""
-    schema = cells.schema.add("col", "int")
+    schema = StructType([*cells.schema.fields, StructField("col", IntegerType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "ord"], kind="stable")

@@ -123,5 +123,5 @@ def missing_text(blocks: DataFrame, reread: DataFrame, by: list[str]) -> DataFra
     from foliant.functions.text import piece
 
     whole = reread.groupBy(*by).agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), ""), r"\s+", "").alias("whole"))
-    wanted = blocks.groupBy("doc_id").agg(F.collect_set(piece(F.col("text"))).alias("pieces"))
+    wanted = blocks.groupBy("doc_id").agg(F.collect_set(piece(xml_safe(F.col("text")))).alias("pieces"))
     return whole.join(wanted, "doc_id").select(*by, F.filter("pieces", lambda p: ~F.contains(F.col("whole"), p)).alias("missing"))

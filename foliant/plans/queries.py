@@ -455,3 +455,87 @@ def block_patches(spark, sf):
 def next_match(spark, sf):
     found = table(spark, sf, "nation").select(F.col("n_regionkey").alias("t"), F.col("n_nationkey").alias("place"))
     return numbering.next_match(found, ["t"], ["place"]).select("t", "place", "target")
+
+
+# ---- the IR read back: tables, lists, styles, packages
+
+
+def _concat_ordered(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    return df.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), "").alias("html"))
+
+
+@query("""
+SELECT n_regionkey AS doc_id, dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row, c AS ord, CASE c WHEN 0 THEN n_nationkey::VARCHAR ELSE n_name END AS text,
+  CASE WHEN c = 0 AND n_nationkey % 2 = 0 THEN 120.0 WHEN c = 0 THEN 36.0 END::DOUBLE AS width FROM nation, (VALUES (0), (1)) AS v(c)""")
+def table_cells_read(spark, sf):
+    from foliant.plans.tree import table_cells
+
+    n = table(spark, sf, "nation")
+    width = F.when(F.col("n_nationkey") % 2 == 0, "30%").otherwise("0.5in")
+    tr = F.concat(F.lit('<tr><td style="width:'), width, F.lit('">'), F.col("n_nationkey"), F.lit("</td><td>"), F.col("n_name"), F.lit("</td></tr>"))
+    pages = _concat_ordered(n.select("n_regionkey", "n_nationkey", tr.alias("tr")), "n_regionkey", "n_nationkey", "tr")
+    nodes = markup.html_nodes(pages.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("<table>"), "html", F.lit("</table>")).alias("html")), "doc_id")
+    return table_cells(nodes).select("doc_id", F.col("row").cast("long").alias("row"), "ord", "text", "width")
+
+
+@query("""
+WITH c AS (SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row, n_name, count(*) OVER (PARTITION BY n_regionkey) AS total FROM nation)
+SELECT doc_id::BIGINT AS doc_id, row, 1::BIGINT AS col, 1 AS row_span, 1 AS col_span, n_name AS text FROM c
+UNION ALL SELECT doc_id, 0, 0, total::INTEGER, 1, r_name FROM c JOIN region ON r_regionkey = doc_id WHERE row = 0""")
+def docx_table_roundtrip(spark, sf):
+    from pyspark.sql import Window as W
+
+    from foliant.sinks.parts import docx_tables
+
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    row = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    cell = n.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.lit(0).alias("table"), row.alias("row"), F.lit(1).alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit(90.0).alias("width"), F.col("n_name").alias("text"))
+    tall = n.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").cast("int").alias("row_span")).join(r, "r_regionkey")
+    tall = tall.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit(0).alias("table"), F.lit(0).alias("row"), F.lit(0).alias("col"), "row_span", F.lit(1).alias("col_span"), F.lit(90.0).alias("width"), F.col("r_name").alias("text"))
+    files = sink.package_body(docx_tables(cell.unionByName(tall)).select("doc_id", "xml"), "docx")
+    return packages.docx_cells(files).select("doc_id", F.col("row").cast("long").alias("row"), "col", "row_span", "col_span", "text")
+
+
+@query("""
+WITH t AS (SELECT 0 AS level, r_regionkey AS r, -1 AS n, -1::BIGINT AS s, r_name AS text FROM region UNION ALL SELECT 1, n_regionkey, n_nationkey, -1, n_name FROM nation
+ UNION ALL SELECT 2, n_regionkey, n_nationkey, s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT level, text, level <> 1 AS ordered, row_number() OVER (ORDER BY r, n, s) AS place FROM t""")
+def list_levels_read(spark, sf):
+    from pyspark.sql import Window as W
+
+    from foliant.plans.tree import list_items
+
+    r, n, s = (table(spark, sf, t) for t in ("region", "nation", "supplier"))
+    li = lambda name, inner: F.concat(F.lit("<li>"), F.col(name), inner, F.lit("</li>"))
+    nest = lambda tag: F.when(F.coalesce("html", F.lit("")) != "", F.concat(F.lit(f"<{tag}>"), "html", F.lit(f"</{tag}>"))).otherwise("")
+    deep = _concat_ordered(s.select("s_nationkey", "s_suppkey", li("s_name", F.lit("")).alias("x")), "s_nationkey", "s_suppkey", "x")
+    mid = _concat_ordered(n.join(deep, n["n_nationkey"] == deep["s_nationkey"], "left").select("n_regionkey", "n_nationkey", li("n_name", nest("ol")).alias("x")), "n_regionkey", "n_nationkey", "x")
+    top = _concat_ordered(r.join(mid, r["r_regionkey"] == mid["n_regionkey"], "left").select(F.lit(1).alias("doc_id"), "r_regionkey", li("r_name", nest("ul")).alias("x")), "doc_id", "r_regionkey", "x")
+    items = list_items(markup.html_nodes(top.select("doc_id", F.concat(F.lit("<ol>"), "html", F.lit("</ol>")).alias("html")), "doc_id", blocks=["li"]))
+    return items.select("level", "text", "ordered", F.row_number().over(W.partitionBy("doc_id").orderBy("node_id")).cast("long").alias("place"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 10 END::DOUBLE AS size_pt, CASE WHEN p_size % 3 = 0 THEN '#FF0000' ELSE '#00FF00' END AS color, p_size % 5 = 0 AS bold FROM part""")
+def style_inheritance(spark, sf):
+    from foliant.plans.tree import inherited_styles
+
+    p, k = table(spark, sf, "part"), F.col("p_size")
+    inner = F.concat(F.when(k % 2 == 0, F.concat(F.lit("font-size:"), k, F.lit("pt;"))).otherwise(""), F.when(k % 3 == 0, "color:rgb(255, 0, 0)").otherwise(""))
+    html = F.concat(F.lit('<p style="font-size:10pt;color:#0f0'), F.when(k % 5 == 0, ";font-weight:bold").otherwise(";font-weight:normal"), F.lit('"><span><span style="'), inner, F.lit('">'), F.col("p_name"), F.lit("</span></span></p>"))
+    return inherited_styles(markup.html_nodes(p.select(F.col("p_partkey").alias("doc_id"), html.alias("html")), "doc_id")).select("doc_id", "size_pt", "color", "bold")
+
+
+@query("""SELECT kind, count(*)::BIGINT AS files, (CASE kind WHEN 'docx' THEN 0 ELSE count(*) END)::BIGINT AS mimetype_first, 0::BIGINT AS broken, 0::BIGINT AS lost_tokens FROM documents, (VALUES ('docx'), ('odt'), ('hwpx')) AS v(kind) GROUP BY kind""")
+def package_rules(spark, sf):
+    from foliant.plans import verify
+
+    blocks = ir.blocks_of_text(table(spark, sf, "documents"))
+    out = None
+    for kind in ("docx", "odt", "hwpx"):
+        files = sink.write(blocks, kind)
+        one = verify.mimetype_rule(files).agg(F.count("*").alias("files"), F.count_if("ok").alias("mimetype_first"))
+        broken, lost = verify.broken_parts(files).agg(F.count("*").alias("broken")), verify.lost_tokens(blocks.withColumn("text", text.xml_safe(F.col("text"))), files).agg(F.count("*").alias("lost_tokens"))
+        one = one.crossJoin(broken).crossJoin(lost).withColumn("kind", F.lit(kind))  # three tables of one row
+        out = one if out is None else out.unionByName(one)
+    return out.select("kind", "files", "mimetype_first", "broken", "lost_tokens")

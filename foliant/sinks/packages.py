@@ -95,18 +95,22 @@ def zipped(parts: dict[str, str], name: str, body: str) -> bytes:
 
 def write(blocks: DataFrame, kind: str) -> DataFrame:
     """(doc_id, content): a package of the format for every document's blocks (doc_id, ord, tag, text)."""
-    name, before, after, parts = _BODY[kind]
     own = {c: F.col(c) if c in blocks.columns else F.lit(None).cast(t) for c, t in (("bold", "boolean"), ("italic", "boolean"), ("color", "string"), ("size", "double"))}
     inner = docx_run(F.col("text"), **own) if kind == "docx" else _odt_text(F.col("text")) if kind == "odt" else _hwpx_text(F.col("text"))
     each = blocks.select("doc_id", "ord", _block(kind, F.col("tag"), inner).alias("xml"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "xml"))), lambda b: b["xml"]), "")
-    whole = each.groupBy("doc_id").agg(F.concat(F.lit(before), body, F.lit(after)).alias("xml"))
+    return package_body(each.groupBy("doc_id").agg(body.alias("xml")), kind)
+
+
+def package_body(bodies: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, content) from (doc_id, xml): the XML of a body with the format's fixed parts around it."""
+    name, before, after, parts = _BODY[kind]
 
     @F.pandas_udf("binary")
     def pack(xml: pd.Series) -> pd.Series:
         return xml.map(lambda body: zipped(parts, name, body))
 
-    return whole.select("doc_id", pack("xml").alias("content"))
+    return bodies.select("doc_id", pack(F.concat(F.lit(before), F.col("xml"), F.lit(after))).alias("content"))
 
 
 def build(blocks: DataFrame, kinds: list[str]) -> DataFrame:

@@ -36,6 +36,8 @@ from foliant.llm.common import crc_mod, small_batches, texts
 SAMPLE = 12_000
 #: Entries of the lexicon, at most; word beginnings have 4 to 9 letters.
 ENTRIES, PREFIXES = 5_000, range(4, 10)
+#: Entries that are weighed against rows without label 1, at most; entries that a task holds at once.
+CANDIDATES, FLUSH = 100_000, 200_000
 #: An entry's rows with label 1, at least; its contexts, at least; and its precision.
 SUPPORT, CONTEXTS, PRECISION = 5, 4, 0.6
 #: What a longer entry's weight must add to a shorter beginning of it.
@@ -127,37 +129,59 @@ def _entries_of(word: str) -> Iterator[str]:
             yield f" {word[:k]}"
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with and without the label that hold an entry, and some words before it."""
+def _toxic_entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that hold an entry, and some words before it; a task keeps at most FLUSH entries at once."""
     rows: dict[str, list] = {}
+
+    def flush() -> pd.DataFrame:
+        out = pd.DataFrame([(e, r[0], list(r[1])) for e, r in rows.items()], columns=["entry", "n", "contexts"])
+        rows.clear()
+        return out
+
     for pdf in frames:
-        for text, toxic in zip(pdf["text"], pdf["label"]):
+        for text in pdf["text"]:
             seen: set[str] = set()
             before = ""
             for word in fold(text).split():
                 if len(word) > 2:
                     for e in _entries_of(word):
-                        r = rows.setdefault(e, [0, 0, set()])
+                        r = rows.setdefault(e, [0, set()])
                         if e not in seen:
                             seen.add(e)
-                            r[toxic] += 1
-                        if toxic and len(r[2]) < CONTEXTS:
-                            r[2].add(before)
+                            r[0] += 1
+                        if len(r[1]) < CONTEXTS:
+                            r[1].add(before)
                 before = word
-    keep = [(e, r[0], r[1], list(r[2])) for e, r in rows.items()]
-    for i in range(0, len(keep), 50_000):
-        yield pd.DataFrame(keep[i : i + 50_000], columns=["entry", "n0", "n1", "contexts"])
+            if len(rows) > FLUSH:
+                yield flush()
+    yield flush()
+
 
+def _other_entries(wanted: frozenset[str]):
+    """Rows that hold each of the wanted entries."""
 
-def chosen_entries(counts: DataFrame, n0: int, n1: int) -> dict[str, float]:
-    """The lexicon's weights: at most ENTRIES of them reach the driver."""
-    summed = counts.groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
-    good = summed.filter((F.col("n1") >= SUPPORT) & (F.col("contexts") >= CONTEXTS) & (F.col("n1") >= PRECISION * (F.col("n0") + F.col("n1"))))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: Counter = Counter()
+        for pdf in frames:
+            for text in pdf["text"]:
+                rows.update({e for word in set(fold(text).split()) if len(word) > 2 for e in _entries_of(word)} & wanted)
+        yield pd.DataFrame(rows.items(), columns=["entry", "n"])
+
+    return run
+
+
+def chosen_entries(sample: DataFrame, n0: int, n1: int) -> dict[str, float]:
+    """The lexicon's weights: what toxic rows hold often enough, weighed against the other rows."""
+    toxic = sample.filter("label = 1").mapInPandas(_toxic_entries, "entry string, n long, contexts array<string>")
+    toxic = toxic.groupBy("entry").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
+    frequent = toxic.filter((F.col("n") >= SUPPORT) & (F.col("contexts") >= CONTEXTS)).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
+    have = {r["entry"]: r["n"] for r in frequent.select("entry", "n").collect()}
+    others = sample.filter("label = 0").mapInPandas(_other_entries(frozenset(have)), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    other = {r["entry"]: r["n"] for r in others.collect()}  # entries of `have` only
+    good = [(e, n, other.get(e, 0)) for e, n in have.items() if n >= PRECISION * (n + other.get(e, 0))]
     found: dict[str, float] = {}
-    rows = good.orderBy(F.desc("n1"), "entry").limit(ENTRIES).collect()
-    for r in sorted(rows, key=lambda r: (len(r["entry"]), r["entry"])):
-        e = r["entry"]
-        weight = math.log((r["n1"] + 0.5) / (n1 + 1)) - math.log((r["n0"] + 0.5) / (n0 + 1))
+    for e, a, b in sorted(sorted(good, key=lambda g: (-g[1], g[0]))[:ENTRIES], key=lambda g: (len(g[0]), g[0])):
+        weight = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
         shorter = max((found[e[:k]] for k in range(5, len(e)) if e[:k] in found), default=-math.inf)
         if weight > max(shorter + GAIN, 0):
             found[e] = weight
@@ -197,8 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     if not n0 or not n1:
         rate = n1 / (n0 + n1) if n0 + n1 else 0.0
         return Lexicon(curve=(math.log(rate / (1 - rate)) if 0 < rate < 1 else 50.0 * (2 * rate - 1), 0.0, 0.0, 0.0))
-    counts = sample.mapInPandas(_count, "entry string, n0 long, n1 long, contexts array<string>")
-    lexicon = Lexicon(chosen_entries(counts, n0, n1))
+    lexicon = Lexicon(chosen_entries(sample, n0, n1))
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()

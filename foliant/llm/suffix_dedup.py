@@ -28,6 +28,8 @@ numbered ones but never the other way round. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,8 @@ LENGTH, GRAM = 50, 27
 W = LENGTH - GRAM + 1
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text behind one bucket of a shuffle; characters of a batch; suffixes sorted at once.
-BUCKET_BYTES, BATCH_CHARS, SORT_ROWS = 12 << 20, 1 << 20, 400_000
+BUCKET_BYTES, BATCH_CHARS, SORT_ROWS = 12 << 20, 1 << 20, 200_000
+CACHE_BYTES = 1 << 16
 NO_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -53,17 +56,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and its inverse for i < n, kept in the worker."""
+    own = sys.modules.setdefault("_foliant_worker", types.ModuleType("_foliant_worker"))
+    if len(getattr(own, "powers", ((),))[0]) < n:
+        made = []
+        for x in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 18), x, U)
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
+        own.powers = tuple(made)
+    return own.powers[0][:n], own.powers[1][:n]
+
+
 class PrefixHash:
     """Polynomial hashes of all substrings of a byte array, modulo 2^64: collisions are possible and get verified."""
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
-        power = np.full(n, BASE, U)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.inverse = np.full(n, pow(BASE, -1, 1 << 64), U)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        power, self.inverse = powers(n)
         self.prefix = np.zeros(n, U)
         np.cumsum((data.astype(U) + U(1)) * power[:-1], out=self.prefix[1:])
 
@@ -73,6 +84,20 @@ class PrefixHash:
     def all(self, length: int) -> np.ndarray:
         return (self.prefix[length:] - self.prefix[:-length]) * self.inverse[:-length]
 
+    def common(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+        """Longest common extension of the suffixes at i and j, up to `most`, by binary search over prefix hashes."""
+        pi, pj, vi, vj = self.prefix[i], self.prefix[j], self.inverse[i], self.inverse[j]
+        equal = lambda rows, n: (self.prefix[i[rows] + n] - pi[rows]) * vi[rows] == (self.prefix[j[rows] + n] - pj[rows]) * vj[rows]
+        e = np.full(len(i), most)
+        todo = np.flatnonzero(~equal(slice(None), most))  # equal suffixes need one comparison
+        low, high = np.zeros(len(todo), np.int64), np.full(len(todo), most - 1)
+        while len(todo) and (low < high).any():
+            mid = (low + high + 1) // 2
+            fits = equal(todo, mid)
+            low, high = np.where(fits, mid, low), np.where(fits, high, mid - 1)
+        e[todo] = low
+        return e
+
 
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     """op over x[i : i + width]; the last width - 1 entries see what is left."""
@@ -92,23 +117,32 @@ class Anchors:
         self.starts = np.concatenate([[0], np.cumsum(size)])
         self.data = np.frombuffer(b"".join(raw), np.uint8)
         n = len(self.data)
-        if n < LENGTH:
-            self.at = self.doc = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, U)
-            return
         self.gram = np.full(n, U(0xFFFFFFFFFFFFFFFF))
-        self.gram[: n - GRAM + 1] = mix(PrefixHash(self.data).all(GRAM))
-        least = sliding(self.gram, W, np.minimum)
-        valid = np.zeros(n + 1, np.int8)  # windows inside one text
-        long = size >= LENGTH
-        np.add.at(valid, self.starts[:-1][long], 1)
-        np.add.at(valid, self.starts[1:][long] - LENGTH + 1, -1)
-        least[np.cumsum(valid[:-1]) == 0] = 0
-        most = sliding(least[::-1], W, np.maximum)[::-1]  # over the windows that hold a gram
-        self.at = np.flatnonzero((most == self.gram) & (self.gram > 0))
+        found, k = [], 0
+        while k < len(raw):  # whole texts, about CACHE_BYTES at a time: the arrays stay in the CPU's cache
+            end = max(k + 1, int(np.searchsorted(self.starts, self.starts[k] + CACHE_BYTES)))
+            end = min(end, len(raw))
+            found.append(self._scan(k, end, size))
+            k = end
+        self.at = np.concatenate(found) if found else np.zeros(0, np.int64)
         self.hash = mix(self.gram[self.at] ^ U(0x5851F42D4C957F2D))
         self.doc = np.searchsorted(self.starts, self.at, side="right") - 1
 
+    def _scan(self, k: int, end: int, size: np.ndarray) -> np.ndarray:
+        low, high = int(self.starts[k]), int(self.starts[end])
+        if high - low < LENGTH:
+            return np.zeros(0, np.int64)
+        gram = self.gram[low:high]
+        gram[: high - low - GRAM + 1] = mix(PrefixHash(self.data[low:high]).all(GRAM))
+        least = sliding(gram, W, np.minimum)
+        valid = np.zeros(high - low + 1, np.int8)  # windows inside one text
+        long = size[k:end] >= LENGTH
+        np.add.at(valid, self.starts[k:end][long] - low, 1)
+        np.add.at(valid, self.starts[k + 1 : end + 1][long] - low - LENGTH + 1, -1)
+        least[np.cumsum(valid[:-1]) == 0] = 0
+        most = sliding(least[::-1], W, np.maximum)[::-1]  # over the windows that hold a gram
+        return np.flatnonzero((most == gram) & (gram > 0)) + low
+
     def windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last start of the windows that the anchors in rows own (in the joined data)."""
         at, n = self.at[rows], len(self.data)
@@ -216,6 +250,24 @@ def _shared(blocks: int):
     return run
 
 
+def later_copies(data: np.ndarray, first: np.ndarray, span: np.ndarray, lead: np.ndarray, anchor: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose context equals one of a smaller id (all their windows are removed), and the rows that are left."""
+    p = PrefixHash(data)
+    same = mix(p.of(first, span) ^ mix(anchor ^ (lead * 1000 + span).astype(U)))
+    order = np.lexsort((docs, same))
+    new = np.ones(len(order), bool)
+    new[1:] = same[order][1:] != same[order][:-1]
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # of each its class's smallest id
+    # equal hashes are verified: the bytes must agree
+    alike = (head != order) & (span[head] == span[order]) & (lead[head] == lead[order]) & (docs[head] < docs[order])
+    k = np.flatnonzero(alike)
+    for d in range(int(span[order[k]].max()) if len(k) else 0):
+        k = k[d < span[order[k]]]
+        k_bad = data[first[order[k]] + d] != data[first[head[k]] + d]
+        alike[k[k_bad]] = False
+    return order[alike], order[~alike]
+
+
 def _contexts(buckets: int):
     """The contexts of a block's shared anchors, equal ones as one; a later copy's windows are removed at once."""
 
@@ -239,25 +291,11 @@ def _contexts(buckets: int):
             if not len(rows):
                 continue
             end, doc = last + LENGTH, a.doc[rows]
-            p = PrefixHash(a.data)
-            lead = a.at[rows] - first
-            same = mix(p.of(first, end - first) ^ mix((lead * 1000 + end - first).astype(U)))
-            order = np.lexsort((docs[doc], same))
-            new = np.ones(len(order), bool)
-            new[1:] = same[order][1:] != same[order][:-1]
-            head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # of each its class's smallest id
-            # equal hashes are verified: the bytes must agree
-            span = end - first
-            alike = (span[head] == span[order]) & (lead[head] == lead[order])
-            most = int(span.max())
-            for d in range(most):
-                inside = alike & (d < span[order])
-                alike[inside] &= a.data[first[order[inside]] + d] == a.data[first[head[inside]] + d]
-            later = alike & (docs[doc[head]] < docs[doc[order]])
-            gone = order[later]
+            lead, span = a.at[rows] - first, end - first
+            gone, kept = later_copies(a.data, first, span, lead, a.hash[rows], docs[doc])
             if len(gone):
                 out.append(_range_row(-1, keys[doc[gone]], first[gone] - a.starts[doc[gone]], end[gone] - a.starts[doc[gone]], names, int(part["block"].iloc[0])))
-            r = np.sort(order[~later])
+            r = np.sort(kept)
             bucket = (a.hash[rows[r]] >> U(40)) % U(buckets)
             turn = np.argsort(bucket, kind="stable")
             for some in np.split(turn, np.flatnonzero(np.diff(bucket[turn])) + 1):
@@ -277,18 +315,8 @@ def _range_row(bucket: int, keys, firsts, ends, names: list[str], block: int) ->
 def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray, p: PrefixHash, length: int = LENGTH) -> np.ndarray:
     """The order of the suffixes data[at:], compared on `length` bytes, inside each group (at sorted by group)."""
 
-    def extension(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Longest common extension by binary search over hashes of prefixes."""
-        e = np.zeros(len(i), np.int64)
-        step = 1 << (length.bit_length() - 1)
-        while step:
-            fits = e + step <= length
-            e += np.where(fits & (p.of(i + np.where(fits, e, 0), step * fits) == p.of(j + np.where(fits, e, 0), step * fits)), step, 0)
-            step >>= 1
-        return e
-
     def compared(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        e = extension(i, j)
+        e = p.common(i, j, length)
         short = e < length
         k = np.where(short, e, 0)
         return np.where(short, data[i + k].astype(np.int16) - data[j + k], 0)
@@ -300,26 +328,25 @@ def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray, p: PrefixH
     gid = np.cumsum(new) - 1
     size = np.diff(np.append(starts, n))[gid]
     base = starts[gid]
-    order = np.arange(n)
-    place = order - base
-    width = 1
-    while n and width < size.max():
+    order, slots, width = np.arange(n), np.arange(n), 1
+    while True:
+        slots = slots[size[slots] > width]  # of groups with a run of this width and more
+        if not len(slots):
+            return order
+        b = base[slots]
+        place = slots - b
         run = place // width
-        sibling = (run ^ 1) * width
-        amount = np.clip(size - sibling, 0, width)
-        low, high = np.zeros(n, np.int64), amount.copy()
+        sibling = b + (run ^ 1) * width
+        low, high = np.zeros(len(slots), np.int64), np.clip(b + size[slots] - sibling, 0, width)
+        mine, left = order[slots], run % 2 == 0
         while (todo := np.flatnonzero(low < high)).size:
             mid = (low[todo] + high[todo]) // 2
-            c = compared(at[order[base[todo] + sibling[todo] + mid]], at[order[todo]])
-            before = np.where(run[todo] % 2 == 0, c < 0, c <= 0)  # equal ones of the left run stay first
+            c = compared(at[order[sibling[todo] + mid]], at[mine[todo]])
+            before = np.where(left[todo], c < 0, c <= 0)  # equal ones of the left run stay first
             low[todo] = np.where(before, mid + 1, low[todo])
             high[todo] = np.where(before, high[todo], mid)
-        target = base + (run // 2) * 2 * width + (place - run * width) + low
-        nxt = np.empty(n, np.int64)
-        nxt[target] = order
-        order = nxt
+        order[b + (run // 2) * 2 * width + (place - run * width) + low] = mine
         width *= 2
-    return order
 
 
 def _decide(blocks: int):
@@ -347,6 +374,14 @@ def _decide(blocks: int):
                 continue
             here = np.cumsum(span[rows]) - span[rows]  # where each context begins in the chunk's own bytes
             view = data[np.repeat(start[rows] - here, span[rows]) + np.arange(span[rows].sum())]
+            gone, kept = later_copies(view, here, span[rows], lead[rows], h[rows], docs[rows])
+            gone_k.append(keys[rows[gone]])
+            gone_a.append(firsts[rows[gone]])
+            gone_b.append(firsts[rows[gone]] + span[rows[gone]])
+            kept = kept[np.isin(h[rows[kept]], _repeated(h[rows[kept]]))]
+            rows, here = rows[kept], here[kept]
+            if not len(rows):
+                continue
             p = PrefixHash(view)
             n = span[rows] - LENGTH + 1  # windows of each
             row = np.repeat(rows, n)

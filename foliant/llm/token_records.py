@@ -117,31 +117,35 @@ def write_records(docs: DataFrame, path: str, vocab: str, end_id: int | None = 0
 
 
 def read_records(spark: SparkSession, path: str, index: DataFrame | None = None, summary: bool = True) -> DataFrame:
-    """Every record of the shards, read record by record with both checksums verified.
+    """Every record of the shards, read record by record with both checksums verified, one task per shard.
 
-    summary=True: shard, ordinal, doc_id, start_in_shard, n_tokens, ids_crc32; else also ids (array of int).
+    summary=True: shard, ordinal, doc_id, shard_start, start_in_shard, n_tokens, ids_crc32; else also ids (array of int).
+    shard_start: ids of all shards before; the index gives it, and a shard that does not hold the index's ids is an error.
     """
     index = index if index is not None else spark.read.schema(INDEX).parquet(f"{path}/index")
-    shards = index.groupBy("shard").agg(F.count("*").alias("records"))
+    shards = index.groupBy("shard").agg(F.count("*").alias("records"), F.sum("n_tokens").alias("tokens"))
+    n = max(1, shards.count())
+    before = F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))  # a row per shard only
+    shards = shards.withColumn("base", F.coalesce(before, F.lit(0))).repartition(n)
     data = f"{path}/data"
-    schema = "shard string, ordinal long, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long" + ("" if summary else ", ids array<int>")
+    schema = "shard string, ordinal long, doc_id long, shard_start long, start_in_shard long, n_tokens long, ids_crc32 long" + ("" if summary else ", ids array<int>")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for shard, records in zip(pdf["shard"], pdf["records"]):
+            for shard, records, tokens, base in zip(pdf["shard"], pdf["records"], pdf["tokens"], pdf["base"]):
                 store, root = open_fs(data)
                 rows, at, ordinal = [], 0, 0
                 with store.open_input_stream(f"{root}/{shard}", buffer_size=1 << 20) as stream:
                     while (payload := read_frame(stream)) is not None:
                         doc_id, ids = unpack(payload)
-                        row = (shard, ordinal, doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+                        row = (shard, ordinal, doc_id, base, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
                         rows.append(row if summary else (*row, ids.astype("int32")))
                         at, ordinal = at + len(ids), ordinal + 1
                         if len(rows) >= (4096 if summary else 64):
                             yield _rows(rows, schema)
                             rows = []
-                if ordinal != records:
-                    raise ValueError(f"{shard} holds {ordinal} records, the index {records}")
+                if (ordinal, at) != (records, tokens):
+                    raise ValueError(f"{shard} holds {ordinal} records of {at} ids, the index {records} of {tokens}")
                 yield _rows(rows, schema)
 
     return shards.mapInPandas(read, schema)
@@ -160,10 +164,8 @@ def read_record(path: str, shard: str, offset: int) -> tuple[int | None, np.ndar
 
 
 def token_starts(records: DataFrame) -> DataFrame:
-    """Adds start: ids of all records before a record. Shards are few; only their totals meet in one task."""
-    totals = records.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
-    base = totals.withColumn("base", F.coalesce(F.sum("shard_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return records.join(base.select("shard", "base"), "shard").withColumn("start", F.col("base") + F.col("start_in_shard")).drop("base")
+    """Adds start: ids of all records before a record."""
+    return records.withColumn("start", F.col("shard_start") + F.col("start_in_shard")).drop("shard_start")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@
    input). Over it the configuration program - least number of sequences, each
    filled by one configuration of lengths, all lengths covered - is solved by
    multiplicative weights: each round prices the lengths, an unbounded knapsack
-   by dynamic programming finds the configuration worth most, and the lengths
-   it covers lose weight.
-3. The fractional solution is rounded down; what is left over goes by best fit,
-   longest first, into the gaps of the rounded configurations and then into new
+   by dynamic programming finds the configuration worth most through each
+   length, and the lengths that a used one covers lose weight. It goes on until
+   all lengths are covered; the prices give a lower bound on the sequences.
+3. The fractional solution is rounded, fractions adding up over configurations;
+   what is left over goes by best fit, longest first, into the gaps of the rounded configurations and then into new
    sequences. All this works on counts, not on pieces.
 4. Each piece gets its rank among the pieces of its length (a prefix sum over
    the counts of the tasks, so a length that holds a third of all pieces needs
@@ -39,7 +40,9 @@ from foliant.session import written
 
 CAPACITY = 1024
 END_ID = 2
-ROUNDS = 600
+#: Multiplicative weights: the share that lowers a price e times, the slack of a configuration that is used,
+#: the distance from the dual bound that ends the program, and the pricings after which full cover does.
+RATE, SLACK, GAP, ROUNDS = 0.2, 0.05, 0.01, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -68,46 +71,77 @@ def pieces_of(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_id: int
     return texts(docs, text_col, id_col).mapInPandas(make, PIECES)
 
 
-def best_configuration(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: int) -> Counter:
-    """The configuration of the highest worth that fits: an unbounded knapsack by dynamic programming."""
+def priced(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity the highest worth that fits and the last length taken: an unbounded knapsack (lengths ascend)."""
     value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    ls, ws = lengths[order], worth[order]
-    upto = np.searchsorted(ls, np.arange(capacity + 1), side="right")
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
         value[c] = value[c - 1]
         if k := upto[c]:
-            gains = ws[:k] + value[c - ls[:k]]
+            gains = worth[:k] + value[c - lengths[:k]]
             if gains[i := int(gains.argmax())] > value[c]:
-                value[c], choice[c] = gains[i], order[i]
-    found, c = Counter(), capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            found[int(choice[c])] += 1
-            c -= int(lengths[choice[c]])
-    return found
-
-
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.1) -> list[tuple[Counter, float]]:
-    """Configurations and how often each is used, covering the demand, by multiplicative weights."""
+                value[c], choice[c] = gains[i], i
+    return value, choice
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[Counter, float]], float]:
+    """Configurations and how often each is used, covering the whole demand, and the dual bound on their number.
+
+    A length's price is its size, lowered as its share of the demand is covered.
+    One pricing gives the best configuration through every length; those that
+    are still within SLACK of the best, at the prices that have fallen
+    meanwhile, are used. It ends when every share has reached 1 after ROUNDS
+    pricings, or every share is above 0 and the number is within GAP of the bound.
+    """
     used: dict[tuple, float] = {}
-    covered = np.zeros(len(lengths))
-    for _ in range(rounds):
+    covered, total, bound, rounds = np.zeros(len(lengths)), 0.0, 0.0, 0
+    while True:
         share = covered / demand
-        weight = np.exp(-(share - share.min()) / rate) / demand
-        found = best_configuration(lengths, weight / weight.max(), demand, capacity)
-        items = np.fromiter(found, int)
-        amounts = np.array([found[i] for i in items], float)
-        step = rate / 4 * float((demand[items] / amounts).min())
-        key = tuple(sorted(found.items()))
-        used[key] = used.get(key, 0.0) + step
-        covered[items] += step * amounts
-        if share.min() >= 1:
-            break
-    scale = max(float((covered / demand).min()), 1.0)
-    return [(Counter(dict(key)), x / scale) for key, x in used.items()]
+        price = lengths * np.exp(-(share - share.min()) / RATE)
+        value, choice = priced(lengths, price, capacity)
+        rounds += 1
+        bound = max(bound, float(demand @ price / value[capacity]))  # prices over the best worth are a dual solution
+        least, worth = (1 - SLACK) * value[capacity], price + value[capacity - lengths]
+        for i in np.argsort(-worth, kind="stable").tolist():
+            if worth[i] < least:
+                break
+            found, c = Counter([i]), capacity - int(lengths[i])
+            while c > 0:
+                if choice[c] < 0:
+                    c -= 1
+                else:
+                    found[int(choice[c])] += 1
+                    c -= int(lengths[choice[c]])
+            items, amounts = np.fromiter(found, int), np.fromiter(found.values(), float)
+            if price[items] @ amounts < least * (1 - 1e-12):
+                continue
+            step = RATE / 2 * float((demand[items] / amounts).min())
+            covered[items] += step * amounts
+            price[items] *= np.exp(-step * amounts / demand[items] / RATE)
+            key = tuple(sorted(found.items()))
+            used[key] = used.get(key, 0.0) + step
+            total += step
+        low = float((covered / demand).min())
+        if low > 0 and (total / low <= bound * (1 + GAP) or (low >= 1 and rounds >= ROUNDS)):
+            return [(Counter(dict(key)), x / low) for key, x in used.items()], bound
+
+
+def rounded(solution: list[tuple[Counter, float]], demand: np.ndarray) -> tuple[list[tuple[Counter, int]], np.ndarray]:
+    """Whole numbers of the configurations, none above the demand, and the demand that is left.
+
+    Fractions add up from one configuration to the next, and what one cannot use goes to those after it.
+    """
+    left, carry, made = demand.astype(np.int64), 0.0, Counter()
+    solution = sorted(solution, key=lambda p: -p[1])
+    for turn in range(2):  # what is carried over at the end goes round once more
+        for found, x in solution:
+            carry += 0.0 if turn else x
+            items, amounts = np.fromiter(found, int), np.fromiter(found.values(), np.int64)
+            if times := min(int(carry + 1e-9), int((left[items] // amounts).min())):
+                left[items] -= times * amounts
+                carry -= times
+                made[tuple(sorted(found.items()))] += times
+    return [(Counter(dict(key)), times) for key, times in made.items()], left
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -116,19 +150,16 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[lis
         return []
     lengths = np.array(sorted(histogram), int)
     demand = np.array([histogram[x] for x in lengths.tolist()], float)
-    left = {int(x): int(histogram[int(x)]) for x in lengths}
+    placed, rest = rounded(fractional(lengths, demand, capacity)[0], demand)
+    left = dict(zip(lengths.tolist(), rest.tolist()))
     open_bins: dict[int, list[list]] = {}  # gap -> [[lengths, count], ...]
 
     def add(filled: list[int], gap: int, count: int) -> None:
         open_bins.setdefault(gap, []).append([filled, count])
 
-    for found, x in sorted(fractional(lengths, demand, capacity), key=lambda p: -p[1]):
-        items = {int(lengths[i]): a for i, a in found.items()}
-        if times := min(int(x), *(left[n] // a for n, a in items.items())):
-            filled = [n for n, a in sorted(items.items(), reverse=True) for _ in range(a)]
-            for n, a in items.items():
-                left[n] -= times * a
-            add(filled, capacity - sum(filled), times)
+    for found, times in placed:
+        filled = [int(lengths[i]) for i, a in sorted(found.items(), reverse=True) for _ in range(a)]
+        add(filled, capacity - sum(filled), times)
     for n in sorted(left, reverse=True):
         while left[n]:
             gap = min((g for g, bins in open_bins.items() if g >= n and bins), default=None)

@@ -157,6 +157,25 @@ def test_solve_packs_exactly(seed):
     assert sum(c for _, c in made) <= len(bins) * 1.005 + 1
 
 
+def test_program_covers_and_places_the_demand():
+    lengths = np.arange(1, 257)
+    demand = np.random.default_rng(3).integers(1, 12, len(lengths)).astype(float)  # rare lengths everywhere
+    solution, bound = packing.fractional(lengths, demand, 256)
+    covered = np.zeros(len(lengths))
+    for found, x in solution:
+        assert sum(int(lengths[i]) * a for i, a in found.items()) <= 256
+        for i, a in found.items():
+            covered[i] += a * x
+    assert (covered >= demand * (1 - 1e-9)).all()
+    assert demand @ lengths / 256 * (1 - 1e-9) <= bound <= sum(x for _, x in solution) <= bound * 1.1
+    made, left = packing.rounded(solution, demand)
+    assert (left >= 0).all() and left.sum() < 0.15 * demand.sum()
+    for found, times in made:
+        for i, a in found.items():
+            left[i] += a * times
+    assert (left == demand).all()
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:

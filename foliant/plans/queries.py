@@ -84,8 +84,8 @@ def conversion_matrix(spark, sf):
 
 
 def _mixed_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Packages of the three formats, plain text and damaged zips, by doc_id modulo 5."""
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
+    """Packages of the three formats, plain text and damaged zips, of whole texts, by doc_id modulo 5."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     blocks = ir.blocks_of_text(docs)
     out = docs.filter("doc_id % 5 = 3").select("doc_id", F.col("text").cast("binary").alias("content"))
     out = out.unionByName(docs.filter("doc_id % 5 = 4").select("doc_id", F.concat(F.lit(b"PK"), F.col("text").cast("binary")).alias("content")))

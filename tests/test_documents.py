@@ -169,6 +169,16 @@ def test_ingest(spark, blocks, tmp_path):
     assert {r.status: r["count"] for r in got} == {"ok": len(TEXTS), "rejected": 1}
 
 
+def test_mixed_files_hold_whole_texts(spark, tmp_path):
+    from foliant.plans import queries
+
+    texts = {k: f"{k} " + "word here\n" * 300 + "end" for k in range(5)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = ingest.status(queries._mixed_files(spark, str(tmp_path)).withColumn("path", F.lit("")))
+    got = {r.doc_id: (r.status, r.paragraphs, r.chars) for r in found.collect()}
+    assert got == {k: ("ok", 301, len(t.replace("\n", ""))) if k < 3 else ("rejected", None, None) for k, t in texts.items()}
+
+
 def test_session_stream(spark, tmp_path):
     src = tmp_path / "ev"
     for k, (user, ts) in enumerate([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 05:00:00"), (1, "2024-01-02 01:00:00"), (2, "2024-01-05 00:00:00"), (3, "2024-01-09 00:00:00")]):

@@ -1,16 +1,25 @@
 """Operator 3, HTML extraction by line-block distribution.
 
-Markup is stripped so that each block of the page becomes a line. A line that
-stands in a menu, header, footer, sidebar, notice, advert, form, script, style
-or comment section - told by element, role or class name - or that is mostly
-links counts as length zero; where the page marks its article, so does a line
-outside of it. Over the lengths, sums of sliding windows of lines are taken:
-the text surges where a sum rises over a threshold and dives where the sums
-fall back to nothing. Of the stretches between a surge and its dive the one
-with most text is the article, and its own lines are kept in page order.
-
-Null or empty html gives an empty text. Pages cut off in the middle are read as
-far as they go. Repeated rows are extracted one by one.
+Markup is stripped so that each block of the page becomes a line. Lines that
+stand in a menu, header, footer, sidebar, notice, advert, form, script, style or
+comment section, told by element, role or class name, are taken out. Each line
+that is left has a weight: its length, or nothing where it is mostly links.
+Where the page marks articles, the mark is one more weight: a line inside of one
+is worth at least a surge, a line outside of one an eighth of its length.
+
+Over the weights, sums of sliding windows of WINDOW lines are taken. The text
+surges at a line whose window sum reaches SURGE, and dives where the sum falls
+under the dive level: nothing, or on pages with marks a surge, which a line
+outside of them rarely has. The lines between each surge and its dive are a
+stretch, and all stretches are kept but those under a tenth of the largest one;
+a page of short lines only, without any surge, is taken from its first line with
+text. Lines of no weight inside a stretch (menus) are left out.
+
+Null or empty html gives an empty text, as does a page of markup alone. Pages cut
+off in the middle are read as far as they go; very long pages are read whole.
+Repeated rows are extracted one by one, an empty table gives no rows, null ids
+and urls stay null, and other columns of any name are not read. Ties do not
+arise: stretches are compared with a share of the largest, never ranked.
 """
 
 from __future__ import annotations
@@ -27,6 +36,8 @@ from foliant.llm.common import small_batches
 
 #: Lines in a window, and the characters in it that make a surge.
 WINDOW, SURGE = 3, 60
+#: What divides the length of a line outside of marked articles; the share of the largest stretch that the others need.
+OUTSIDE, SHARE = 8, 0.1
 LINKS = 0.6  # share of a line's characters in links that makes it a menu line
 
 _NAME = r"[a-zA-Z][^\s/>]*"
@@ -49,11 +60,21 @@ _WORDS = (
     r"footer|header|masthead|comments?|commentlist|disqus|reply|replies|respond|related|recommend\w*|share|sharing|social|popup|modal|overlay|login|signup|widget|toolbar|pagination|pager|tags|skip|search"
 )
 _JUNK = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-]|\d)", re.I)
+#: Inside an article a name speaks of junk only where all its parts do: "share-buttons" does, "share-price" and "search" do not.
+_PART = re.compile(r"[\s_-]+|(?<=\D)(?=\d)")
+_WORD = re.compile(_WORDS, re.I)
+_BESIDE = frozenset("block box list link links area bar button buttons wrap wrapper container section slot inner outer unit icon icons form top bottom left right inline item items search tags skip reader user post page site".split())
 _OWN = re.compile(r"^(?:article|entry|post|content|story)[_-]*(?:header|title|heading|body|content|text|main)\b", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _MAIN = re.compile(r"(?:^|\s)(?:article|post|entry|story|main)[_-]?(?:body|content|text)?(?:$|\s)", re.I)
 
 
+def _junk_inside(name: str) -> bool:
+    parts = [p.lower() for p in _PART.split(name) if p]
+    beside = [p in _BESIDE or p.isdigit() for p in parts]
+    return not all(beside) and all(b or _WORD.fullmatch(p) for p, b in zip(parts, beside))
+
+
 def _is_junk(name: str, attrs: str, in_article: bool) -> bool:
     if name in _DROPPED or (name == "header" and not in_article):
         return True
@@ -62,7 +83,8 @@ def _is_junk(name: str, attrs: str, in_article: bool) -> bool:
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            if any(_JUNK.search(c) and not _OWN.match(c) for c in value.split()):
+            junk = _junk_inside if in_article else _JUNK.search
+            if any(junk(c) and not _OWN.match(c) for c in value.split()):
                 return True
         elif key == "role":
             if value.lower() in _ROLES:
@@ -153,48 +175,53 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     return lines
 
 
-def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """The stretch (first, after last) between a surge and its dive that holds most text."""
-    n = len(lengths)
-    sums = [sum(lengths[i : i + window]) for i in range(n)]
-    best, best_size, i = (0, 0), 0, 0
+def line_weights(lines: list[tuple[str, int, bool, int]]) -> tuple[list[float], int]:
+    """The weight of each line (none of them junk), and the level of a dive."""
+    if not any(article for *_, article in lines):
+        return [0 if links > LINKS * len(text) else len(text) for text, links, *_ in lines], 1
+    weights = []
+    for text, links, _, article in lines:
+        if article:
+            weights.append(len(text) + SURGE)
+        else:
+            weights.append(0 if links > LINKS * len(text) else len(text) / OUTSIDE)
+    return weights, SURGE
+
+
+def stretches(weights: list[float], dive: float = 1, window: int = WINDOW, surge: float = SURGE, share: float = SHARE) -> list[tuple[int, int]]:
+    """(first, after last) of the lines from each surge to its dive, without those of a small share of the largest.
+
+    A surge is a line with weight whose window sum reaches `surge`; from there the
+    stretch goes on while the sums of the windows stay at `dive` or more, and ends
+    after its last line that is itself at `dive`.
+    """
+    n, total = len(weights), [0.0]
+    for w in weights:
+        total.append(total[-1] + w)
+    sums = [total[min(i + window, n)] - total[i] for i in range(n)]
     for least in (surge, 1):  # a page of short lines has no surge: then any text makes one
+        found, i = [], 0
         while i < n:
-            if sums[i] < least or not lengths[i]:
+            if sums[i] < least or weights[i] < min(dive, least):
                 i += 1
                 continue
             start = i
-            while i < n and sums[i] > 0:
+            while i < n and sums[i] >= min(dive, least):
                 i += 1
             end = i
-            while end > start and not lengths[end - 1]:
+            while weights[end - 1] < min(dive, least):
                 end -= 1
-            if (size := sum(lengths[start:end])) > best_size:
-                best, best_size = (start, end), size
-        if best_size:
-            return best
-        i = 0
-    return best
+            found.append((start, end))
+        if found:
+            largest = max(total[b] - total[a] for a, b in found)
+            return [(a, b) for a, b in found if total[b] - total[a] >= share * largest]
+    return []
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    counted = [0 if junk or links > LINKS * len(text) else len(text) for text, links, junk, _ in lines]
-    sizes: dict[int, int] = {}
-    for (_, _, junk, article), n in zip(lines, counted):
-        if article:
-            sizes[article] = sizes.get(article, 0) + n
-    chosen = max(sizes, key=sizes.get, default=0)
-    if chosen and sizes[chosen]:
-        # the marks bound the text; inside them the surge is the first line and the dive the last
-        inside = [k for k, line in enumerate(lines) if line[3] == chosen and not line[2]]
-        first, last = inside[0], inside[-1] + 1
-        counted = [len(line[0]) if line[3] == chosen and not line[2] else 0 for line in lines]
-        start, end = stretch(counted[first:last], window=last - first, surge=1)
-        start, end = start + first, end + first
-    else:
-        start, end = stretch(counted)
-    return "\n".join(line[0] for line, n in zip(lines[start:end], counted[start:end]) if n)
+    lines = [line for line in lines_of(page or "") if not line[2]]
+    weights, dive = line_weights(lines)
+    return "\n".join(lines[k][0] for a, b in stretches(weights, dive) for k in range(a, b) if weights[k] >= dive)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -168,6 +168,49 @@ def test_extraction_rows(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_text(pages).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
 
 
+def plain_stretches(weights, dive, window=html_text.WINDOW, surge=html_text.SURGE, share=html_text.SHARE):
+    """By definition: a line is inside if some surge stands before it with no dive in between."""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    for least in (surge, 1):
+        low = min(dive, least)
+        surges = [i for i in range(len(weights)) if sums[i] >= least and weights[i] >= low]
+        inside = [any(s <= i and all(sums[k] >= low for k in range(s, i + 1)) for s in surges) for i in range(len(weights))]
+        runs, i = [], 0
+        while i < len(weights):
+            j = i
+            while j < len(weights) and inside[j]:
+                j += 1
+            if j > i:
+                runs.append((i, max(k for k in range(i, j) if weights[k] >= low) + 1))
+            i = max(j, i + 1)
+        if runs:
+            most = max(sum(weights[a:b]) for a, b in runs)
+            return [(a, b) for a, b in runs if sum(weights[a:b]) >= share * most]
+    return []
+
+
+def test_surge_and_dive():
+    rng = random.Random(6)
+    for _ in range(500):
+        weights = [rng.choice([0, 0, 0, 1, 5, 20, 40, 90, 400]) for _ in range(rng.randint(0, 40))]
+        for dive in (1, html_text.SURGE):
+            assert html_text.stretches(weights, dive) == plain_stretches(weights, dive), weights
+
+
+def test_extraction_keeps_every_stretch():
+    long, more = "long text here " * 9, "other words there " * 9
+    two = f"<article><h1>A</h1><p>{long}</p></article><div>a caption</div><article><p>{more}</p><p>Ja.</p></article><div>(c) the owner of this page, all rights are his</div>"
+    assert html_text.main_text(two) == f"A\n{long.strip()}\n{more.strip()}\nJa."
+    # no marks: a menu in the middle dives, and the text after it surges again
+    menu = "".join(f"<li><a href='{k}'>to page {k}</a></li>" for k in range(6))
+    bare = f"<div id=content><h1>H</h1><p>{long}</p><ul>{menu}</ul><div class=promo>buy</div><p>{more}</p><p>Oui.</p></div>"
+    assert html_text.main_text(bare) == f"H\n{long.strip()}\n{more.strip()}\nOui."
+    names = "<article><p id='search'>one</p><p class='share-price'>two</p><div class='share-buttons'>x</div><p class='ad-slot-2'>y</p><p>three</p></article>"
+    assert html_text.main_text(names) == "one\ntwo\nthree"
+    huge = "<main>" + f"<p>{long}</p>" * 40_000 + "</main>"
+    assert html_text.main_text(huge).count("\n") == 39_999
+
+
 # ---- 2 and 8: classifiers
 
 

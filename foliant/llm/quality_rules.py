@@ -1,22 +1,28 @@
 """Operator 1, quality rules: compression bands.
 
 Repetitive text compresses too well, random or encoded text too badly. Each
-text is compressed with zstandard as a whole and in fixed chunks; the whole
-ratio must lie inside the band of the text's length, and at most half of the
-chunked bytes may lie in chunks outside the chunk band. Short texts compress
-worse, since a frame has a fixed cost and little history, so limits depend on
-the length.
-
-Null or empty text has no words: base_failed, not kept. Repeated rows are
-judged one by one. Texts are handled whole; a batch is cut by characters, so
-memory is bounded by the longest text.
+text is compressed with zstandard as a whole and in fixed chunks. A longer text
+has more history to point back to, so both limits of the band rise with the
+length: they are drawn straight between the knots of BANDS over the logarithm of
+the length. A text is kept if its whole ratio lies inside the band of its
+length and chunks outside the band of *their* length hold at most
+BAD_SHARE of its bytes. Every byte is in a chunk: what is left at the end is a
+chunk of its own, or goes to the chunk before it where it is under LEAST_CHUNK.
+
+Null or empty text has no words: base_failed, not kept. Repeated rows and rows
+that repeat an id are judged one by one, so ties do not arise; null ids stay
+null; other columns of any name are not read (keep_quality hands them on). An
+empty table gives no rows. Texts are handled whole, however long; an Arrow batch
+is worked off in parts of about BATCH_CHARS characters.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -24,10 +30,12 @@ from pyspark.sql import DataFrame
 from foliant.llm.common import small_batches, split_rows, texts
 
 LEVEL = 3
-CHUNK_BYTES = 4096
-#: (least bytes of the text, lowest ratio, highest ratio)
-BANDS = ((0, 0.85, 2.6), (256, 1.1, 2.8), (512, 1.25, 3.0), (1024, 1.35, 3.2), (4096, 1.4, 3.6), (16384, 1.4, 4.0), (65536, 1.4, 5.0))
-CHUNK_BAND = (1.35, 3.4)
+CHUNK_BYTES = 2048
+LEAST_CHUNK = 512
+#: (bytes, lowest ratio, highest ratio); straight lines over log2(bytes) between, level outside.
+BANDS = ((64, 0.80, 1.45), (256, 1.05, 1.85), (512, 1.15, 2.00), (1024, 1.25, 2.14), (4096, 1.40, 2.36), (16384, 1.45, 2.60), (65536, 1.50, 2.85), (1 << 20, 1.50, 3.60))
+BAD_SHARE = 0.25
+BATCH_CHARS = 1 << 22
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -57,11 +65,26 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def in_band(size: int, ratio: float, bands=BANDS) -> bool:
-    low, high = next((lo, hi) for least, lo, hi in reversed(bands) if size >= least)
+def band(size: int, bands=BANDS) -> tuple[float, float]:
+    """The lowest and highest ratio for so many bytes."""
+    at = math.log2(max(size, 1))
+    knots = [math.log2(k[0]) for k in bands]
+    return float(np.interp(at, knots, [k[1] for k in bands])), float(np.interp(at, knots, [k[2] for k in bands]))
+
+
+def in_band(size: int, ratio: float) -> bool:
+    low, high = band(size)
     return low <= ratio <= high
 
 
+def chunks_of(raw: bytes) -> list[bytes]:
+    """Fixed chunks that hold every byte; a last one under LEAST_CHUNK is part of the one before."""
+    cuts = list(range(0, len(raw), CHUNK_BYTES))
+    if len(cuts) > 1 and len(raw) - cuts[-1] < LEAST_CHUNK:
+        cuts.pop()
+    return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+
+
 def measure(text: str, zstd: zstandard.ZstdCompressor) -> tuple:
     """The counts, the verdict and the two compression figures of one text."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -69,17 +92,19 @@ def measure(text: str, zstd: zstandard.ZstdCompressor) -> tuple:
     n_words, repeats = len(words), repeated_words(words)
     base_failed = n_words < MIN_WORDS or 100 * repeats > REPEAT_PERCENT * n_words
     ratio = len(raw) / len(zstd.compress(raw)) if raw else 0.0
-    chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    low, high = CHUNK_BAND
-    bad = sum(not low <= len(c) / len(zstd.compress(c)) <= high for c in chunks) / len(chunks) if chunks else 0.0
-    kept = not base_failed and in_band(len(raw), ratio) and bad <= 0.5
+    chunks = chunks_of(raw)
+    if len(chunks) == 1:  # the whole text, whose ratio is known
+        bad = float(not in_band(len(raw), ratio))
+    else:
+        bad = sum(len(c) for c in chunks if not in_band(len(c), len(c) / len(zstd.compress(c)))) / max(len(raw), 1)
+    kept = not base_failed and in_band(len(raw), ratio) and bad <= BAD_SHARE
     return n_words, len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, base_failed, kept, ratio, bad
 
 
 def _frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     zstd = zstandard.ZstdCompressor(level=LEVEL)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for pdf in frames:
+    for pdf in split_rows(frames, BATCH_CHARS):
         rows = [(None if pd.isna(i) else int(i), *measure(t, zstd)) for i, t in zip(pdf["doc_id"], pdf["text"])]
         out = pd.DataFrame(rows, columns=names)
         yield out.assign(doc_id=out["doc_id"].astype("Int64"))
@@ -97,7 +122,7 @@ def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zstd = zstandard.ZstdCompressor(level=LEVEL)
-        for pdf in frames:
+        for pdf in split_rows(frames, BATCH_CHARS, text_col):
             yield pdf[[bool(isinstance(t, str) and measure(t, zstd)[6]) for t in pdf[text_col]]]
 
     return docs.mapInPandas(keep, docs.schema)

@@ -64,11 +64,58 @@ def test_bands_reject_repetition_and_noise():
     assert len(noise) > 0
 
 
+def plain_verdict(text):
+    """The bands by definition: straight lines between knots, chunks of 2048 bytes, a short rest with the chunk before."""
+    import math
+
+    import zstandard
+
+    ratio = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b))
+
+    def inside(b):
+        knots = quality_rules.BANDS
+        x = min(max(len(b), knots[0][0]), knots[-1][0])
+        k = max(k for k in range(len(knots) - 1) if knots[k][0] <= x)
+        part = math.log2(x / knots[k][0]) / math.log2(knots[k + 1][0] / knots[k][0])
+        low, high = (knots[k][c] + part * (knots[k + 1][c] - knots[k][c]) for c in (1, 2))
+        return low - 1e-12 <= ratio(b) <= high + 1e-12
+
+    raw, chunks = (text or "").encode(), []
+    rest = raw
+    while rest:
+        n = 2048 if len(rest) >= 2048 + 512 else len(rest)
+        chunks.append(rest[:n])
+        rest = rest[n:]
+    assert b"".join(chunks) == raw
+    return bool(raw) and not plain_rules(text)[5] and inside(raw) and 4 * sum(len(c) for c in chunks if not inside(c)) <= len(raw)
+
+
+def test_verdict(spark):
+    rng = np.random.default_rng(8)
+    vocab = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocab, n))
+    line = prose(30)
+    texts = [prose(int(n)) for n in rng.integers(40, 3000, 40)]
+    texts += [" ".join(f"{line} {prose(k)}" for _ in range(20)) for k in (5, 10, 15, 25, 40)]  # more and more repetitive
+    texts += [prose(300) + " " + " ".join(["ab"] * 900), prose(900) + " " + "".join(chr(int(c)) + " " for c in rng.integers(0x4E00, 0x9FFF, 900))]
+    texts += [prose(330), prose(365), prose(380), prose(80_000), "", None]  # around the first cut; about half a MB
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = [plain_verdict(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == want
+    assert 0 < sum(want) < len(texts) - 4
+
+
+def test_every_byte_is_in_a_chunk():
+    for n in (0, 1, 511, 2048, 2048 + 511, 2048 + 512, 4096, 5000, 9999):
+        raw = bytes(k % 251 for k in range(n))
+        chunks = quality_rules.chunks_of(raw)
+        assert b"".join(chunks) == raw and all(len(c) >= 512 for c in chunks[1:])
+
+
 def whole(text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -80,10 +127,21 @@ def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
-    texts = [x or "" for x in make_texts(5)]
+    texts = [x or "" for x in make_texts(5)] + ["<|endoftext|>", "a <|endoftext|> b<|endoftext|>", " <|endoftext|>  c <|endof text|>"]
     for text, ids in zip(texts, Encoder(vocabulary()).encode(texts)):
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert Encoder(vocabulary()).encode(["<|endoftext|> y"])[0].tolist() == [50256, 331]
+
+
+def test_encoder_of_other_vocabularies(tmp_path):
+    """A file with another pre-tokenizer or normalizer is used on whole texts."""
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json",):
+        t = Tokenizer.from_file(vocabulary(name))
+        texts = [x or "" for x in make_texts(6, 20)]
+        for text, ids in zip(texts, Encoder(vocabulary(name)).encode(texts)):
+            assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_records(spark, docs, tmp_path):

@@ -1,12 +1,15 @@
-"""Token ids of whole texts with a public byte-level BPE tokenizer.
+"""Token ids of whole texts with a public tokenizer file.
 
-The tokenizer splits a text before a space that a visible character follows,
-whatever stands around it, so such units can be encoded one by one. Natural
-text repeats its units; a bounded cache of them saves most of the merging work.
+A byte-level BPE tokenizer splits a text before a space that a visible character
+follows, whatever stands around it, so such units can be encoded one by one.
+Natural text repeats its units; a bounded cache of them saves most of the merging
+work. Texts that hold the string of an added token, and all texts where the file
+has another pre-tokenizer, a normalizer or a post-processor, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -45,7 +48,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        made = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in made["added_tokens"]]
+        first = made["pre_tokenizer"] or {}
+        plain = first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"] and made["model"]["type"] == "BPE"
+        self.by_units = plain and not (made["normalizer"] or made["post_processor"] or made["truncation"] or made["padding"])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
@@ -96,6 +103,15 @@ class Encoder:
                 known[unit] = known[core] + after[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [k for k, t in enumerate(texts) if not self.by_units or any(a in t for a in self.added)]
+        if not whole:
+            return self._by_units(texts)
+        out = dict(zip(whole, (np.frombuffer(b, self.dtype) for b in self._encode([texts[k] for k in whole]))))
+        rest = [k for k in range(len(texts)) if k not in out]
+        out |= zip(rest, self._by_units([texts[k] for k in rest]) if rest else [])
+        return [out[k] for k in range(len(texts))]
+
+    def _by_units(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
         if len(self.heads) > CACHE_UNITS // 10:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         path = spark.sparkContext.getCheckpointDir()
         path = path.rsplit("/", 1)[0] if path else None
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(path)
@@ -43,9 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Scratch paths of this driver that still exist; what is left goes when the driver ends.
+_SCRATCH: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder. It goes with discard(), or when the driver's program ends."""
+    if not _SCRATCH:
+        atexit.unregister(discard_all)
+        atexit.register(discard_all)
+    path = f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
+    _SCRATCH[path] = spark
+    return path
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -54,7 +64,31 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(*what: DataFrame | str) -> None:
+    """Delete written tables (or scratch paths) that no later job reads: those made from them are written themselves."""
+    for x in what:
+        path = x if isinstance(x, str) else x._scratch
+        if spark := _SCRATCH.pop(path, None):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_made(since: set[str] = frozenset()) -> set[str]:
+    """The scratch paths that exist and are not in `since`."""
+    return set(_SCRATCH) - set(since)
+
+
+def discard_all() -> None:
+    for path in list(_SCRATCH):
+        try:
+            discard(path)
+        except Exception:  # the session has stopped: nothing can be reached any more
+            _SCRATCH.pop(path, None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,10 +9,18 @@ document are put in order, and windows over that order carry the end of the
 last identifier, secret and endpoint before a span and the start of the next
 one after it, so a span meets its nearest partners and no list of pairs is made.
 
-All patterns run inside the JVM over whole texts; only spans, never texts, are
-shuffled, by a row number, so a hot source or a repeated id is no hot key.
+All patterns run inside the JVM over whole texts, each only on texts that pass a
+cheap test of what it needs. For each match only lengths leave the text: of the
+gap before it, of itself and of the group that counts. Positions are running sums
+over these, taken in a window by document and kind, so the work is linear in the
+matches. These rows, never texts, are written and shuffled by a row number, so a
+hot source or a repeated id is no hot key, and the numbers survive lost executors.
+
 Positions are code points, ends exclusive. Null and empty texts have no spans;
-repeated rows are scanned one by one; an empty table gives no rows.
+very long texts are scanned whole; repeated rows and rows that repeat an id are
+scanned one by one; null ids stay null; an empty table gives no rows; other
+columns of any name are not read (redact hands them on). Spans that start at the
+same place stand in the order of KINDS.
 """
 
 from __future__ import annotations
@@ -21,7 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import texts
+from foliant.llm.common import nested, small, texts, unnested
+from foliant.session import written
 
 
 def any_case(word: str) -> str:
@@ -44,35 +53,71 @@ BASE = ("assign", "access", "hex")
 ROLES = ("id", "secret", "endpoint")
 #: Code points between two parts of one credential, at most.
 SCOPE = 200
-_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+_PARTS = "array<struct<rank:int,nth:int,gap:int,hit:int,good:boolean>>"
+
+
+def _contains(*any_of: str):
+    def test(text: Column) -> Column:
+        found = text.contains(any_of[0])
+        for x in any_of[1:]:
+            found = found | text.contains(x)
+        return found
+
+    return test
 
 
-def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, most: int | None) -> Column:
-    """The spans of a pattern's leftmost matches that do not overlap, those of a wrong length dropped."""
+#: What a text must hold for a kind to match at all: cheaper than the pattern.
+NEEDS = {
+    "assign": _contains(":", "="),
+    "id": _contains(":", "="),
+    "access": _contains("AKIA"),
+    "endpoint": _contains("://"),
+    "hex": lambda text: text.rlike("[A-Za-z0-9+/]{32}"),
+    "secret": lambda text: text.rlike("[A-Za-z0-9+/]{32}"),
+}
+
+
+def parts_of(text: Column, kind: str, pattern: str, group: int, least: int, most: int | None) -> Column:
+    """(rank, nth, gap before, length, of the wanted length) of a pattern's leftmost matches that do not overlap."""
     rank = [k[0] for k in KINDS].index(kind)
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
+
+    def part(x: Column, nth: Column) -> Column:
+        size = F.length(x["value"])
+        good = (size >= least) if most is None else size.between(least, most)
+        return F.struct(F.lit(rank).alias("rank"), nth.alias("nth"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), good.alias("good"))
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zipped = F.arrays_zip(
+        F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"),  # without what comes after the last match
+        hits.alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    none = F.expr(f"cast(array() as {_SPANS})")
+    return F.when(text.rlike(pattern), F.transform(zipped, part)).otherwise(F.expr(f"cast(array() as {_PARTS})"))
+
+
+def all_parts(text: Column) -> Column:
+    """The parts of all kinds; kinds with the same need share its test."""
+    none = F.expr(f"cast(array() as {_PARTS})")
+    groups = (("assign", "id"), ("access",), ("endpoint",), ("hex", "secret"))
+    by_kind = {k[0]: k for k in KINDS}
+    return F.concat(*[F.when(NEEDS[g[0]](text), F.concat(*[parts_of(text, *by_kind[k][:5]) for k in g])).otherwise(none) for g in groups])
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["gap"])
-        end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
-        size = F.length(part["value"])
-        good = (size >= least) if most is None else size.between(least, most)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+def placed(parts: DataFrame) -> DataFrame:
+    """row, s (start, rank, kind, end) from columns row, p: starts are running sums over the matches of a kind; rows without a match have no s."""
+    order = W.partitionBy("row", "p.rank").orderBy("p.nth")
+    before = F.sum(F.col("p.gap") + F.col("p.hit")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    start = (F.coalesce(before, F.lit(0)) + F.col("p.gap")).cast("int")
+    kind = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("p.rank") + 1)
+    s = F.struct(start.alias("start"), F.col("p.rank").alias("rank"), kind.alias("kind"), (start + F.col("p.hit")).cast("int").alias("end"))
+    return parts.select("row", s.alias("s"), F.col("p.good").alias("good"))
 
 
 def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Adds kept: base spans, and those weak ones whose complementary parts are in scope (columns row, s)."""
     before = W.partitionBy("row").orderBy("s.start", "s.rank").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("row").orderBy("s.start", "s.rank").rowsBetween(1, W.unboundedFollowing)
+    # what comes after a span is what comes before it in the opposite order: a frame that grows costs one step a row
+    after = W.partitionBy("row").orderBy(F.desc("s.start"), F.desc("s.rank")).rowsBetween(W.unboundedPreceding, -1)
     role = F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k[0], k[5])]), F.col("s.kind"))
     out = spans.withColumn("role", role).withColumn("base", F.col("s.kind").isin(*BASE))
     for r in ROLES:
@@ -90,14 +135,21 @@ def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("base") | (whole & ~F.col("inside")), F.lit(False)))
 
 
+def found_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", scope: int = SCOPE) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, text_hash) of all rows and (row, s) of the spans that are reported."""
+    rows = texts(docs, text_col, id_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), all_parts(F.col("text")).alias("parts"))
+    rows = written(rows, "spans")  # no texts; and the row numbers stay as they are when a task runs again
+    parts = rows.select("row", F.explode("parts").alias("p")).repartition("row")
+    spans = placed(parts).filter("good").drop("good")
+    return rows.select("row", "doc_id", "text_hash"), linked(spans, scope).filter("kept").select("row", "s")
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", scope: int = SCOPE) -> DataFrame:
     """doc_id, text_hash, spans (array of start, rank, kind, end in order): one row per row of docs."""
-    found = F.concat(*[spans_of(F.col("text"), *k[:5]) for k in KINDS])
-    rows = texts(docs, text_col, id_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), found.alias("found"))
-    each = rows.select("row", "doc_id", "text_hash", F.explode_outer("found").alias("s"))
-    kept = F.collect_list(F.when(F.col("kept"), F.col("s")))  # skips nulls
-    out = linked(each, scope).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), kept.alias("spans"))
-    return out.select("doc_id", "text_hash", F.array_sort("spans").alias("spans"))
+    rows, spans = found_spans(docs, text_col, id_col, scope)
+    per_row = spans.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
+    return rows.join(per_row, "row", "left").select("doc_id", "text_hash", F.coalesce("spans", none).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -105,30 +157,33 @@ def digest(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every reported span replaced by a mark; n_chars follows the text where docs has it."""
-    found = scan_secrets(docs, text_col, id_col).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    key = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_hash"))
-    text = F.col(text_col)
-    # overlapping spans become one; then the pieces between them are joined by the mark
-    merged = F.aggregate(
-        "_spans",
-        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    starts = F.concat(F.array(F.lit(0)), F.transform("_merged", lambda m: m["end"]))
-    ends = F.concat(F.transform("_merged", lambda m: m["start"]), F.array(F.length(text)))
+    """docs with every reported span replaced by a mark; n_chars follows the text where docs has it.
+
+    Spans that overlap are merged where they lie as rows. What is joined to the
+    texts, one small row per text with a secret, is broadcast while it is
+    measured to be small; only beyond that are texts shuffled.
+    """
+    rows, spans = found_spans(docs, text_col, id_col)
+    order = W.partitionBy("row").orderBy("s.start", "s.end")
+    reach = F.max("s.end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = spans.select("row", "s", F.when(F.col("s.start") < reach, 0).otherwise(1).alias("new"))
+    group = fresh.select("row", "s", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("nth"))
+    merged = group.groupBy("row", "nth").agg(F.struct(F.min("s.start").alias("start"), F.max("s.end").alias("end")).alias("m"))
+    merged = merged.groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("cuts"))
+    found = written(rows.join(merged, "row").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "cuts"), "cuts")
+    flat = nested(docs, text_col, id_col)
+    joined = flat.join(small(found, "cuts"), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("hash") == F.col("f_hash")), "left")
+    text = F.col("row").getField(text_col)
+    starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda m: m["end"]))
+    ends = F.concat(F.transform("cuts", lambda m: m["start"]), F.array(F.length(text)))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(text, a + 1, b - a))
-    out = docs.join(found, key, "left").withColumn("_merged", F.when(F.col("_spans").isNotNull(), merged))
-    new = F.when(F.col("_merged").isNotNull(), F.array_join(pieces, mark)).otherwise(text)
-    out = out.withColumn("_new", new)
-    changes = {text_col: F.col("_new")}
-    if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("_merged").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[changes.get(c, F.col(c)).alias(c) for c in docs.columns])
+    hit = F.col("cuts").isNotNull()
+    joined = joined.select("row", hit.alias("hit"), F.when(hit, F.array_join(pieces, mark)).otherwise(text).alias("new"))
+    changes = {text_col: F.col("new")}
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        n_chars = F.col("row").getField("n_chars")
+        changes["n_chars"] = F.when(F.col("hit"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(n_chars)
+    return unnested(joined, docs.columns, **changes)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

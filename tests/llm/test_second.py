@@ -60,6 +60,18 @@ def test_secrets(spark):
     assert secrets.scan_secrets(frame(spark, SECRETS).limit(0)).count() == 0
 
 
+def test_secrets_in_a_long_text_and_clashing_columns(spark):
+    text = " ".join(f"see http://host{k}.example/{k} and token=abcdefgh{k:08d}" for k in range(50_000)) + " " + "plain words " * 200_000
+    names = ["doc_id", "text", "_id", "_hash", "_spans", "row", "id", "hash", "cuts", "new", "f_id"]
+    docs = spark.createDataFrame([(1, text, *"abcdefghi"), (None, None, *"abcdefghi"), (2, "token=abcdefgh12", *"abcdefghi")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs).collect()}
+    assert sum(s.kind == "assign" for s in got[1]) == 50_000 and got[None] == [] and len(text) > 5_000_000
+    assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in got[1] if s.kind in secrets.BASE) == plain_spans(text)
+    small_ones = docs.filter("doc_id is null or doc_id = 2")
+    red = {r.doc_id: r for r in secrets.redact(small_ones).collect()}
+    assert red[2].text == "[REDACTED]" and red[None].text is None and tuple(red[2])[2:] == tuple("abcdefghi")
+
+
 # ---- 6: decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -8,14 +8,21 @@ around it. So the documents' fingerprints are joined with the benchmark's; only
 where they meet are the windows themselves compared, word for word, and a hit
 covers all words of its window.
 
-The benchmark's fingerprints and windows are unique keys, so that a common
-passage meets one row and not one per item. They are broadcast only while they
-number at most BROADCAST_ROWS; beyond that Spark joins by shuffling (key, hash)
-pairs, never texts. Candidate documents likewise.
+One pass over the texts takes words: it writes each document's number of words and
+its distinct fingerprints, and all else but the windows of the documents that
+share a fingerprint works on that table. The benchmark's fingerprints and windows
+are unique keys, so that a common passage meets one row and not one per item. A
+side is broadcast only while its measured bytes are under BROADCAST_BYTES; beyond
+that Spark joins by shuffling: (key, hash) pairs for fingerprints, windows of the
+candidates, and only for the list of candidates itself whole texts.
 
 Null and empty texts have no words and no hits; empty and null items have no
-windows. Repeated document rows are repeated in the result. Documents are keyed
-by id and text hash, so equal ids with other texts do not mix.
+windows; equal items all count. Very long texts are taken whole and cost in
+proportion to their words. Repeated document rows are repeated in the result, null
+ids stay null, an empty table of either kind gives no rows or no hits, and other
+columns of any name are not read (drop_contaminated hands them on). Documents are
+keyed by id and text hash, so equal ids with other texts do not mix. Ties: of two
+equal smallest grams in a window only the value counts, not the place.
 """
 
 from __future__ import annotations
@@ -25,13 +32,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import common
+from foliant.llm.common import nested, unnested
 from foliant.session import written
 
 WINDOW, GRAM = 13, 5
-#: Rows (of some 50 bytes) that may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes that a broadcast side may have.
+BROADCAST_BYTES = common.BROADCAST_BYTES
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z become small
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,21 +78,18 @@ def _prints(span: int) -> Callable[[Column], Column]:
     return lambda found: F.transform(F.array_distinct(window_minima(found, span)), lambda h: F.struct(F.lit(span).alias("span"), h.alias("hash")))
 
 
-def _starts(span: int, hits: Column) -> Callable[[Column], Column]:
-    """(span, start, window) of the windows whose smallest hash is among the hits."""
+def small(df: DataFrame, *sized: str) -> DataFrame:
+    return common.small(df, *sized, most=BROADCAST_BYTES)
 
-    def of(found: Column) -> Column:
-        own = F.transform(F.filter(hits, lambda x: x["span"] == span), lambda x: x["hash"])
-        marked = let(own, lambda mine: F.transform(window_minima(found, span), lambda h: F.array_contains(mine, h)))
-        at = F.filter(F.transform(marked, lambda good, i: F.when(good, i)), lambda i: i.isNotNull())
-        return F.transform(at, lambda i: F.struct(F.lit(span).alias("span"), i.alias("start"), F.array_join(F.slice(found, i + 1, span), " ").alias("window")))
 
-    return of
+def _windows(span: int) -> Callable[[Column], Column]:
+    """(span, start, window) of every run of `span` words, joined by spaces."""
 
+    def of(found: Column) -> Column:
+        run = lambda i: F.struct(F.lit(span).alias("span"), i.alias("start"), F.array_join(F.slice(found, i + 1, span), " ").alias("window"))
+        return F.transform(_upto(F.size(found) - (span - 1)), run)
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return of
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
@@ -94,25 +99,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spans = sorted(r["span"] for r in items.select("span").distinct().collect())  # 13 at most
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = base.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    counted = base.select("doc_id", "text_hash", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
     none = F.expr("cast(array() as array<string>)")
+    taken = let(words(F.col("text")), lambda f: F.struct(F.size(f).cast("long").alias("n_words"), F.concat(F.expr("cast(array() as array<struct<span:int,hash:bigint>>)"), *[_prints(s)(f) for s in spans]).alias("prints")))
+    taken = written(base.select("doc_id", "text_hash", taken.alias("t")).select("doc_id", "text_hash", "t.n_words", "t.prints"), "words")
+    counted = taken.select("doc_id", "text_hash", "n_words")
     if not spans:
         return counted.select("doc_id", "text_hash", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
     made = [F.when(F.col("span") == s, let(F.col("found"), _windows(s))) for s in spans]
-    windows = items.select("item", "span", F.explode(F.coalesce(*made)).alias("window"))
-    windows = written(windows.groupBy("span", "window").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows")
+    windows = items.select("item", F.explode(F.coalesce(*made)).alias("w"))
+    windows = written(windows.groupBy("w.span", "w.window").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows")
     fps = [F.when(F.col("span") == s, let(F.col("found"), _prints(s))) for s in spans]
     prints = written(items.select(F.explode(F.coalesce(*fps)).alias("p")).select("p.span", "p.hash").distinct(), "prints")
     # documents that share a fingerprint
-    mine = base.select("doc_id", "text_hash", F.explode(let(words(F.col("text")), lambda f: F.concat(*[_prints(s)(f) for s in spans]))).alias("p"))
-    met = mine.select("doc_id", "text_hash", "p.span", "p.hash").join(small(prints), ["span", "hash"])
-    candidates = met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("span", "hash")).alias("hits"))
-    candidates = written(candidates, "candidates").select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "hits")
+    mine = taken.select("doc_id", "text_hash", F.explode("prints").alias("p")).select("doc_id", "text_hash", "p.span", "p.hash")
+    candidates = written(mine.join(small(prints), ["span", "hash"], "left_semi").select("doc_id", "text_hash").distinct(), "candidates")
+    candidates = candidates.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"))
     key = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash"))
-    near = base.join(small(candidates), key).select("doc_id", "text_hash", "hits", "text")
     # extend: the windows themselves
-    at = near.select("doc_id", "text_hash", F.explode(let(words(F.col("text")), lambda f: F.concat(*[_starts(s, F.col("hits"))(f) for s in spans]))).alias("w"))
-    hit = at.select("doc_id", "text_hash", "w.span", "w.start", "w.window").join(small(windows), ["span", "window"])
+    near = base.join(small(candidates), key, "left_semi")
+    at = near.select("doc_id", "text_hash", F.explode(let(words(F.col("text")), lambda f: F.concat(*[_windows(s)(f) for s in spans]))).alias("w"))
+    hit = at.select("doc_id", "text_hash", "w.span", "w.start", "w.window").join(small(windows, "window", "items"), ["span", "window"])
     places = F.array_sort(F.collect_set(F.struct("start", "span")))
     per_doc = hit.groupBy("doc_id", "text_hash").agg(places.alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
@@ -129,20 +135,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
-def _windows(span: int) -> Callable[[Column], Column]:
-    """Every run of `span` words, joined by spaces."""
-    return lambda found: F.transform(_upto(F.size(found) - (span - 1)), lambda i: F.array_join(F.slice(found, i + 1, span), " "))
-
-
 def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    bad = decontaminate(docs, benchmark, text_col, id_col).filter(is_contaminated()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    key = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_hash"))
-    return docs.join(bad, key, "left_anti")
+    """The rows of docs that are not contaminated, with all their columns; texts are not shuffled while the list of the others is small."""
+    bad = decontaminate(docs, benchmark, text_col, id_col).filter(is_contaminated()).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    key = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash"))
+    return unnested(nested(docs, text_col, id_col).join(small(written(bad, "contaminated")), key, "left_anti"), docs.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

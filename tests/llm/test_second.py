@@ -97,9 +97,9 @@ def plain_decontamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("rows", [100_000, 0])
+@pytest.mark.parametrize("rows", [1 << 24, 0])
 def test_decontamination(spark, rows, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", rows)
     rng = random.Random(4)
     vocab = "Aa bB cc dd é ee ff 世 x1".split()
     draw = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
@@ -111,6 +111,23 @@ def test_decontamination(spark, rows, monkeypatch):
     assert decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_of_a_long_text_and_clashing_columns(spark):
+    rng = random.Random(14)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(5000)]
+    draw = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item = draw(60)
+    long = f"{draw(400_000)} {item} {draw(400_000)}"
+    names = ["doc_id", "text", "_id", "_hash", "row", "id", "hash", "bad_id", "span", "window", "items", "n_hit"]
+    rows = [(1, long), (2, f"{draw(30)} {item}"), (3, draw(90)), (None, item), (2, "another text of the same id")]
+    docs = spark.createDataFrame([(*r, *"abcdefghij") for r in rows], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    items = spark.createDataFrame([(7, item), (8, item)], "item_id long, text string")
+    got = {(r.doc_id, r.n_words): (r.n_hit, list(r["items"])) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {(1, 800_060): (60, ["7", "8"]), (2, 90): (60, ["7", "8"]), (3, 90): (0, []), (None, 60): (60, ["7", "8"]), (2, 6): (0, [])}
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == names and sorted(r.text[:7] for r in kept.collect()) == sorted([long[:7], rows[2][1][:7], "another"])
+    assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == 5
+
+
 # ---- 5: substring dedup
 
 

@@ -6,9 +6,9 @@ partitions stay selective. Partition i gets a threshold t_i >= -1 with
 sum(t_i + 1) = radius + 1; two linked fingerprints must then differ in at most
 t_i bits of some partition i (t_i = -1: the partition is not probed). For every
 number of partitions a dynamic program over the partitions picks the thresholds
-of the least estimated cost (signatures sent plus candidates met, from the value
-counts of a bounded sample scaled to the number of fingerprints), and the
-cheapest plan is taken. Each fingerprint sends its own value of a partition and,
+of the least estimated cost (signatures sent plus candidates met), and the
+cheapest plan is taken. Correlations and the chance that two fingerprints share a
+partition's value are counted over all distinct fingerprints, by Spark. Each fingerprint sends its own value of a partition and,
 where t_i = 1 or 2, the values with so many bits flipped; those that meet are
 verified on all 64 bits.
 
@@ -21,8 +21,11 @@ Components come from hash-to-min rounds with pointer jumping over the forest's
 links, each round cut by a checkpoint in the shared folder.
 
 Null texts count as empty; a text with no words has fingerprint zero and is
-linked like any other. Repeated rows give repeated rows. An empty table gives no
-rows. Null ids get the component's smallest id that is not null.
+linked like any other. Very long texts are read whole. Repeated rows give repeated
+rows. An empty table gives no rows. Null ids get the component's smallest id that
+is not null. Other columns of any name are not read (keep_one hands them on).
+Ties: equal fingerprints are one; of rows that could stay the one of the smallest
+id does, then of the smallest text hash.
 """
 
 from __future__ import annotations
@@ -37,12 +40,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import release, small_batches, texts
+from foliant.llm.common import nested, small, small_batches, texts, unnested
 from foliant.session import shared_dir, written
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: Fingerprints from which value counts and correlations are estimated.
-SAMPLE = 20_000
 #: Distinct fingerprints of one signature that one task compares.
 GROUP_ROWS = 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -65,25 +66,46 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, fp: one row per row of docs."""
+    """doc_id, hash (of the text), fp: one row per row of docs."""
     small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t) for t in pdf["text"]], np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "hash": pdf["hash"], "fp": np.array([fingerprint(t) for t in pdf["text"]], np.int64)})
 
-    return texts(docs, text_col, id_col).mapInPandas(run, "doc_id long, fp long")
+    return texts(docs, text_col, id_col).withColumn("hash", F.xxhash64("text")).mapInPandas(run, "doc_id long, hash long, fp long")
 
 
 # ---- the plan -----------------------------------------------------------------------------------
 
 
-def correlated_groups(sample: np.ndarray, parts: int) -> list[list[int]]:
+def bit_counts(fps: DataFrame) -> np.ndarray:
+    """How many fingerprints have bits i and j, for all pairs: one row per pair and task is summed."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = np.zeros((BITS, BITS), np.int64)
+        for pdf in frames:
+            bits = np.unpackbits(np.ascontiguousarray(pdf["fp"].to_numpy(np.int64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+            both += np.rint(bits.T @ bits).astype(np.int64)
+        i, j = np.triu_indices(BITS)
+        yield pd.DataFrame({"i": i, "j": j, "n": both[i, j]})
+
+    out = np.zeros((BITS, BITS))
+    for r in fps.select("fp").mapInPandas(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # 2,080 rows
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["n"]
+    return out
+
+
+def correlations(both: np.ndarray, n: int) -> np.ndarray:
+    """The absolute correlation of each two bits, from their joint counts over n fingerprints."""
+    p = np.diag(both) / n
+    spread = np.sqrt(p * (1 - p))
+    spread = np.where(spread > 0, spread, 1)
+    return np.abs((both / n - np.outer(p, p)) / np.outer(spread, spread))
+
+
+def correlated_groups(near: np.ndarray, parts: int) -> list[list[int]]:
     """Bits in `parts` groups of about equal size, each grown from a bit by what correlates with it most."""
-    bits = (sample[:, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(float)
-    spread = bits.std(axis=0)
-    z = (bits - bits.mean(axis=0)) / np.where(spread > 0, spread, 1)
-    near = np.abs(z.T @ z) / max(len(sample), 1)
     free, groups = set(range(BITS)), []
     for k in range(parts):
         size = len(free) // (parts - k)
@@ -102,32 +124,35 @@ def mask_of(bits: list[int]) -> int:
     return sum(1 << b for b in bits)
 
 
-def estimated_cost(sample: np.ndarray, n: int, bits: list[int], t: int) -> float:
-    """Signatures of a partition at threshold t, and the candidates that they meet, for n fingerprints."""
+def shared_values(fps: DataFrame, masks: list[int], n: int) -> dict[int, float]:
+    """For each mask the chance that two of the n fingerprints agree on its bits, counted over all of them."""
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, m in enumerate(masks)])).alias("m")
+    counts = fps.select(value).groupBy("m.k", "m.v").agg(F.count("*").cast("double").alias("c"))
+    pairs = counts.groupBy("k").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs")).collect()  # a row per mask
+    return {masks[r["k"]]: r["pairs"] / max(n * (n - 1), 1) for r in pairs}
+
+
+def estimated_cost(same: float, n: int, width: int, t: int) -> float:
+    """Signatures of a partition of `width` bits at threshold t, and the candidates that they meet, for n fingerprints."""
     if t < 0:
         return 0.0
-    values = sample & np.uint64(mask_of(bits))
-    signatures = sum(math.comb(len(bits), k) for k in range(t + 1))
-    _, counts = np.unique(values, return_counts=True)
-    s = len(sample)
-    same = float((counts.astype(float) ** 2).sum() - s) / max(s * (s - 1), 1)  # chance that two share a value
-    same = max(same, 2.0 ** -len(bits))
+    signatures = sum(math.comb(width, k) for k in range(t + 1))
+    same = max(same, 2.0**-width)
     near = same * (1 + (signatures - 1) * 0.5)
     return n * signatures * 4.0 + n * n / 2 * near * 0.02
 
 
-def plan(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each probed partition, of the least estimated cost."""
+def choose(groupings: list[list[list[int]]], same: dict[int, float], n: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each probed partition of the grouping with the least estimated cost."""
     best = (math.inf, [])
-    for parts in range(2, radius + 3):
-        groups = correlated_groups(sample, parts)
+    for groups in groupings:
         need = radius + 1  # sum of (t_i + 1)
         table = {0: (0.0, [])}
         for g in groups:
             nxt: dict[int, tuple[float, list]] = {}
             for spent, (cost, chosen) in table.items():
                 for t in range(-1, min(3, need - spent)):
-                    c = cost + estimated_cost(sample, n, g, t)
+                    c = cost + estimated_cost(same.get(mask_of(g), 0.0), n, len(g), t)
                     if spent + t + 1 <= need and c < nxt.get(spent + t + 1, (math.inf,))[0]:
                         nxt[spent + t + 1] = (c, [*chosen, (g, t)])
             table = nxt
@@ -136,6 +161,14 @@ def plan(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[list[in
     return [(g, t) for g, t in best[1] if t >= 0]
 
 
+def plan(fps: DataFrame, n: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+    """The partitions and thresholds for these n distinct fingerprints."""
+    near = correlations(bit_counts(fps), n)
+    groupings = [correlated_groups(near, parts) for parts in range(2, radius + 3)]
+    masks = sorted({mask_of(g) for groups in groupings for g in groups})
+    return choose(groupings, shared_values(fps, masks, n), n, radius)
+
+
 # ---- probe and verify ---------------------------------------------------------------------------
 
 
@@ -183,7 +216,7 @@ def _links_of_group(fp: np.ndarray, own: np.ndarray, side: np.ndarray, radius: i
 
 def links(fps: DataFrame, chosen: list[tuple[list[int], int]], radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """a, b: links between distinct fingerprints, enough of them to keep every component together."""
-    sig = signatures(fps, chosen)
+    sig = written(signatures(fps, chosen), "signatures")
     sizes = sig.groupBy("part", "key").agg(F.count("*").alias("size"))
     large = sizes.filter(F.col("size") > group_rows).withColumn("blocks", F.ceil(F.col("size") / group_rows).cast("int")).drop("size")
     # members of a large group go to every pair of blocks that holds their own
@@ -267,37 +300,48 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id: one row per row of docs."""
-    spark = docs.sparkSession
-    marked = written(fingerprints(docs, text_col, id_col), "fingerprints")
+def grouped_fingerprints(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, root, first: the component of every distinct fingerprint, and the smallest id of the fingerprint."""
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     n = distinct.count()
-    # bounded: SAMPLE fingerprints, whatever the input
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     if n < 2:
-        grouped = distinct.select("fp", F.col("first").alias("component_id"))
-    else:
-        edges = written(links(distinct.select("fp"), plan(sample, n, radius), radius).distinct(), "links")
-        root = components(edges)
-        rooted = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        grouped = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(grouped, "fp").select("doc_id", "fp", "component_id")
+        return distinct.select("fp", F.col("fp").alias("root"), "first")
+    edges = written(links(distinct.select("fp"), plan(distinct, n, radius), radius).distinct(), "links")
+    root = components(edges)
+    return distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id: one row per row of docs."""
+    marked = written(fingerprints(docs, text_col, id_col), "fingerprints")
+    rooted = grouped_fingerprints(marked, radius)
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all columns: of each component the smallest id, once.
+    """The rows of docs that stay, with all columns: one of each component.
 
-    Rows without an id cannot be named as copies, so they stay.
+    It is the row of the smallest id, then of the smallest text hash; of equal
+    rows any. Rows without an id cannot be named as copies, so they stay. Texts
+    are not shuffled while the list of the rows that go is small.
     """
     numbered = docs.filter(F.col(id_col).isNotNull())
-    found = written(near_duplicates(numbered, text_col, id_col), "components")
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = numbered.join(stay, numbered[id_col] == stay["_stays"], "left_semi")
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])  # rows that repeat an id
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    marked = written(fingerprints(numbered, text_col, id_col), "fingerprints")
+    rooted = grouped_fingerprints(marked).select("fp", "root")
+    each = marked.groupBy("doc_id", "hash", "fp").agg(F.count("*").alias("rows")).join(rooted, "fp")
+    each = written(each.select("doc_id", "hash", "rows", "root"), "rooted")
+    stays = each.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("s"))
+    kinds = each.join(stays, "root").select("doc_id", "hash", "rows", (F.struct("doc_id", "hash") == F.col("s")).alias("stays"))
+    kinds = written(kinds.select(F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"), "rows", "stays"), "kinds")
+    key = (F.col("id") == F.col("k_id")) & (F.col("hash") == F.col("k_hash"))
+    left = nested(numbered, text_col, id_col).join(small(kinds.filter("not stays")), key, "left_anti")
+    repeated = kinds.filter("stays and rows > 1")
+    if repeated.limit(1).count():  # rows that repeat an id and its text: only they meet to leave one
+        few = small(repeated)
+        once = left.join(few, key, "left_semi").dropDuplicates(["id", "hash"])
+        left = left.join(few, key, "left_anti").unionByName(once)
+    return unnested(left, docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

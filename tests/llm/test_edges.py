@@ -39,7 +39,7 @@ def test_rows(spark, odd, tmp_path, empty):
     assert packing.best_fit_packing(docs).filter("piece = 0").count() == (0 if empty else 7)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == (0 if empty else 2 + 3)  # ids 1, 2, 3 and the rows without one
+    assert kept.count() == (0 if empty else 2 + 4)  # the two texts of id 1, ids 2 and 3, and the rows without one
     assert secrets.redact(docs).columns == docs.columns
     assert decontaminate.drop_contaminated(docs, benchmark).count() == (0 if empty else 4)
     pages = spark.createDataFrame([], "page_id long, url string, html string")

@@ -288,8 +288,8 @@ def test_links_find_every_component(spark, chosen):
             fps.add(x)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    sample = np.array(fps, np.uint64)
-    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), chosen or simhash.plan(sample, len(fps)), group_rows=16)
+    rows = spark.createDataFrame([(f,) for f in signed], "fp long")
+    found = simhash.links(rows, chosen or simhash.plan(rows, len(fps)), group_rows=16)
     root = {r.node: r.root for r in simhash.components(found).collect()}
     want = plain_components(fps)
     groups, mine = {}, {}
@@ -298,3 +298,31 @@ def test_links_find_every_component(spark, chosen):
     for f in signed:
         mine.setdefault(root.get(f, f), set()).add(f)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_plan_counts_all_fingerprints(spark):
+    rng = np.random.default_rng(5)
+    fps = rng.integers(-(1 << 63), 1 << 63, 900, dtype=np.int64)
+    fps[:400] &= ~np.int64(0xFFFF)  # one value of the low bits in many
+    rows = spark.createDataFrame([(int(f),) for f in fps], "fp long").repartition(7)
+    both = simhash.bit_counts(rows)
+    bits = (fps.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(float)
+    assert (both == bits.T @ bits).all()
+    assert np.allclose(simhash.correlations(both, len(fps)), np.abs(np.corrcoef(bits.T)))
+    for mask, got in simhash.shared_values(rows, [0xFFFF, 0xFF << 56], len(fps)).items():
+        _, c = np.unique(fps.view(np.uint64) & np.uint64(mask), return_counts=True)
+        assert np.isclose(got, (c * (c - 1)).sum() / (900 * 899))
+    chosen = simhash.plan(rows, len(fps))
+    assert sum(t + 1 for _, t in chosen) == simhash.RADIUS + 1
+    assert len({b for g, _ in chosen for b in g}) == sum(len(g) for g, _ in chosen)
+
+
+def test_keep_one_of_each_component(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(1, words), (1, other), (2, words), (3, other), (1, words), (4, ""), (5, None), (6, "alone here")]
+    docs = spark.createDataFrame([(*r, *"abcd") for r in rows], "doc_id long, text string, id string, hash string, row string, stays string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    assert got == sorted([(1, words), (1, other), (4, ""), (6, "alone here")])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import decontaminate, packing, quality_rules, secrets, simhash
-from foliant.session import written
+from foliant.session import discard, scratch_made, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, "stage")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = scratch_made()
+        kept = written(stage(spark, docs, sf_dir), "stage")
+        discard(*(scratch_made(before) - {kept._scratch}), *([docs] if hasattr(docs, "_scratch") else []))
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,13 +16,21 @@ document of a smaller id. No table of all suffixes is shuffled:
    sorted by mergesort. Two suffixes are compared by their longest common
    extension, found by binary search over prefix polynomial hashes, and equal
    neighbours are verified byte by byte. A run of equal suffixes is a class; its
-   smallest id decides.
+   smallest id decides. An anchor with very many different contexts (a common
+   phrase with ever new surroundings) is hot: its windows go to buckets one by
+   one, by anchor, place and window hash, so that only equal windows must meet.
 5. The removed ranges go back to the texts, in blocks per document bucket.
 
+A text is known inside the workers by a 63-bit key that is checked to be unique
+(keys that two texts share are drawn anew), and results meet their rows by the
+texts' SHA-256.
+
 Null texts count as empty; texts under LENGTH bytes lose nothing and remove
-nothing. Equal ids do not remove each other; rows that repeat an id and a text
-give equal results. Null ids come after all others: their texts are removed by
-numbered ones but never the other way round. An empty table gives no rows.
+nothing; very long texts are taken whole. Equal ids do not remove each other;
+rows that repeat an id and a text give equal results. Null ids come after all
+others: their texts are removed by numbered ones but never the other way round.
+Ties of equal ids are no earlier and no later. An empty table gives no rows, and
+other columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +45,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import release, small_batches, split_rows
-from foliant.session import written
+from foliant.llm.common import release, small, small_batches, split_rows
+from foliant.session import discard, written
 
 LENGTH, GRAM = 50, 27
 W = LENGTH - GRAM + 1
@@ -46,6 +54,11 @@ BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text behind one bucket of a shuffle; characters of a batch; suffixes sorted at once.
 BUCKET_BYTES, BATCH_CHARS, SORT_ROWS = 12 << 20, 1 << 20, 200_000
 CACHE_BYTES = 1 << 16
+#: Buckets at least, so that a small table is spread too.
+BUCKETS = 24
+#: Contexts of one anchor from which it may be hot (twice as many always are), and bytes of text that raise it by one,
+#: so that hot anchors stay a list of a million at most, whatever the input.
+HOT_CONTEXTS, HOT_BYTES = 20_000, 1 << 24
 NO_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -268,8 +281,11 @@ def later_copies(data: np.ndarray, first: np.ndarray, span: np.ndarray, lead: np
     return order[alike], order[~alike]
 
 
-def _contexts(buckets: int):
-    """The contexts of a block's shared anchors, equal ones as one; a later copy's windows are removed at once."""
+def _contexts(buckets: int, often: int):
+    """The contexts of a block's shared anchors, equal ones as one; a later copy's windows are removed at once.
+
+    Rows of bucket -1 are removed ranges, rows of bucket -2 anchors (hashes) with at least `often` contexts here (how many: docs).
+    """
 
     def run(_, texts: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
         names = [x.split()[0] for x in CONTEXT_ROWS.split(", ")]
@@ -277,7 +293,7 @@ def _contexts(buckets: int):
             return pd.DataFrame(columns=names)
         wanted_key = _cat(places["keys"], "<i8")
         wanted_at = np.concatenate([_from_planes(b, 4) for b in places["places"]]).astype(np.int64)
-        out = []
+        out, seen, block = [], [], int(texts["block"].iloc[0])
         for part in split_rows(iter([texts]), BATCH_CHARS):
             a, keys, docs = Anchors(_raw(part)), part["key"].to_numpy(), part["doc"].to_numpy()
             order = np.argsort(keys)
@@ -296,17 +312,69 @@ def _contexts(buckets: int):
             if len(gone):
                 out.append(_range_row(-1, keys[doc[gone]], first[gone] - a.starts[doc[gone]], end[gone] - a.starts[doc[gone]], names, int(part["block"].iloc[0])))
             r = np.sort(kept)
-            bucket = (a.hash[rows[r]] >> U(40)) % U(buckets)
-            turn = np.argsort(bucket, kind="stable")
-            for some in np.split(turn, np.flatnonzero(np.diff(bucket[turn])) + 1):
-                s = r[some]
-                text = np.repeat(first[s] - np.concatenate([[0], np.cumsum(span[s])[:-1]]), span[s]) + np.arange(span[s].sum())
-                out.append((int(bucket[some[0]]), -1, a.hash[rows[s]].tobytes(), docs[doc[s]].tobytes(), keys[doc[s]].tobytes(), _planes(first[s] - a.starts[doc[s]], 4), b"", _planes(lead[s], 1), a.data[text].tobytes(), _planes(span[s], 1)))
+            seen.append(a.hash[rows[r]])
+            out += _packed((a.hash[rows[r]] >> U(40)) % U(buckets), a.hash[rows[r]], docs[doc[r]], keys[doc[r]], first[r] - a.starts[doc[r]], lead[r], span[r], a.data, first[r])
+        anchors, counts = np.unique(np.concatenate(seen) if seen else np.zeros(0, U), return_counts=True)
+        if (many := counts >= often).any():
+            out.append(tuple((dict.fromkeys(names, b"") | {"bucket": -2, "block": block, "hashes": anchors[many].tobytes(), "docs": counts[many].astype("<i8").tobytes()}).values()))
         return pd.DataFrame(out, columns=names)
 
     return run
 
 
+def _packed(bucket, anchor, docs, keys, firsts, lead, span, data, at) -> list[tuple]:
+    """Rows of CONTEXT_ROWS, one per bucket; the contexts' bytes are data[at : at + span]."""
+    out, turn = [], np.argsort(bucket, kind="stable")
+    for s in np.split(turn, np.flatnonzero(np.diff(bucket[turn])) + 1) if len(turn) else []:
+        text = np.repeat(at[s] - np.concatenate([[0], np.cumsum(span[s])[:-1]]), span[s]) + np.arange(span[s].sum())
+        out.append((int(bucket[s[0]]), -1, anchor[s].tobytes(), docs[s].tobytes(), keys[s].tobytes(), _planes(firsts[s], 4), b"", _planes(lead[s], 1), data[text].tobytes(), _planes(span[s], 1)))
+    return out
+
+
+def _unpacked(pdf: pd.DataFrame) -> tuple:
+    """Anchor hashes, ids, keys, places, leads, lengths, joined bytes of the contexts in rows of CONTEXT_ROWS."""
+    whole = lambda c, width: np.concatenate([_from_planes(b, width) for b in pdf[c]]).astype(np.int64)
+    return _cat(pdf["hashes"], "<u8"), _cat(pdf["docs"], "<i8"), _cat(pdf["keys"], "<i8"), whole("firsts", 4), whole("leads", 1), whole("sizes", 1), np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
+
+
+def _hot_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        yield pd.DataFrame({"anchor": _cat(pdf["hashes"], "<i8"), "n": _cat(pdf["docs"], "<i8")})
+
+
+def _split(buckets: int, hot: np.ndarray, wanted: bool):
+    """The contexts of anchors that are not hot (wanted: false), or the single windows of the hot ones, equal ones as one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in CONTEXT_ROWS.split(", ")]
+        for pdf in frames:
+            h, docs, keys, firsts, lead, span, data = _unpacked(pdf)
+            at = np.cumsum(span) - span
+            rows = np.flatnonzero(np.isin(h, hot) == wanted)
+            if not wanted:
+                bucket = np.repeat(pdf["bucket"].to_numpy(), [len(b) // 8 for b in pdf["hashes"]])
+                yield pd.DataFrame(_packed(bucket[rows], h[rows], docs[rows], keys[rows], firsts[rows], lead[rows], span[rows], data, at[rows]), columns=names)
+                continue
+            n = span[rows] - LENGTH + 1
+            row = np.repeat(rows, n)
+            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if not len(row):
+                continue
+            start, shift = at[row] + off, off - lead[row]
+            own = PrefixHash(data).of(start, LENGTH)
+            anchor = mix(h[row] ^ mix(own + shift.astype(U)))
+            gone, kept = later_copies(data, start, np.full(len(row), LENGTH), -shift, anchor, docs[row])
+            out = []
+            if len(gone):
+                places = firsts[row[gone]] + off[gone]
+                out.append(_range_row(-1, keys[row[gone]], places, places + LENGTH, names, -1))
+            k = np.sort(kept)
+            out += _packed((anchor[k] >> U(40)) % U(buckets), anchor[k], docs[row[k]], keys[row[k]], firsts[row[k]] + off[k], -shift[k], np.full(len(k), LENGTH), data, start[k])
+            yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
 def _range_row(bucket: int, keys, firsts, ends, names: list[str], block: int) -> tuple:
     row = dict.fromkeys(names, b"") | {"bucket": bucket, "block": block, "keys": keys.tobytes(), "firsts": _planes(firsts, 4), "spans": _planes(ends, 4)}
     return tuple(row[n] for n in names)
@@ -353,11 +421,7 @@ def _decide(blocks: int):
     """The removed ranges that a bucket's contexts give."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, docs, keys = _cat(pdf["hashes"], "<u8"), _cat(pdf["docs"], "<i8"), _cat(pdf["keys"], "<i8")
-        firsts = np.concatenate([_from_planes(b, 4) for b in pdf["firsts"]]).astype(np.int64)
-        lead = np.concatenate([_from_planes(b, 1) for b in pdf["leads"]]).astype(np.int64)
-        span = np.concatenate([_from_planes(b, 1) for b in pdf["sizes"]]).astype(np.int64)
-        data = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
+        h, docs, keys, firsts, lead, span, data = _unpacked(pdf)
         start = np.concatenate([[0], np.cumsum(span)[:-1]])
         gone_k, gone_a, gone_b = [], [], []
         order = np.argsort(h, kind="stable")
@@ -448,7 +512,7 @@ def _range_rows(k, a, b, blocks: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "keys", "firsts", "ends"])
 
 
-RESULT = "doc long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc long, sha binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _apply(keep_text: bool):
@@ -456,7 +520,7 @@ def _apply(keep_text: bool):
         k, a, b = _cat(ranges["keys"], "<i8"), *(np.concatenate([_from_planes(x, 4) for x in ranges[c]] or [np.zeros(0, np.uint64)]).astype(np.int64) for c in ("firsts", "ends"))
         k, a, b = _merged(k, a, b)
         out = []
-        for doc, key, text in zip(texts["doc"], texts["key"], texts["text"]):
+        for doc, key, sha, text in zip(texts["doc"], texts["key"], texts["sha"], texts["text"]):
             raw = text.encode("utf-8", "surrogatepass")
             lo, hi = np.searchsorted(k, key, "left"), np.searchsorted(k, key, "right")
             kept, at = [], 0
@@ -464,38 +528,82 @@ def _apply(keep_text: bool):
                 kept.append(raw[at:x])
                 at = y
             kept = b"".join((*kept, raw[at:]))
-            out.append((doc, key, len(raw), len(raw) - len(kept), int(hi - lo), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            out.append((doc, sha, len(raw), len(raw) - len(kept), int(hi - lo), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         return pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     return run
 
 
+def _by_block(blocks: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            a, b = (np.concatenate([_from_planes(x, 4) for x in pdf[c]] or [np.zeros(0, U)]).astype(np.int64) for c in ("firsts", "ends"))
+            yield _range_rows(_cat(pdf["keys"], "<i8"), a, b, blocks)
+
+    return run
+
+
+#: Bits of a text's key; fewer in tests, so that keys collide.
+KEY_BITS = 63
+
+
+def text_key(*salt: object):
+    return F.xxhash64("text", *map(F.lit, salt)).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """Texts with unique keys: where two have the same, both draw new ones of 63 bits from their SHA-256 until all differ."""
+    for turn in range(1, 100):
+        twice = texts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")  # reads the keys alone
+        if not twice.limit(1).count():
+            return texts
+        twice = small(written(twice.withColumn("twice", F.lit(True)), "twice"))
+        new = F.xxhash64("sha", F.lit(turn)).bitwiseAND(F.lit(NO_ID))
+        again = texts.join(twice, "key", "left").select("doc", F.when(F.col("twice"), new).otherwise(F.col("key")).alias("key"), "sha", "text")
+        texts, old = written(again, "texts"), texts
+        discard(old)
+    raise ValueError("no unique keys were found")
+
+
 def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left): one row per row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = blocks = max(1, -(-size // BUCKET_BYTES))
-    key = F.xxhash64("text").bitwiseAND(F.lit(NO_ID))
+    buckets = blocks = max(BUCKETS, -(-size // BUCKET_BYTES))
+    sha = F.unhex(F.sha2("text", 256))
     once = source.groupBy("text").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"))
-    texts = written(once.select("doc", key.alias("key"), "text").withColumn("block", (F.col("key") % blocks).cast("int")), "texts")
+    texts = keyed(written(once.select("doc", text_key().alias("key"), sha.alias("sha"), "text"), "texts"))
+    texts = texts.withColumn("block", (F.col("key") % blocks).cast("int"))
     release(spark)
     places = texts.mapInPandas(_anchor_rows(buckets, True, blocks), PLACE_ROWS)
     among = texts.mapInPandas(_anchor_rows(buckets, False, blocks), ANCHOR_ROWS).groupBy("bucket").applyInPandas(_shared(blocks), PLACE_ROWS)
     places = written(places.unionByName(among), "places")
     release(spark)
-    contexts = texts.groupBy("block").cogroup(places.groupBy("block")).applyInPandas(_contexts(buckets), CONTEXT_ROWS)
+    limit = max(HOT_CONTEXTS, size // HOT_BYTES)
+    contexts = texts.groupBy("block").cogroup(places.groupBy("block")).applyInPandas(_contexts(buckets, max(1, limit // blocks)), CONTEXT_ROWS)
     contexts = written(contexts, "contexts")
+    discard(places)
     release(spark)
-    at_once = contexts.filter("bucket < 0").select("block", "keys", "firsts", F.col("spans").alias("ends"))
-    compared = contexts.filter("bucket >= 0").groupBy("bucket").applyInPandas(_decide(blocks), RANGE_ROWS)
-    ranges = written(at_once.unionByName(compared), "ranges")
+    at_once, compared = contexts.filter("bucket = -1"), contexts.filter("bucket >= 0")
+    found = contexts.filter("bucket = -2").mapInPandas(_hot_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = found.filter(F.col("n") > limit).select("anchor").toPandas()  # contexts / limit at most: some million
+    if len(found):
+        hot = np.sort(found["anchor"].to_numpy(np.int64).view(U))
+        windows = written(compared.mapInPandas(_split(buckets, hot, True), CONTEXT_ROWS), "windows")
+        at_once = at_once.unionByName(windows.filter("bucket = -1"))
+        compared = compared.mapInPandas(_split(buckets, hot, False), CONTEXT_ROWS).unionByName(windows.filter("bucket >= 0"))
+    at_once = at_once.select("block", "keys", "firsts", F.col("spans").alias("ends"))
+    if len(found):  # the windows of a batch belong to texts of any block
+        at_once = at_once.mapInPandas(_by_block(blocks), RANGE_ROWS)
+    ranges = written(at_once.unionByName(compared.groupBy("bucket").applyInPandas(_decide(blocks), RANGE_ROWS)), "ranges")
+    discard(contexts, *([windows] if len(found) else []))
     release(spark)
     done = texts.groupBy("block").cogroup(ranges.groupBy("block")).applyInPandas(_apply(keep_text), RESULT)
     # the copies of a text: their ids meet the one row of the text
-    each = source.select("doc_id", key.alias("key"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("whole"))
-    out = each.join(done, "key")
+    each = source.select("doc_id", sha.alias("sha"), F.octet_length("text").cast("long").alias("bytes"))
+    out = each.join(done, "sha")
     later = (F.coalesce("doc_id", F.lit(NO_ID)) > F.col("doc")) & (F.col("bytes") >= LENGTH)
     columns = {
         "doc_id": F.col("doc_id"),

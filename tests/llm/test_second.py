@@ -146,8 +146,13 @@ def plain_dedup(rows, length=50):
     return out
 
 
-def test_suffix_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("odd", [None, "hot", "keys"])
+def test_suffix_dedup(spark, monkeypatch, odd):
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4000)
+    if odd == "hot":  # every anchor with some contexts is split into windows
+        monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 2)
+    if odd == "keys":  # texts share keys at first
+        monkeypatch.setattr(suffix_dedup, "KEY_BITS", 3)
     rng = random.Random(9)
     draw = lambda n: "".join(rng.choice("ab é") for _ in range(n))
     passages = [draw(n) for n in (49, 50, 51, 60, 120, 400)] + ["z" * 130]
@@ -166,6 +171,19 @@ def test_suffix_dedup(spark, monkeypatch):
     assert [bytes(r.kept) for r in kept] == [b"k" * 80, b""]
 
 
+def test_suffix_dedup_of_a_common_phrase_and_a_long_text(spark, monkeypatch):
+    """A phrase with ever new surroundings, and the same surroundings in some of them."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 50)
+    rng = random.Random(19)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase, tails = draw(40), [draw(30) for _ in range(5)]
+    docs = [draw(60) + phrase + (rng.choice(tails) if k % 3 == 0 else draw(30)) for k in range(600)]
+    docs += [draw(1_000_000) + docs[7] + draw(1_000_000), docs[7] + draw(1_500_000)]
+    got = [tuple(r) for r in suffix_dedup.dedup_substrings(frame(spark, docs)).orderBy("doc_id").collect()]
+    assert got == plain_dedup(list(enumerate(docs)))
+    assert sum(r[2] > 0 for r in got) > 150
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 600).astype(np.uint8)

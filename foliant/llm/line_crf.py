@@ -8,10 +8,15 @@ length, is the document's quality, and a logistic curve fitted on the training
 rows turns it into the score.
 
 Line features are counts of character classes, taken for all lines of a batch at
-once, and a few of words. Training reads at most SAMPLE labelled rows, the ones
-with the smallest id hashes. A null or empty text is one empty line. Repeated
-rows are scored one by one; with no labelled rows, or only one kind of them,
-every score is the share of good rows (0 if none).
+once, and a few of words. Training reads at most SAMPLE labelled rows of
+SAMPLE_LINES lines in all, the ones with the smallest id hashes; of rows that
+repeat a labelled id with other texts the one of the smallest text hash, of labels
+that repeat an id the highest. A null or empty text is one empty line; very long
+texts are scored whole, and a batch is worked off in parts of about a million
+characters. Repeated rows are scored one by one, null ids stay null, other columns
+of any name are not read, an empty table gives no rows; with no labelled rows, or
+only one kind of them, every score is the share of good rows (0 if none). Ties: a
+document whose lines are as good as bad scores by the curve alone.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import crc_mod, small_batches, split_rows, texts
 from foliant.llm.toxicity import labelled, logistic
 
-#: Labelled rows that training reads, at most.
-SAMPLE = 5_000
+#: Labelled rows that training reads, at most, and their lines in all (one row of each label is always read).
+SAMPLE, SAMPLE_LINES = 5_000, 400_000
 ROUNDS, RATE, RIDGE = 150, 0.2, 1e-3
 MARKS = b"#*$%&|<>{}\\^~=_+@"
 _CLASSES = np.zeros((256, 7), np.float32)
@@ -168,9 +173,10 @@ def train(x: np.ndarray, n_lines: np.ndarray, label: np.ndarray, rounds: int = R
     return weights, move
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, most: int = SAMPLE) -> LineCrf:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, most: int = SAMPLE, most_lines: int = SAMPLE_LINES) -> LineCrf:
     small_batches(docs.sparkSession)
-    sample = labelled(docs, labels, "quality", modulus, held_out, most)
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sample = labelled(docs, labels, "quality", modulus, held_out, most, lines, most_lines)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -178,10 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
                 x, _, n_lines = line_features(part["text"].tolist())
                 end = np.cumsum(n_lines)
                 cut = [x[e - n : e].astype(np.float32).tobytes() for e, n in zip(end, n_lines)]
-                yield pd.DataFrame({"label": part["label"].to_numpy(), "x": cut, "text_hash": [hash(c) for c in cut]})
+                yield pd.DataFrame({"label": part["label"].to_numpy(), "x": cut})
 
-    # at most `most` rows; copies, which have the same features, count once
-    got = sample.mapInPandas(run, "label int, x binary, text_hash long").toPandas()
+    # `most` rows of `most_lines` lines at most; copies, which have the same features, count once
+    got = sample.mapInPandas(run, "label int, x binary").toPandas()
     got = got.drop_duplicates("x").sort_values("x", kind="stable")
     label = got["label"].to_numpy()
     if not len(got) or label.min() == label.max():

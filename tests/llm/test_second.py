@@ -1,6 +1,7 @@
 """Operators 2, 3, 4, 5, 6, 8 and the pipeline against plain versions and known cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -300,6 +301,80 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, empty).agg(F.max("score")).first()[0] < 1e-9
 
 
+def test_toxicity_score_by_brute_force():
+    """Words one by one, every entry tried; exceptions of one and of two neighbours."""
+    rng = random.Random(23)
+    words = ["grum", "grumbro", "zwirk", "ok", "fine", "day", "xgrum", "grumb"]
+    lexicon = toxicity.Lexicon({" grum": 2.0, " grumbro ": 3.0, " zwirk ": 1.5, " grumb": 0.5}, frozenset({(" grum", 0, "ok"), (" zwirk ", 1, "fine day"), (" grumb", 0, "ok fine")}), (-2.0, 1.5))
+    automaton = lexicon.automaton()
+    for _ in range(300):
+        some = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        total = 0.0
+        for k, w in enumerate(some):
+            fits = [e for e in lexicon.weights if (f" {w} " == e if e.endswith(" ") else f" {w}".startswith(e))]
+            if fits:
+                e = max(fits, key=len)
+                near = [(0, " ".join(some[max(0, k - n) : k])) for n in (1, 2)] + [(1, " ".join(some[k + 1 : k + 1 + n])) for n in (1, 2)]
+                total += 0 if any((e, *x) in lexicon.exceptions for x in near) else lexicon.weights[e]
+        want = math.log1p(100 * total / (len(some) + 20))
+        assert math.isclose(lexicon.feature(toxicity.fold(" ".join(some)), automaton), want)
+        assert math.isclose(lexicon.score(want), 1 / (1 + math.exp(2.0 - 1.5 * want)))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(k, f"text {k} " * (1000 if k < 3 else 1)) for k in range(40)] + [(1, "other text of one")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(5, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = F.length("text")
+    every = toxicity.labelled(docs, labels, "toxic", 5, 0, 1000, size, 1 << 30).collect()
+    train = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    assert len(every) == len(train)  # one text an id
+    assert toxicity.labelled(docs, labels, "toxic", 5, 0, 7, size, 1 << 30).count() == 7
+    few = toxicity.labelled(docs, labels, "toxic", 5, 0, 1000, size, 20).collect()
+    assert {r.label for r in few} == {0, 1} and len(few) < 6
+
+
+def test_quality_by_enumeration():
+    """The length-weighted marginals of whole documents, with every labelling of their lines summed up."""
+    rng = np.random.default_rng(12)
+    model = line_crf.LineCrf(rng.normal(size=line_crf.WIDTH), rng.normal(size=(2, 2)), (0.3, 1.2))
+    docs = ["one line", "Two LINES 99\nand more ###\n", "", "a\n\nb c d\nfour!"]
+    for doc, got, score in zip(docs, model.quality(docs), model.score(docs)):
+        x, length, (n,) = line_crf.line_features([doc])
+        emit, total, good = x @ model.weights, 0.0, np.zeros(n)
+        for p in range(1 << n):
+            y = [(p >> k) & 1 for k in range(n)]
+            w = math.exp(sum(e for e, s in zip(emit, y) if s) + sum(model.move[y[k], y[k + 1]] for k in range(n - 1)))
+            total += w
+            good += w * np.array(y)
+        want = (good / total * length).sum() / length.sum()
+        assert math.isclose(got, want, rel_tol=1e-9)
+        assert math.isclose(score, 1 / (1 + math.exp(-(0.3 + 1.2 * math.log(want / (1 - want))))), rel_tol=1e-6)
+
+
+def test_training_raises_the_likelihood():
+    rng = np.random.default_rng(13)
+    n_lines = rng.integers(1, 5, 60)
+    label = rng.integers(0, 2, 60)
+    y = np.repeat(label, n_lines)
+    x = np.column_stack([np.ones(len(y)), rng.normal(size=len(y)) + 2 * y, rng.normal(size=len(y))])
+
+    def likelihood(weights, move):
+        emit, at, out = x @ weights, 0, 0.0
+        for n, k in zip(n_lines, label):
+            own = (k * emit[at : at + n].sum() + (n - 1) * move[k, k]) / n
+            paths = [[(p >> j) & 1 for j in range(n)] for p in range(1 << n)]
+            z = np.log(sum(np.exp(sum(emit[at + j] * s for j, s in enumerate(p)) + sum(move[p[j], p[j + 1]] for j in range(n - 1))) for p in paths))
+            out += own - z / n
+            at += n
+        return out
+
+    weights, move = line_crf.train(x, n_lines, label)
+    assert likelihood(weights, move) > likelihood(np.zeros(3), np.zeros((2, 2))) + 10
+    good, _, _ = line_crf.marginals(x @ weights, n_lines, move)
+    assert ((good > 0.5) == y).mean() > 0.9
+
+
 def test_line_crf(spark):
     docs, labels, raw = synthetic(spark)
     scores = {r.doc_id: r.score for r in line_crf.score_quality(docs, line_crf.fit(docs, labels)).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,21 +12,30 @@ PAPERS = (("a4", 210.0, 297.0), ("b5", 182.0, 257.0), ("letter", 215.9, 279.4))
 TOLERANCE_MM = 3.0
 
 
+def pages_of(heights, breaks, page: float) -> list[int]:
+    """The page (from 0) of each block: one that ends below the page opens a new one, as does one after a forced break."""
+    out, number, used, force = [], 0, 0.0, False
+    for k, (h, f) in enumerate(zip(heights, breaks)):
+        if k and (force or (used > 0 and used + h > page)):
+            number, used = number + 1, 0.0
+        used += h
+        force = bool(f)
+        out.append(number)
+    return out
+
+
 def paginate(blocks: DataFrame, by: list[str], order: str, height: str, page: Column, forced: str | None = None) -> DataFrame:
     """Adds page (from 0): a block that ends below the page opens a new one, as does one after a forced break; a block
-    taller than a page does not break before itself when it is first. A sum that restarts is no window, so the blocks
-    of a section are folded in order; a section is one document's, so the array is bounded by it."""
-    w = [F.col(order), F.col(height).alias("h"), (F.col(forced) if forced else F.lit(False)).alias("f")]
-    packed = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*w))).alias("bs"), F.first(page).alias("page_height"))
-    zero = F.struct(F.lit(0).alias("page"), F.lit(0.0).cast("double").alias("used"), F.lit(False).alias("f"), F.lit(0).alias("k"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        breaks = (acc["k"] > 0) & (acc["f"] | ((acc["used"] > 0) & (acc["used"] + b["h"] > F.col("page_height"))))
-        number = F.when(breaks, acc["page"] + 1).otherwise(acc["page"])
-        used = F.when(breaks, b["h"]).otherwise(acc["used"] + b["h"]).cast("double")
-        return F.struct(number.alias("page"), used.alias("used"), F.coalesce(b["f"], F.lit(False)).alias("f"), (acc["k"] + 1).alias("k"), F.concat(acc["out"], F.array(number)).alias("out"))
-
-    pages = packed.withColumn("pages", F.aggregate("bs", zero, step, lambda a: a["out"]))
+    taller than a page does not break before itself when it is first. A sum that restarts is no window, so the heights
+    of a section are folded in order, in one step a block; a section is one document's, so its array is bounded by it."""
+
+    @F.pandas_udf("array<int>")
+    def fold(heights: pd.Series, breaks: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([pages_of(h, f, p) for h, f, p in zip(heights, breaks, size)])
+
+    w = [F.col(order), F.col(height).cast("double").alias("h"), F.coalesce(F.col(forced) if forced else F.lit(False), F.lit(False)).alias("f")]
+    packed = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*w))).alias("bs"), F.first(page).cast("double").alias("page_height"))
+    pages = packed.withColumn("pages", fold(F.col("bs.h"), F.col("bs.f"), F.col("page_height")))
     rows = pages.select(*by, F.explode(F.arrays_zip("bs", "pages")).alias("z")).select(*by, F.col(f"z.bs.{order}").alias(order), F.col("z.pages").cast("long").alias("page"))
     return blocks.join(rows, [*by, order])
 

@@ -6,11 +6,13 @@ window or group on it finds its rows in place.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.session import shared_dir
+from foliant.session import written
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], same: list[str], name: str = "island") -> DataFrame:
@@ -66,8 +68,10 @@ def intern(df: DataFrame, by: list[str], order: Column, values: list[str], name:
     The distinct tuples are aggregated before anything is numbered, so the window sees one row per tuple.
     """
     seen = df.groupBy(*by, *values).agg(F.min(order).alias("_first"))
-    w = W.partitionBy(*by).orderBy("_first") if by else W.orderBy("_first")
-    dimension = seen.withColumn(name, F.row_number().over(w) - 1).drop("_first")
+    if by:
+        dimension = seen.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy("_first")) - 1).drop("_first")
+    else:
+        dimension = ranked(seen, "_first", name).drop("_first")
     right = dimension.select(*[F.col(c).alias(f"_d_{c}") for c in (*by, *values)], name)
     on = F.lit(True)
     for c in (*by, *values):
@@ -75,24 +79,42 @@ def intern(df: DataFrame, by: list[str], order: Column, values: list[str], name:
     return dimension, df.join(right, on).drop(*[f"_d_{c}" for c in (*by, *values)])
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """Every (root, node) that edges (src, dst) reach from seeds (root, node), the seeds included.
+def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds the place (from 0) of each row in the order of a column, over the whole table: ranges are sorted by tasks, and
+    only their sizes are added up in one place."""
+    parts = written(df.repartitionByRange(order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth")), "ranked")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))  # a row per task
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, (F.col("_before") + F.col("_nth")).cast("int")).drop("_part", "_nth", "_before")
+
+
+def closure(seeds: DataFrame, edges: DataFrame, plain_rounds: int = 6) -> DataFrame:
+    """Every (root, node) that edges (src, dst) reach from seeds (root, node), the seeds included, however long the chains.
 
     Semi-naive rounds: only pairs new in a round are extended, and each round is
-    checkpointed in the shared folder. `most` bounds the length of chains.
+    a written table of its own. Chains longer than plain_rounds are followed by
+    doubling: every later round also joins the edges with themselves, so that a
+    chain of n edges takes log2(n) rounds.
     """
-    spark = seeds.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    known = seeds.select("root", "node").distinct().checkpoint()
-    new = known
-    for _ in range(most):
-        step = new.join(edges, new["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        new = step.join(known, ["root", "node"], "left_anti").checkpoint()
+    edges = edges.select("src", "dst").distinct()
+    rounds = [written(seeds.select("root", "node").distinct(), "closure")]
+    known = lambda: reduce(DataFrame.unionByName, rounds)
+    far = lambda pairs, jump: pairs.join(jump, pairs["node"] == jump["src"]).select("root", F.col("dst").alias("node")).distinct()
+    for _ in range(plain_rounds):
+        new = written(far(rounds[-1], edges).join(known(), ["root", "node"], "left_anti"), "closure")
+        if new.isEmpty():
+            return known()
+        rounds.append(new)
+    front, jump = rounds[-1], written(edges, "jumps")
+    while True:
+        new = written(far(front, jump).join(known(), ["root", "node"], "left_anti"), "closure")
         if new.isEmpty():
-            break
-        known = known.unionByName(new).checkpoint()
-    return known
+            return known()
+        rounds.append(new)
+        front = front.unionByName(new)
+        longer = jump.select(F.col("src").alias("s"), F.col("dst").alias("mid"))
+        longer = longer.join(jump, longer["mid"] == jump["src"]).select(F.col("s").alias("src"), "dst")
+        jump = written(jump.unionByName(longer).distinct(), "jumps")
 
 
 def inherit(styles: DataFrame, values: list[str], by: list[str], depth: int = 12) -> DataFrame:

@@ -20,23 +20,21 @@ def _upto(by: list[str], at: str, before: bool = False):
 def hide_field_codes(chars: DataFrame, by: list[str], at: str = "cp", code: str = "code") -> DataFrame:
     """Characters (by, cp, code) without field marks and what stands between a field's begin and its separator.
 
-    A field without a separator hides all up to its end; an inner field's result inside an outer code stays hidden.
+    A field without a separator hides all up to its end; an inner field's result
+    inside an outer code stays hidden, however deep. A field's code runs from its
+    begin to the first separator of its depth or to its end: as ranges these
+    open and close, and a character is shown where no range is open.
     """
-    w = _upto(by, at)
+    marks = (FIELD_BEGIN, FIELD_SEPARATOR, FIELD_END)
     step = F.when(F.col(code) == FIELD_BEGIN, 1).when(F.col(code) == FIELD_END, -1).otherwise(0)
-    depth = chars.withColumn("_depth", F.sum(step).over(w) + F.when(F.col(code) == FIELD_END, 1).otherwise(0))
-    # fields of one depth follow each other: a separator opens the result of the field begun last at its depth
-    inner = W.partitionBy(*by, "_depth").orderBy(at).rowsBetween(W.unboundedPreceding, 0)
-    mark = F.last(F.when(F.col(code).isin(FIELD_BEGIN, FIELD_SEPARATOR, FIELD_END), F.col(code)), ignorenulls=True).over(inner)
-    state = depth.withColumn("_state", mark)
-    hidden_own = (F.col("_depth") > 0) & (F.col("_state") == FIELD_BEGIN)
-    # the state of the fields around: of every depth above, the last mark so far
-    around = F.lit(False)
-    for d in range(1, 4):
-        outer = F.last(F.when((F.col("_depth") == d) & F.col(code).isin(FIELD_BEGIN, FIELD_SEPARATOR, FIELD_END), F.col(code)), ignorenulls=True).over(w)
-        around = around | ((F.col("_depth") > d) & (outer == FIELD_BEGIN))
-    marked = state.withColumn("_hidden", F.coalesce(hidden_own | around, F.lit(False)))
-    return marked.filter(~F.col("_hidden") & ~F.col(code).isin(FIELD_BEGIN, FIELD_SEPARATOR, FIELD_END)).drop("_depth", "_state", "_hidden")
+    depth = F.sum(step).over(_upto(by, at)) + F.when(F.col(code) == FIELD_END, 1).otherwise(0)
+    marked = chars.withColumn("_mark", F.col(code).isin(*marks)).withColumn("_depth", depth)
+    # of the marks of one depth: a begin opens a code, the next mark of that depth closes it
+    level = W.partitionBy(*by, "_mark", "_depth").orderBy(at)
+    opens = F.when(F.col("_mark") & (F.col(code) == FIELD_BEGIN), 1)
+    closes = F.when(F.col("_mark") & (F.col(code) != FIELD_BEGIN) & (F.lag(code).over(level) == FIELD_BEGIN), -1)
+    stepped = marked.withColumn("_step", F.coalesce(opens, closes, F.lit(0))).withColumn("_open", F.sum("_step").over(_upto(by, at)))
+    return stepped.filter((F.col("_open") == 0) & ~F.col("_mark")).drop("_mark", "_depth", "_step", "_open")
 
 
 def paragraphs(chars: DataFrame, by: list[str], at: str = "cp", code: str = "code") -> DataFrame:

@@ -72,6 +72,7 @@ def validate(nodes: DataFrame) -> DataFrame:
     for child, allowed in must.items():
         misplaced = misplaced | ((name == child) & ~parent.isin(*allowed))
     wrong_child = (parent.isin("ul", "ol") & (name != "li")) | (parent.isin("table", "tbody") & (name != "tr") & ~((parent == "table") & (name == "tbody")))
+    above = F.regexp_extract("path", "^(.*) > [^>]*$", 1)  # a wrong child is told of its parent
     inside_p = name.isin("p", "table", "ul", "ol", "doc-textbox", "doc-eq", "doc-pagebreak") & F.col("path").rlike("(^|> )p(#[^ ]*)? > ")
     p_path = F.regexp_extract("path", "^(.*?(?:^|> )p(?:#[^ ]*)?) > ", 1)
     link, field = name == "a", name == "doc-field"
@@ -83,7 +84,7 @@ def validate(nodes: DataFrame) -> DataFrame:
         (known & needs & id_.isNull(), found("block-id", F.lit("block without data-id"))),
         (known & needs & id_.isNotNull() & (F.col("_nth") > 1), found("block-id", F.concat(F.lit("data-id repeated: "), text(id_)))),
         (known & misplaced, found("structure", F.concat(name, F.lit(" is misplaced")))),
-        (parent.isin(*ELEMENTS) & wrong_child, found("structure", F.concat(name, F.lit(" may not stand in "), parent))),
+        (parent.isin(*ELEMENTS) & wrong_child, found("structure", F.concat(name, F.lit(" may not stand in "), parent), above)),
         (inside_p, found("structure", F.lit("block inside p"), p_path, F.lit("p"))),
         ((name == "doc-section") & (F.size(F.split("path", "doc-section")) > 2), found("structure", F.lit("doc-section is nested"))),
         (link & href.isNotNull() & (text(_attr("data-fn-ref")) != ""), found("link-target", F.lit("href and data-fn-ref together"))),

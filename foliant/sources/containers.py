@@ -165,13 +165,16 @@ def hwp_records(streams: DataFrame) -> DataFrame:
 
 
 def record_parents(records: DataFrame) -> DataFrame:
-    """Adds parent: the seq of the last record one level up, by a window over the stream."""
+    """Adds parent: the seq of the last record one level up; levels are as deep as the record's ten bits say.
+
+    Between two records of a level, all that is deeper belongs to the first: a
+    record's parent is the last record of the level above, which one window over
+    records paired with the level that they open finds, whatever the depth.
+    """
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("doc_id", "stream").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    levels = range(0, 12)  # nesting is bounded: one conditional maximum for each level
-    last = {k: F.max(F.when(F.col("level") == k, F.col("seq"))).over(w) for k in levels}
-    parent = F.lit(None).cast("int")
-    for k in levels:
-        parent = F.when(F.col("level") == k + 1, last[k]).otherwise(parent)
-    return records.withColumn("parent", parent)
+    own = records.select("*", F.col("level").alias("_opens"), F.lit(1).alias("_side"))
+    asks = records.select("*", (F.col("level") - 1).alias("_opens"), F.lit(0).alias("_side"))
+    w = W.partitionBy("doc_id", "stream", "_opens").orderBy("seq", "_side").rowsBetween(W.unboundedPreceding, -1)
+    parent = F.last(F.when(F.col("_side") == 1, F.col("seq")), ignorenulls=True).over(w)
+    return own.unionByName(asks).withColumn("parent", parent).filter("_side = 0").drop("_opens", "_side")

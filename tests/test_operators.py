@@ -74,3 +74,53 @@ def test_edits(spark):
     assert rows(edits.apply_patches(blocks, patches), "data_id", "text", "indent", "numbered") == [("b1", "new", 0.0, False), ("b2", "y", 20.0, True)]
     order = spark.createDataFrame([(1, f"b{i}", i, "b3", "b1") for i in range(4)], "doc int, data_id string, ord int, what string, before string")
     assert rows(edits.move_block(order, ["doc"], "what", "before"), "ord", "data_id") == [(0, "b0"), (1, "b3"), (2, "b1"), (3, "b2")]
+
+
+def test_closure_of_long_chains(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(150)] + [(150, 0), (7, 400)], "src long, dst long")
+    seeds = spark.createDataFrame([(1, 0), (2, 149)], "root long, node long")
+    got = {(r.root, r.node) for r in ordered.closure(seeds, edges).collect()}
+    every = [*range(151), 400]
+    assert got == {(1, n) for n in every} | {(2, n) for n in every}
+
+
+def test_ranked_over_the_whole_table(spark):
+    rows = spark.createDataFrame([(k * 7919 % 1000, str(k)) for k in range(1000)], "at long, name string").repartition(5)
+    got = sorted((r.place, r.at) for r in ordered.ranked(rows, "at", "place").collect())
+    assert got == [(k, k) for k in range(1000)]
+
+
+def test_record_parents_of_deep_levels(spark):
+    from foliant.sources import containers
+
+    levels = [*range(15), 3, 4, 1, 14, 2, 3, 0, 1, 1000, 1001]
+    rows = spark.createDataFrame([(1, "s", k, v) for k, v in enumerate(levels)], "doc_id long, stream string, seq int, level int")
+    got = {r.seq: r.parent for r in containers.record_parents(rows).collect()}
+    for k, v in enumerate(levels):
+        assert got[k] == max((j for j in range(k) if levels[j] == v - 1), default=None), k
+
+
+def test_field_codes_of_any_depth(spark):
+    from foliant.operators import streams
+
+    text = "a[b[c[d[e[f|g]h|i]j|k]l|m]n|o]p[q]rst[u|[v|w]x]"
+    codes = {"[": 0x13, "|": 0x14, "]": 0x15}
+    shown, stack = [], []
+    for c in text:
+        if c == "[":
+            stack.append(True)
+        elif c == "|":
+            stack[-1] = False
+        elif c == "]":
+            stack.pop()
+        elif not any(stack):
+            shown.append(c)
+    rows = spark.createDataFrame([(1, k, codes.get(c, ord(c))) for k, c in enumerate(text)], "doc_id long, cp int, code int")
+    got = "".join(chr(r.code) for r in streams.hide_field_codes(rows, ["doc_id"]).orderBy("cp").collect())
+    assert got == "".join(shown)
+
+
+def test_pages_of_blocks():
+    from foliant.operators import layout
+
+    assert layout.pages_of([50, 60, 100, 300, 10, 10, 90], [0, 0, 0, 0, 1, 0, 0], 100) == [0, 1, 2, 3, 4, 5, 5]

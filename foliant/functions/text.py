@@ -208,3 +208,21 @@ def cell_css(width: Column, height: Column, pad: Column, background: Column, bor
         F.when(border_known, F.concat(F.lit("border:"), F.coalesce(border_css, F.lit("none")))),
         F.when(valign != "middle", F.concat(F.lit("vertical-align:"), valign)),
     )
+
+
+def image_placeholder(ext: Column) -> Column:
+    """What stands for an image that cannot be shown; null for one that can."""
+    return F.when(image_mime(ext).isNull(), F.concat(F.lit("[이미지: "), F.lower(ext), F.lit("]")))
+
+
+def has_content(text: Column, images: Column | None = None, breaks: Column | None = None) -> Column:
+    """Anything but blanks, or an image, or a line break."""
+    out = F.coalesce(text.rlike(r"\S"), F.lit(False))
+    for other in (images, breaks):
+        out = out if other is None else out | (F.coalesce(other, F.lit(0)) > 0)
+    return out
+
+
+def truncated(text: Column, most: int = 200_000) -> Column:
+    """(text, cut): a report shows so many characters at most, and says whether it left some out."""
+    return F.struct(F.substring(text, 1, most).alias("text"), (F.length(text) > most).alias("cut"))

@@ -135,3 +135,10 @@ def inherit(styles: DataFrame, values: list[str], by: list[str], depth: int = 12
 def orphans(refs: DataFrame, bodies: DataFrame, on: list[str]) -> DataFrame:
     """References without a body."""
     return refs.join(bodies.select(*on).distinct(), on, "left_anti")
+
+
+def first_of(rows: DataFrame, by: list[str], value: str, most: int) -> DataFrame:
+    """(by, n, first): how many rows a group has, and its smallest `most` values, as reports show them."""
+    nth = F.row_number().over(W.partitionBy(*by).orderBy(value))
+    few = rows.withColumn("_nth", nth).groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_nth") <= most, F.col(value)))).alias("first"))
+    return few

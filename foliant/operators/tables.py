@@ -60,15 +60,16 @@ def covered(cells: DataFrame) -> DataFrame:
     return cells.withColumn("r", rows).withColumn("c", cols)
 
 
-def column_widths(cells: DataFrame, table: list[str], total: float = 400.0, least: float = 60.0) -> DataFrame:
-    """(table, col, width): a column's first width over its rows, spans shared evenly, the rest of `total` over columns
-    without any, `least` where nothing is left."""
+def column_widths(cells: DataFrame, table: list[str], total: float | str = 400.0, least: float = 60.0) -> DataFrame:
+    """(table, col, width): a column's first width over its rows, spans shared evenly, the rest of the total width (a
+    constant, or the column that says the table's own) over columns without any, `least` where nothing is left."""
     cols = F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)).alias("c")
     share = F.when(F.col("width") > 0, F.col("width") / F.col("col_span")).alias("share")
-    each = cells.select(*table, "row", share, cols)
-    first = each.groupBy(*table, "c").agg(F.min_by("share", F.when(F.col("share").isNotNull(), F.col("row"))).alias("w"))
+    whole = F.col(total) if isinstance(total, str) else F.lit(total)
+    each = cells.select(*table, "row", share, cols, whole.alias("_total"))
+    first = each.groupBy(*table, "c").agg(F.min_by("share", F.when(F.col("share").isNotNull(), F.col("row"))).alias("w"), F.max("_total").alias("_total"))
     w = W.partitionBy(*table)
-    rest = F.lit(total) - F.coalesce(F.sum("w").over(w), F.lit(0.0))
+    rest = F.max("_total").over(w) - F.coalesce(F.sum("w").over(w), F.lit(0.0))
     blank = F.count(F.when(F.col("w").isNull(), 1)).over(w)
     filled = F.coalesce("w", F.when(rest > 0, rest / blank), F.lit(least))
     return first.select(*table, F.col("c").alias("col"), filled.alias("width"))
@@ -103,6 +104,70 @@ def merge_right(cells: DataFrame, table: list[str], row: Column, col: Column) ->
     return marked.withColumn("col_span", F.col("col_span") + F.col("_grow")).withColumn("text", F.concat_ws("\n", F.when(F.col("text") != "", F.col("text")), F.when(F.col("_add") != "", F.col("_add")))).drop("_grow", "_add", "_gone")
 
 
+def merge_down(cells: DataFrame, table: list[str], row: Column, col: Column) -> DataFrame:
+    """Joins the cell at (row, col) with the one that starts below it, if both begin at one column and span as many."""
+    w = W.partitionBy(*table, "col").orderBy("row")
+    nxt = lambda c: F.lead(c).over(w)
+    fits = (F.col("row") == row) & (F.col("col") == col) & (nxt("row") == F.col("row") + F.col("row_span")) & (nxt("col_span") == F.col("col_span"))
+    marked = cells.withColumn("_grow", F.coalesce(F.when(fits, nxt("row_span")), F.lit(0))).withColumn("_add", F.when(fits, nxt("text")))
+    marked = marked.withColumn("_gone", F.coalesce(F.lag("_grow").over(w), F.lit(0)) > 0).filter("not _gone")
+    return marked.withColumn("row_span", F.col("row_span") + F.col("_grow")).withColumn("text", F.concat_ws("\n", F.when(F.col("text") != "", F.col("text")), F.when(F.col("_add") != "", F.col("_add")))).drop("_grow", "_add", "_gone")
+
+
+def insert_column(cells: DataFrame, table: list[str], after: Column) -> DataFrame:
+    """A blank copy of the `after`-th cell of every row beside it, spans removed; a shorter row takes its last cell."""
+    w = W.partitionBy(*table, "row").orderBy("col")
+    placed = cells.withColumn("_k", F.row_number().over(w) - 1).withColumn("_last", F.max("col").over(W.partitionBy(*table, "row")))
+    placed = placed.withColumn("_n", F.count("*").over(W.partitionBy(*table, "row")))
+    source = after.isNotNull() & (F.col("_k") == F.least(after, F.col("_n") - 1))
+    at = F.max(F.when(source, F.col("col") + F.col("col_span"))).over(W.partitionBy(*table, "row"))
+    placed = placed.withColumn("_at", at)
+    moved = placed.withColumn("col", F.when(F.col("col") >= F.col("_at"), F.col("col") + 1).otherwise(F.col("col")))
+    blank = placed.filter(source).withColumn("col", F.col("_at")).withColumn("row_span", F.lit(1)).withColumn("col_span", F.lit(1)).withColumn("text", F.lit(""))
+    return moved.unionByName(blank).drop("_k", "_last", "_n", "_at")
+
+
+def delete_column(cells: DataFrame, table: list[str], which: Column) -> DataFrame:
+    """Without the `which`-th cell of every row (a shorter row: its last); the only cell of a row stays."""
+    by = W.partitionBy(*table, "row")
+    placed = cells.withColumn("_k", F.row_number().over(by.orderBy("col")) - 1).withColumn("_n", F.count("*").over(by))
+    gone = which.isNotNull() & (F.col("_n") > 1) & (F.col("_k") == F.least(which, F.col("_n") - 1))
+    placed = placed.withColumn("_gone", gone)
+    edge = F.max(F.when(F.col("_gone"), F.col("col"))).over(by)
+    width = F.max(F.when(F.col("_gone"), F.col("col_span"))).over(by)
+    moved = placed.withColumn("_col", F.when(F.col("col") > edge, F.col("col") - width).otherwise(F.col("col")))
+    return moved.filter("not _gone").withColumn("col", F.col("_col").cast("int")).drop("_k", "_n", "_gone", "_col")
+
+
+def same_border(a: Column, b: Column) -> Column:
+    """Whether two borders (structs, null for none) look alike."""
+    return a.eqNullSafe(b)
+
+
+#: What a cell has without saying it: its background, its vertical place and its border.
+CELL_DEFAULTS = {"background": "#FFFFFF", "valign": "middle", "border": "0.75pt solid #555555"}
+
+
+def cell_format(**values: Column) -> list[Column]:
+    """The values of a cell's format that it must say: null for those that equal the defaults."""
+    return [F.nullif(v, F.lit(CELL_DEFAULTS[name])).alias(name) for name, v in values.items()]
+
+
+def edit_grid(cells: DataFrame, table: list[str], least: float = 60.0) -> DataFrame:
+    """(table, col, width): a column is as wide as its first cell without a span says, `least` where none does."""
+    cols = F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)).alias("c")
+    each = cells.select(*table, "row", F.when((F.col("col_span") == 1) & (F.col("width") > 0), F.col("width")).alias("own"), cols)
+    out = each.groupBy(*table, "c").agg(F.min_by("own", F.when(F.col("own").isNotNull(), F.col("row"))).alias("own"))
+    return out.select(*table, F.col("c").alias("col"), F.coalesce("own", F.lit(least)).alias("width"))
+
+
+def move_boundary(left: Column, right: Column, by: Column) -> tuple[Column, Column]:
+    """Two neighbouring columns after their boundary moved: the sum stays, neither falls under the least width."""
+    total = left + right
+    new = F.greatest(F.least(left + by, total - MIN_PT), F.lit(MIN_PT))
+    return new, total - new
+
+
 def unmerge(cells: DataFrame, table: list[str]) -> DataFrame:
     """Every place of a spanning cell as a cell of its own; the text stays in the first."""
     each = covered(cells)

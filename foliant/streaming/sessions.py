@@ -39,6 +39,13 @@ def decide(requests: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("status", status).withColumn("target", F.when(status == 200, name)).withColumn("overwrote", F.when(status == 200, over)).withColumn("note", F.when((status == 200) & (same_as != F.col("own_ext")), F.concat(F.col("own_ext"), F.lit(" is saved as "), ext))).drop("own_ext", "src")
 
 
+def debounced(events: DataFrame, by: list[str], at: str, pause: str = "400 milliseconds") -> DataFrame:
+    """(by, start, end, events): what is asked again within the pause is done once; on a stream with a watermark too."""
+    window = F.session_window(at, pause)
+    out = events.groupBy(*by, window.alias("_w")).agg(F.count("*").alias("events"))
+    return out.select(*by, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "events")
+
+
 def expire(events: DataFrame, key: str = "user_id", at: str = "ts", ttl_hours: int = TTL_HOURS) -> DataFrame:
     """A stream of (key, opened, closed, uses): a session ends `ttl_hours` after it was opened, by event time.
 

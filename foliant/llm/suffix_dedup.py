@@ -345,32 +345,38 @@ def _hot_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _split(buckets: int, hot: np.ndarray, wanted: bool):
     """The contexts of anchors that are not hot (wanted: false), or the single windows of the hot ones, equal ones as one."""
 
+    names = [x.split()[0] for x in CONTEXT_ROWS.split(", ")]
+
+    def split(pdf: pd.DataFrame) -> list[tuple]:
+        h, docs, keys, firsts, lead, span, data = _unpacked(pdf)
+        at = np.cumsum(span) - span
+        rows = np.flatnonzero(np.isin(h, hot) == wanted)
+        if not wanted:
+            bucket = np.repeat(pdf["bucket"].to_numpy(), [len(b) // 8 for b in pdf["hashes"]])
+            return _packed(bucket[rows], h[rows], docs[rows], keys[rows], firsts[rows], lead[rows], span[rows], data, at[rows])
+        if not len(rows):
+            return []
+        here = np.cumsum(span[rows]) - span[rows]  # the hot contexts' own bytes
+        view = data[np.repeat(at[rows] - here, span[rows]) + np.arange(span[rows].sum())]
+        n = span[rows] - LENGTH + 1
+        row = np.repeat(rows, n)
+        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start, shift = np.repeat(here, n) + off, off - lead[row]
+        own = PrefixHash(view).of(start, LENGTH)
+        anchor = mix(h[row] ^ mix(own + shift.astype(U)))
+        gone, kept = later_copies(view, start, np.full(len(row), LENGTH), -shift, anchor, docs[row])
+        out = []
+        if len(gone):
+            places = firsts[row[gone]] + off[gone]
+            out.append(_range_row(-1, keys[row[gone]], places, places + LENGTH, names, -1))
+        k = np.sort(kept)
+        return out + _packed((anchor[k] >> U(40)) % U(buckets), anchor[k], docs[row[k]], keys[row[k]], firsts[row[k]] + off[k], -shift[k], np.full(len(k), LENGTH), view, start[k])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in CONTEXT_ROWS.split(", ")]
-        for pdf in frames:
-            h, docs, keys, firsts, lead, span, data = _unpacked(pdf)
-            at = np.cumsum(span) - span
-            rows = np.flatnonzero(np.isin(h, hot) == wanted)
-            if not wanted:
-                bucket = np.repeat(pdf["bucket"].to_numpy(), [len(b) // 8 for b in pdf["hashes"]])
-                yield pd.DataFrame(_packed(bucket[rows], h[rows], docs[rows], keys[rows], firsts[rows], lead[rows], span[rows], data, at[rows]), columns=names)
-                continue
-            n = span[rows] - LENGTH + 1
-            row = np.repeat(rows, n)
-            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            if not len(row):
-                continue
-            start, shift = at[row] + off, off - lead[row]
-            own = PrefixHash(data).of(start, LENGTH)
-            anchor = mix(h[row] ^ mix(own + shift.astype(U)))
-            gone, kept = later_copies(data, start, np.full(len(row), LENGTH), -shift, anchor, docs[row])
-            out = []
-            if len(gone):
-                places = firsts[row[gone]] + off[gone]
-                out.append(_range_row(-1, keys[row[gone]], places, places + LENGTH, names, -1))
-            k = np.sort(kept)
-            out += _packed((anchor[k] >> U(40)) % U(buckets), anchor[k], docs[row[k]], keys[row[k]], firsts[row[k]] + off[k], -shift[k], np.full(len(k), LENGTH), data, start[k])
-            yield pd.DataFrame(out, columns=names)
+        for pdf in frames:  # in parts of about BATCH_CHARS bytes
+            part = np.cumsum([len(b) for b in pdf["bytes"]]) // BATCH_CHARS
+            for _, some in pdf.groupby(part, sort=True):
+                yield pd.DataFrame(split(some), columns=names)
 
     return run
 

@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 from foliant.functions.text import escape, xml_safe
 
 XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-_ODF = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:style="urn:oasis:names:tc:opendocument:xmlns:style:1.0" xmlns:fo="urn:oasis:names:tc:opendocument:xmlns:xsl-fo-compatible:1.0"'
-_HP = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph" xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hh="http://www.hancom.co.kr/hwpml/2011/head"'
+W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+ODF_NS = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:style="urn:oasis:names:tc:opendocument:xmlns:style:1.0" xmlns:fo="urn:oasis:names:tc:opendocument:xmlns:xsl-fo-compatible:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:xlink="http://www.w3.org/1999/xlink"'
+HP_NS = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph" xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hh="http://www.hancom.co.kr/hwpml/2011/head" xmlns:hc="http://www.hancom.co.kr/hwpml/2011/core"'
+HWPX_LANGUAGES = ("HANGUL", "LATIN", "HANJA", "JAPANESE", "OTHER", "SYMBOL", "USER")
 HEAD_SIZE = {"h1": 16, "h2": 14, "h3": 13, "h4": 12, "h5": 12, "h6": 12}
 
 # fixed parts of the packages
 DOCX = {
     "[Content_Types].xml": XML + '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml"/></Types>',
     "_rels/.rels": XML + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-    "word/styles.xml": XML + f"<w:styles {_W}>" + "".join(f'<w:style w:type="paragraph" w:styleId="Heading{k[1]}"><w:name w:val="heading {k[1]}"/><w:pPr><w:outlineLvl w:val="{int(k[1]) - 1}"/></w:pPr><w:rPr><w:b/><w:sz w:val="{2 * v}"/></w:rPr></w:style>' for k, v in HEAD_SIZE.items()) + "</w:styles>",
+    "word/styles.xml": XML + f"<w:styles {W_NS}>" + "".join(f'<w:style w:type="paragraph" w:styleId="Heading{k[1]}"><w:name w:val="heading {k[1]}"/><w:pPr><w:outlineLvl w:val="{int(k[1]) - 1}"/></w:pPr><w:rPr><w:b/><w:sz w:val="{2 * v}"/></w:rPr></w:style>' for k, v in HEAD_SIZE.items()) + "</w:styles>",
 }
 ODT = {
     "mimetype": "application/vnd.oasis.opendocument.text",
@@ -35,23 +36,35 @@ HWPX = {
     "mimetype": "application/hwp+zip",
     "version.xml": XML + '<hv:HCFVersion xmlns:hv="http://www.hancom.co.kr/hwpml/2011/version" major="5" minor="1" micro="0"/>',
     "Contents/content.hpf": XML + '<opf:package xmlns:opf="http://www.idpf.org/2007/opf/"><opf:manifest><opf:item id="header" href="Contents/header.xml" media-type="application/xml"/><opf:item id="section0" href="Contents/section0.xml" media-type="application/xml"/></opf:manifest><opf:spine><opf:itemref idref="section0"/></opf:spine></opf:package>',
-    "Contents/header.xml": XML + f'<hh:head {_HP} version="1.4" secCnt="1"><hh:refList><hh:charProperties itemCnt="1"><hh:charPr id="0" height="1000" textColor="#000000"/></hh:charProperties><hh:paraProperties itemCnt="1"><hh:paraPr id="0"><hh:align horizontal="JUSTIFY"/></hh:paraPr></hh:paraProperties></hh:refList></hh:head>',
+    "Contents/header.xml": XML + f'<hh:head {HP_NS} version="1.4" secCnt="1"><hh:refList><hh:charProperties itemCnt="1"><hh:charPr id="0" height="1000" textColor="#000000"/></hh:charProperties><hh:paraProperties itemCnt="1"><hh:paraPr id="0"><hh:align horizontal="JUSTIFY"/></hh:paraPr></hh:paraProperties></hh:refList></hh:head>',
 }
 
 
-def _docx_text(text: Column) -> Column:
+def docx_content_types() -> str:
+    """The content types of a document with all the parts that the writer may make."""
+    kind = "application/vnd.openxmlformats-officedocument.wordprocessingml"
+    more = "".join(f'<Override PartName="/word/{n}.xml" ContentType="{kind}.{t}+xml"/>' for n, t in (("numbering", "numbering"), ("footnotes", "footnotes"), ("header1", "header"), ("footer1", "footer")))
+    return DOCX["[Content_Types].xml"].replace("</Types>", f"{more}</Types>")
+
+
+def odt_manifest(names: list[str]) -> str:
+    own = "".join(f'<manifest:file-entry manifest:full-path="{n}" manifest:media-type="text/xml"/>' for n in names)
+    return XML + f'<manifest:manifest xmlns:manifest="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0" manifest:version="1.2"><manifest:file-entry manifest:full-path="/" manifest:media-type="application/vnd.oasis.opendocument.text"/>{own}</manifest:manifest>'
+
+
+def docx_text(text: Column) -> Column:
     inner = F.replace(F.replace(escape(xml_safe(text)), F.lit("\n"), F.lit('</w:t><w:br/><w:t xml:space="preserve">')), F.lit("\t"), F.lit('</w:t><w:tab/><w:t xml:space="preserve">'))
     return F.concat(F.lit('<w:t xml:space="preserve">'), inner, F.lit("</w:t>"))
 
 
-def _odt_text(text: Column) -> Column:
+def odt_text(text: Column) -> Column:
     # two spaces and more, and those at the edges, are elements in ODF
     safe = escape(xml_safe(text))
     safe = F.regexp_replace(safe, "(?<= ) |^ | $", '<text:s text:c="1"/>')
     return F.replace(F.replace(safe, F.lit("\n"), F.lit("<text:line-break/>")), F.lit("\t"), F.lit("<text:tab/>"))
 
 
-def _hwpx_text(text: Column) -> Column:
+def hwpx_text(text: Column) -> Column:
     inner = F.replace(F.replace(escape(xml_safe(text)), F.lit("\n"), F.lit("<hp:lineBreak/>")), F.lit("\t"), F.lit("<hp:tab/>"))
     return F.concat(F.lit("<hp:t>"), inner, F.lit("</hp:t>"))
 
@@ -61,7 +74,7 @@ def docx_run(text: Column, bold: Column, italic: Column, color: Column, size: Co
     tint = F.coalesce(F.concat(F.lit('<w:color w:val="'), F.substring(color, 2, 6), F.lit('"/>')), F.lit(""))
     pts = F.coalesce(F.concat(F.lit('<w:sz w:val="'), F.round(size * 2).cast("int"), F.lit('"/>')), F.lit(""))
     props = F.concat(flag(bold, "<w:b/>"), flag(italic, "<w:i/>"), tint, pts)
-    return F.concat(F.lit("<w:r>"), F.when(props != "", F.concat(F.lit("<w:rPr>"), props, F.lit("</w:rPr>"))).otherwise(""), _docx_text(text), F.lit("</w:r>"))
+    return F.concat(F.lit("<w:r>"), F.when(props != "", F.concat(F.lit("<w:rPr>"), props, F.lit("</w:rPr>"))).otherwise(""), docx_text(text), F.lit("</w:r>"))
 
 
 def _block(kind: str, tag: Column, inner: Column) -> Column:
@@ -76,17 +89,17 @@ def _block(kind: str, tag: Column, inner: Column) -> Column:
 
 
 _BODY = {
-    "docx": ("word/document.xml", XML + f"<w:document {_W}><w:body>", '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr></w:body></w:document>', DOCX),
-    "odt": ("content.xml", XML + f'<office:document-content {_ODF} office:version="1.2"><office:body><office:text>', "</office:text></office:body></office:document-content>", ODT),
-    "hwpx": ("Contents/section0.xml", XML + f"<hs:sec {_HP}>", "</hs:sec>", HWPX),
+    "docx": ("word/document.xml", XML + f"<w:document {W_NS}><w:body>", '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr></w:body></w:document>', DOCX),
+    "odt": ("content.xml", XML + f'<office:document-content {ODF_NS} office:version="1.2"><office:body><office:text>', "</office:text></office:body></office:document-content>", ODT),
+    "hwpx": ("Contents/section0.xml", XML + f"<hs:sec {HP_NS}>", "</hs:sec>", HWPX),
 }
 
 
-def zipped(parts: dict[str, str], name: str, body: str) -> bytes:
+def zipped(parts: dict[str, str]) -> bytes:
     """A package: mimetype first and stored, all else deflated; equal input gives equal bytes."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        for path, text in sorted({**parts, name: body}.items(), key=lambda p: (p[0] != "mimetype", p[0])):
+        for path, text in sorted(parts.items(), key=lambda p: (p[0] != "mimetype", p[0])):
             info = zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0))
             info.compress_type = zipfile.ZIP_STORED if path == "mimetype" else zipfile.ZIP_DEFLATED
             z.writestr(info, text.encode("utf-8"))
@@ -96,7 +109,7 @@ def zipped(parts: dict[str, str], name: str, body: str) -> bytes:
 def write(blocks: DataFrame, kind: str) -> DataFrame:
     """(doc_id, content): a package of the format for every document's blocks (doc_id, ord, tag, text)."""
     own = {c: F.col(c) if c in blocks.columns else F.lit(None).cast(t) for c, t in (("bold", "boolean"), ("italic", "boolean"), ("color", "string"), ("size", "double"))}
-    inner = docx_run(F.col("text"), **own) if kind == "docx" else _odt_text(F.col("text")) if kind == "odt" else _hwpx_text(F.col("text"))
+    inner = docx_run(F.col("text"), **own) if kind == "docx" else odt_text(F.col("text")) if kind == "odt" else hwpx_text(F.col("text"))
     each = blocks.select("doc_id", "ord", _block(kind, F.col("tag"), inner).alias("xml"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "xml"))), lambda b: b["xml"]), "")
     return package_body(each.groupBy("doc_id").agg(body.alias("xml")), kind)
@@ -108,7 +121,7 @@ def package_body(bodies: DataFrame, kind: str) -> DataFrame:
 
     @F.pandas_udf("binary")
     def pack(xml: pd.Series) -> pd.Series:
-        return xml.map(lambda body: zipped(parts, name, body))
+        return xml.map(lambda body: zipped({**parts, name: body}))
 
     return bodies.select("doc_id", pack(F.concat(F.lit(before), F.col("xml"), F.lit(after))).alias("content"))
 

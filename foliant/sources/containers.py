@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -103,8 +104,9 @@ def with_format(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("_names", entry_names(F.col(content))).withColumn("format", F.when(zipped, by_marker).when(compound & F.coalesce(word, F.lit(False)), "doc").when(compound, "hwp")).drop("_names")
 
 
-def zip_entries(files: DataFrame, parts: list[str] | None = None, content: str = "content") -> DataFrame:
-    """One row per entry (of the named parts, if given); a damaged package gives one row with an error."""
+def zip_entries(files: DataFrame, parts: list[str] | str | None = None, content: str = "content") -> DataFrame:
+    """One row per entry (of the named parts, or those that match a pattern); a damaged package gives one row with an error."""
+    wanted = (lambda name: True) if parts is None else re.compile(parts).fullmatch if isinstance(parts, str) else frozenset(parts).__contains__
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -112,7 +114,7 @@ def zip_entries(files: DataFrame, parts: list[str] | None = None, content: str =
             for doc_id, data in zip(pdf["doc_id"], pdf[content]):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(data))
-                    rows += [(doc_id, i.filename, k, i.compress_type, z.read(i), None) for k, i in enumerate(z.infolist()) if parts is None or i.filename in parts]
+                    rows += [(doc_id, i.filename, k, i.compress_type, z.read(i), None) for k, i in enumerate(z.infolist()) if wanted(i.filename)]
                 except Exception as e:
                     rows.append((doc_id, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")]).astype({"ord": "Int32", "method": "Int32"})

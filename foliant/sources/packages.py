@@ -82,7 +82,7 @@ def docx_properties(nodes: DataFrame, owner: str) -> DataFrame:
     """(doc_id, part, node, bold, italic, underline, color, size) of the rPr under each node named `owner`."""
     rpr = nodes.filter("name = 'rPr'").select("doc_id", "part", F.col("node_id").alias("rpr"), F.col("parent_id").alias("node"))
     own = nodes.filter(F.col("name") == owner).select("doc_id", "part", F.col("node_id").alias("node"))
-    props = _children(nodes, "rpr", ["b", "i", "u", "color", "sz", "rStyle"])
+    props = _children(nodes, "rpr", ["b", "i", "u", "strike", "color", "sz", "rFonts", "vertAlign", "rStyle"])
     val = attr("val")
     pick = lambda name, value: F.max(F.when(F.col("name") == name, value))
     out = rpr.join(own, ["doc_id", "part", "node"]).join(props, ["doc_id", "part", "rpr"])
@@ -92,11 +92,16 @@ def docx_properties(nodes: DataFrame, owner: str) -> DataFrame:
         pick("u", _on(val)).alias("underline"),
         pick("color", color.six_digits(val)).alias("color"),
         pick("sz", units.half_points_to_units(val.try_cast("int"))).alias("size"),
+        pick("strike", _on(val)).alias("strike"),
+        pick("rFonts", F.coalesce(attr("eastAsia"), attr("ascii"), attr("hAnsi"))).alias("font"),
+        pick("vertAlign", F.when(val == "superscript", "super").when(val == "subscript", "sub")).alias("position"),
         pick("rStyle", val).alias("rstyle"),
     )
 
 
-FORMAT = ["bold", "italic", "underline", "color", "size"]
+FORMAT = ["bold", "italic", "underline", "strike", "color", "size", "font", "position"]
+#: What a run is that says nothing.
+DEFAULT = {"bold": False, "italic": False, "underline": False, "strike": False, "color": "#000000", "size": 1000}
 
 
 def docx_styles(files: DataFrame) -> DataFrame:
@@ -123,8 +128,7 @@ def docx_runs(files: DataFrame) -> DataFrame:
     out = runs.join(words, ["doc_id", "part", "node"]).join(direct, ["doc_id", "part", "node"], "left")
     out = out.join(ppr.join(pstyle, ["doc_id", "part", "ppr"]).drop("ppr"), ["doc_id", "part", "block_id"], "left")
     out = out.join(renamed("r"), ["doc_id", "rstyle"], "left").join(renamed("p"), ["doc_id", "pstyle"], "left")
-    default = {"bold": F.lit(False), "italic": F.lit(False), "underline": F.lit(False), "color": F.lit("#000000"), "size": F.lit(1000)}
-    return out.select("doc_id", F.col("block_id").alias("block"), F.col("node").alias("run"), "text", *[F.coalesce(c, f"r_{c}", f"p_{c}", default[c]).alias(c) for c in FORMAT])
+    return out.select("doc_id", F.col("block_id").alias("block"), F.col("node").alias("run"), "text", *[F.coalesce(c, f"r_{c}", f"p_{c}", *([F.lit(DEFAULT[c])] if c in DEFAULT else [])).alias(c) for c in FORMAT])
 
 
 def docx_sections(files: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def _attr(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name))
 
 
-ODT_VALUES = ["bold", "italic", "underline", "color", "size", "position", "align", "left", "first_line"]
+ODT_VALUES = ["bold", "italic", "underline", "strike", "color", "size", "font", "position", "align", "left", "first_line", "page_break"]
 
 
 def odt_styles(files: DataFrame) -> DataFrame:
@@ -32,6 +32,9 @@ def odt_styles(files: DataFrame) -> DataFrame:
         pick(F.when(weight.isNotNull(), (weight == "bold") | F.coalesce(weight.try_cast("int") >= 600, F.lit(False)))).alias("bold"),
         pick(_attr("font-style") == "italic").alias("italic"),
         pick(F.when(line.isNotNull(), line != "none")).alias("underline"),
+        pick(F.when(_attr("text-line-through-style").isNotNull(), _attr("text-line-through-style") != "none")).alias("strike"),
+        pick(F.coalesce(_attr("font-family"), _attr("font-name"))).alias("font"),
+        pick(F.when(_attr("break-before").isNotNull(), _attr("break-before") == "page")).alias("page_break"),
         pick(color.to_hex(_attr("color"))).alias("color"),
         pick(units.odf_length(_attr("font-size"))).alias("size"),
         pick(text.text_position(_attr("text-position"))).alias("position"),
@@ -60,15 +63,24 @@ def hwpx_shapes(files: DataFrame) -> dict[str, DataFrame]:
     """char(doc_id, ref, size, color, bold, italic), para(doc_id, ref, align, left, first_line): margins of a `case` branch
     are passed over for the default's."""
     nodes = written(xml_nodes(zip_entries(files, ["Contents/header.xml"]), []), "nodes")
-    flags = nodes.filter("name in ('bold', 'italic')").groupBy("doc_id", F.col("parent_id").alias("node")).agg(F.bool_or(F.col("name") == "bold").alias("bold"), F.bool_or(F.col("name") == "italic").alias("italic"))
+    fonts = nodes.filter("name = 'font' and parent_name = 'fontface'").select("doc_id", _attr("id").alias("f"), F.col("parent_id"), _attr("face").alias("font"))
+    faces = nodes.filter("name = 'fontface'").filter(_attr("lang") == "HANGUL").select("doc_id", F.col("node_id").alias("parent_id"))
+    fonts = fonts.join(faces, ["doc_id", "parent_id"]).select("doc_id", "f", "font")
+    has = lambda n: F.bool_or(F.col("name") == n)
+    drawn = lambda n, key: F.bool_or((F.col("name") == n) & ~F.coalesce(_attr(key), F.lit("NONE")).isin("NONE", "3D"))
+    flags = nodes.filter("parent_name = 'charPr'").groupBy("doc_id", F.col("parent_id").alias("node")).agg(
+        has("bold").alias("bold"), has("italic").alias("italic"), drawn("underline", "type").alias("underline"), drawn("strikeout", "shape").alias("strike"), F.when(has("supscript"), "super").when(has("subscript"), "sub").alias("position"),
+        F.max(F.when(F.col("name") == "fontRef", _attr("hangul"))).alias("f"),
+    )
+    flags = flags.join(fonts, ["doc_id", "f"], "left").drop("f")
     char = nodes.filter("name = 'charPr'").select("doc_id", F.col("node_id").alias("node"), _attr("id").alias("ref"), _attr("height").try_cast("int").alias("size"), color.six_digits(_attr("textColor")).alias("color"))
-    char = char.join(flags, ["doc_id", "node"], "left").select("doc_id", "ref", F.coalesce("size", F.lit(1000)).alias("size"), F.coalesce("color", F.lit("#000000")).alias("color"), F.coalesce("bold", F.lit(False)).alias("bold"), F.coalesce("italic", F.lit(False)).alias("italic"))
+    char = char.join(flags, ["doc_id", "node"], "left").select("doc_id", "ref", F.coalesce("size", F.lit(1000)).alias("size"), F.coalesce("color", F.lit("#000000")).alias("color"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("bold", "italic", "underline", "strike")], "font", "position")
     para = nodes.filter("name = 'paraPr'").select("doc_id", F.col("node_id").alias("node"), _attr("id").alias("ref"))
     w = W.partitionBy("doc_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, 0)
     inner = nodes.withColumn("node", F.last(F.when(F.col("name") == "paraPr", F.col("node_id")), ignorenulls=True).over(w)).filter(F.col("path").contains("paraPr") & ~F.col("path").rlike("(^|> )case"))
     value = _attr("value").try_cast("int")
-    margins = inner.groupBy("doc_id", "node").agg(F.max(F.when(F.col("name") == "align", F.lower(_attr("horizontal")))).alias("align"), F.max(F.when(F.col("name") == "left", value)).alias("left"), F.max(F.when(F.col("name") == "intent", value)).alias("first_line"))
-    return {"char": char, "para": para.join(margins, ["doc_id", "node"], "left").select("doc_id", "ref", "align", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("first_line", F.lit(0)).alias("first_line"))}
+    margins = inner.groupBy("doc_id", "node").agg(F.max(F.when(F.col("name") == "align", F.lower(_attr("horizontal")))).alias("align"), F.max(F.when(F.col("name") == "left", value)).alias("left"), F.max(F.when(F.col("name") == "intent", value)).alias("first_line"), *[F.max(F.when(F.col("name") == "heading", _attr(k))).alias(n) for k, n in (("type", "kind"), ("idRef", "list_ref"), ("level", "level"))])
+    return {"char": char, "para": para.join(margins, ["doc_id", "node"], "left").select("doc_id", "ref", "align", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("first_line", F.lit(0)).alias("first_line"), "kind", "list_ref", F.col("level").try_cast("int").alias("level"))}
 
 
 def hwpx_runs(files: DataFrame) -> DataFrame:

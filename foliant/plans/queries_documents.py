@@ -199,3 +199,55 @@ def table_roundtrip_odt(spark, sf):
 @query(_TABLES_SQL)
 def table_roundtrip_hwpx(spark, sf):
     return _table_roundtrip(spark, sf, "hwpx")
+
+
+# ---- the IR
+
+
+@query(_STYLED_SQL)
+def ir_document_roundtrip(spark, sf):
+    """Written as IR pages and read back."""
+    from foliant.plans import document_ir
+
+    runs = document_ir.read_ir(document_ir.emit_document(_styled(spark, sf))).runs
+    return runs.select("doc_id", "ord", "run", "text", "bold", "italic", "underline", "strike", "color", F.round(F.col("size") * 100).cast("int").alias("size"), "font", "position", "link")
+
+
+@query(_LISTS_SQL)
+def ir_list_roundtrip(spark, sf):
+    from foliant.plans import document_ir
+
+    back = document_ir.read_ir(document_ir.emit_document(_listed(spark, sf)))
+    texts = back.runs.groupBy("doc_id", "ord").agg(F.first("text").alias("text"))
+    return back.blocks.join(texts, ["doc_id", "ord"]).select("doc_id", "ord", "tag", "text", "level", "ordered", "numbered")
+
+
+_TO_IR_SQL = """
+SELECT c_nationkey::BIGINT AS doc_id, 0::BIGINT AS violations, md5(string_agg(c_name, '|' ORDER BY c_custkey)) AS text_md5 FROM customer GROUP BY 1"""
+
+
+def _package_to_ir(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Packages of lists and headings read to IR pages: these keep every rule, and the blocks' texts in order."""
+    from foliant.plans import document_ir, ir
+    from foliant.sources import markup
+
+    pages = written(document_ir.to_ir(sink.write(_listed(spark, sf), kind), kind), "pages")
+    bad = ir.validate(markup.html_nodes(pages, "doc_id")).groupBy("doc_id").agg(F.count("*").alias("violations"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "|")
+    back = document_ir.read_ir(pages).runs.groupBy("doc_id").agg(F.md5(text.cast("binary")).alias("text_md5"))
+    return back.join(bad, "doc_id", "left").select("doc_id", F.coalesce("violations", F.lit(0)).alias("violations"), "text_md5")
+
+
+@query(_TO_IR_SQL)
+def docx_to_ir(spark, sf):
+    return _package_to_ir(spark, sf, "docx")
+
+
+@query(_TO_IR_SQL)
+def odt_to_ir(spark, sf):
+    return _package_to_ir(spark, sf, "odt")
+
+
+@query(_TO_IR_SQL)
+def hwpx_to_ir(spark, sf):
+    return _package_to_ir(spark, sf, "hwpx")

@@ -113,20 +113,35 @@ def _list_shape(blocks: DataFrame) -> DataFrame:
     return marked.withColumn("_before", F.coalesce(F.lag(level).over(w), F.lit(-1))).withColumn("_last", F.lead(level).over(w).isNull()).withColumn("_level", level)
 
 
-def nested_lists(blocks: DataFrame, open_list: Column, close_list: str, open_item: Column | str, close_item: str) -> DataFrame:
+#: Levels of a list that may have an element of their own kind; deeper ones are closed like the last of these.
+LEVELS = 16
+
+
+def nested_lists(blocks: DataFrame, open_list: Column, close_list: str | tuple[Column, str, str], open_item: Column | str, close_item: str) -> DataFrame:
     """blocks with the xml of list items put into lists: levels open and close between neighbours, by windows alone.
 
-    A deeper item stands inside the item before it; a jump of several levels opens empty ones.
+    A deeper item stands inside the item before it; a jump of several levels opens
+    empty ones. close_list is one end tag, or (kind, tag, other tag): then a level
+    closes by the kind of the item that opened it.
     """
     shaped = _list_shape(blocks)
     item = open_item if isinstance(open_item, Column) else F.lit(open_item)
     level, before = F.col("_level"), F.col("_before")
+    if isinstance(close_list, str):
+        closers = F.array_repeat(F.lit(close_list), LEVELS)
+    else:
+        kind, yes, no = close_list
+        w = W.partitionBy("doc_id", "band", "_run").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+        opened_by = [F.last(F.when((before < k) & (level >= k), kind), ignorenulls=True).over(w) for k in range(LEVELS)]
+        shaped = shaped.withColumn("_closers", F.array(*[F.when(F.coalesce(o, F.lit(False)), yes).otherwise(no) for o in opened_by]))
+        closers = F.col("_closers")
+    close = lambda k: F.concat(F.lit(close_item), F.element_at(closers, F.least(k, F.lit(LEVELS - 1)) + 1))
+    down = lambda high, low: F.array_join(F.transform(F.filter(F.sequence(F.greatest(high, low), low, F.lit(-1)), lambda k: k <= high), close), "")
     opened = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(level - before, F.lit(1))), lambda i: F.concat(open_list, item)), "")
-    back = F.repeat(F.lit(close_list + close_item), F.greatest(before - level, F.lit(0)))
-    start = F.when(level > before, opened).otherwise(F.concat(F.lit(close_item), back, item))
-    end = F.when(F.col("_last"), F.repeat(F.lit(close_item + close_list), level + 1)).otherwise("")
+    start = F.when(level > before, opened).otherwise(F.concat(down(before, level + 1), F.lit(close_item), item))
+    end = F.when(F.col("_last"), down(level, F.lit(0))).otherwise("")
     xml = F.when(F.col("_list").isNotNull(), F.concat(start, F.col("xml"), end)).otherwise(F.col("xml"))
-    return shaped.withColumn("xml", xml).drop("_list", "_run", "_before", "_last", "_level")
+    return shaped.withColumn("xml", xml).drop("_list", "_run", "_before", "_last", "_level", "_closers")
 
 
 # ---- docx

@@ -24,3 +24,22 @@ def test_document(spark, kind):
     assert sorted((r.row, r.col, r.row_span, r.col_span, r.text) for r in back.cells.collect()) == [(0, 0, 2, 1, "a&b"), (0, 1, 1, 1, ""), (1, 1, 1, 1, "c")]
     four = [(r.text, r.bold, r.note) for r in back.runs.filter("doc_id = 1 and ord = 4").orderBy("run").collect()]
     assert four == [(said(4), True, None), ("", four[1][1], 7), (" end", False, None)]
+
+
+def test_ir_of_mixed_lists_and_tables(spark):
+    from foliant.plans import document_ir
+
+    levels = [(0, False), (1, True), (2, False), (1, True), (0, False), (3, True), (1, False)]
+    rows = [(1, k, "li", 1, level, ordered) for k, (level, ordered) in enumerate(levels)] + [(1, 7, "table", None, None, None), (1, 8, "p", None, None, None)]
+    blocks = spark.createDataFrame(rows, "doc_id long, ord int, tag string, list_id int, level int, ordered boolean")
+    runs = spark.createDataFrame([(1, k, 0, f"t{k} <&>", None) for k in (*range(7), 8)] + [(1, 8, 1, "", 3)], "doc_id long, ord int, run int, text string, note int")
+    cells = spark.createDataFrame([(1, 7, 0, 0, 2, 1, 80.0, "a&b"), (1, 7, 0, 1, 1, 1, 80.0, ""), (1, 7, 1, 1, 1, 1, 80.0, "c")], "doc_id long, ord int, row int, col int, row_span int, col_span int, width double, text string")
+    pages = document_ir.emit_document(Document(blocks, runs, cells, spark.createDataFrame([(1, 3, "body")], "doc_id long, note int, text string")))
+    html = pages.first()["html"]
+    assert html.count("<ol>") == html.count("</ol>") and html.count("<ul>") == html.count("</ul>")
+    back = document_ir.read_ir(pages)
+    got = [(r.level, r.ordered) for r in back.blocks.filter("tag = 'li' ").orderBy("ord").collect()]
+    # the jump from level 0 to 3 opens two empty items on the way
+    assert got == [(0, False), (1, True), (2, False), (1, True), (0, False), (1, True), (2, True), (3, True), (1, True)]
+    assert sorted((r.row, r.col, r.row_span, r.col_span, r.text) for r in back.cells.collect()) == [(0, 0, 2, 1, "a&b"), (0, 1, 1, 1, ""), (1, 1, 1, 1, "c")]
+    assert [(r.note, r.text) for r in back.notes.collect()] == [(3, "body")]

@@ -156,6 +156,12 @@ def visible_text(nodes: DataFrame) -> DataFrame:
     return texts.join(tags, ["doc_id", "block_id"])
 
 
+def as_json(blocks: DataFrame) -> DataFrame:
+    """(doc_id, json): the blocks of each document as one array of objects, in order, without what they do not say."""
+    rows = F.array_sort(F.collect_list(F.struct("ord", *[c for c in blocks.columns if c not in ("doc_id", "ord")])))
+    return blocks.groupBy("doc_id").agg(F.to_json(rows).alias("json"))
+
+
 def vocabulary_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The contract as tables: elements, their attributes, style properties."""
     return {

@@ -98,9 +98,10 @@ def table_cells(nodes: DataFrame, base_pt: float = 400.0) -> DataFrame:
 def bands(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, band): elements of headers and footers, those that pages repeat aside."""
     band = F.regexp_extract("path", r"(?:^|> )doc-(header|footer)", 1)
-    clones = nodes.filter(_attr("data-pg").isNotNull()).select("doc_id", F.col("path").alias("_clone")).distinct()
-    inside = nodes.filter(band != "").select("doc_id", "node_id", "name", band.alias("band"), "path")
-    return inside.join(clones, (inside["doc_id"] == clones["doc_id"]) & inside["path"].startswith(clones["_clone"]), "left_anti").drop("path")
+    clones = nodes.filter(_attr("data-pg").isNotNull()).select("doc_id", F.col("node_id").alias("anc_id"))
+    inside = nodes.filter(band != "").select("doc_id", "node_id", "name", band.alias("band"))
+    repeated = ancestors(nodes).join(clones, ["doc_id", "anc_id"]).select("doc_id", "node_id").distinct()
+    return inside.join(repeated, ["doc_id", "node_id"], "left_anti")
 
 
 def uses_outline(nodes: DataFrame) -> DataFrame:

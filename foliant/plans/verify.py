@@ -48,3 +48,29 @@ def style_flags(runs: DataFrame) -> DataFrame:
     red = F.col("color").rlike("(?i)^#(?:C0|D0|E0|F0|FF)[0-3][0-9A-F][0-3][0-9A-F]$")
     has = lambda c, n: F.bool_or(F.coalesce(c, F.lit(False))).alias(n)
     return runs.groupBy("doc_id").agg(has(F.col("bold"), "any_bold"), has(F.col("italic"), "any_italic"), has(F.col("underline"), "any_underline"), has(red, "any_red"), has(F.col("size") >= 1400, "any_big"))
+
+
+def docx_invariants(files: DataFrame) -> DataFrame:
+    """(doc_id, rule, n): what no docx may have, whatever its content: cells without a paragraph, paragraphs that do not end
+    a cell, lists without a definition, links without a relationship, rows of other widths than their table's first."""
+    from foliant.session import written
+    from foliant.sources.document import docx_lists, docx_relations
+
+    attr = lambda n: F.try_element_at("attrs", F.lit(n))
+    nodes = written(xml_nodes(zip_entries(files, ["word/document.xml"]), []), "nodes")
+    of = lambda name: nodes.filter(F.col("name") == name)
+    cells = of("tc").select("doc_id", F.col("node_id").alias("parent_id"))
+    empty = cells.join(of("p").select("doc_id", "parent_id"), ["doc_id", "parent_id"], "left_anti")
+    nums = of("numId").select("doc_id", attr("val").alias("num")).filter("num <> '0'")
+    undefined = nums.join(docx_lists(files).select("doc_id", "num").distinct(), ["doc_id", "num"], "left_anti")
+    links = of("hyperlink").select("doc_id", attr("id").alias("rid")).filter("rid is not null")
+    dangling = links.join(docx_relations(files).select("doc_id", "rid").distinct(), ["doc_id", "rid"], "left_anti")
+    spans = of("gridSpan").select("doc_id", F.col("parent_id").alias("pr"), attr("val").try_cast("int").alias("span"))
+    props = of("tcPr").select("doc_id", F.col("node_id").alias("pr"), F.col("parent_id").alias("cell")).join(spans, ["doc_id", "pr"])
+    rows = of("tc").select("doc_id", F.col("node_id").alias("cell"), F.col("parent_id").alias("tr")).join(props, ["doc_id", "cell"], "left").groupBy("doc_id", "tr").agg(F.sum(F.coalesce("span", F.lit(1))).alias("width"))
+    widths = of("tr").select("doc_id", F.col("node_id").alias("tr"), F.col("parent_id").alias("tbl")).join(rows, ["doc_id", "tr"]).groupBy("doc_id", "tbl").agg(F.count_distinct("width").alias("widths")).filter("widths > 1")
+    out = None
+    for rule, found in (("cell without a paragraph", empty), ("list without a definition", undefined), ("link without a relationship", dangling), ("rows of different widths", widths)):
+        one = found.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(rule).alias("rule"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -23,6 +23,7 @@ LONG_UNIT = 64
 _ODD = re.compile(r" (?=\s)| $")
 _CUT = re.compile(r" (?=\S)")
 _TAIL = ".,!?;:#$%&*|"
+_MARKS = frozenset(_TAIL)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -74,8 +75,11 @@ class Encoder:
         """Put units into the cache. A mark after a letter begins a new token, so marks at a unit's end go apart."""
         known, parts, cores, tails = self.cache, [], set(), set()
         for unit in units:
+            if unit[-1:] not in _MARKS:
+                cores.add(unit)
+                continue
             core = unit.rstrip(_TAIL)
-            if len(core) < len(unit) and core and core[-1].isalpha():
+            if core and core[-1].isalpha():
                 tail = unit[len(core) :]
                 parts.append((unit, core, tail))
                 cores.add(core)
@@ -83,7 +87,8 @@ class Encoder:
             else:
                 cores.add(unit)
         cores = cores.difference(known)
-        plain = [u for u in cores if u.split() == [u]] if self.newline is not None else []
+        # printable units without a space have no white space at all
+        plain = [u for u in cores if u.isprintable() and " " not in u and u] if self.newline is not None else []
         width = self.dtype.itemsize
         for i in range(0, len(plain), 4096):
             # one text of many units: a newline between them is a token of its own, and no unit holds one

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, html_text, line_crf, oracle, packing, quality_rules, secrets, simhash, suffix_dedup, token_records, toxicity
+from foliant.llm import decontaminate, fill_middle, html_text, language_id, line_crf, oracle, packing, quality_rules, secrets, simhash, suffix_dedup, token_records, toxicity, vector_codes
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_crf": line_crf.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_simhash_pigeonhole": simhash.op10,
+    "op11_language_bitmasks": language_id.op11,
+    "op12_vector_codes": vector_codes.op12,
+    "op13_fill_middle": fill_middle.op13,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_credential_linking": oracle.SECRETS_SQL,
     "op6_winnowing": oracle.DECONTAMINATE_SQL,
+    "op12_vector_codes": vector_codes.VECTOR_CODES_SQL,
 }

@@ -9,16 +9,12 @@ from pyspark.sql import functions as F
 from foliant.functions import text
 
 
-def outline_numbers(headings: DataFrame, by: list[str], order: str, level: str = "level", levels: int = 6) -> DataFrame:
-    """Adds n and label: the count of a heading among those of its level since the last shallower one."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out, n = headings, F.lit(None).cast("long")
-    for k in range(1, levels + 1):
-        out = out.withColumn(f"_up{k}", F.count(F.when(F.col(level) < k, 1)).over(w))
-        inner = W.partitionBy(*by, f"_up{k}").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-        n = F.when(F.col(level) == k, F.count(F.when(F.col(level) == k, 1)).over(inner)).otherwise(n)
-    out = out.withColumn("n", n)
-    return out.withColumn("label", text.outline_label(F.col(level), F.col("n"))).drop(*[f"_up{k}" for k in range(1, levels + 1)])
+def outline_numbers(headings: DataFrame, by: list[str], order: str, level: str = "level") -> DataFrame:
+    """Adds n and label: the count of a heading among those of its level since the last shallower one, at any level."""
+    nested = list_nesting(headings, by, order, level, "_above")
+    w = W.partitionBy(*by, level, "_above").orderBy(order)
+    out = nested.withColumn("n", F.row_number().over(w).cast("long")).drop("_above")
+    return out.withColumn("label", text.outline_label(F.col(level), F.col("n")))
 
 
 def list_numbers(items: DataFrame, instance: list[str], order: str, parent: str | None = None) -> DataFrame:
@@ -27,14 +23,19 @@ def list_numbers(items: DataFrame, instance: list[str], order: str, parent: str
     return items.withColumn("n", F.row_number().over(w).cast("long"))
 
 
-def list_nesting(items: DataFrame, by: list[str], order: str, level: str = "level", levels: int = 9) -> DataFrame:
-    """Adds parent: the place of the last item of a smaller level (null for none), without a walk over the list."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    parent = F.lit(None).cast(items.schema[order].dataType)
-    last = [F.max(F.when(F.col(level) <= k, F.col(order))).over(w) for k in range(levels)]
-    for k in range(1, levels):
-        parent = F.when(F.col(level) == k, last[k - 1]).otherwise(parent)
-    return items.withColumn("parent", parent)
+def list_nesting(items: DataFrame, by: list[str], order: str, level: str = "level", name: str = "parent") -> DataFrame:
+    """Adds parent: the place of the last item of a smaller level (null for none), however deep the levels go.
+
+    Every item asks each smaller level of its group for the last item before it, and the latest answer is the parent:
+    windows by level, without a walk over the list. `order` tells the items of a group apart.
+    """
+    ranks = items.select(*by, order, F.dense_rank().over(W.partitionBy(*by).orderBy(level)).alias("_rank"))
+    own = ranks.select(*by, order, F.col("_rank").alias("_level"), F.lit(1).alias("_own"))
+    asks = ranks.filter("_rank > 1").select(*by, order, F.explode(F.sequence(F.lit(1), F.col("_rank") - 1)).alias("_level"), F.lit(0).alias("_own"))
+    w = W.partitionBy(*by, "_level").orderBy(order, "_own").rowsBetween(W.unboundedPreceding, -1)
+    answers = own.unionByName(asks).withColumn(name, F.last(F.when(F.col("_own") == 1, F.col(order)), ignorenulls=True).over(w))
+    parents = answers.filter("_own = 0").groupBy(*by, order).agg(F.max(name).alias(name))
+    return items.join(parents, [*by, order], "left").select(*items.columns, name)
 
 
 def footnote_numbers(refs: DataFrame, by: list[str], order: list[str]) -> DataFrame:

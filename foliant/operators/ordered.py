@@ -117,17 +117,18 @@ def closure(seeds: DataFrame, edges: DataFrame, plain_rounds: int = 6) -> DataFr
         jump = written(jump.unionByName(longer).distinct(), "jumps")
 
 
-def inherit(styles: DataFrame, values: list[str], by: list[str], depth: int = 12) -> DataFrame:
+def inherit(styles: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     """Styles with what they do not say taken from their nearest ancestor that does (columns style, parent).
 
-    The style table is small beside the text that uses it, so it is resolved once per style; each round doubles
-    the distance that is known, so `depth` levels take log2(depth) joins.
+    The style table is small beside the text that uses it, so it is resolved once per style. Each round doubles the
+    distance that is known and is a written table of its own, until no style has an ancestor left to ask. A chain cannot
+    be longer than its group has styles: what goes on after that is a cycle, in which every style has asked all others.
     """
-    known = styles.select(*by, "style", "parent", *values)
-    reach = 1
-    while reach <= depth:
+    known, reach = written(styles.select(*by, "style", "parent", *values), "inherit"), 1
+    most = known.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    while reach < most and not known.filter("parent is not null").isEmpty():
         up = known.select(*by, F.col("style").alias("parent"), F.col("parent").alias("_next"), *[F.col(v).alias(f"_{v}") for v in values])
-        known = known.join(up, [*by, "parent"], "left").select(*by, "style", F.col("_next").alias("parent"), *[F.coalesce(v, f"_{v}").alias(v) for v in values])
+        known = written(known.join(up, [*by, "parent"], "left").select(*by, "style", F.col("_next").alias("parent"), *[F.coalesce(v, f"_{v}").alias(v) for v in values]), "inherit")
         reach *= 2
     return known.drop("parent")
 

@@ -181,17 +181,18 @@ def replace_all(spark, sf):
 WITH h AS (SELECT r_regionkey AS r, 0 AS n, 0 AS s, 1 AS level, r_name AS title FROM region
  UNION ALL SELECT n_regionkey, n_nationkey + 1, 0, 2, n_name FROM nation
  UNION ALL SELECT n_regionkey, n_nationkey + 1, s_suppkey, 3, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-c AS (SELECT level, title, CASE level WHEN 1 THEN dense_rank() OVER (PARTITION BY level ORDER BY r) WHEN 2 THEN row_number() OVER (PARTITION BY level, r ORDER BY n) ELSE row_number() OVER (PARTITION BY level, r, n ORDER BY s) END AS n FROM h),
+c AS (SELECT level, title, CASE level WHEN 1 THEN 1 WHEN 2 THEN row_number() OVER (PARTITION BY level, r ORDER BY n) ELSE row_number() OVER (PARTITION BY level, r, n ORDER BY s) END AS n FROM h),
 k AS (SELECT ['가','나','다','라','마','바','사','아','자','차','카','타','파','하'] AS g)
 SELECT level, title, n::BIGINT AS n, CASE level WHEN 1 THEN n || '.' WHEN 2 THEN (CASE WHEN n <= 14 THEN g[n] ELSE g[((n - 1) // 14 - 1) % 14 + 1] || g[(n - 1) % 14 + 1] END) || '.' ELSE n || ')' END AS label FROM c, k""")
 def outline_numbers(spark, sf):
+    """A document for every region: its nations are the second level, their suppliers the third."""
     r, n, s = (table(spark, sf, t) for t in ("region", "nation", "supplier"))
     key = lambda *k: F.format_string("%06d-%06d-%09d", *k)
     zero = F.lit(0)
     heads = r.select(key(F.col("r_regionkey"), zero, zero).alias("path"), F.lit(1).alias("level"), F.col("r_name").alias("title"))
     heads = heads.unionByName(n.select(key(F.col("n_regionkey"), F.col("n_nationkey") + 1, zero).alias("path"), F.lit(2).alias("level"), F.col("n_name").alias("title")))
-    deep = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(key(F.col("n_regionkey"), F.col("n_nationkey") + 1, F.col("s_suppkey")).alias("path"), F.lit(3).alias("level"), F.col("s_name").alias("title"))
-    return numbering.outline_numbers(heads.unionByName(deep).withColumn("doc", F.lit(0)), ["doc"], "path").select("level", "title", "n", "label")
+    deep = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(key(F.col("n_regionkey"), F.col("n_nationkey") + 1, F.col("s_suppkey") + 1).alias("path"), F.lit(3).alias("level"), F.col("s_name").alias("title"))
+    return numbering.outline_numbers(heads.unionByName(deep).withColumn("doc", F.substring("path", 1, 6)), ["doc"], "path").select("level", "title", "n", "label")
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem")
@@ -206,7 +207,7 @@ LEFT JOIN (SELECT l_orderkey, l_linenumber, (min(l_partkey) % 3)::INTEGER AS lev
 GROUP BY ALL""")
 def list_nesting(spark, sf):
     items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_partkey") % 3).cast("int").alias("level"))
-    return numbering.list_nesting(items, ["l_orderkey"], "l_linenumber", levels=3)
+    return numbering.list_nesting(items, ["l_orderkey"], "l_linenumber")
 
 
 @query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R'""")
@@ -299,9 +300,10 @@ def grid_columns(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS t, l_linenumber AS k, l_quantity::BIGINT * 10 AS a, l_quantity::BIGINT * 10 + l_linenumber * 5 AS b FROM lineitem),
-e AS (SELECT t, edge, row_number() OVER (PARTITION BY t ORDER BY edge) - 1 AS rank FROM (SELECT t, a AS edge FROM c UNION SELECT t, b FROM c))
-SELECT c.t, c.k, x.rank AS col, y.rank - x.rank AS col_span FROM c JOIN e x ON c.t = x.t AND c.a = x.edge JOIN e y ON c.t = y.t AND c.b = y.edge""")
+WITH c AS (SELECT row_number() OVER () AS cell, l_orderkey AS t, l_linenumber AS k, l_quantity::BIGINT * 10 AS q FROM lineitem),
+e AS (SELECT cell, t, k, 0 AS side, q AS edge FROM c UNION ALL SELECT cell, t, k, 1, q + k * 5 FROM c),
+r AS (SELECT cell, t, k, side, dense_rank() OVER (PARTITION BY t ORDER BY edge) - 1 AS rank FROM e)
+SELECT t, k, min(rank) AS col, max(rank) - min(rank) AS col_span FROM r GROUP BY cell, t, k""")
 def common_grid(spark, sf):
     q = F.col("l_quantity").cast("long") * 10
     cells = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").alias("k"), q.alias("left"), (q + F.col("l_linenumber") * 5).alias("right"))
@@ -425,11 +427,13 @@ def conversation_doc(spark, sf):
     return ir.emit(blocks).select("doc_id", F.md5(F.col("html").cast("binary")).alias("html_md5"))
 
 
-@query("""SELECT count(*)::BIGINT AS entries, count(DISTINCT (label, md5(embedding::VARCHAR)))::BIGINT AS binaries FROM embeddings""")
+@query("""SELECT label::BIGINT AS doc_id, count(*)::BIGINT AS entries, count(DISTINCT (vec_id % 3, md5(embedding::VARCHAR)))::BIGINT AS binaries FROM (SELECT * FROM embeddings UNION ALL SELECT vec_id + 3000000, embedding, label FROM embeddings WHERE vec_id % 2 = 0) GROUP BY label""")
 def bin_dedup(spark, sf):
-    e = table(spark, sf, "embeddings")
-    entries = e.select((F.col("label") * 0).cast("long").alias("doc_id"), F.concat(F.lit("bin/"), F.col("vec_id"), F.lit(".l"), F.col("label")).alias("path"), F.to_json(F.struct("embedding")).cast("binary").alias("data"))
-    return packages.dedup_binaries(entries).agg(F.sum("uses").alias("entries"), F.count("*").alias("binaries"))
+    """A package for every label, with a binary for each of its vectors; every second one is there twice."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("doc_id"))
+    e = e.unionByName(e.filter("vec_id % 2 = 0").withColumn("vec_id", F.col("vec_id") + 3000000))
+    entries = e.select("doc_id", F.concat(F.lit("bin/"), F.col("vec_id"), F.lit(".l"), F.col("vec_id") % 3).alias("path"), F.to_json(F.struct("embedding")).cast("binary").alias("data"))
+    return packages.dedup_binaries(entries).groupBy("doc_id").agg(F.sum("uses").alias("entries"), F.count("*").alias("binaries"))
 
 
 @query(r"""
@@ -499,8 +503,9 @@ def docx_table_roundtrip(spark, sf):
 @query("""
 WITH t AS (SELECT 0 AS level, r_regionkey AS r, -1 AS n, -1::BIGINT AS s, r_name AS text FROM region UNION ALL SELECT 1, n_regionkey, n_nationkey, -1, n_name FROM nation
  UNION ALL SELECT 2, n_regionkey, n_nationkey, s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT level, text, level <> 1 AS ordered, row_number() OVER (ORDER BY r, n, s) AS place FROM t""")
+SELECT r::BIGINT AS doc_id, level, text, level <> 1 AS ordered, row_number() OVER (PARTITION BY r ORDER BY n, s) AS place FROM t""")
 def list_levels_read(spark, sf):
+    """A page for every region, whose nations and their suppliers are lists in its list."""
     from pyspark.sql import Window as W
 
     from foliant.plans.tree import list_items
@@ -510,9 +515,9 @@ def list_levels_read(spark, sf):
     nest = lambda tag: F.when(F.coalesce("html", F.lit("")) != "", F.concat(F.lit(f"<{tag}>"), "html", F.lit(f"</{tag}>"))).otherwise("")
     deep = _concat_ordered(s.select("s_nationkey", "s_suppkey", li("s_name", F.lit("")).alias("x")), "s_nationkey", "s_suppkey", "x")
     mid = _concat_ordered(n.join(deep, n["n_nationkey"] == deep["s_nationkey"], "left").select("n_regionkey", "n_nationkey", li("n_name", nest("ol")).alias("x")), "n_regionkey", "n_nationkey", "x")
-    top = _concat_ordered(r.join(mid, r["r_regionkey"] == mid["n_regionkey"], "left").select(F.lit(1).alias("doc_id"), "r_regionkey", li("r_name", nest("ul")).alias("x")), "doc_id", "r_regionkey", "x")
+    top = _concat_ordered(r.join(mid, r["r_regionkey"] == mid["n_regionkey"], "left").select(F.col("r_regionkey").cast("long").alias("doc_id"), "r_regionkey", li("r_name", nest("ul")).alias("x")), "doc_id", "r_regionkey", "x")
     items = list_items(markup.html_nodes(top.select("doc_id", F.concat(F.lit("<ol>"), "html", F.lit("</ol>")).alias("html")), "doc_id", blocks=["li"]))
-    return items.select("level", "text", "ordered", F.row_number().over(W.partitionBy("doc_id").orderBy("node_id")).cast("long").alias("place"))
+    return items.select("doc_id", "level", "text", "ordered", F.row_number().over(W.partitionBy("doc_id").orderBy("node_id")).cast("long").alias("place"))
 
 
 @query("""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import units
 from foliant.functions.text import BULLETS, escape, xml_safe
-from foliant.operators.ordered import intern, islands
+from foliant.operators.ordered import asof_join, intern, islands
 from foliant.session import written
 from foliant.sinks import packages, parts
 from foliant.sinks.packages import XML
@@ -113,8 +113,18 @@ def _list_shape(blocks: DataFrame) -> DataFrame:
     return marked.withColumn("_before", F.coalesce(F.lag(level).over(w), F.lit(-1))).withColumn("_last", F.lead(level).over(w).isNull()).withColumn("_level", level)
 
 
-#: Levels of a list that may have an element of their own kind; deeper ones are closed like the last of these.
-LEVELS = 16
+def _closing_kinds(shaped: DataFrame, kind: Column) -> DataFrame:
+    """(doc_id, ord, _kinds): for every item the levels that close at it, each with the kind of the item that opened it.
+
+    Openings and closings are rows of their level, so an as-of join by level finds the opener, at any depth.
+    """
+    level, before, by = F.col("_level"), F.col("_before"), ["doc_id", "band", "_run", "k"]
+    items = shaped.filter("_list is not null").withColumn("_kind", kind)
+    opens = items.filter(level > before).select("*", F.explode(F.sequence(before + 1, level)).alias("k")).select(*by, "ord", "_kind")
+    low = F.when(F.col("_last"), F.lit(0)).otherwise(level + 1)
+    closes = items.withColumn("_high", F.greatest(before, level)).filter(F.col("_high") >= low).select("*", F.explode(F.sequence(low, F.col("_high"))).alias("k")).select(*by, "ord")
+    found = asof_join(closes, opens, by, "ord", ["_kind"])
+    return found.groupBy("doc_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("k", "_kind"))).alias("_kinds"))
 
 
 def nested_lists(blocks: DataFrame, open_list: Column, close_list: str | tuple[Column, str, str], open_item: Column | str, close_item: str) -> DataFrame:
@@ -122,26 +132,23 @@ def nested_lists(blocks: DataFrame, open_list: Column, close_list: str | tuple[C
 
     A deeper item stands inside the item before it; a jump of several levels opens
     empty ones. close_list is one end tag, or (kind, tag, other tag): then a level
-    closes by the kind of the item that opened it.
+    closes by the kind of the item that opened it, at any depth.
     """
     shaped = _list_shape(blocks)
     item = open_item if isinstance(open_item, Column) else F.lit(open_item)
     level, before = F.col("_level"), F.col("_before")
     if isinstance(close_list, str):
-        closers = F.array_repeat(F.lit(close_list), LEVELS)
+        close = lambda k: F.lit(close_item + close_list)
     else:
         kind, yes, no = close_list
-        w = W.partitionBy("doc_id", "band", "_run").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-        opened_by = [F.last(F.when((before < k) & (level >= k), kind), ignorenulls=True).over(w) for k in range(LEVELS)]
-        shaped = shaped.withColumn("_closers", F.array(*[F.when(F.coalesce(o, F.lit(False)), yes).otherwise(no) for o in opened_by]))
-        closers = F.col("_closers")
-    close = lambda k: F.concat(F.lit(close_item), F.element_at(closers, F.least(k, F.lit(LEVELS - 1)) + 1))
+        shaped = shaped.join(_closing_kinds(shaped, kind), ["doc_id", "ord"], "left")
+        close = lambda k: F.concat(F.lit(close_item), F.when(F.coalesce(F.try_element_at("_kinds", k), F.lit(False)), yes).otherwise(no))
     down = lambda high, low: F.array_join(F.transform(F.filter(F.sequence(F.greatest(high, low), low, F.lit(-1)), lambda k: k <= high), close), "")
     opened = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(level - before, F.lit(1))), lambda i: F.concat(open_list, item)), "")
     start = F.when(level > before, opened).otherwise(F.concat(down(before, level + 1), F.lit(close_item), item))
     end = F.when(F.col("_last"), down(level, F.lit(0))).otherwise("")
     xml = F.when(F.col("_list").isNotNull(), F.concat(start, F.col("xml"), end)).otherwise(F.col("xml"))
-    return shaped.withColumn("xml", xml).drop("_list", "_run", "_before", "_last", "_level", "_closers")
+    return shaped.withColumn("xml", xml).drop("_list", "_run", "_before", "_last", "_level", "_kinds")
 
 
 # ---- docx
@@ -167,7 +174,7 @@ def write_docx(doc: Document) -> DataFrame:
     docs = doc.blocks.select("doc_id").distinct()
     links = parts.docx_links(doc.runs.filter("link is not null").select("doc_id", F.col("link").alias("href")))
     runs = _docx_runs(doc.runs).join(links.select("doc_id", F.col("href").alias("link"), "rid"), ["doc_id", "link"], "left")
-    target = F.coalesce(F.concat(F.lit('<w:hyperlink r:id="'), F.col("rid"), F.lit('">')), F.concat(F.lit('<w:hyperlink w:anchor="'), escape(F.substring("link", 2, 10_000)), F.lit('">')))
+    target = F.coalesce(F.concat(F.lit('<w:hyperlink r:id="'), F.col("rid"), F.lit('">')), F.concat(F.lit('<w:hyperlink w:anchor="'), escape(F.substr("link", F.lit(2))), F.lit('">')))
     inner = _linked(runs, target, "</w:hyperlink>")
     sizes = doc.runs.groupBy("doc_id", "ord").agg(F.max("size").alias("most"))  # the line is as high as the largest run
     tables_xml = parts.docx_tables(doc.cells.withColumn("table", F.col("ord"))).select("doc_id", F.col("table").alias("ord"), F.col("xml").alias("table_xml"))

@@ -63,7 +63,7 @@ def _finish(paras: DataFrame, runs: DataFrame, cells: DataFrame) -> Document:
     texts = runs.filter("note is null and field is null").groupBy(*KEY).agg(_joined("text", "run").alias("text"))
     whole = written(paras.join(texts, KEY, "left").withColumn("text", F.coalesce("text", F.lit(""))), "paragraphs")
     shown = whole.filter("where in ('body', 'header', 'footer')").withColumn("band", F.when(F.col("where") != "body", F.col("where")))
-    w = W.partitionBy("doc_id").orderBy(F.col("band").isNotNull(), "band", "part", "bid")
+    w = W.partitionBy("doc_id").orderBy(F.col("band").isNotNull(), "band", packages.part_number(), "part", "bid")
     blocks = shown.withColumn("ord", F.row_number().over(w) - 1).drop("where", "note")
     placed = runs.join(blocks.select(*KEY, "ord"), KEY).withColumn("run", F.row_number().over(W.partitionBy("doc_id", "ord").orderBy("run")) - 1)
     notes = whole.filter("where = 'note' and note is not null").groupBy("doc_id", "note").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bid", "text"))), lambda x: x["text"]), "\n").alias("text"))

@@ -18,8 +18,8 @@ from foliant.session import written
 from foliant.sources.containers import zip_entries
 from foliant.sources.markup import xml_nodes
 
-#: Part with the text, name of a paragraph, and what stands for a line break, a tab and repeated spaces.
-BODY = {"docx": "word/document.xml", "odt": "content.xml", "hwpx": "Contents/section0.xml"}
+#: Parts with the text (a pattern), name of a paragraph, and what stands for a line break, a tab and repeated spaces.
+BODY = {"docx": r"word/document\.xml", "odt": r"content\.xml", "hwpx": r"Contents/section\d+\.xml"}
 PARAGRAPHS = {"docx": ["p"], "odt": ["p", "h"], "hwpx": ["p"]}
 BREAKS = {"docx": ("br", "tab", None), "odt": ("line-break", "tab", "s"), "hwpx": ("lineBreak", "tab", None)}
 TEXT_PARENT = {"docx": "t", "hwpx": "t", "odt": None}
@@ -27,9 +27,14 @@ A4 = (59528, 84188)
 MARGIN = 7200
 
 
-def nodes_of(files: DataFrame, kind: str, parts: list[str] | None = None) -> DataFrame:
-    """The nodes of a package's text part (or of the parts named)."""
-    return xml_nodes(zip_entries(files, parts or [BODY[kind]]), PARAGRAPHS[kind])
+def nodes_of(files: DataFrame, kind: str) -> DataFrame:
+    """The nodes of a package's text parts: of all sections."""
+    return xml_nodes(zip_entries(files, BODY[kind]), PARAGRAPHS[kind])
+
+
+def part_number(part: str = "part") -> Column:
+    """The number in a part's name: section 10 comes after section 2."""
+    return F.coalesce(F.regexp_extract(part, r"(\d+)\.xml$", 1).try_cast("int"), F.lit(0))
 
 
 def attr(name: str) -> Column:
@@ -51,7 +56,7 @@ def paragraphs(nodes: DataFrame, kind: str) -> DataFrame:
     parts = nodes.select("doc_id", "part", F.when(own, F.col("node_id")).otherwise(F.col("block_id")).alias("block_id"), "node_id", shown.alias("t")).filter("block_id is not null and t is not null")
     # strings are joined in the group: runs of a paragraph are few
     out = parts.groupBy("doc_id", "part", "block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda x: x["t"]), "").alias("text"))
-    w = W.partitionBy("doc_id").orderBy("part", "block_id")
+    w = W.partitionBy("doc_id").orderBy(part_number(), "part", "block_id")
     return out.select("doc_id", (F.row_number().over(w) - 1).alias("ord"), "block_id", "text")
 
 
@@ -147,7 +152,7 @@ def docx_cells(files: DataFrame) -> DataFrame:
     """(doc_id, table, row, col, row_span, col_span, text): grid columns from spans, vertical merges folded."""
     from foliant.operators.tables import fold_vertical_merges, grid_columns
 
-    nodes = written(xml_nodes(zip_entries(files, [BODY["docx"]]), ["tc"]), "nodes")
+    nodes = written(xml_nodes(zip_entries(files, BODY["docx"]), ["tc"]), "nodes")
     tc = nodes.filter("name = 'tc'").select("doc_id", "part", F.col("node_id").alias("cell"), F.col("parent_id").alias("row"))
     tr = nodes.filter("name = 'tr'").select("doc_id", "part", F.col("node_id").alias("row"), F.col("parent_id").alias("table"))
     tcpr = nodes.filter("name = 'tcPr'").select("doc_id", "part", F.col("node_id").alias("pr"), F.col("parent_id").alias("cell"))

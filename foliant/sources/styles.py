@@ -85,7 +85,7 @@ def hwpx_shapes(files: DataFrame) -> dict[str, DataFrame]:
 
 def hwpx_runs(files: DataFrame) -> DataFrame:
     """(doc_id, block, run, text, size, color, bold, italic): runs joined to the shapes that they name by id."""
-    nodes = written(xml_nodes(zip_entries(files, ["Contents/section0.xml"]), ["p"]), "nodes")
+    nodes = written(xml_nodes(zip_entries(files, r"Contents/section\d+\.xml"), ["p"]), "nodes")
     runs = nodes.filter("name = 'run'").select("doc_id", F.col("node_id").alias("run"), F.col("block_id").alias("block"), _attr("charPrIDRef").alias("ref"))
     ts = nodes.filter("name = 't'").select("doc_id", F.col("node_id").alias("t"), F.col("parent_id").alias("run"))
     words = nodes.filter("name = '#text' and parent_name = 't'").select("doc_id", F.col("parent_id").alias("t"), "node_id", "text")

@@ -47,6 +47,8 @@ MIN_DOCS, SHARE = 2, 0.05
 SIZES, ROWS, PROBES = (2, 3, 4), 1 << 20, 3
 #: Characters of a segment, and of the texts worked off at once.
 SEGMENT = 1 << 20
+#: Low bits of an id's hash that its range leaves out: 65,536 ranges.
+RANGE_BITS = 48
 _WORD_BITS = 63  # languages in one mask: Spark's long has a sign
 _LETTERS: list[np.ndarray] = []
 
@@ -169,9 +171,13 @@ def training_sample(docs: DataFrame, modulus: int = 4, held_out: int = 2, most:
     """(lang, text): of each language the rows of the smallest id hashes, repeated rows once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("id", modulus) != held_out))
-    rows = rows.select("lang", "text", F.xxhash64("id").alias("order"), F.xxhash64("id", "text").alias("key"), F.length("text").cast("long").alias("size"))
+    rows = rows.select("lang", "text", F.xxhash64("id").alias("order"), F.shiftright(F.xxhash64("id"), RANGE_BITS).alias("range"), F.xxhash64("id", "text").alias("key"), F.length("text").cast("long").alias("size"))
+    # whole ranges of the hash come first, by their counts, so that no task sees more of a language than the last range adds
+    sized = rows.groupBy("lang", "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = small(sized.select("lang", "range", before.alias("before")).filter(F.col("before") < most).drop("before"), "lang")
     by = W.partitionBy("lang").orderBy("order", "key")
-    first = rows.drop("text").withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= most)  # limited in each task before the shuffle
+    first = rows.drop("text").join(ranges, ["lang", "range"]).withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= most)
     first = first.withColumn("upto", F.sum("size").over(by.rowsBetween(W.unboundedPreceding, 0))).filter((F.col("upto") <= most_chars) | (F.col("nth") == 1))
     chosen = small(first.select("lang", "key").distinct(), "lang")  # `most` rows of each language
     return rows.join(chosen, ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")

@@ -6,7 +6,7 @@ one, behind a `<`, and behind a `<` and a letter of a mark. It counts units
 bytes is described, without knowing how it is entered, by a function from entry
 state to exit state and the counts from each entry state. Such descriptions compose,
 and composing is associative: blocks of four bytes come from a table, pairs are
-composed up to the chunk (`scan`), and chunks may be scanned anywhere, in any
+composed up to the chunk (`tree`), and chunks may be scanned anywhere, in any
 order. Composed in order they give each chunk its entry state and the counts before
 it; the chunk in which a cut falls then descends its own tree of descriptions to
 the cut's place (`select`).
@@ -59,23 +59,23 @@ NEXT = np.array([
     [OUT, WORD, MARK, OPEN, OUT, OPEN],
     [OUT, WORD, WORD, OPEN, OUT, MARK],
 ], np.uint8)
-UNITS = np.array([[s in (OUT, OPEN) if k in (_LETTER, _MARK_LETTER) else k != _INSIDE for k in range(6)] for s in range(4)], np.int32)
-MARKS = np.array([[s == MARK and k == _GT for k in range(6)] for s in range(4)], np.int32)
-#: Bytes of a block whose description is looked up.
-BLOCK = 4
+UNITS = np.array([[s in (OUT, OPEN) if k in (_LETTER, _MARK_LETTER) else k != _INSIDE for k in range(6)] for s in range(4)], np.int64)
+MARKS = np.array([[s == MARK and k == _GT for k in range(6)] for s in range(4)], np.int64)
+#: Bytes of a block whose description is looked up; where the count of marks begins in a number that also counts units.
+BLOCK, HIGH = 5, 32
 
-Description = tuple[np.ndarray, np.ndarray, np.ndarray]  # exit states, units, marks: each n x 4 by entry state
+Description = tuple[np.ndarray, np.ndarray]  # exit states, and units and marks as one number: each n x 4, by entry state
 
 
 def compose(a: Description, b: Description) -> Description:
     """a, then b."""
-    exits, units, marks = b
-    return np.take_along_axis(exits, a[0], 1), a[1] + np.take_along_axis(units, a[0], 1), a[2] + np.take_along_axis(marks, a[0], 1)
+    at = a[0] + np.arange(0, 4 * len(a[0]), 4)[:, None]
+    return b[0].ravel()[at], a[1] + b[1].ravel()[at]
 
 
 def _blocks() -> Description:
     """Descriptions of all blocks of BLOCK classes, by the number that the classes spell in base 6."""
-    one = NEXT.T.astype(np.intp), UNITS.T.astype(np.int64), MARKS.T.astype(np.int64)
+    one = NEXT.T.astype(np.intp), (UNITS + (MARKS << HIGH)).T
     found = one
     for _ in range(BLOCK - 1):
         n = len(found[0])
@@ -84,41 +84,43 @@ def _blocks() -> Description:
 
 
 _TABLE = _blocks()
-_IDENTITY = _INSIDE  # a byte inside of a code point changes nothing: it fills the last block
 
 
 def tree(data: np.ndarray) -> list[Description]:
     """Descriptions of the bytes' blocks, of pairs of blocks, and so on; the last one describes the whole."""
-    kinds = CLASS[data]
-    if rest := -len(kinds) % BLOCK or (BLOCK if not len(kinds) else 0):
-        kinds = np.concatenate([kinds, np.full(rest, _IDENTITY, np.uint8)])
-    number = kinds.reshape(-1, BLOCK).astype(np.int64) @ (6 ** np.arange(BLOCK - 1, -1, -1))
-    levels = [tuple(x[number] for x in _TABLE)]
-    while len(levels[-1][0]) > 1:
-        top, n = levels[-1], len(levels[-1][0]) // 2 * 2
-        joined = compose(tuple(x[0:n:2] for x in top), tuple(x[1:n:2] for x in top))
-        levels.append(tuple(np.concatenate([x, y[n:]]) for x, y in zip(joined, top)))
+    n = max(-(-len(data) // BLOCK), 1)
+    kinds = np.full(n * BLOCK, _INSIDE, np.uint16)  # what fills the last block changes nothing
+    kinds[: len(data)] = CLASS[data]
+    number = kinds[::BLOCK]
+    for k in range(1, BLOCK):
+        number = number * np.uint16(6) + kinds[k::BLOCK]
+    levels = [(_TABLE[0][number], _TABLE[1][number])]
+    while n > 1:
+        (exits, counts), even = levels[-1], n // 2 * 2
+        joined = compose((exits[0:even:2], counts[0:even:2]), (exits[1:even:2], counts[1:even:2]))
+        levels.append(joined if even == n else (np.concatenate([joined[0], exits[even:]]), np.concatenate([joined[1], counts[even:]])))
+        n = -(-n // 2)
     return levels
 
 
-def scan(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(exit state, units, marks by entry state, code points) of a chunk."""
-    exits, units, marks = tree(data)[-1]
-    return exits[0], units[0], marks[0], points(data)
+def described(levels: list[Description]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exit state, units, marks) by entry state of what a tree describes."""
+    exits, counts = levels[-1]
+    return exits[0], counts[0] & ((1 << HIGH) - 1), counts[0] >> HIGH
 
 
 def points(data: np.ndarray) -> int:
     return int(np.count_nonzero((data & 0xC0) != 0x80))
 
 
-def select(data: np.ndarray, state: int, nth: int) -> int:
-    """The place of the byte with which the chunk's unit `nth` (from 0) begins, entered in `state`."""
-    levels, at = tree(data), 0
+def select(data: np.ndarray, levels: list[Description], state: int, nth: int) -> int:
+    """The place of the byte with which the chunk's unit `nth` (from 0) begins, entered in `state`: down the chunk's tree."""
+    at, low = 0, (1 << HIGH) - 1
     for level in range(len(levels) - 2, -1, -1):
-        exits, units, _ = levels[level]
+        exits, counts = levels[level]
         at *= 2
-        if units[at, state] <= nth:  # it is not in the left one of the two
-            nth -= int(units[at, state])
+        if (units := int(counts[at, state]) & low) <= nth:  # it is not in the left one of the two
+            nth -= units
             state = int(exits[at, state])
             at += 1
     for place in range(at * BLOCK, len(data)):
@@ -148,13 +150,13 @@ def holding(before: list[int], n: int, cut: int) -> int:
 def cuts(data: np.ndarray, h1: int, h2: int, chunk: int = CHUNK) -> tuple[int, bool, int, int]:
     """(units, whether a mark occurs, code points before the first and the second cut) of a whole text."""
     chunks = [data[i : i + chunk] for i in range(0, len(data), chunk)] or [data]
-    exits, units, marks, size = zip(*[scan(c) for c in chunks])
-    states, before, n, found = entries(exits, units, marks)
+    trees = [tree(c) for c in chunks]
+    states, before, n, found = entries(*zip(*map(described, trees)))
     places = []
     for cut in sorted((h1 % (n + 1), h2 % (n + 1))):
         k = holding(before, n, cut)
-        place = len(chunks[k]) if cut >= n else select(chunks[k], states[k], cut - before[k])
-        places.append(sum(size[:k]) + points(chunks[k][:place]))
+        place = k * chunk + (len(chunks[k]) if cut >= n else select(chunks[k], trees[k], states[k], cut - before[k]))
+        places.append(points(data[:place]))
     return n, found > 0, *places
 
 
@@ -169,7 +171,8 @@ def _cuts_here(data: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
 
 def _scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        rows = [scan(np.frombuffer(d, np.uint8)) for d in pdf["data"]]
+        data = [np.frombuffer(d, np.uint8) for d in pdf["data"]]
+        rows = [(*described(tree(d)), points(d)) for d in data]
         yield pd.DataFrame({"key": pdf["key"], "at": pdf["at"], "h1": pdf["h1"], "h2": pdf["h2"], "size": [r[3] for r in rows], **{c: [r[k].tolist() for r in rows] for k, c in enumerate(("exits", "units", "marks"))}})
 
 
@@ -194,7 +197,7 @@ def _selected(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chars = []
         for d, state, nth, start in zip(pdf["data"], pdf["state"], pdf["nth"], pdf["start"]):
             data = np.frombuffer(d, np.uint8)
-            chars.append(start + points(data if nth < 0 else data[: select(data, int(state), int(nth))]))
+            chars.append(start + points(data if nth < 0 else data[: select(data, tree(data), int(state), int(nth))]))
         yield pd.DataFrame({"key": pdf["key"], "turn": pdf["turn"], "chars": chars, "n": pdf["n"], "marked": pdf["marked"]})
 
 

@@ -2,24 +2,26 @@
 
 Markup is stripped so that each block of the page becomes a line. Lines that
 stand in a menu, header, footer, sidebar, notice, advert, form, script, style or
-comment section, told by element, role or class name, are taken out. Each line
-that is left has a weight: its length, or nothing where it is mostly links.
-Where the page marks articles, the mark is one more weight: a line inside of one
-is worth at least a surge, a line outside of one an eighth of its length.
+comment section, told by element, role or class name, are taken out. Each line that is
+left has a weight, its length; a line that is mostly links has none. Where the
+page marks articles (<article>, <main>, or a class of theirs) the mark is one more
+factor of the weight: a line outside of them counts an OUTSIDE-th of its length.
 
 Over the weights, sums of sliding windows of WINDOW lines are taken. The text
-surges at a line whose window sum reaches SURGE, and dives where the sum falls
-under the dive level: nothing, or on pages with marks a surge, which a line
-outside of them rarely has. The lines between each surge and its dive are a
-stretch, and all stretches are kept but those under a tenth of the largest one;
-a page of short lines only, without any surge, is taken from its first line with
-text. Lines of no weight inside a stretch (menus) are left out.
+surges at a line where the window sum reaches SURGE (at a marked line with any
+text) and dives where the sum falls under DIVE, a single character: a window of
+links alone, or on pages with marks one of short lines outside of them. The lines from each surge
+to its dive are a stretch, and every stretch is kept, however small beside others.
+Its ends are lines that reach the dive level alone, on pages with marks lines that
+are marked or make a surge alone. A page of short lines only, without any surge,
+is taken from its first line with text to its dive. Lines below the dive level inside a stretch
+(menus, short notes between articles) are left out.
 
 Null or empty html gives an empty text, as does a page of markup alone. Pages cut
 off in the middle are read as far as they go; very long pages are read whole.
 Repeated rows are extracted one by one, an empty table gives no rows, null ids
 and urls stay null, and other columns of any name are not read. Ties do not
-arise: stretches are compared with a share of the largest, never ranked.
+arise: no stretch is compared with another.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import small_batches
 
-#: Lines in a window, and the characters in it that make a surge.
-WINDOW, SURGE = 3, 60
-#: What divides the length of a line outside of marked articles; the share of the largest stretch that the others need.
-OUTSIDE, SHARE = 8, 0.1
+#: Lines in a window, the characters in it that make a surge, and those without which it dives.
+WINDOW, SURGE, DIVE = 3, 60, 1
+#: What divides the length of a line outside of marked articles.
+OUTSIDE = 64
 LINKS = 0.6  # share of a line's characters in links that makes it a menu line
 
 _NAME = r"[a-zA-Z][^\s/>]*"
@@ -175,53 +177,45 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     return lines
 
 
-def line_weights(lines: list[tuple[str, int, bool, int]]) -> tuple[list[float], int]:
-    """The weight of each line (none of them junk), and the level of a dive."""
-    if not any(article for *_, article in lines):
-        return [0 if links > LINKS * len(text) else len(text) for text, links, *_ in lines], 1
+def line_weights(lines: list[tuple[str, int, bool, int]]) -> tuple[list[float], list[bool]]:
+    """The weight of each line (none of them junk), and whether it may begin and end a stretch."""
+    marks = any(article for *_, article in lines)
     weights = []
     for text, links, _, article in lines:
-        if article:
-            weights.append(len(text) + SURGE)
-        else:
-            weights.append(0 if links > LINKS * len(text) else len(text) / OUTSIDE)
-    return weights, SURGE
+        size = len(text) if article or links <= LINKS * len(text) else 0
+        weights.append(size if article or not marks else size / OUTSIDE)
+    return weights, [bool(article) or weight >= (SURGE if marks else DIVE) for (*_, article), weight in zip(lines, weights)]
 
 
-def stretches(weights: list[float], dive: float = 1, window: int = WINDOW, surge: float = SURGE, share: float = SHARE) -> list[tuple[int, int]]:
-    """(first, after last) of the lines from each surge to its dive, without those of a small share of the largest.
-
-    A surge is a line with weight whose window sum reaches `surge`; from there the
-    stretch goes on while the sums of the windows stay at `dive` or more, and ends
-    after its last line that is itself at `dive`.
-    """
+def stretches(weights: list[float], ends: list[bool], marked: list[bool], window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> list[tuple[int, int]]:
+    """(first, after last) of the lines from each surge to its dive: all of them, between lines that may be their ends."""
     n, total = len(weights), [0.0]
     for w in weights:
         total.append(total[-1] + w)
     sums = [total[min(i + window, n)] - total[i] for i in range(n)]
-    for least in (surge, 1):  # a page of short lines has no surge: then any text makes one
+    for least in (surge, dive):  # a page of short lines has no surge: then any text makes one
         found, i = [], 0
         while i < n:
-            if sums[i] < least or weights[i] < min(dive, least):
+            if not ends[i] or sums[i] < (dive if marked[i] else least):
                 i += 1
                 continue
             start = i
-            while i < n and sums[i] >= min(dive, least):
+            while i < n and sums[i] >= dive:
                 i += 1
             end = i
-            while weights[end - 1] < min(dive, least):
+            while not ends[end - 1]:
                 end -= 1
             found.append((start, end))
         if found:
-            largest = max(total[b] - total[a] for a, b in found)
-            return [(a, b) for a, b in found if total[b] - total[a] >= share * largest]
+            return found
     return []
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, window: int = WINDOW) -> str:
     lines = [line for line in lines_of(page or "") if not line[2]]
-    weights, dive = line_weights(lines)
-    return "\n".join(lines[k][0] for a, b in stretches(weights, dive) for k in range(a, b) if weights[k] >= dive)
+    weights, ends = line_weights(lines)
+    found = stretches(weights, ends, [bool(article) for *_, article in lines], window)
+    return "\n".join(lines[k][0] for a, b in found for k in range(a, b) if weights[k] >= DIVE)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

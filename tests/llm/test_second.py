@@ -216,33 +216,52 @@ def test_extraction_rows(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_text(pages).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
 
 
-def plain_stretches(weights, dive, window=html_text.WINDOW, surge=html_text.SURGE, share=html_text.SHARE):
+def plain_stretches(weights, ends, marked, window=html_text.WINDOW):
     """By definition: a line is inside if some surge stands before it with no dive in between."""
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    for least in (surge, 1):
-        low = min(dive, least)
-        surges = [i for i in range(len(weights)) if sums[i] >= least and weights[i] >= low]
-        inside = [any(s <= i and all(sums[k] >= low for k in range(s, i + 1)) for s in surges) for i in range(len(weights))]
+    n = len(weights)
+    sums = [sum(weights[i : i + window]) for i in range(n)]
+    for least in (html_text.SURGE, html_text.DIVE):
+        surges = [i for i in range(n) if ends[i] and sums[i] >= (html_text.DIVE if marked[i] else least)]
+        inside = [any(s <= i and all(sums[k] >= html_text.DIVE for k in range(s, i + 1)) for s in surges) for i in range(n)]
         runs, i = [], 0
-        while i < len(weights):
+        while i < n:
             j = i
-            while j < len(weights) and inside[j]:
+            while j < n and inside[j]:
                 j += 1
             if j > i:
-                runs.append((i, max(k for k in range(i, j) if weights[k] >= low) + 1))
+                runs.append((i, max(k for k in range(i, j) if ends[k]) + 1))
             i = max(j, i + 1)
         if runs:
-            most = max(sum(weights[a:b]) for a, b in runs)
-            return [(a, b) for a, b in runs if sum(weights[a:b]) >= share * most]
+            return runs
     return []
 
 
 def test_surge_and_dive():
     rng = random.Random(6)
-    for _ in range(500):
-        weights = [rng.choice([0, 0, 0, 1, 5, 20, 40, 90, 400]) for _ in range(rng.randint(0, 40))]
-        for dive in (1, html_text.SURGE):
-            assert html_text.stretches(weights, dive) == plain_stretches(weights, dive), weights
+    for k in range(600):
+        n = rng.randint(0, 40)
+        marked = [k % 2 and rng.random() < 0.3 for _ in range(n)]
+        weights = [rng.choice([1, 9, 80]) if m else rng.choice([0, 0, 0, 1, 5, 20, 40, 90, 400]) / (64 if any(marked) else 1) for m in marked]
+        ends = [m or w >= (html_text.SURGE if any(marked) else html_text.DIVE) for m, w in zip(marked, weights)]
+        for window in (1, 2, 3, 7):
+            assert html_text.stretches(weights, ends, marked, window) == plain_stretches(weights, ends, marked, window), weights
+
+
+def test_marks_are_a_factor_and_sums_decide():
+    article, other = "<article><p>" + "word " * 480 + "</p></article>", "<p>a</p><p>b</p><p>c</p>"
+    assert html_text.main_text(f"{article}{other}<article><p>tiny second</p></article>").endswith("word\ntiny second")
+    assert html_text.main_text(f"<main><p>{'word ' * 480}</p>{other}<p>{'x' * 77}</p></main>").endswith("word\na\nb\nc\n" + "x" * 77)
+    links = "".join(f"<p><a href='{k}'>to {k}</a></p>" for k in range(4))
+    assert html_text.main_text(f"<div><p>{'word ' * 480}</p>{links}<p>{'last words ' * 6}</p></div>").endswith("\n" + ("last words " * 6).strip())
+    # a long line outside of a short article is not its text
+    assert html_text.main_text(f"<article><p>twenty characters ok</p></article><div>{'copyright ' * 56}</div>") == "twenty characters ok"
+    # text between two articles belongs to them while the windows over the links around it do not dive
+    link, between = "<p><a href='x'>see also</a></p>", "between " * 20
+    page = f"{article}{link}<p>{between}</p>{link}<article><p>{'more ' * 90}</p></article>"
+    assert between.strip() in html_text.main_text(page, window=3) and between.strip() not in html_text.main_text(page, window=1)
+    # and so it does on pages without marks: a short line far from any surge is none
+    bare = f"<div><p>{'word ' * 40}</p>{links}<p>so short</p>{links}<p>{'more ' * 40}</p></div>"
+    assert "so short" not in html_text.main_text(bare, window=3) and "so short" in html_text.main_text(bare, window=6)
 
 
 def test_extraction_keeps_every_stretch():

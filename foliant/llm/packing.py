@@ -9,9 +9,13 @@
    by dynamic programming finds the configuration worth most through each
    length, and the lengths that a used one covers lose weight. It goes on until
    all lengths are covered; the prices give a lower bound on the sequences.
-3. The fractional solution is rounded, fractions adding up over configurations;
-   what is left over goes by best fit, longest first, into the gaps of the rounded configurations and then into new
-   sequences. All this works on counts, not on pieces.
+   The program is told of the lengths above an eighth of a sequence; shorter pieces are kept to fill gaps.
+3. Of the fractional solution the configurations that fill a sequence to the last
+   token are rounded, fractions adding up from one to the next. A further program over what is left
+   follows until one places little more; then the rest goes by best fit, longest
+   first. A program that takes too much of what fills gaps would cost sequences: where the
+   result has more of them than best fit alone, lengths above a fourth, a third and
+   half of a sequence are tried, and the least is taken. All this works on counts, not on pieces.
 4. Each piece gets its rank among the pieces of its length (a prefix sum over
    the counts of the tasks, so a length that holds a third of all pieces needs
    no task of its own), and the rank gives sequence and offset.
@@ -42,7 +46,10 @@ CAPACITY = 1024
 END_ID = 2
 #: Multiplicative weights: the share that lowers a price e times, the slack of a configuration that is used,
 #: the distance from the dual bound that ends the program, and the pricings after which full cover does.
-RATE, SLACK, GAP, ROUNDS = 0.2, 0.05, 0.01, 400
+RATE, SLACK, GAP, ROUNDS = 0.4, 0.05, 0.01, 100
+#: The parts of a sequence above which lengths are the program's; the share of what is left that a program must place
+#: for another one to follow.
+FILLERS, PLACED = (8, 4, 3, 2), 0.1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -144,22 +151,16 @@ def rounded(solution: list[tuple[Counter, float]], demand: np.ndarray) -> tuple[
     return [(Counter(dict(key)), times) for key, times in made.items()], left
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths in one sequence, number of such sequences), packing the histogram exactly."""
-    if not histogram:
-        return []
-    lengths = np.array(sorted(histogram), int)
-    demand = np.array([histogram[x] for x in lengths.tolist()], float)
-    placed, rest = rounded(fractional(lengths, demand, capacity)[0], demand)
-    left = dict(zip(lengths.tolist(), rest.tolist()))
-    open_bins: dict[int, list[list]] = {}  # gap -> [[lengths, count], ...]
+Packed = list[tuple[list[int], int]]  # (lengths in one sequence, number of such sequences)
+
+
+def best_fit(left: dict[int, int], capacity: int = CAPACITY) -> Packed:
+    """The pieces (length -> number), longest first, each into the least gap that takes it."""
+    left, open_bins = dict(left), {}  # gap -> [[lengths, count], ...]
 
     def add(filled: list[int], gap: int, count: int) -> None:
         open_bins.setdefault(gap, []).append([filled, count])
 
-    for found, times in placed:
-        filled = [int(lengths[i]) for i, a in sorted(found.items(), reverse=True) for _ in range(a)]
-        add(filled, capacity - sum(filled), times)
     for n in sorted(left, reverse=True):
         while left[n]:
             gap = min((g for g, bins in open_bins.items() if g >= n and bins), default=None)
@@ -188,6 +189,37 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[lis
     return [(filled, count) for bins in open_bins.values() for filled, count in bins]
 
 
+def programmed(lengths: np.ndarray, demand: np.ndarray, capacity: int, above: int) -> tuple[Packed, np.ndarray]:
+    """Full sequences of lengths over `above`, by one program after another, and the demand that is left."""
+    left, made = demand.astype(np.int64), []
+    while (mine := np.flatnonzero((left > 0) & (lengths > above))).size:
+        solution, _ = fractional(lengths[mine], left[mine].astype(float), capacity)
+        full = [(found, x) for found, x in solution if sum(int(lengths[mine[i]]) * a for i, a in found.items()) == capacity]
+        before, (placed, rest) = left[mine], rounded(full, left[mine])
+        left[mine] = rest
+        made += [([int(lengths[mine[i]]) for i, a in sorted(found.items(), reverse=True) for _ in range(a)], times) for found, times in placed]
+        if before.sum() - rest.sum() < PLACED * before.sum():
+            break
+    return made, left
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Packed:
+    """Packs the histogram exactly, in no more sequences than best fit alone."""
+    if not histogram:
+        return []
+    lengths = np.array(sorted(histogram), int)
+    demand = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    number = lambda packed: sum(count for _, count in packed)
+    least, found = number(best_fit(histogram, capacity)), []
+    for part in FILLERS:
+        made, left = programmed(lengths, demand, capacity, capacity // part)
+        made += best_fit({n: k for n, k in zip(lengths.tolist(), left.tolist()) if k}, capacity)
+        found.append(made)
+        if number(made) <= least:
+            break
+    return min(found, key=number)
+
+
 def slots(configurations: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     """For each length: rows (first rank, first sequence, pieces of it in one sequence, their offset)."""
     rows: dict[int, list[tuple]] = {}

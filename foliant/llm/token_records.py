@@ -8,11 +8,15 @@ the document id (8 bytes, signed), one byte for "the id is null", one for the
 width of an id, then the ids. A separate index (Parquet: shard, ordinal, doc_id,
 byte offset, byte length, n_tokens) serves shuffled reads of single records.
 
-Documents are range-partitioned and sorted by id, so shards follow each other in
-ascending order (null ids first). A shard is written under an attempt's own name
+Documents are range-partitioned and sorted by id, then by text hash, so shards
+follow each other in ascending order (null ids first), an attempt that is run again
+writes the same shard, and ids that repeat, or are null, fall on as many shards as
+their rows need (equal rows are told apart by the place that they were read from). A shard is written under an attempt's own name
 and renamed when whole, so a lost executor leaves no half shard under the final
-name. Empty and null texts give a record with the end id alone; repeated rows
-are written once each; an empty table gives no shards.
+name. Empty and null texts give a record with the end id alone; very long texts
+are one record; repeated rows are written once each; ties of ids go by text hash,
+and equal rows give equal records; columns of other names are not read; an empty
+table gives no shards.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import small_batches, split_rows, texts
+from foliant.llm.common import small, small_batches, split_rows, texts
 from foliant.llm.tokens import encoder, vocabulary
 from foliant.session import scratch_path
 
@@ -36,6 +40,8 @@ MASK_DELTA = 0xA282EAD8
 HEAD, FOOT, LEAD = "<QI", "<I", "<q??"
 #: Bytes of text that make a shard.
 SHARD_BYTES = 12 << 20
+#: Shards whose sizes are added up in one group.
+BLOCK = 1000
 INDEX = "shard string, ordinal long, doc_id long, offset long, bytes long, n_tokens long"
 
 
@@ -111,7 +117,9 @@ def write_records(docs: DataFrame, path: str, vocab: str, end_id: int | None = 0
             stream.close()
             store.move(own, f"{root}/{name}")
 
-    index = source.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInPandas(write, INDEX)
+    order = ["doc_id", "hash", "place"]
+    placed = source.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    index = placed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInPandas(write, INDEX)
     index.write.parquet(f"{path}/index")
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
@@ -125,8 +133,12 @@ def read_records(spark: SparkSession, path: str, index: DataFrame | None = None,
     index = index if index is not None else spark.read.schema(INDEX).parquet(f"{path}/index")
     shards = index.groupBy("shard").agg(F.count("*").alias("records"), F.sum("n_tokens").alias("tokens"))
     n = max(1, shards.count())
-    before = F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))  # a row per shard only
-    shards = shards.withColumn("base", F.coalesce(before, F.lit(0))).repartition(n)
+    # ids before a shard: those of the blocks of shards before, and of the shards before in its block
+    shards = shards.withColumn("block", F.floor(F.regexp_extract("shard", r"(\d+)", 1).cast("long") / BLOCK))
+    earlier = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = shards.groupBy("block").agg(F.sum("tokens").alias("tokens")).select("block", earlier(W.orderBy("block")).alias("before"))  # a row per BLOCK shards
+    shards = shards.withColumn("within", earlier(W.partitionBy("block").orderBy("shard"))).join(small(blocks), "block")
+    shards = shards.select("shard", "records", "tokens", (F.col("before") + F.col("within")).alias("base")).repartition(n)
     data = f"{path}/data"
     schema = "shard string, ordinal long, doc_id long, shard_start long, start_in_shard long, n_tokens long, ids_crc32 long" + ("" if summary else ", ids array<int>")
 

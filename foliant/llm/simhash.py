@@ -18,7 +18,8 @@ each group, never all pairs. Groups over GROUP_ROWS are cut into pairs of blocks
 that go to different tasks; every pair of members still meets.
 
 Components come from hash-to-min rounds with pointer jumping over the forest's
-links, each round cut by a checkpoint in the shared folder.
+links, each round a written table in the shared folder; a round's table goes when
+the next one stands.
 
 Null texts count as empty; a text with no words has fingerprint zero and is
 linked like any other. Very long texts are read whole. Repeated rows give repeated
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import nested, small, small_batches, texts, unnested
-from foliant.session import shared_dir, written
+from foliant.session import discard, written
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Distinct fingerprints of one signature that one task compares.
@@ -279,25 +280,23 @@ def _verify(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of the component, for every node that has a link (columns a, b of edges)."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node").checkpoint()
+    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neighbours")
+    label = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
     while True:
         # the smallest root among the neighbours, then the root's own root
         around = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("seen"))
         low = label.join(around, label["node"] == around["a"], "left").select("node", "root", F.least("root", "seen").alias("low"))
         # a root learns the smallest root that its members have seen
         told = low.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("told"))
-        moved = low.join(told, low["root"] == told["r"], "left").select("node", F.col("root").alias("old"), F.least("low", "told").alias("root"))
-        moved = moved.checkpoint()
+        moved = written(low.join(told, low["root"] == told["r"], "left").select("node", F.col("root").alias("old"), F.least("low", "told").alias("root")), "moved")
         jump = moved.select(F.col("node").alias("r"), F.col("root").alias("up"))
-        nxt = moved.join(jump, moved["root"] == jump["r"], "left").select("node", "old", F.least("root", "up").alias("root")).checkpoint()
+        nxt = written(moved.join(jump, moved["root"] == jump["r"], "left").select("node", "old", F.least("root", "up").alias("root")), "roots")
         changed = nxt.filter("root <> old").limit(1).count()
-        label = nxt.select("node", "root")
+        discard(label, moved)
+        label = nxt
         if not changed:
-            return label
+            discard(both)
+            return label.select("node", "root")
 
 
 def grouped_fingerprints(marked: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -169,6 +169,24 @@ def test_token_records(spark, docs, tmp_path):
         token_records.read_records(spark, path, index).collect()
 
 
+def test_records_of_ties(spark, tmp_path, monkeypatch):
+    """Repeated and null ids: the same starts whatever the order of the input, and no shard for one id alone."""
+    monkeypatch.setattr(token_records, "BLOCK", 3)
+    rows = [(1, f"text number {k} " * 5) for k in range(60)] + [(None, f"words {k % 7} " * 9) for k in range(60)] + [(2, "same row " * 20)] * 60 + [(3, "x" * 30_000)]
+    starts = []
+    for turn, docs in enumerate((spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5))):
+        path = f"file://{tmp_path}/{turn}"
+        index = token_records.write_records(docs, path, vocabulary(), shard_bytes=3000)
+        assert index.filter("doc_id = 2").select("shard").distinct().count() > 1 and index.filter("doc_id is null").select("shard").distinct().count() > 1
+        got = token_records.token_starts(token_records.read_records(spark, path, index)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+        at = 0
+        for r in sorted(got, key=lambda r: r.start):
+            assert r.start == at
+            at += r.n_tokens
+        starts.append(sorted(map(str, got)))
+    assert starts[0] == starts[1] and len(starts[0]) == len(rows)
+
+
 def test_packing(spark, docs):
     capacity = 64
     got = packing.best_fit_packing(docs, capacity=capacity).collect()
@@ -235,6 +253,16 @@ def test_program_covers_and_places_the_demand():
     assert (left == demand).all()
 
 
+def test_components_leave_nothing_behind(spark):
+    from foliant.session import scratch_made
+
+    before = scratch_made()
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 60) if k % 20 != 19], "a long, b long")
+    roots = simhash.components(edges)
+    assert {r.node: r.root for r in roots.collect()} == {k: k // 20 * 20 for k in range(60)}
+    assert len(scratch_made(before)) == 1  # the result alone
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:

@@ -12,7 +12,7 @@ from foliant.operators import edits, layout, numbering, ordered, tables
 from foliant.plans import ir
 from foliant.session import table
 from foliant.sinks import packages as sink
-from foliant.sources import containers, markup, packages
+from foliant.sources import containers, document, markup, packages
 from foliant.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,7 +497,7 @@ def docx_table_roundtrip(spark, sf):
     tall = n.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").cast("int").alias("row_span")).join(r, "r_regionkey")
     tall = tall.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit(0).alias("table"), F.lit(0).alias("row"), F.lit(0).alias("col"), "row_span", F.lit(1).alias("col_span"), F.lit(90.0).alias("width"), F.col("r_name").alias("text"))
     files = sink.package_body(docx_tables(cell.unionByName(tall)).select("doc_id", "xml"), "docx")
-    return packages.docx_cells(files).select("doc_id", F.col("row").cast("long").alias("row"), "col", "row_span", "col_span", "text")
+    return document.read_docx(files).cells.select("doc_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "row_span", "col_span", "text")
 
 
 @query("""

@@ -53,18 +53,18 @@ def style_flags(runs: DataFrame) -> DataFrame:
 def docx_invariants(files: DataFrame) -> DataFrame:
     """(doc_id, rule, n): what no docx may have, whatever its content: cells without a paragraph, paragraphs that do not end
     a cell, lists without a definition, links without a relationship, rows of other widths than their table's first."""
-    from foliant.session import written
-    from foliant.sources.document import docx_lists, docx_relations
+    from foliant.sources.document import docx_lists, docx_relations, shred
 
     attr = lambda n: F.try_element_at("attrs", F.lit(n))
-    nodes = written(xml_nodes(zip_entries(files, ["word/document.xml"]), []), "nodes")
+    shredded = shred(files, "docx")
+    nodes = shredded.filter("part = 'word/document.xml'")
     of = lambda name: nodes.filter(F.col("name") == name)
     cells = of("tc").select("doc_id", F.col("node_id").alias("parent_id"))
     empty = cells.join(of("p").select("doc_id", "parent_id"), ["doc_id", "parent_id"], "left_anti")
     nums = of("numId").select("doc_id", attr("val").alias("num")).filter("num <> '0'")
-    undefined = nums.join(docx_lists(files).select("doc_id", "num").distinct(), ["doc_id", "num"], "left_anti")
+    undefined = nums.join(docx_lists(shredded).select("doc_id", "num").distinct(), ["doc_id", "num"], "left_anti")
     links = of("hyperlink").select("doc_id", attr("id").alias("rid")).filter("rid is not null")
-    dangling = links.join(docx_relations(files).select("doc_id", "rid").distinct(), ["doc_id", "rid"], "left_anti")
+    dangling = links.join(docx_relations(shredded).select("doc_id", "rid").distinct(), ["doc_id", "rid"], "left_anti")
     spans = of("gridSpan").select("doc_id", F.col("parent_id").alias("pr"), attr("val").try_cast("int").alias("span"))
     props = of("tcPr").select("doc_id", F.col("node_id").alias("pr"), F.col("parent_id").alias("cell")).join(spans, ["doc_id", "pr"])
     rows = of("tc").select("doc_id", F.col("node_id").alias("cell"), F.col("parent_id").alias("tr")).join(props, ["doc_id", "cell"], "left").groupBy("doc_id", "tr").agg(F.sum(F.coalesce("span", F.lit(1))).alias("width"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import queries_documents, queries_functions, queries_ir, queries_streams, queries_tables  # noqa: F401 - registers its queries
+from foliant.plans import queries_documents, queries_functions, queries_ir, queries_nested, queries_streams, queries_tables  # noqa: F401 - registers its queries
 from foliant.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -1,16 +1,20 @@
 """Writers of whole documents: headings, styled runs, lists, links, footnotes, tables, bands and fields, in three formats.
 
 A document is a handful of tables, all keyed by doc_id:
-    blocks(doc_id, ord, tag [, list_id, level, ordered, numbered, align, left, first_line, band, page_break])
-    runs(doc_id, ord, run, text [, bold, italic, underline, strike, color, size, font, position, link, note, field])
-    cells(doc_id, ord, row, col, row_span, col_span, width, text): the cells of the block `ord`, whose tag is table
-    notes(doc_id, note, text)
-XML is made by Catalyst, bottom up: runs into paragraphs, paragraphs into parts;
-styles that a format names are interned per document. Python only zips the parts.
+    blocks(doc_id, ord, tag [, list_id, level, ordered, numbered, align, left, first_line, band, page_break, inside])
+    runs(doc_id, ord, run, text [, bold, italic, underline, strike, color, size, font, position, link, note, field, picture, pic_width, pic_height])
+    cells(doc_id, ord, row, col, row_span, col_span, width, text [, cell]): the cells of the block `ord`, whose tag is table
+    notes(doc_id, note, text), images(doc_id, image, ext, data)
+A cell holds the blocks whose `inside` is its `cell` (tables among them, to any depth), or
+its text where it has none. A run whose picture names an image shows it. XML is made by
+Catalyst, bottom up: runs into paragraphs, paragraphs into cells and parts, the deepest
+tables first; styles that a format names are interned per document. Pictures are keys
+until the end: their bytes meet the parts of their document just before Python zips them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,8 +30,9 @@ from foliant.session import written
 from foliant.sinks import packages, parts
 from foliant.sinks.packages import XML
 
-BLOCK = {"list_id": "int", "level": "int", "ordered": "boolean", "numbered": "boolean", "align": "string", "left": "double", "first_line": "double", "band": "string", "page_break": "boolean"}
-RUN = {"bold": "boolean", "italic": "boolean", "underline": "boolean", "strike": "boolean", "color": "string", "size": "double", "font": "string", "position": "string", "link": "string", "note": "int", "field": "string"}
+BLOCK = {"list_id": "int", "level": "int", "ordered": "boolean", "numbered": "boolean", "align": "string", "left": "double", "first_line": "double", "band": "string", "page_break": "boolean", "inside": "int"}
+RUN = {"bold": "boolean", "italic": "boolean", "underline": "boolean", "strike": "boolean", "color": "string", "size": "double", "font": "string", "position": "string", "link": "string", "note": "int", "field": "string", "picture": "string", "pic_width": "double", "pic_height": "double"}
+CELL = {"width": "double", "cell": "int"}
 #: What a text style is made of, and what a paragraph style is.
 TEXT_STYLE = ["bold", "italic", "underline", "strike", "color", "size", "font", "position"]
 PARA_STYLE = ["align", "left", "first_line", "page_break"]
@@ -42,18 +47,20 @@ class Document:
     runs: DataFrame
     cells: DataFrame | None = None
     notes: DataFrame | None = None
+    images: DataFrame | None = None
 
     def __post_init__(self):
         fill = lambda df, known: df.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in df.columns})
         self.blocks, self.runs = fill(self.blocks, BLOCK), fill(self.runs, RUN)
         spark = self.blocks.sparkSession
         self.cells = self.cells if self.cells is not None else spark.createDataFrame([], "doc_id long, ord int, row int, col int, row_span int, col_span int, width double, text string")
+        self.cells = fill(self.cells, CELL)
+        self.images = self.images if self.images is not None else spark.createDataFrame([], "doc_id long, image string, ext string, data binary")
         self.notes = self.notes if self.notes is not None else spark.createDataFrame([], "doc_id long, note int, text string")
 
-
     def stored(self) -> Document:
         """With its tables written once: writers use each of them several times."""
-        return Document(*[written(df, name) for df, name in ((self.blocks, "blocks"), (self.runs, "runs"), (self.cells, "cells"), (self.notes, "notes"))])
+        return Document(*[written(df, name) for df, name in ((self.blocks, "blocks"), (self.runs, "runs"), (self.cells, "cells"), (self.notes, "notes"))], self.images)
 
 
 def _joined(value: str, *order: str) -> Column:
@@ -88,14 +95,57 @@ def _parts(*tables: tuple[str, DataFrame]) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "xml"))).alias("parts"))
 
 
-def package(made: DataFrame, fixed: dict[str, str]) -> DataFrame:
-    """(doc_id, content) from (doc_id, parts), with the fixed parts that a document does not replace."""
+def package(made: DataFrame, fixed: dict[str, str], media: DataFrame | None = None) -> DataFrame:
+    """(doc_id, content) from (doc_id, parts), with the fixed parts that a document does not replace and the pictures of
+    media (doc_id, path, data): bytes are grouped by document once, here."""
 
     @F.pandas_udf("binary")
-    def pack(parts_of: pd.Series) -> pd.Series:
-        return parts_of.map(lambda p: packages.zipped({**fixed, **dict(p)}))
+    def pack(parts_of: pd.Series, media_of: pd.Series) -> pd.Series:
+        return pd.Series([packages.zipped({**fixed, **dict(p), **{x["path"]: bytes(x["data"]) for x in (() if m is None else m)}}) for p, m in zip(parts_of, media_of)])
+
+    if media is None:
+        made = made.withColumn("media", F.lit(None).cast("array<struct<path:string,data:binary>>"))
+    else:
+        made = made.join(media.groupBy("doc_id").agg(F.collect_list(F.struct("path", "data")).alias("media")), "doc_id", "left")
+    return made.select("doc_id", pack("parts", "media").alias("content"))
+
+
+def pictures(doc: Document, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, picture, bin, ext, path) of the pictures that runs show, equal ones of a document as one, and the media
+    (doc_id, path, data) of a package. The first holds keys only; pictures that no run shows are not written."""
+    images = doc.images.withColumn("ext", F.lower("ext"))
+    used = doc.runs.filter("picture is not null").select("doc_id", F.col("picture").alias("image")).distinct()
+    keyed = images.select("doc_id", "image", "ext", F.sha2("data", 256).alias("sha")).join(used, ["doc_id", "image"])
+    groups, named = intern(keyed, ["doc_id"], F.col("image"), ["ext", "sha"], "nth")
+    path = F.concat(F.lit(f"{folder}/image"), F.col("nth") + 1, F.lit("."), F.col("ext"))
+    names = written(named.select("doc_id", F.col("image").alias("picture"), (F.col("nth") + 1).alias("bin"), "ext", path.alias("path")), "pictures")
+    first = names.groupBy("doc_id", "path").agg(F.min("picture").alias("image"))
+    return names, images.select("doc_id", "image", "data").join(first, ["doc_id", "image"]).select("doc_id", "path", "data")
 
-    return made.select("doc_id", pack("parts").alias("content"))
+
+def assemble(rows: DataFrame, cells: DataFrame, tables: Callable[[DataFrame], DataFrame], listed: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """The blocks that stand in no cell, with xml: `rows` has the xml of paragraphs, `tables` makes (doc_id, ord, table_xml)
+    of cells with a body, `listed` puts list items of one place into lists.
+
+    Blocks get the depth of the cells that they stand in by joining each level's tables with their cells and what is inside
+    of these; then the deepest level goes into the cells of the one above, and so on: as many rounds as tables nest.
+    """
+    rows, cells = written(rows, "rows"), written(cells, "cells")
+    levels = [rows.filter("inside is null")]
+    while True:
+        held = cells.filter("cell is not null").join(levels[-1].filter("tag = 'table'").select("doc_id", "ord"), ["doc_id", "ord"], "left_semi").select("doc_id", F.col("cell").alias("inside"))
+        below = written(rows.join(held, ["doc_id", "inside"], "left_semi").select(*rows.columns), "level")
+        if below.isEmpty():
+            break
+        levels.append(below)
+    content = None
+    for here in reversed(levels):
+        own = cells.join(here.filter("tag = 'table'").select("doc_id", "ord"), ["doc_id", "ord"], "left_semi")
+        own = own.withColumn("body", F.lit(None).cast("string")) if content is None else own.join(content, ["doc_id", "cell"], "left")
+        whole = here.join(tables(own), ["doc_id", "ord"], "left")
+        whole = listed(whole.withColumn("xml", F.when(F.col("tag") == "table", F.coalesce("table_xml", F.lit(""))).otherwise(F.col("xml"))).drop("table_xml"))
+        content = whole.groupBy("doc_id", F.col("inside").alias("cell")).agg(_joined("xml", "ord").alias("body"))
+    return whole
 
 
 def _body(blocks: DataFrame, docs: DataFrame, before: Column | str, after: Column | str) -> DataFrame:
@@ -107,8 +157,8 @@ def _body(blocks: DataFrame, docs: DataFrame, before: Column | str, after: Colum
 
 def _list_shape(blocks: DataFrame) -> DataFrame:
     """Adds opens, closes and deeper of list items: how many levels an item opens, how many follow-ups close, by its neighbours."""
-    marked = islands(blocks.withColumn("_list", F.when(F.col("tag") == "li", F.coalesce("list_id", F.lit(0)))), ["doc_id", "band"], ["ord"], ["_list"], "_run")
-    w = W.partitionBy("doc_id", "band", "_run").orderBy("ord")
+    marked = islands(blocks.withColumn("_list", F.when(F.col("tag") == "li", F.coalesce("list_id", F.lit(0)))), ["doc_id", "band", "inside"], ["ord"], ["_list"], "_run")
+    w = W.partitionBy("doc_id", "band", "inside", "_run").orderBy("ord")
     level = F.coalesce("level", F.lit(0))
     return marked.withColumn("_before", F.coalesce(F.lag(level).over(w), F.lit(-1))).withColumn("_last", F.lead(level).over(w).isNull()).withColumn("_level", level)
 
@@ -118,7 +168,7 @@ def _closing_kinds(shaped: DataFrame, kind: Column) -> DataFrame:
 
     Openings and closings are rows of their level, so an as-of join by level finds the opener, at any depth.
     """
-    level, before, by = F.col("_level"), F.col("_before"), ["doc_id", "band", "_run", "k"]
+    level, before, by = F.col("_level"), F.col("_before"), ["doc_id", "band", "inside", "_run", "k"]
     items = shaped.filter("_list is not null").withColumn("_kind", kind)
     opens = items.filter(level > before).select("*", F.explode(F.sequence(before + 1, level)).alias("k")).select(*by, "ord", "_kind")
     low = F.when(F.col("_last"), F.lit(0)).otherwise(level + 1)
@@ -151,6 +201,11 @@ def nested_lists(blocks: DataFrame, open_list: Column, close_list: str | tuple[C
     return shaped.withColumn("xml", xml).drop("_list", "_run", "_before", "_last", "_level", "_kinds")
 
 
+def _tables_of(make: Callable[[DataFrame], DataFrame], cells: DataFrame) -> DataFrame:
+    """(doc_id, ord, table_xml)."""
+    return make(cells.withColumn("table", F.col("ord"))).select("doc_id", F.col("table").alias("ord"), F.col("xml").alias("table_xml"))
+
+
 # ---- docx
 
 
@@ -167,25 +222,39 @@ def _docx_runs(runs: DataFrame) -> DataFrame:
     text = F.concat(F.lit("<w:r>"), F.when(props != "", F.concat(F.lit("<w:rPr>"), props, F.lit("</w:rPr>"))).otherwise(""), packages.docx_text(F.col("text")), F.lit("</w:r>"))
     note = F.concat(F.lit('<w:r><w:rPr><w:vertAlign w:val="superscript"/></w:rPr><w:footnoteReference w:id="'), F.col("note"), F.lit('"/></w:r>'))
     field = F.concat(F.lit('<w:fldSimple w:instr="'), F.when(F.col("field") == "pages", " NUMPAGES ").otherwise(" PAGE "), F.lit('"><w:r><w:t>1</w:t></w:r></w:fldSimple>'))
-    return runs.withColumn("xml", F.when(F.col("note").isNotNull(), note).when(F.col("field").isNotNull(), field).otherwise(text))
+    return runs.withColumn("xml", F.when(F.col("note").isNotNull(), note).when(F.col("field").isNotNull(), field).when(F.col("bin").isNotNull(), _docx_picture()).otherwise(text))
+
+
+def _emu(c: str) -> Column:
+    """Points, 3 inches where a picture's size is unsaid."""
+    return F.round(F.coalesce(F.col(c), F.lit(216.0)) * 12700).cast("long")
+
+
+def _docx_picture() -> Column:
+    size = lambda name: F.concat(F.lit(f"<{name} cx=\""), _emu("pic_width"), F.lit('" cy="'), _emu("pic_height"), F.lit('"/>'))
+    named = lambda name: F.concat(F.lit(f"<{name} id=\""), F.col("bin"), F.lit('" name="image'), F.col("bin"), F.lit('"/>'))
+    return F.concat(
+        F.lit("<w:r><w:drawing><wp:inline>"), size("wp:extent"), named("wp:docPr"), F.lit(f'<a:graphic><a:graphicData uri="{packages.DRAWING}/picture"><pic:pic><pic:nvPicPr>'), named("pic:cNvPr"), F.lit('<pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="rIdImage'), F.col("bin"),
+        F.lit('"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/>'), size("a:ext"), F.lit('</a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>'),
+    )
 
 
 def write_docx(doc: Document) -> DataFrame:
     docs = doc.blocks.select("doc_id").distinct()
     links = parts.docx_links(doc.runs.filter("link is not null").select("doc_id", F.col("link").alias("href")))
-    runs = _docx_runs(doc.runs).join(links.select("doc_id", F.col("href").alias("link"), "rid"), ["doc_id", "link"], "left")
+    names, media = pictures(doc, "word/media")
+    runs = _docx_runs(doc.runs.join(names, ["doc_id", "picture"], "left")).join(links.select("doc_id", F.col("href").alias("link"), "rid"), ["doc_id", "link"], "left")
     target = F.coalesce(F.concat(F.lit('<w:hyperlink r:id="'), F.col("rid"), F.lit('">')), F.concat(F.lit('<w:hyperlink w:anchor="'), escape(F.substr("link", F.lit(2))), F.lit('">')))
     inner = _linked(runs, target, "</w:hyperlink>")
     sizes = doc.runs.groupBy("doc_id", "ord").agg(F.max("size").alias("most"))  # the line is as high as the largest run
-    tables_xml = parts.docx_tables(doc.cells.withColumn("table", F.col("ord"))).select("doc_id", F.col("table").alias("ord"), F.col("xml").alias("table_xml"))
-    rows = doc.blocks.join(inner, ["doc_id", "ord"], "left").join(sizes, ["doc_id", "ord"], "left").join(tables_xml, ["doc_id", "ord"], "left")
+    rows = doc.blocks.join(inner, ["doc_id", "ord"], "left").join(sizes, ["doc_id", "ord"], "left")
     head = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
     num = F.when(F.col("tag") == "li", F.coalesce("list_id", F.lit(1))).when(head.isNotNull() & F.col("numbered"), F.lit(OUTLINE_NUM))
     level = F.when(F.col("tag") == "li", F.coalesce("level", F.lit(0))).otherwise(head - 1)
     props = F.concat(_tag("w:pStyle", val=F.concat(F.lit("Heading"), head)), _if(F.col("page_break"), "<w:pageBreakBefore/>"), parts.docx_paragraph_properties(num, level, F.col("most"), head, F.col("align"), F.coalesce("left", F.lit(0.0)), F.coalesce("first_line", F.lit(0.0))))
     para = F.concat(F.lit("<w:p><w:pPr>"), props, F.lit("</w:pPr>"), F.coalesce("xml", F.lit("")), F.lit("</w:p>"))
-    rows = rows.select("doc_id", "ord", "band", F.when(F.col("tag") == "table", F.col("table_xml")).otherwise(para).alias("xml"))
-    ns = packages.W_NS
+    rows = assemble(rows.select("doc_id", "ord", "tag", "band", "inside", para.alias("xml")), doc.cells, lambda cells: _tables_of(parts.docx_tables, cells))
+    ns = f"{packages.W_NS} {packages.DRAWING_NS}"
     band = lambda name: rows.filter(F.col("band") == name)
     has = docs.join(band("header").select("doc_id", F.lit(True).alias("h")).distinct(), "doc_id", "left").join(band("footer").select("doc_id", F.lit(True).alias("f")).distinct(), "doc_id", "left")
     refs = F.concat(_if(F.col("h"), '<w:headerReference w:type="default" r:id="rId10"/>'), _if(F.col("f"), '<w:footerReference w:type="default" r:id="rId11"/>'))
@@ -201,10 +270,11 @@ def write_docx(doc: Document) -> DataFrame:
     relation = lambda i, name, path: f'<Relationship Id="{i}" Type="{rel}/{name}" Target="{path}"/>'
     fixed = "".join(relation(i, n, f"{n}.xml") for i, n in (("rId1", "styles"), ("rId2", "numbering"), ("rId3", "footnotes")))
     own = links.groupBy("doc_id").agg(_joined("xml", "rid").alias("links"))
-    rels = has.join(own, "doc_id", "left").select("doc_id", F.concat(F.lit(f'{XML}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{fixed}'), _if(F.col("h"), relation("rId10", "header", "header1.xml")), _if(F.col("f"), relation("rId11", "footer", "footer1.xml")), F.coalesce("links", F.lit("")), F.lit("</Relationships>")).alias("xml"))
+    shown = names.select("doc_id", "bin", F.concat(F.lit('<Relationship Id="rIdImage'), F.col("bin"), F.lit(f'" Type="{rel}/image" Target="'), F.substring("path", 6, 1000), F.lit('"/>')).alias("xml")).distinct()
+    rels = has.join(own, "doc_id", "left").join(shown.groupBy("doc_id").agg(_joined("xml", "bin").alias("shown")), "doc_id", "left").select("doc_id", F.concat(F.lit(f'{XML}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{fixed}'), _if(F.col("h"), relation("rId10", "header", "header1.xml")), _if(F.col("f"), relation("rId11", "footer", "footer1.xml")), F.coalesce("links", F.lit("")), F.coalesce("shown", F.lit("")), F.lit("</Relationships>")).alias("xml"))
     bands = [(f"word/{n}1.xml", _body(band(n), band(n).select("doc_id").distinct(), f"{XML}<w:{t} {ns}>", f"</w:{t}>")) for n, t in (("header", "hdr"), ("footer", "ftr"))]
     made = _parts(("word/document.xml", body), ("word/numbering.xml", numbering), ("word/footnotes.xml", notes), ("word/_rels/document.xml.rels", rels), *bands)
-    return package(made, packages.DOCX | {"[Content_Types].xml": packages.docx_content_types()})
+    return package(made, packages.DOCX | {"[Content_Types].xml": packages.docx_content_types()}, media)
 
 
 # ---- odt
@@ -240,20 +310,23 @@ def write_odt(doc: Document) -> DataFrame:
     docs = doc.blocks.select("doc_id").distinct()
     text_styles, runs = intern(doc.runs, ["doc_id"], F.struct("ord", "run"), TEXT_STYLE, "style")
     para_styles, blocks = intern(doc.blocks, ["doc_id"], F.col("ord"), PARA_STYLE, "style")
-    runs = runs.join(doc.notes.select("doc_id", "note", F.col("text").alias("note_text")), ["doc_id", "note"], "left")
+    names, media = pictures(doc, "Pictures")
+    runs = runs.join(doc.notes.select("doc_id", "note", F.col("text").alias("note_text")), ["doc_id", "note"], "left").join(names, ["doc_id", "picture"], "left")
     body = F.concat(F.lit('<text:span text:style-name="T'), F.col("style"), F.lit('">'), packages.odt_text(F.col("text")), F.lit("</text:span>"))
     note = F.concat(F.lit('<text:note text:note-class="footnote" text:id="ftn'), F.col("note"), F.lit('"><text:note-citation>'), F.col("note"), F.lit("</text:note-citation><text:note-body><text:p>"), packages.odt_text(F.coalesce("note_text", F.lit(""))), F.lit("</text:p></text:note-body></text:note>"))
     field = F.when(F.col("field") == "pages", "<text:page-count>1</text:page-count>").otherwise('<text:page-number text:select-page="current">1</text:page-number>')
-    runs = runs.withColumn("xml", F.when(F.col("note").isNotNull(), note).when(F.col("field").isNotNull(), field).otherwise(body)).withColumn("rid", F.lit(None).cast("string"))
+    length = lambda c: F.format_string("%.2fpt", F.coalesce(F.col(c), F.lit(216.0)))
+    frame = F.concat(F.lit('<draw:frame text:anchor-type="as-char" svg:width="'), length("pic_width"), F.lit('" svg:height="'), length("pic_height"), F.lit('"><draw:image xlink:href="'), F.col("path"), F.lit('" xlink:type="simple"/></draw:frame>'))
+    runs = runs.withColumn("xml", F.when(F.col("note").isNotNull(), note).when(F.col("field").isNotNull(), field).when(F.col("bin").isNotNull(), frame).otherwise(body)).withColumn("rid", F.lit(None).cast("string"))
     inner = _linked(runs, F.concat(F.lit('<text:a xlink:type="simple" xlink:href="'), escape(F.col("link")), F.lit('">')), "</text:a>")
-    tables_xml = parts.odt_tables(doc.cells.withColumn("table", F.col("ord"))).select("doc_id", F.col("table").alias("ord"), F.col("xml").alias("table_xml"))
-    rows = blocks.join(inner, ["doc_id", "ord"], "left").join(tables_xml, ["doc_id", "ord"], "left")
+    rows = blocks.join(inner, ["doc_id", "ord"], "left")
     head = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1))
     named = F.concat(F.lit(' text:style-name="P'), F.col("style"), F.lit('">'))
     content = F.coalesce("xml", F.lit(""))
     para = F.when(head.isNotNull(), F.concat(F.lit('<text:h text:outline-level="'), head, F.lit('"'), _if(~F.coalesce("numbered", F.lit(False)), ' text:is-list-header="true"'), named, content, F.lit("</text:h>"))).otherwise(F.concat(F.lit("<text:p"), named, content, F.lit("</text:p>")))
-    rows = rows.withColumn("xml", F.when(F.col("tag") == "table", F.col("table_xml")).otherwise(para))
-    rows = nested_lists(rows, F.concat(F.lit('<text:list text:style-name="L'), F.coalesce("list_id", F.lit(1)), F.lit('">')), "</text:list>", "<text:list-item>", "</text:list-item>")
+    open_list = F.concat(F.lit('<text:list text:style-name="L'), F.coalesce("list_id", F.lit(1)), F.lit('">'))
+    listed = lambda rows: nested_lists(rows, open_list, "</text:list>", "<text:list-item>", "</text:list-item>")
+    rows = assemble(rows.withColumn("xml", para), doc.cells, lambda cells: _tables_of(parts.odt_tables, cells), listed)
     texts = text_styles.withColumn("xml", _odt_style("text", F.concat(F.lit("T"), "style"), _odt_text_properties())).groupBy("doc_id").agg(_joined("xml", "style").alias("t"))
     pt = lambda name, c: F.coalesce(F.concat(F.lit(f' fo:{name}="'), F.format_string("%.2fpt", F.when(F.col(c) != 0, F.col(c))), F.lit('"')), F.lit(""))
     margins = F.concat(F.lit("<style:paragraph-properties"), F.coalesce(F.concat(F.lit(' fo:text-align="'), F.col("align"), F.lit('"')), F.lit("")), F.when(F.col("left").isNotNull(), pt("margin-left", "left")).otherwise(""), F.when(F.col("first_line").isNotNull(), pt("text-indent", "first_line")).otherwise(""), _if(F.col("page_break"), ' fo:break-before="page"'), F.lit("/>"))
@@ -266,7 +339,11 @@ def write_odt(doc: Document) -> DataFrame:
     bands = rows.filter("band is not null").groupBy("doc_id").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("band") == n, F.struct("ord", "xml")))), lambda x: x["xml"]), "").alias(n) for n in ("header", "footer")])
     some = lambda n: F.when(F.coalesce(n, F.lit("")) != "", F.concat(F.lit(f"<style:{n}>"), F.col(n), F.lit(f"</style:{n}>"))).otherwise("")
     page = automatic.join(bands, "doc_id", "left").select("doc_id", F.concat(F.lit(f'{XML}<office:document-styles {ns} office:version="1.2">'), F.col("auto"), F.lit('<office:master-styles><style:master-page style:name="Standard">'), some("header"), some("footer"), F.lit("</style:master-page></office:master-styles></office:document-styles>")).alias("xml"))
-    return package(_parts(("content.xml", main), ("styles.xml", page)), packages.ODT | {"META-INF/manifest.xml": packages.odt_manifest(["content.xml", "styles.xml"])})
+    entry = F.concat(F.lit('<manifest:file-entry manifest:full-path="'), F.col("path"), F.lit('" manifest:media-type="'), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in packages.MEDIA.items() for x in kv]), F.col("ext")), F.lit("application/octet-stream")), F.lit('"/>'))
+    entries = names.select("doc_id", "bin", entry.alias("xml")).distinct().groupBy("doc_id").agg(_joined("xml", "bin").alias("entries"))
+    before, after = packages.odt_manifest(["content.xml", "styles.xml"]).rsplit("</manifest:manifest>", 1)[0], "</manifest:manifest>"
+    manifest = docs.join(entries, "doc_id", "left").select("doc_id", F.concat(F.lit(before), F.coalesce("entries", F.lit("")), F.lit(after)).alias("xml"))
+    return package(_parts(("content.xml", main), ("styles.xml", page), ("META-INF/manifest.xml", manifest)), packages.ODT, media)
 
 
 # ---- hwpx
@@ -294,7 +371,7 @@ def _hwpx_lists(blocks: DataFrame) -> DataFrame:
 
 def _hwpx_tables(cells: DataFrame) -> DataFrame:
     unit = lambda c: F.coalesce(units.pt_to_units(F.col(c)), F.lit(6000))
-    para = F.concat(F.lit('<hp:p id="0" paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'), packages.hwpx_text(F.col("text")), F.lit("</hp:run></hp:p>"))
+    para = parts._content(cells, F.concat(F.lit('<hp:p id="0" paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'), packages.hwpx_text(F.col("text")), F.lit("</hp:run></hp:p>")))
     xml = F.concat(F.lit("<hp:tc><hp:subList>"), para, F.lit('</hp:subList><hp:cellAddr colAddr="'), F.col("col"), F.lit('" rowAddr="'), F.col("row"), F.lit('"/><hp:cellSpan colSpan="'), F.col("col_span"), F.lit('" rowSpan="'), F.col("row_span"), F.lit('"/><hp:cellSz width="'), unit("width"), F.lit('" height="1500"/></hp:tc>'))
     rows = cells.withColumn("xml", xml).groupBy("doc_id", "ord", "row").agg(_joined("xml", "col").alias("xml"), F.max(F.col("col") + F.col("col_span")).alias("cols"))
     rows = rows.withColumn("xml", F.concat(F.lit("<hp:tr>"), F.col("xml"), F.lit("</hp:tr>")))
@@ -302,6 +379,11 @@ def _hwpx_tables(cells: DataFrame) -> DataFrame:
     return whole.select("doc_id", "ord", F.concat(F.lit('<hp:tbl rowCnt="'), F.col("rows"), F.lit('" colCnt="'), F.col("cols"), F.lit('">'), F.col("xml"), F.lit("</hp:tbl>")).alias("table_xml"))
 
 
+def _in_run(tag: str, xml: str) -> Column:
+    """What stands in a paragraph: its runs, or one that holds a table."""
+    return F.when(F.col(tag) == "table", F.concat(F.lit('<hp:run charPrIDRef="0">'), F.coalesce(xml, F.lit("")), F.lit("</hp:run>"))).otherwise(F.coalesce(xml, F.lit('<hp:run charPrIDRef="0"/>')))
+
+
 def write_hwpx(doc: Document) -> DataFrame:
     docs = doc.blocks.select("doc_id").distinct()
     base = docs.select("doc_id", F.lit(-1).alias("ord"), F.lit(-1).alias("run"), F.lit("").alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in RUN.items()])
@@ -311,19 +393,22 @@ def write_hwpx(doc: Document) -> DataFrame:
     keys = [*PARA_STYLE[:3], "list_id", "level"]
     listed = doc.blocks.withColumn("list_id", F.when(F.col("tag") == "li", F.coalesce("list_id", F.lit(1)))).withColumn("level", F.when(F.col("tag") == "li", F.coalesce("level", F.lit(0))).when(F.col("tag").rlike("^h[1-6]$"), F.lit(-1) - F.substring("tag", 2, 1).cast("int")))
     plain = docs.select("doc_id", F.lit(-1).alias("ord"), *[F.lit(None).cast(listed.schema[c].dataType).alias(c) for c in keys])
-    shapes, blocks = intern(listed.select("doc_id", "ord", "tag", "band", "page_break", "numbered", *keys).unionByName(plain, allowMissingColumns=True), ["doc_id"], F.col("ord"), keys, "para")
-    runs = runs.filter("ord >= 0").join(doc.notes.select("doc_id", "note", F.col("text").alias("note_text")), ["doc_id", "note"], "left")
+    shapes, blocks = intern(listed.select("doc_id", "ord", "tag", "band", "inside", "page_break", "numbered", *keys).unionByName(plain, allowMissingColumns=True), ["doc_id"], F.col("ord"), keys, "para")
+    names, media = pictures(doc, "BinData")
+    runs = runs.filter("ord >= 0").join(doc.notes.select("doc_id", "note", F.col("text").alias("note_text")), ["doc_id", "note"], "left").join(names, ["doc_id", "picture"], "left")
     run = lambda inner: F.concat(F.lit('<hp:run charPrIDRef="'), F.col("shape"), F.lit('">'), inner, F.lit("</hp:run>"))
     sub = lambda inner: F.concat(F.lit('<hp:subList><hp:p id="0" paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'), inner, F.lit("</hp:run></hp:p></hp:subList>"))
     note = F.concat(F.lit('<hp:ctrl><hp:footNote number="'), F.col("note"), F.lit('">'), sub(packages.hwpx_text(F.coalesce("note_text", F.lit("")))), F.lit("</hp:footNote></hp:ctrl>"))
     field = F.concat(F.lit('<hp:ctrl><hp:autoNum num="1" numType="'), F.when(F.col("field") == "pages", "TOTAL_PAGE").otherwise("PAGE"), F.lit('"/></hp:ctrl>'))
-    runs = runs.withColumn("xml", run(F.when(F.col("note").isNotNull(), note).when(F.col("field").isNotNull(), field).otherwise(packages.hwpx_text(F.col("text"))))).withColumn("rid", F.col("shape").cast("string"))
+    units_of = lambda c: F.coalesce(units.pt_to_units(F.col(c)), F.lit(21600))
+    picture = F.concat(F.lit('<hp:pic textWrap="TOP_AND_BOTTOM"><hp:sz width="'), units_of("pic_width"), F.lit('" widthRelTo="ABSOLUTE" height="'), units_of("pic_height"), F.lit('" heightRelTo="ABSOLUTE"/><hp:pos treatAsChar="1"/><hc:img binaryItemIDRef="image'), F.col("bin"), F.lit('" bright="0" contrast="0" effect="REAL_PIC"/></hp:pic>'))
+    runs = runs.withColumn("xml", run(F.when(F.col("note").isNotNull(), note).when(F.col("field").isNotNull(), field).when(F.col("bin").isNotNull(), picture).otherwise(packages.hwpx_text(F.col("text"))))).withColumn("rid", F.col("shape").cast("string"))
     begin = F.concat(F.lit('<hp:run charPrIDRef="0"><hp:ctrl><hp:fieldBegin type="HYPERLINK"><hp:parameters cnt="1"><hp:stringParam name="Command">'), escape(F.replace("link", F.lit(";"), F.lit("\\;"))), F.lit(";1;0;0;</hp:stringParam></hp:parameters></hp:fieldBegin></hp:ctrl></hp:run>"))
     inner = _linked(runs, begin, '<hp:run charPrIDRef="0"><hp:ctrl><hp:fieldEnd/></hp:ctrl></hp:run>')
-    rows = blocks.filter("ord >= 0").join(inner, ["doc_id", "ord"], "left").join(_hwpx_tables(doc.cells), ["doc_id", "ord"], "left")
-    content = F.when(F.col("tag") == "table", F.concat(F.lit('<hp:run charPrIDRef="0">'), F.coalesce("table_xml", F.lit("")), F.lit("</hp:run>"))).otherwise(F.coalesce("xml", F.lit('<hp:run charPrIDRef="0"/>')))
+    rows = blocks.filter("ord >= 0").join(inner, ["doc_id", "ord"], "left")
     start = F.concat(F.lit('<hp:p id="0" paraPrIDRef="'), F.col("para"), F.lit('" styleIDRef="0" pageBreak="'), F.when(F.coalesce("page_break", F.lit(False)), "1").otherwise("0"), F.lit('">'))
-    rows = rows.withColumn("start", start).withColumn("inner", content)
+    listed = lambda rows: rows.withColumn("xml", F.when(F.col("inside").isNotNull(), F.concat("start", _in_run("tag", "xml"), F.lit("</hp:p>"))).otherwise(_in_run("tag", "xml")))
+    rows = assemble(rows.withColumn("start", start), doc.cells, _hwpx_tables, listed).withColumn("inner", F.col("xml"))
     # bands are controls in the document's first paragraph
     bands = rows.filter("band is not null").withColumn("xml", F.concat("start", "inner", F.lit("</hp:p>"))).groupBy("doc_id", "band").agg(_joined("xml", "ord").alias("xml"))
     control = F.concat(F.lit('<hp:run charPrIDRef="0"><hp:ctrl><hp:'), F.col("band"), F.lit("><hp:subList>"), F.col("xml"), F.lit("</hp:subList></hp:"), F.col("band"), F.lit("></hp:ctrl></hp:run>"))
@@ -346,7 +431,11 @@ def write_hwpx(doc: Document) -> DataFrame:
         F.lit(f'{XML}<hh:head {ns} version="1.4" secCnt="1"><hh:refList><hh:fontfaces itemCnt="7">'), faces, F.lit('</hh:fontfaces><hh:charProperties itemCnt="'), number("cn"), F.lit('">'), F.col("c"), F.lit('</hh:charProperties><hh:numberings itemCnt="'), number("ln"), F.lit('">'), F.coalesce("l", F.lit("")),
         F.lit('</hh:numberings><hh:paraProperties itemCnt="'), number("pn"), F.lit('">'), F.col("p"), F.lit("</hh:paraProperties></hh:refList></hh:head>"),
     ).alias("xml"))
-    return package(_parts(("Contents/section0.xml", section), ("Contents/header.xml", header)), packages.HWPX)
+    item = F.concat(F.lit('<opf:item id="image'), F.col("bin"), F.lit('" href="'), F.col("path"), F.lit('" media-type="'), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in packages.MEDIA.items() for x in kv]), F.col("ext")), F.lit("application/octet-stream")), F.lit('" isEmbeded="1"/>'))
+    items = names.select("doc_id", "bin", item.alias("xml")).distinct().groupBy("doc_id").agg(_joined("xml", "bin").alias("items"))
+    before, after = packages.HWPX["Contents/content.hpf"].split("</opf:manifest>")
+    content = docs.join(items, "doc_id", "left").select("doc_id", F.concat(F.lit(before), F.coalesce("items", F.lit("")), F.lit("</opf:manifest>" + after)).alias("xml"))
+    return package(_parts(("Contents/section0.xml", section), ("Contents/header.xml", header), ("Contents/content.hpf", content)), packages.HWPX, media)
 
 
 WRITERS = {"docx": write_docx, "odt": write_odt, "hwpx": write_hwpx}

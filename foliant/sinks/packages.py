@@ -17,9 +17,13 @@ from foliant.functions.text import escape, xml_safe
 
 XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-ODF_NS = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:style="urn:oasis:names:tc:opendocument:xmlns:style:1.0" xmlns:fo="urn:oasis:names:tc:opendocument:xmlns:xsl-fo-compatible:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:xlink="http://www.w3.org/1999/xlink"'
+DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
+DRAWING_NS = f'xmlns:wp="{DRAWING}/wordprocessingDrawing" xmlns:a="{DRAWING}/main" xmlns:pic="{DRAWING}/picture"'
+ODF_NS = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:style="urn:oasis:names:tc:opendocument:xmlns:style:1.0" xmlns:fo="urn:oasis:names:tc:opendocument:xmlns:xsl-fo-compatible:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:draw="urn:oasis:names:tc:opendocument:xmlns:drawing:1.0" xmlns:svg="urn:oasis:names:tc:opendocument:xmlns:svg-compatible:1.0"'
 HP_NS = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph" xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hh="http://www.hancom.co.kr/hwpml/2011/head" xmlns:hc="http://www.hancom.co.kr/hwpml/2011/core"'
 HWPX_LANGUAGES = ("HANGUL", "LATIN", "HANJA", "JAPANESE", "OTHER", "SYMBOL", "USER")
+#: Media types of pictures by extension.
+MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "wmf": "image/x-wmf", "emf": "image/x-emf", "svg": "image/svg+xml"}
 HEAD_SIZE = {"h1": 16, "h2": 14, "h3": 13, "h4": 12, "h5": 12, "h6": 12}
 
 # fixed parts of the packages
@@ -44,7 +48,8 @@ def docx_content_types() -> str:
     """The content types of a document with all the parts that the writer may make."""
     kind = "application/vnd.openxmlformats-officedocument.wordprocessingml"
     more = "".join(f'<Override PartName="/word/{n}.xml" ContentType="{kind}.{t}+xml"/>' for n, t in (("numbering", "numbering"), ("footnotes", "footnotes"), ("header1", "header"), ("footer1", "footer")))
-    return DOCX["[Content_Types].xml"].replace("</Types>", f"{more}</Types>")
+    media = "".join(f'<Default Extension="{k}" ContentType="{v}"/>' for k, v in MEDIA.items())
+    return DOCX["[Content_Types].xml"].replace("</Types>", f"{media}{more}</Types>")
 
 
 def odt_manifest(names: list[str]) -> str:
@@ -95,14 +100,14 @@ _BODY = {
 }
 
 
-def zipped(parts: dict[str, str]) -> bytes:
+def zipped(parts: dict[str, str | bytes]) -> bytes:
     """A package: mimetype first and stored, all else deflated; equal input gives equal bytes."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for path, text in sorted(parts.items(), key=lambda p: (p[0] != "mimetype", p[0])):
             info = zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0))
             info.compress_type = zipfile.ZIP_STORED if path == "mimetype" else zipfile.ZIP_DEFLATED
-            z.writestr(info, text.encode("utf-8"))
+            z.writestr(info, text.encode("utf-8") if isinstance(text, str) else text)
     return out.getvalue()
 
 

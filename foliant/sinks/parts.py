@@ -19,15 +19,21 @@ def _para(text: Column) -> Column:
     return F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), escape(xml_safe(text)), F.lit("</w:t></w:r></w:p>"))
 
 
+def _content(cells: DataFrame, of_text: Column) -> Column:
+    """What a cell holds: the XML of its blocks (column body) if it has some, else its text."""
+    return F.coalesce("body", of_text) if "body" in cells.columns else of_text
+
+
 def docx_tables(cells: DataFrame) -> DataFrame:
-    """(doc_id, table, xml) from cells (doc_id, table, row, col, row_span, col_span, width, text): places that a cell
-    covers downwards get filler cells that continue its merge."""
+    """(doc_id, table, xml) from cells (doc_id, table, row, col, row_span, col_span, width, text [, body]): places that a
+    cell covers downwards get filler cells that continue its merge; a cell ends with a paragraph."""
     each = covered(cells).filter(F.col("c") == F.col("col"))
     first = F.col("r") == F.col("row")
     merge = F.when(F.col("row_span") > 1, F.when(first, '<w:vMerge w:val="restart"/>').otherwise("<w:vMerge/>")).otherwise("")
+    held = _content(cells, _para(F.col("text")))
     width = F.concat(F.lit('<w:tcW w:w="'), units.pt_to_twips(F.coalesce("width", F.lit(60.0))), F.lit('" w:type="dxa"/>'))
     span = F.when(F.col("col_span") > 1, F.concat(F.lit('<w:gridSpan w:val="'), F.col("col_span"), F.lit('"/>'))).otherwise("")
-    xml = F.concat(F.lit("<w:tc><w:tcPr>"), width, span, merge, F.lit("</w:tcPr>"), F.when(first, _para(F.col("text"))).otherwise("<w:p/>"), F.lit("</w:tc>"))
+    xml = F.concat(F.lit("<w:tc><w:tcPr>"), width, span, merge, F.lit("</w:tcPr>"), F.when(first, F.when(held.endswith("</w:tbl>"), F.concat(held, F.lit("<w:p/>"))).otherwise(held)).otherwise("<w:p/>"), F.lit("</w:tc>"))
     rows = each.withColumn("xml", xml).groupBy("doc_id", "table", "r").agg(_joined("xml", "c").alias("xml")).withColumn("xml", F.concat(F.lit("<w:tr>"), F.col("xml"), F.lit("</w:tr>")))
     return rows.groupBy("doc_id", "table").agg(F.concat(F.lit("<w:tbl><w:tblPr/>"), _joined("xml", "r"), F.lit("</w:tbl>")).alias("xml"))
 
@@ -37,7 +43,7 @@ def odt_tables(cells: DataFrame) -> DataFrame:
     each = covered(cells)
     own = (F.col("r") == F.col("row")) & (F.col("c") == F.col("col"))
     span = lambda c, n: F.when(F.col(c) > 1, F.concat(F.lit(f' table:number-{n}-spanned="'), F.col(c), F.lit('"'))).otherwise("")
-    cell = F.concat(F.lit("<table:table-cell"), span("col_span", "columns"), span("row_span", "rows"), F.lit("><text:p>"), escape(xml_safe(F.col("text"))), F.lit("</text:p></table:table-cell>"))
+    cell = F.concat(F.lit("<table:table-cell"), span("col_span", "columns"), span("row_span", "rows"), F.lit(">"), _content(cells, F.concat(F.lit("<text:p>"), escape(xml_safe(F.col("text"))), F.lit("</text:p>"))), F.lit("</table:table-cell>"))
     rows = each.withColumn("xml", F.when(own, cell).otherwise("<table:covered-table-cell/>")).groupBy("doc_id", "table", "r").agg(_joined("xml", "c").alias("xml"))
     rows = rows.withColumn("xml", F.concat(F.lit("<table:table-row>"), F.col("xml"), F.lit("</table:table-row>")))
     return rows.groupBy("doc_id", "table").agg(F.concat(F.lit("<table:table>"), _joined("xml", "r"), F.lit("</table:table>")).alias("xml"))

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 MAX_DEPTH = 256
-NODE = "doc_id long, part string, node_id int, parent_id int, depth int, name string, attrs map<string,string>, text string, block_id int, path string, parent_name string, error string"
-COLUMNS = ["doc_id", "part", "node_id", "parent_id", "depth", "name", "attrs", "text", "block_id", "path", "parent_name", "error"]
+NODE = "doc_id long, part string, node_id int, parent_id int, depth int, name string, attrs map<string,string>, text string, block_id int, path string, parent_name string, error string, last_id int, post_id int, cell_id int, outer_id int"
+COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 #: Nodes of a frame, about; documents are not cut.
 FRAME_ROWS = 20_000
 # fixed values: elements without content, elements whose text is raw, and the vocabulary of blocks
@@ -22,28 +22,49 @@ CLOSES = {"li": ("li", ("ul", "ol")), "tr": ("tr", ("table", "tbody", "thead", "
 
 
 class _Rows:
-    """Nodes with their parents, depths, nearest block ancestors and paths."""
+    """Nodes with their parents, depths, paths, nearest ancestors that are blocks, cells and outer parts, and their intervals.
 
-    def __init__(self, doc_id, part: str, blocks: frozenset[str]):
+    A node's descendants are the nodes after it up to last_id, so "inside of" is a range of numbers; post_id numbers
+    nodes in the order in which they end.
+    """
+
+    def __init__(self, doc_id, part: str, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()):
         self.rows: list[list] = []
-        self.open: list[tuple[int, str, int | None, str]] = []  # node, name, block, path
-        self.doc_id, self.part, self.blocks = doc_id, part, blocks
+        self.open: list[tuple[int, str, int | None, str, int | None, int | None]] = []  # node, name, block, path, cell, outer
+        self.doc_id, self.part, self.blocks, self.cells, self.outers = doc_id, part, blocks, cells, outers
+        self.ended = 0
 
     def add(self, name: str, attrs: dict | None, text: str | None) -> int:
         k = len(self.rows)
-        parent, parent_name, block, path = self.open[-1] if self.open else (None, None, None, "")
+        parent, parent_name, block, path, cell, outer = self.open[-1] if self.open else (None, None, None, "", None, None)
         if name != "#text":
             key = (attrs or {}).get("data-id") or (attrs or {}).get("id")
             path = f"{path} > {name}" if path else name
             path = f"{path}#{key}" if key else path
-        self.rows.append([self.doc_id, self.part, k, parent, len(self.open), name, attrs, text, block, path, parent_name, None])
+        self.rows.append([self.doc_id, self.part, k, parent, len(self.open), name, attrs, text, block, path, parent_name, None, k, None, cell, outer])
+        if name == "#text":
+            self._end(k)
         return k
 
+    def _end(self, k: int) -> None:
+        self.rows[k][12], self.rows[k][13] = len(self.rows) - 1, self.ended
+        self.ended += 1
+
+    def leave(self, down_to: int) -> None:
+        """Closes the open nodes down to a depth."""
+        while len(self.open) > down_to:
+            self._end(self.open.pop()[0])
+
+    def fail(self, e: Exception) -> None:
+        self.leave(0)
+        self.rows.append([self.doc_id, self.part, len(self.rows), None, 0, "#error", None, None, None, "", None, f"{type(e).__name__}: {e}", len(self.rows), self.ended, None, None])
+
     def enter(self, name: str, attrs: dict) -> None:
         k = self.add(name, attrs, None)
         if len(self.open) >= MAX_DEPTH:
             raise ValueError(f"nested deeper than {MAX_DEPTH}")
-        self.open.append((k, name, k if name in self.blocks else self.rows[k][8], self.rows[k][9]))
+        row = self.rows[k]
+        self.open.append((k, name, k if name in self.blocks else row[8], row[9], k if name in self.cells else row[14], k if name in self.outers else row[15]))
 
     def text(self, data: str) -> None:
         if self.rows and self.rows[-1][5] == "#text" and self.rows[-1][3] == (self.open[-1][0] if self.open else None):
@@ -52,19 +73,19 @@ class _Rows:
             self.add("#text", None, data)
 
 
-def xml_rows(doc_id, part: str, data: bytes, blocks: frozenset[str]) -> list[list]:
+def xml_rows(doc_id, part: str, data: bytes, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> list[list]:
     """Names and attribute names lose their prefixes; too deep or broken parts end in a row with an error."""
-    rows = _Rows(doc_id, part, blocks)
+    rows = _Rows(doc_id, part, blocks, cells, outers)
     local = lambda n: n.rpartition(":")[2]
     p = expat.ParserCreate()
     p.buffer_text = True
     p.StartElementHandler = lambda n, a: rows.enter(local(n), {local(k): v for k, v in a.items()})
-    p.EndElementHandler = lambda n: rows.open.pop()
+    p.EndElementHandler = lambda n: rows.leave(len(rows.open) - 1)
     p.CharacterDataHandler = rows.text
     try:
         p.Parse(data, True)
     except Exception as e:
-        rows.rows.append([doc_id, part, len(rows.rows), None, 0, "#error", None, None, None, "", None, f"{type(e).__name__}: {e}"])
+        rows.fail(e)
     return rows.rows
 
 
@@ -79,7 +100,7 @@ class _Html(HTMLParser):
         self._imply(tag)
         self.to.enter(tag, {k: v or "" for k, v in attrs})
         if tag in VOID:
-            self.to.open.pop()
+            self.to.leave(len(self.to.open) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -93,7 +114,7 @@ class _Html(HTMLParser):
     def _close(self, name: str, stop) -> None:
         for k in range(len(self.to.open) - 1, -1, -1):
             if self.to.open[k][1] == name:
-                del self.to.open[k:]
+                self.to.leave(k)
                 return
             if self.to.open[k][1] in stop:
                 return
@@ -105,19 +126,20 @@ class _Html(HTMLParser):
         self.to.text(data)
 
 
-def html_rows(doc_id, html: str, blocks: frozenset[str]) -> list[list]:
-    rows = _Rows(doc_id, "html", blocks)
+def html_rows(doc_id, html: str, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> list[list]:
+    rows = _Rows(doc_id, "html", blocks, cells, outers)
     try:
         parser = _Html(rows)
         parser.feed(html)
         parser.close()
+        rows.leave(0)
     except Exception as e:
-        rows.rows.append([doc_id, "html", len(rows.rows), None, 0, "#error", None, None, None, "", None, f"{type(e).__name__}: {e}"])
+        rows.fail(e)
     return rows.rows
 
 
 def _frame(rows: list[list]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=COLUMNS).astype({"parent_id": "Int32", "block_id": "Int32"})
+    return pd.DataFrame(rows, columns=COLUMNS).astype({c: "Int32" for c in ("parent_id", "block_id", "last_id", "post_id", "cell_id", "outer_id")})
 
 
 def _frames(found: Iterator[list[list]]) -> Iterator[pd.DataFrame]:
@@ -132,23 +154,23 @@ def _frames(found: Iterator[list[list]]) -> Iterator[pd.DataFrame]:
         yield _frame(rows)
 
 
-def xml_nodes(parts: DataFrame, blocks: list[str]) -> DataFrame:
-    """The nodes of XML parts (doc_id, path, data); block_id is the nearest ancestor among `blocks`."""
-    names = frozenset(blocks)
+def xml_nodes(parts: DataFrame, blocks: list[str], cells: list[str] = (), outers: list[str] = ()) -> DataFrame:
+    """The nodes of XML parts (doc_id, path, data); block_id, cell_id and outer_id are the nearest ancestors of these names."""
+    names = [frozenset(x) for x in (blocks, cells, outers)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames(xml_rows(i, part, data, names) for pdf in frames for i, part, data in zip(pdf["doc_id"], pdf["path"], pdf["data"]) if data is not None)
+        yield from _frames(xml_rows(i, part, data, *names) for pdf in frames for i, part, data in zip(pdf["doc_id"], pdf["path"], pdf["data"]) if data is not None)
 
     return parts.select("doc_id", "path", "data").mapInPandas(run, NODE)
 
 
-def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", blocks: list[str] | None = None) -> DataFrame:
+def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", blocks: list[str] | None = None, cells: list[str] = ("td", "th"), outers: list[str] = ("doc-footnote", "doc-header", "doc-footer")) -> DataFrame:
     """The nodes of HTML pages."""
     from pyspark.sql import functions as F
 
-    names = frozenset(blocks or ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "doc-footnote"])
+    names = [frozenset(x) for x in (blocks or ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "doc-footnote"], cells, outers)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames(html_rows(i, html, names) for pdf in frames for i, html in zip(pdf["doc_id"], pdf["html"]))
+        yield from _frames(html_rows(i, html, *names) for pdf in frames for i, html in zip(pdf["doc_id"], pdf["html"]))
 
     return pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(run, NODE)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from foliant.functions import color, units
 from foliant.operators.ordered import inherit
-from foliant.session import written
 from foliant.sources.containers import zip_entries
 from foliant.sources.markup import xml_nodes
 
@@ -109,33 +108,15 @@ FORMAT = ["bold", "italic", "underline", "strike", "color", "size", "font", "pos
 DEFAULT = {"bold": False, "italic": False, "underline": False, "strike": False, "color": "#000000", "size": 1000}
 
 
-def docx_styles(files: DataFrame) -> DataFrame:
+def docx_styles(nodes: DataFrame) -> DataFrame:
     """(doc_id, style, bold, ...): styles with what they inherit; missing ones of docDefaults come last."""
-    nodes = written(xml_nodes(zip_entries(files, ["word/styles.xml"]), []), "nodes")
+    nodes = nodes.filter("part = 'word/styles.xml'")
     styles = nodes.filter("name = 'style'").select("doc_id", "part", F.col("node_id").alias("node"), attr("styleId").alias("style"))
     based = _children(nodes, "node", ["basedOn"]).select("doc_id", "part", "node", attr("val").alias("parent"))
     out = styles.join(based, ["doc_id", "part", "node"], "left").join(docx_properties(nodes, "style").drop("rstyle"), ["doc_id", "part", "node"], "left")
     return inherit(out, FORMAT, ["doc_id"])
 
 
-def docx_runs(files: DataFrame) -> DataFrame:
-    """Runs with their format: direct, else of the run style, else of the paragraph style, else the default."""
-    nodes = written(nodes_of(files, "docx"), "nodes")  # shredded once, joined often
-    runs = nodes.filter("name = 'r'").select("doc_id", "part", F.col("node_id").alias("node"), "block_id")
-    texts = nodes.filter("name = 't'").select("doc_id", "part", F.col("node_id").alias("t"), F.col("parent_id").alias("node"))
-    chars = nodes.filter("name = '#text'").select("doc_id", "part", F.col("parent_id").alias("t"), "text")
-    words = texts.join(chars, ["doc_id", "part", "t"]).groupBy("doc_id", "part", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "text"))), lambda x: x["text"]), "").alias("text"))
-    ppr = nodes.filter("name = 'pPr'").select("doc_id", "part", F.col("node_id").alias("ppr"), F.col("parent_id").alias("block_id"))
-    pstyle = _children(nodes, "ppr", ["pStyle"]).select("doc_id", "part", "ppr", attr("val").alias("pstyle"))
-    direct = docx_properties(nodes, "r")
-    styles = docx_styles(files)
-    renamed = lambda p: styles.select("doc_id", F.col("style").alias(f"{p}style"), *[F.col(c).alias(f"{p}_{c}") for c in FORMAT])
-    out = runs.join(words, ["doc_id", "part", "node"]).join(direct, ["doc_id", "part", "node"], "left")
-    out = out.join(ppr.join(pstyle, ["doc_id", "part", "ppr"]).drop("ppr"), ["doc_id", "part", "block_id"], "left")
-    out = out.join(renamed("r"), ["doc_id", "rstyle"], "left").join(renamed("p"), ["doc_id", "pstyle"], "left")
-    return out.select("doc_id", F.col("block_id").alias("block"), F.col("node").alias("run"), "text", *[F.coalesce(c, f"r_{c}", f"p_{c}", *([F.lit(DEFAULT[c])] if c in DEFAULT else [])).alias(c) for c in FORMAT])
-
-
 def docx_sections(files: DataFrame) -> DataFrame:
     """(doc_id, sec, width, height, left, right, top, bottom) in hwpunits, A4 and 1 inch where unsaid."""
     nodes = nodes_of(files, "docx")
@@ -148,26 +129,6 @@ def docx_sections(files: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("node")) - 1).alias("sec"), "width", "height", "left", "right", "top", "bottom")
 
 
-def docx_cells(files: DataFrame) -> DataFrame:
-    """(doc_id, table, row, col, row_span, col_span, text): grid columns from spans, vertical merges folded."""
-    from foliant.operators.tables import fold_vertical_merges, grid_columns
-
-    nodes = written(xml_nodes(zip_entries(files, BODY["docx"]), ["tc"]), "nodes")
-    tc = nodes.filter("name = 'tc'").select("doc_id", "part", F.col("node_id").alias("cell"), F.col("parent_id").alias("row"))
-    tr = nodes.filter("name = 'tr'").select("doc_id", "part", F.col("node_id").alias("row"), F.col("parent_id").alias("table"))
-    tcpr = nodes.filter("name = 'tcPr'").select("doc_id", "part", F.col("node_id").alias("pr"), F.col("parent_id").alias("cell"))
-    props = tcpr.join(_children(nodes, "pr", ["gridSpan", "vMerge"]), ["doc_id", "part", "pr"], "left").groupBy("doc_id", "part", "cell").agg(
-        F.max(F.when(F.col("name") == "gridSpan", attr("val").try_cast("int"))).alias("col_span"),
-        F.max(F.when(F.col("name") == "vMerge", F.coalesce(attr("val"), F.lit("continue")))).alias("merge"),
-    )
-    texts = nodes.filter("name = '#text' and block_id is not null").groupBy("doc_id", "part", F.col("block_id").alias("cell")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "").alias("text"))
-    cells = tc.join(tr, ["doc_id", "part", "row"]).join(props, ["doc_id", "part", "cell"], "left").join(texts, ["doc_id", "part", "cell"], "left")
-    cells = cells.withColumn("col_span", F.coalesce("col_span", F.lit(1))).withColumn("text", F.coalesce("text", F.lit("")))
-    cells = grid_columns(cells, ["doc_id", "table", "row"], "cell")
-    ranked = cells.withColumn("r", (F.dense_rank().over(W.partitionBy("doc_id", "table").orderBy("row")) - 1))
-    return fold_vertical_merges(ranked.drop("row").withColumnRenamed("r", "row"), ["doc_id", "table", "col"], "row").select("doc_id", "table", "row", "col", F.col("row_span").cast("int").alias("row_span"), "col_span", "text")
-
-
 def orphan_entries(entries: DataFrame, manifest: DataFrame) -> DataFrame:
     """Images of a package that its manifest does not name."""
     images = entries.filter(F.col("path").rlike(r"(?i)\.(png|jpe?g|gif|bmp|tif?f)$"))

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from foliant.functions import color, text, units
 from foliant.operators.ordered import inherit
-from foliant.session import written
-from foliant.sources.containers import zip_entries
-from foliant.sources.markup import xml_nodes
 
 
 def _attr(name: str) -> Column:
@@ -20,9 +17,8 @@ def _attr(name: str) -> Column:
 ODT_VALUES = ["bold", "italic", "underline", "strike", "color", "size", "font", "position", "align", "left", "first_line", "page_break"]
 
 
-def odt_styles(files: DataFrame) -> DataFrame:
+def odt_styles(nodes: DataFrame) -> DataFrame:
     """(doc_id, style, bold, ...): styles of both parts (content.xml's win over styles.xml's), with what they inherit."""
-    nodes = written(xml_nodes(zip_entries(files, ["content.xml", "styles.xml"]), []), "nodes")
     styles = nodes.filter("name = 'style'").select("doc_id", "part", F.col("node_id").alias("node"), _attr("name").alias("style"), _attr("parent-style-name").alias("parent"))
     styles = styles.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "style").orderBy("part"))).filter("_n = 1").drop("_n")
     props = nodes.filter("name in ('text-properties', 'paragraph-properties')").select("doc_id", "part", F.col("parent_id").alias("node"), "name", "attrs")
@@ -45,24 +41,10 @@ def odt_styles(files: DataFrame) -> DataFrame:
     return inherit(styles.join(read, ["doc_id", "part", "node"], "left"), ODT_VALUES, ["doc_id"])
 
 
-def odt_runs(files: DataFrame) -> DataFrame:
-    """(doc_id, block, run, text, bold, ...): a text takes its span's style where that says something, else its paragraph's."""
-    nodes = written(xml_nodes(zip_entries(files, ["content.xml"]), ["p", "h"]), "nodes")
-    styles = odt_styles(files)
-    words = nodes.filter("name = '#text' and block_id is not null").select("doc_id", F.col("block_id").alias("block"), F.col("node_id").alias("run"), "parent_id", "text")
-    named = nodes.filter("name in ('span', 'p', 'h')").select("doc_id", "node_id", "name", _attr("style-name").alias("style"))
-    span = named.filter("name = 'span'").select("doc_id", F.col("node_id").alias("parent_id"), F.col("style").alias("s_style"))
-    para = named.filter("name <> 'span'").select("doc_id", F.col("node_id").alias("block"), F.col("style").alias("p_style"))
-    side = lambda p: styles.select("doc_id", F.col("style").alias(f"{p}_style"), *[F.col(v).alias(f"{p}_{v}") for v in ODT_VALUES])
-    out = words.join(span, ["doc_id", "parent_id"], "left").join(para, ["doc_id", "block"], "left").join(side("s"), ["doc_id", "s_style"], "left").join(side("p"), ["doc_id", "p_style"], "left")
-    default = {"bold": F.lit(False), "italic": F.lit(False), "underline": F.lit(False), "color": F.lit("#000000"), "size": F.lit(1000)}
-    return out.select("doc_id", "block", "run", "text", *[F.coalesce(f"s_{v}", f"p_{v}", *([default[v]] if v in default else [])).alias(v) for v in ODT_VALUES])
-
-
-def hwpx_shapes(files: DataFrame) -> dict[str, DataFrame]:
+def hwpx_shapes(nodes: DataFrame) -> dict[str, DataFrame]:
     """char(doc_id, ref, size, color, bold, italic), para(doc_id, ref, align, left, first_line): margins of a `case` branch
     are passed over for the default's."""
-    nodes = written(xml_nodes(zip_entries(files, ["Contents/header.xml"]), []), "nodes")
+    nodes = nodes.filter("part = 'Contents/header.xml'")
     fonts = nodes.filter("name = 'font' and parent_name = 'fontface'").select("doc_id", _attr("id").alias("f"), F.col("parent_id"), _attr("face").alias("font"))
     faces = nodes.filter("name = 'fontface'").filter(_attr("lang") == "HANGUL").select("doc_id", F.col("node_id").alias("parent_id"))
     fonts = fonts.join(faces, ["doc_id", "parent_id"]).select("doc_id", "f", "font")
@@ -81,13 +63,3 @@ def hwpx_shapes(files: DataFrame) -> dict[str, DataFrame]:
     value = _attr("value").try_cast("int")
     margins = inner.groupBy("doc_id", "node").agg(F.max(F.when(F.col("name") == "align", F.lower(_attr("horizontal")))).alias("align"), F.max(F.when(F.col("name") == "left", value)).alias("left"), F.max(F.when(F.col("name") == "intent", value)).alias("first_line"), *[F.max(F.when(F.col("name") == "heading", _attr(k))).alias(n) for k, n in (("type", "kind"), ("idRef", "list_ref"), ("level", "level"))])
     return {"char": char, "para": para.join(margins, ["doc_id", "node"], "left").select("doc_id", "ref", "align", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("first_line", F.lit(0)).alias("first_line"), "kind", "list_ref", F.col("level").try_cast("int").alias("level"))}
-
-
-def hwpx_runs(files: DataFrame) -> DataFrame:
-    """(doc_id, block, run, text, size, color, bold, italic): runs joined to the shapes that they name by id."""
-    nodes = written(xml_nodes(zip_entries(files, r"Contents/section\d+\.xml"), ["p"]), "nodes")
-    runs = nodes.filter("name = 'run'").select("doc_id", F.col("node_id").alias("run"), F.col("block_id").alias("block"), _attr("charPrIDRef").alias("ref"))
-    ts = nodes.filter("name = 't'").select("doc_id", F.col("node_id").alias("t"), F.col("parent_id").alias("run"))
-    words = nodes.filter("name = '#text' and parent_name = 't'").select("doc_id", F.col("parent_id").alias("t"), "node_id", "text")
-    texts = ts.join(words, ["doc_id", "t"]).groupBy("doc_id", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "").alias("text"))
-    return runs.join(texts, ["doc_id", "run"]).join(hwpx_shapes(files)["char"], ["doc_id", "ref"], "left").drop("ref")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.plans import ir
 from foliant.sinks import packages as sink
-from foliant.sources import containers, markup, packages
+from foliant.sources import containers, document, markup, packages
 from foliant.streaming import ingest, sessions
 
 TEXTS = ["plain", "two\nlines  here ", " lead & <tag> \"q\"\n\n", "", "tab\there\u0001x", "한글 😀 text"]
@@ -54,13 +54,14 @@ STYLES = f'<w:styles {W}><w:style w:styleId="A"><w:rPr><w:sz w:val="28"/><w:b/><
 
 def test_docx_formats(spark):
     files = spark.createDataFrame([(1, package({"word/document.xml": DOC, "word/styles.xml": STYLES}))], "doc_id long, content binary")
-    runs = {r.text: r for r in packages.docx_runs(files).collect()}
+    doc = document.read_docx(files)
+    runs = {r.text: r for r in doc.runs.collect()}
     assert (runs["one"].size, runs["one"].bold, runs["one"].italic) == (1400, True, True)  # inherited over two styles
     assert (runs["two"].bold, runs["two"].underline, runs["two"].size) == (False, True, 1400)
-    assert (runs["redx"].color, runs["redx"].size, runs["redx"].italic, runs["redx"].bold) == ("#C00000", 1200, True, False)
+    assert (runs["red\n\tx"].color, runs["red\n\tx"].size, runs["red\n\tx"].italic, runs["red\n\tx"].bold) == ("#C00000", 1200, True, False)
     s = packages.docx_sections(files).first()
     assert (s.width, s.height, s.left) == (59530, 84190, 7200)
-    cells = {(r.row, r.col): (r.row_span, r.col_span, r.text) for r in packages.docx_cells(files).collect()}
+    cells = {(r.row, r.col): (r.row_span, r.col_span, r.text) for r in doc.cells.collect()}
     assert cells == {(0, 0): (1, 2, "wide"), (0, 2): (2, 1, "tall"), (1, 0): (1, 1, ""), (1, 1): (1, 1, "")}
     assert [r.text for r in packages.read_text(files, "docx").orderBy("ord").collect()][:2] == ["onetwo", "red\n\tx"]
 

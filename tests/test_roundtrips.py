@@ -16,10 +16,12 @@ def test_document(spark, kind):
     cells = spark.createDataFrame([(1, 6, 0, 0, 2, 1, 80.0, "a&b"), (1, 6, 0, 1, 1, 1, 80.0, ""), (1, 6, 1, 1, 1, 1, 80.0, "c")], "doc_id long, ord int, row int, col int, row_span int, col_span int, width double, text string")
     notes = spark.createDataFrame([(1, 7, "the <note>")], "doc_id long, note int, text string")
     back = source.read(sink.write(Document(blocks, runs, cells, notes), kind), kind)
-    got = [(r.doc_id, r.tag, r.level, r.ordered, r.text) for r in back.blocks.orderBy("doc_id", "ord").collect()]
+    got = [(r.doc_id, r.tag, r.level, r.ordered, r.text) for r in back.blocks.filter("inside is null and tag <> 'table'").orderBy("doc_id", "ord").collect()]
     said = lambda k: f"t{k} <&> \"é"
     want = [(1, "h2", None, None, said(0)), (1, "li", 0, True, said(1)), (1, "li", 2, True, said(2)), (1, "li", 1, True, said(3)), (1, "p", None, None, said(4) + " end"), (1, "li", 1, False, said(5)), (1, "p", None, None, ""), (2, "p", None, None, "")]
     assert got == want
+    held = [(r.ord, r.tag, r.text) for r in back.blocks.filter("inside is not null or tag = 'table'").orderBy("ord").collect()]
+    assert held == [(6, "table", ""), (7, "p", "a&b"), (8, "p", ""), (9, "p", "c")]  # what cells hold are blocks as well
     assert [(r.note, r.text) for r in back.notes.collect()] == [(7, "the <note>")]
     assert sorted((r.row, r.col, r.row_span, r.col_span, r.text) for r in back.cells.collect()) == [(0, 0, 2, 1, "a&b"), (0, 1, 1, 1, ""), (1, 1, 1, 1, "c")]
     four = [(r.text, r.bold, r.note) for r in back.runs.filter("doc_id = 1 and ord = 4").orderBy("run").collect()]
@@ -43,3 +45,37 @@ def test_ir_of_mixed_lists_and_tables(spark):
     assert got == [(0, False), (1, True), (2, False), (1, True), (0, False), (1, True), (2, True), (3, True), (1, True)]
     assert sorted((r.row, r.col, r.row_span, r.col_span, r.text) for r in back.cells.collect()) == [(0, 0, 2, 1, "a&b"), (0, 1, 1, 1, ""), (1, 1, 1, 1, "c")]
     assert [(r.note, r.text) for r in back.notes.collect()] == [(3, "body")]
+
+
+def nested():
+    """A table whose first cell holds a heading, a list and a table of one cell with two styled runs; a picture in another cell."""
+    blocks = [(1, 0, "p", None, None, None, None), (1, 1, "table", None, None, None, None), (1, 2, "h2", None, None, None, 10), (1, 3, "li", 1, 0, True, 10), (1, 4, "li", 1, 1, True, 10), (1, 5, "table", None, None, None, 10), (1, 6, "p", None, None, None, 30), (1, 7, "table", None, None, None, 30), (1, 8, "p", None, None, None, 40), (1, 9, "p", None, None, None, 20), (1, 10, "p", None, None, None, None)]
+    runs = [(1, 0, 0, "before", None, None), (1, 2, 0, "head", True, None), (1, 3, 0, "one", None, None), (1, 4, 0, "one.one", None, None), (1, 6, 0, "in ", True, None), (1, 6, 1, "the inner", False, None), (1, 8, 0, "deepest", None, None), (1, 9, 0, "", None, "a.png"), (1, 9, 1, " and text", None, None), (1, 9, 2, "", None, "b.png"), (1, 10, 0, "after", None, None), (1, 10, 1, "", None, "same-as-a.png")]
+    cells = [(1, 1, 0, 0, 1, 1, 90.0, "", 10), (1, 1, 0, 1, 1, 1, 90.0, "", 20), (1, 5, 0, 0, 1, 1, 60.0, "", 30), (1, 7, 0, 0, 1, 1, 40.0, "", 40)]
+    images = [(1, "a.png", "png", b"bytes of a"), (1, "b.png", "PNG", b"bytes of b"), (1, "same-as-a.png", "png", b"bytes of a"), (1, "unused.png", "png", b"nobody shows me")]
+    return blocks, runs, cells, images
+
+
+@pytest.mark.parametrize("kind", ["docx", "odt", "hwpx"])
+def test_nested_tables_and_pictures(spark, kind):
+    blocks, runs, cells, images = nested()
+    doc = Document(
+        spark.createDataFrame(blocks, "doc_id long, ord int, tag string, list_id int, level int, ordered boolean, inside int"),
+        spark.createDataFrame(runs, "doc_id long, ord int, run int, text string, bold boolean, picture string").selectExpr("*", "72.0D AS pic_width", "36.0D AS pic_height"),
+        spark.createDataFrame(cells, "doc_id long, ord int, row int, col int, row_span int, col_span int, width double, text string, cell int"),
+        images=spark.createDataFrame(images, "doc_id long, image string, ext string, data binary"),
+    )
+    back = source.read(sink.write(doc, kind), kind)
+    got = [(r.ord, r.tag, r.level, r.inside is not None, r.text) for r in back.blocks.orderBy("ord").collect()]
+    texts = {0: "before", 2: "head", 3: "one", 4: "one.one", 6: "in the inner", 8: "deepest", 9: " and text", 10: "after"}
+    assert got == [(b[1], b[2], b[4], b[6] is not None, texts.get(b[1], "")) for b in blocks]
+    cell_of = {r.ord: r.inside for r in back.blocks.collect()}
+    assert cell_of[2] == cell_of[3] == cell_of[4] == cell_of[5] and cell_of[6] == cell_of[7] and len({cell_of[k] for k in (2, 6, 8, 9)}) == 4
+    table_of = {r.cell: (r.ord, r.row, r.col, r.text) for r in back.cells.collect()}
+    assert table_of[cell_of[2]] == (1, 0, 0, "head\none\none.one") and table_of[cell_of[9]] == (1, 0, 1, " and text") and table_of[cell_of[6]] == (5, 0, 0, "in the inner") and table_of[cell_of[8]] == (7, 0, 0, "deepest")
+    assert [(r.text, r.bold) for r in back.runs.filter("ord = 6").orderBy("run").collect()] == [("in ", True), ("the inner", False)]
+    data = {r.image: bytes(r.data) for r in back.images.collect()}
+    assert sorted(data.values()) == [b"bytes of a", b"bytes of b"]  # equal ones once, unused ones not at all
+    shown = [(r.ord, data[r.picture], round(r.pic_width), round(r.pic_height)) for r in back.runs.filter("picture is not null").orderBy("ord", "run").collect()]
+    assert shown == [(9, b"bytes of a", 7200, 3600), (9, b"bytes of b", 7200, 3600), (10, b"bytes of a", 7200, 3600)]
+    assert source.orphan_images(back).count() == 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from foliant.plans import tree, verify
 from foliant.sinks import parts
 from foliant.sinks import packages as sink
-from foliant.sources import markup, styles
+from foliant.sources import document, markup, styles
 from tests.test_documents import package
 
 PAGE = """<doc-section style="width:210mm;min-height:297mm;padding:20mm"><doc-header><p>head</p></doc-header><h1 data-num="outline">T</h1>
@@ -45,8 +45,9 @@ def test_odt_styles(spark):
     <t:p t:style-name="A">one<t:span t:style-name="S">two</t:span></t:p></o:c>"""
     base = f'<o:c {ns}><s:style s:name="B"><s:text-properties f:font-weight="700" f:font-size="14pt"/><s:paragraph-properties f:text-align="center" f:margin-left="2cm"/></s:style></o:c>'
     files = spark.createDataFrame([(1, package({"content.xml": content, "styles.xml": base}))], "doc_id long, content binary")
-    runs = {r.text: r for r in styles.odt_runs(files).collect()}
-    assert (runs["one"].size, runs["one"].bold, runs["one"].italic, runs["one"].align, runs["one"].left) == (1400, True, True, "center", 5669)
+    doc = document.read_odt(files)
+    runs, block = {r.text: r for r in doc.runs.collect()}, doc.blocks.first()
+    assert (runs["one"].size, runs["one"].bold, runs["one"].italic, block.align, block.left) == (1400, True, True, "center", 5669)
     assert (runs["two"].color, runs["two"].position, runs["two"].size, runs["one"].color) == ("#C00000", "super", 1400, "#000000")
 
 
@@ -54,9 +55,9 @@ def test_hwpx_shapes(spark):
     head = '<h:head xmlns:h="h"><h:charPr id="0" height="1000"/><h:charPr id="7" height="1600" textColor="#C00000"><h:bold/></h:charPr><h:paraPr id="3"><h:align horizontal="CENTER"/><h:switch><h:case><h:left value="1"/></h:case><h:default><h:left value="2000"/><h:intent value="-1500"/></h:default></h:switch></h:paraPr></h:head>'
     body = '<s:sec xmlns:s="s" xmlns:p="p"><p:p><p:run charPrIDRef="7"><p:t>big</p:t></p:run><p:run charPrIDRef="0"><p:t>small</p:t></p:run></p:p></s:sec>'
     files = spark.createDataFrame([(1, package({"Contents/header.xml": head, "Contents/section0.xml": body}))], "doc_id long, content binary")
-    runs = {r.text: r for r in styles.hwpx_runs(files).collect()}
+    runs = {r.text: r for r in document.read_hwpx(files).runs.collect()}
     assert (runs["big"].size, runs["big"].bold, runs["big"].color, runs["small"].bold) == (1600, True, "#C00000", False)
-    p = styles.hwpx_shapes(files)["para"].first()
+    p = styles.hwpx_shapes(document.shred(files, "hwpx"))["para"].first()
     assert (p.align, p.left, p.first_line) == ("center", 2000, -1500)
 
 

@@ -182,3 +182,34 @@ def new_table(tables: DataFrame, rows: str = "rows", cols: str = "cols") -> Data
 
 def resize(size: Column, factor: Column) -> Column:
     return F.greatest(size * factor, F.lit(MIN_PT))
+
+
+SIDES = ("left", "top", "right", "bottom")
+#: A side's border: width in points; style none is a border that is said to be absent, null one of which nothing is said.
+BORDER = "struct<style:string,width:double,color:string>"
+
+
+def cell_edges(cells: DataFrame, table: list[str], cell: list[str]) -> DataFrame:
+    """(table, kind, along, at, cell, side, border): the unit edges of the grid that cells touch. Neighbours name an edge alike,
+    so the columns up to `at` are the key of what two cells share."""
+    rows, cols = (F.sequence(F.col(a), F.col(a) + F.col(f"{a}_span") - 1) for a in ("row", "col"))
+    where = {"left": ("v", rows, F.col("col")), "right": ("v", rows, F.col("col") + F.col("col_span")), "top": ("h", cols, F.col("row")), "bottom": ("h", cols, F.col("row") + F.col("row_span"))}
+    sides = [F.struct(F.lit(s).alias("side"), F.lit(kind).alias("kind"), along.alias("places"), at.cast("int").alias("at"), F.col(f"b_{s}").alias("border")) for s, (kind, along, at) in where.items()]
+    each = cells.select(*table, *[F.col(c).alias(f"_{c}") for c in cell], F.explode(F.array(*sides)).alias("e"))
+    return each.select(*table, *[F.col(f"_{c}").alias(c) for c in cell], "e.side", "e.kind", F.explode("e.places").alias("along"), "e.at", "e.border")
+
+
+def shared_edges(cells: DataFrame, table: list[str], cell: list[str]) -> DataFrame:
+    """cells with each side (b_left, ...) as drawn: of the two cells that own an edge the stronger border wins.
+
+    Wider is stronger, then double, solid, dashed, dotted, then the cell on the left or above; a border that is said to be
+    absent loses to any. The winners are aggregated by edge and met by an equi-join; a side takes what its first edge shows.
+    """
+    e = cell_edges(cells, table, cell)
+    key = [*table, "kind", "along", "at"]
+    rank = F.when(F.col("border.style") == "none", F.lit(-1.0)).otherwise(F.col("border.width"))
+    kind = F.array_position(F.array(*map(F.lit, ("dotted", "dashed", "solid", "double"))), F.col("border.style"))
+    strength = F.when(F.col("border").isNotNull(), F.struct(rank.alias("rank"), kind.alias("kind"), F.col("side").isin("right", "bottom").alias("first"), F.col("border").alias("border")))
+    won = e.groupBy(*key).agg(F.max(strength).alias("won")).select(*key, F.col("won.border").alias("shown"))
+    drawn = e.join(won, key).groupBy(*table, *cell).agg(*[F.min_by("shown", F.when(F.col("side") == s, F.col("along"))).alias(f"b_{s}") for s in SIDES])
+    return cells.drop(*[f"b_{s}" for s in SIDES]).join(drawn, [*table, *cell])

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import escape, visible
+from foliant.operators.intervals import open_count
 from foliant.operators.ordered import islands
 from foliant.plans import ir, tree
 from foliant.session import written
@@ -63,19 +64,25 @@ def emit_document(doc: Document, page_width: int = 59528, page_height: int = 841
     more = cells.groupBy("doc_id").agg(F.max("nth").alias("cells"))
     span = lambda name, c: F.when(F.col(c) > 1, F.concat(F.lit(f' {name}="'), F.col(c), F.lit('"'))).otherwise("")
     body = F.replace(escape(F.col("text")), F.lit("\n"), F.lit("<br>"))
-    td = F.concat(F.lit("<td"), span("colspan", "col_span"), span("rowspan", "row_span"), _declared(("width", F.when(F.col("width").isNotNull(), _pt(F.col("width"))))), F.lit('><p data-id="b'), F.col("blocks") + F.col("nth"), F.lit('">'), body, F.lit("</p></td>"))
-    rows = cells.withColumn("xml", td).groupBy("doc_id", "ord", "row").agg(_joined("xml", "col").alias("xml")).withColumn("xml", F.concat(F.lit("<tr>"), F.col("xml"), F.lit("</tr>")))
-    tables = rows.groupBy("doc_id", "ord").agg(_joined("xml", "row").alias("trs"))
-    each = numbered.join(inner, ["doc_id", "ord"], "left").join(tables, ["doc_id", "ord"], "left")
+
+    def rows_of(held: DataFrame) -> DataFrame:
+        """(doc_id, ord, table_xml): the rows of the tables that cells belong to; a cell holds its blocks, or a paragraph of its text."""
+        own = F.coalesce("body", F.concat(F.lit('<p data-id="b'), F.col("blocks") + F.col("nth"), F.lit('">'), body, F.lit("</p>")))
+        td = F.concat(F.lit("<td"), span("colspan", "col_span"), span("rowspan", "row_span"), _declared(("width", F.when(F.col("width").isNotNull(), _pt(F.col("width"))))), F.lit(">"), own, F.lit("</td>"))
+        rows = held.withColumn("xml", td).groupBy("doc_id", "ord", "row").agg(_joined("xml", "col").alias("xml")).withColumn("xml", F.concat(F.lit("<tr>"), F.col("xml"), F.lit("</tr>")))
+        return rows.groupBy("doc_id", "ord").agg(_joined("xml", "row").alias("table_xml"))
+
+    each = numbered.join(inner, ["doc_id", "ord"], "left")
     style = _declared(("text-align", F.col("align")), ("margin-left", F.when(F.col("left") != 0, _pt(F.col("left")))), ("text-indent", F.when(F.col("first_line") != 0, _pt(F.greatest(F.col("first_line"), -F.coalesce("left", F.lit(0.0)))))))
     id_ = F.concat(F.lit(' data-id="b'), F.col("id"), F.lit('"'))
     item = F.concat(F.lit("<li"), id_, F.lit(">"))
     block = F.concat(F.lit("<"), F.col("tag"), id_, F.when(F.col("numbered") & F.col("tag").isin(*HEADS), ' data-num="outline"').otherwise(""), style, F.lit(">"), F.coalesce("xml", F.lit("")), F.lit("</"), F.col("tag"), F.lit(">"))
     block = F.concat(F.when(F.coalesce("page_break", F.lit(False)), "<doc-pagebreak></doc-pagebreak>").otherwise(""), block)
-    table = F.concat(F.lit("<table"), id_, F.lit("><tbody>"), F.coalesce("trs", F.lit("")), F.lit("</tbody></table>"))
-    each = each.withColumn("xml", F.when(F.col("tag") == "li", F.coalesce("xml", F.lit(""))).when(F.col("tag") == "table", table).otherwise(block))
+    each = each.withColumn("xml", F.when(F.col("tag") == "li", F.coalesce("xml", F.lit(""))).otherwise(block))
     ordered = F.coalesce("ordered", F.lit(False))
-    each = sink.nested_lists(each, F.when(ordered, "<ol>").otherwise("<ul>"), (ordered, "</ol>", "</ul>"), item, "</li>")
+    whole = F.when(F.col("tag") == "table", F.concat(F.lit("<table"), id_, F.lit("><tbody>"), F.col("xml"), F.lit("</tbody></table>"))).otherwise(F.col("xml"))
+    listed = lambda rows: sink.nested_lists(rows.withColumn("xml", whole), F.when(ordered, "<ol>").otherwise("<ul>"), (ordered, "</ol>", "</ul>"), item, "</li>")
+    each = sink.assemble(each, cells, rows_of, listed)
     notes = doc.notes.join(sizes, "doc_id").join(more, "doc_id", "left").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("note")))
     note = F.concat(F.lit('<doc-footnote id="fn'), F.col("note"), F.lit('" data-id="b'), F.col("blocks") + F.coalesce("cells", F.lit(0)) + F.col("nth"), F.lit('">'), body, F.lit("</doc-footnote>"))
     notes = notes.withColumn("xml", note).groupBy("doc_id").agg(_joined("xml", "note").alias("notes"))
@@ -89,18 +96,23 @@ def read_ir(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") ->
     """The tables of IR pages, in points: styles inherited down the tree, neighbouring runs of one style merged."""
     nodes = html_nodes(pages, id_col, html_col, blocks=BLOCKS)
     clone = F.coalesce(F.try_element_at("attrs", F.lit("data-pg")), F.lit(""))
-    nodes = written(nodes.withColumn("bid", F.when(F.col("name").isin(*BLOCKS), F.col("node_id")).otherwise(F.col("block_id"))).filter(clone == ""), "nodes")
+    nodes = nodes.withColumn("bid", F.when(F.col("name").isin(*BLOCKS), F.col("node_id")).otherwise(F.col("block_id"))).filter(clone == "")
+    # text that stands in no paragraph makes one of its own between the blocks around it
+    nodes = tree.implicit_paragraphs(nodes).withColumn("bid", F.coalesce("implicit", "bid"))
+    nodes = written(open_count(nodes, F.col("name").isin("ul", "ol"), ["doc_id"], "lists"), "nodes")
     attr, style = tree._attr, lambda prop: tree.text.style_prop(tree._attr("style"), prop)
-    inside = lambda *names: F.col("path").rlike(rf"(^|> )({'|'.join(names)})(#[^ ]*)? > ")
-    band = F.nullif(F.regexp_extract("path", r"(?:^|> )doc-(header|footer)(?:#[^ ]*)? > ", 1), F.lit(""))
-    lists = F.size(F.split("path", "(?:^|> )(?:ul|ol)(?:#[^ ]*)? > ")) - 1
+    outers = nodes.filter("name in ('doc-header', 'doc-footer', 'doc-footnote')").select("doc_id", F.col("node_id").alias("outer_id"), F.col("name").alias("outer"))
+    around = nodes.filter("name in ('td', 'th')").select("doc_id", F.col("node_id").alias("cell_id"), F.col("lists").alias("base"))
+    known = nodes.join(outers, ["doc_id", "outer_id"], "left").join(around, ["doc_id", "cell_id"], "left").withColumn("lists", F.col("lists") - F.coalesce("base", F.lit(0)))
+    band = F.when(F.col("outer").isin("doc-header", "doc-footer"), F.substring("outer", 5, 6))
     order = W.partitionBy("doc_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, 0)
-    top = F.last(F.when(F.col("name").isin("ul", "ol") & (lists == 0), F.col("node_id")), ignorenulls=True).over(order)
+    top = F.last(F.when(F.col("name").isin("ul", "ol") & (F.col("lists") == 0), F.col("node_id")), ignorenulls=True).over(order)
     pt = lambda prop: tree.units.to_pt(style(prop))
-    own = nodes.withColumn("top", top).filter(F.col("name").isin("p", *HEADS, "li", "table", "doc-pagebreak") & ~inside("td", "th", "doc-footnote"))
+    begins = F.col("name").isin("p", *HEADS, "li", "table", "doc-pagebreak") | (F.col("implicit") == F.col("node_id"))
+    own = known.withColumn("top", top).filter(begins & (F.coalesce("outer", F.lit("")) != "doc-footnote"))
     marked = own.withColumn("page_break", F.coalesce(F.lag("name").over(W.partitionBy("doc_id").orderBy("node_id")) == "doc-pagebreak", F.lit(False))).filter("name <> 'doc-pagebreak'")
-    is_li = F.col("name") == "li"
-    shaped = marked.select("doc_id", "bid", F.col("name").alias("tag"), F.when(is_li, F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.when(is_li, F.col("top"))))).alias("list_id"), F.when(is_li, lists - 1).alias("level"), F.when(is_li, F.col("parent_name") == "ol").alias("ordered"), (F.coalesce(attr("data-num"), F.lit("")) == "outline").alias("numbered"), style("text-align").alias("align"), F.coalesce(pt("margin-left"), F.lit(0.0)).alias("left"), F.coalesce(pt("text-indent"), F.lit(0.0)).alias("first_line"), band.alias("band"), "page_break")
+    is_li, made = F.col("name") == "li", F.coalesce(F.col("implicit") == F.col("node_id"), F.lit(False))
+    shaped = marked.select("doc_id", "bid", F.when(made, "p").otherwise(F.col("name")).alias("tag"), F.when(is_li, F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.when(is_li, F.col("top"))))).alias("list_id"), F.when(is_li, F.col("lists") - 1).alias("level"), F.when(is_li, F.col("parent_name") == "ol").alias("ordered"), (F.coalesce(attr("data-num"), F.lit("")) == "outline").alias("numbered"), F.when(~made, style("text-align")).alias("align"), F.coalesce(F.when(~made, pt("margin-left")), F.lit(0.0)).alias("left"), F.coalesce(F.when(~made, pt("text-indent")), F.lit(0.0)).alias("first_line"), band.alias("band"), "page_break", F.col("cell_id").alias("inside"))
     blocks = written(shaped.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy("bid")) - 1), "blocks")
     # a line break is a character of the text around it
     as_text = nodes.withColumn("text", F.when(F.col("name") == "br", F.lit("\n")).otherwise(F.col("text"))).withColumn("name", F.when(F.col("name") == "br", F.lit("#text")).otherwise(F.col("name")))
@@ -119,8 +131,9 @@ def read_ir(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") ->
     merged = islands(styled, ["doc_id", "bid"], ["node_id"], [*look, "note", "field"], "run")
     runs = merged.groupBy("doc_id", "bid", "run", *look, "note", "field").agg(_joined("t", "node_id").alias("text"))
     runs = written(runs.withColumn("run", (F.col("run") - 1).cast("int")), "runs")
-    notes = nodes.filter("name = 'doc-footnote'").select("doc_id", "bid", F.regexp_extract(F.coalesce(attr("id"), F.lit("")), r"(\d+)$", 1).try_cast("int").alias("note"))
-    bodies = runs.drop("note").join(notes, ["doc_id", "bid"]).groupBy("doc_id", "note").agg(_joined("text", "run").alias("text"))
+    notes = nodes.filter("name = 'doc-footnote'").select("doc_id", F.col("node_id").alias("outer_id"), F.regexp_extract(F.coalesce(attr("id"), F.lit("")), r"(\d+)$", 1).try_cast("int").alias("note"))
+    within = nodes.filter("bid is not null").select("doc_id", "bid", F.when(F.col("name") == "doc-footnote", F.col("node_id")).otherwise(F.col("outer_id")).alias("outer_id")).distinct()
+    bodies = runs.drop("note").join(within.join(notes, ["doc_id", "outer_id"]), ["doc_id", "bid"]).groupBy("doc_id", "note").agg(_joined("text", "bid", "run").alias("text"))
     starts = blocks.filter("tag = 'table'").select("doc_id", F.col("bid").alias("table"), "ord")
     placed = runs.join(blocks.select("doc_id", "bid", "ord"), ["doc_id", "bid"]).drop("bid")
     return Document(blocks.drop("bid"), placed, _grid(nodes, starts), bodies)
@@ -130,8 +143,8 @@ def _grid(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """The cells of the tables that start blocks, at their places in the grid."""
     from foliant.operators.tables import occupy
 
-    found = tree.table_cells(nodes.drop("bid")).select("doc_id", "table", "row", F.col("ord").alias("nth"), "row_span", "col_span", "width", "text")
-    placed = found.join(starts, ["doc_id", "table"]).select("doc_id", "ord", "row", "nth", "row_span", "col_span", "width", "text")
+    found = tree.table_cells(nodes.drop("bid")).select("doc_id", "table", "row", F.col("ord").alias("nth"), "row_span", "col_span", "width", "text", "cell")
+    placed = found.join(starts, ["doc_id", "table"]).select("doc_id", "ord", "row", "nth", "row_span", "col_span", "width", "text", "cell")
     return occupy(placed.withColumnsRenamed({"ord": "block", "nth": "ord"}), ["doc_id", "block"]).drop("ord").withColumnRenamed("block", "ord")
 
 
@@ -139,7 +152,8 @@ def in_points(doc: Document) -> Document:
     """A document as read from a package, whose lengths are hwpunits, in the points that writers take."""
     blocks = doc.blocks.withColumns({c: F.col(c).cast("double") / 100 for c in ("left", "first_line")})
     cells = doc.cells if "ord" in doc.cells.columns else doc.cells.withColumnRenamed("table", "ord")
-    return Document(blocks, doc.runs.withColumn("size", F.col("size").cast("double") / 100), cells if "width" in cells.columns else cells.withColumn("width", F.lit(None).cast("double")), doc.notes)
+    points = lambda df, *columns: df.withColumns({c: F.col(c).cast("double") / 100 for c in columns})
+    return Document(blocks, points(doc.runs, "size", "pic_width", "pic_height"), points(cells, "width") if "width" in cells.columns else cells, doc.notes, doc.images)
 
 
 def to_ir(files: DataFrame, kind: str) -> DataFrame:

@@ -110,3 +110,24 @@ def picture_roundtrip_odt(spark, sf):
 @query(_PICTURES_SQL)
 def picture_roundtrip_hwpx(spark, sf):
     return _picture_roundtrip(spark, sf, "hwpx")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, i, regexp_replace(lines[i], '[\s\x00-\x1F]+', '', 'g') AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) d, unnest(range(1, len(lines) + 1)) AS u(i))
+SELECT doc_id, count(*)::BIGINT AS paragraphs, md5(string_agg(t, '|' ORDER BY i)) AS text_md5 FROM l WHERE t <> '' GROUP BY doc_id""")
+def implicit_paragraphs(spark, sf):
+    """Every text as a page: every third line is a paragraph, the others stand loose between them, half of them inside a division."""
+    from foliant.functions.text import escape, xml_safe
+    from foliant.plans import tree
+    from foliant.sources import markup
+
+    line = escape(xml_safe(F.col("x")))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "x"))
+    cut = F.concat(F.lit("<b>"), F.substring_index(line, " ", 1), F.lit("</b>"), F.expr("substr({0}, length(substring_index({0}, ' ', 1)) + 1)".format("e")))
+    shown = lines.withColumn("e", line).withColumn("h", F.when(F.col("i") % 3 == 0, F.concat(F.lit("<p>"), "e", F.lit("</p>"))).when(F.col("i") % 3 == 1, F.concat(F.lit("<div>"), cut, F.lit("</div>"))).otherwise(F.concat(F.lit("<span>"), "e", F.lit("</span>"))))
+    pages = shown.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda p: p["h"]), "").alias("html"))
+    nodes = tree.implicit_paragraphs(markup.html_nodes(pages, "doc_id", blocks=["p"]))
+    own = nodes.filter("name = '#text'").select("doc_id", "node_id", F.coalesce("implicit", "block_id").alias("para"), F.regexp_replace("text", r"[\s\x00-\x1F]+", "").alias("t"))
+    paras = own.filter("para is not null").groupBy("doc_id", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda p: p["t"]), "").alias("t")).filter("t <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "t"))), lambda p: p["t"]), "|")
+    return paras.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.md5(text.cast("binary")).alias("text_md5"))

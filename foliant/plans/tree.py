@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import color, text, units
+from foliant.operators.intervals import open_count
 from foliant.operators.layout import paper
 from foliant.session import written
 
@@ -57,6 +58,33 @@ def inherited_styles(nodes: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "node_id", "block_id", "text").agg(*nearest)
 
 
+#: What parts text into paragraphs: blocks with text of their own, and what only holds blocks.
+PARAGRAPHS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "caption", "figcaption", "summary", "legend", "address")
+CONTAINERS = tuple("html head title body doc-section doc-header doc-footer doc-footnote doc-textbox doc-pagebreak div article section main aside nav header footer form fieldset figure blockquote center details dialog ul ol dl table thead tbody tfoot colgroup tr td th hr".split())
+UNSEEN = ("script", "style", "head", "template", "noscript")
+
+
+def implicit_paragraphs(nodes: DataFrame) -> DataFrame:
+    """Adds implicit: the paragraph, named by its first node, of inline nodes that stand in none.
+
+    Inline siblings between two blocks are one paragraph if they hold a visible text, a line break or a picture. Begins
+    and ends of blocks are boundaries at their places in the node order; nodes with as many boundaries before them have
+    no block between them, at whatever depth, so one running count makes the islands.
+    """
+    name = F.col("name")
+    edge = name.isin(*PARAGRAPHS, *CONTAINERS)
+    ends = nodes.filter(edge).select("doc_id", "part", (F.col("last_id") + 0.5).alias("_at"), F.lit(1).alias("_edge"))
+    inner = open_count(open_count(nodes, name.isin(*PARAGRAPHS), ["doc_id", "part"], "_inside"), name.isin(*UNSEEN), ["doc_id", "part"], "_unseen")
+    both = inner.withColumn("_at", F.col("node_id").cast("double")).withColumn("_edge", edge.cast("int")).unionByName(ends, allowMissingColumns=True)
+    w = W.partitionBy("doc_id", "part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    counted = both.withColumn("_island", F.sum("_edge").over(w)).filter("node_id is not null")
+    loose = (F.col("_edge") == 0) & (F.col("_inside") == 0) & (F.col("_unseen") == 0) & ~name.isin(*UNSEEN, "#error")
+    group = W.partitionBy("doc_id", "part", "_island")
+    seen = F.max(loose & (name.isin("img", "br") | ((name == "#text") & (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) != "")))).over(group)
+    first = F.min(F.when(loose, F.col("node_id"))).over(group)
+    return counted.withColumn("implicit", F.when(loose & seen, first)).drop("_at", "_edge", "_inside", "_unseen", "_island")
+
+
 def list_items(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, level, instance, ordered, text): level counts the lists above, the topmost list is the instance."""
     marked = nodes.withColumn("_lists", F.regexp_count("path", F.lit(r"(?:^|> )(?:ul|ol)(?:#[^ ]*)?(?= >|$)")))
@@ -92,7 +120,7 @@ def table_cells(nodes: DataFrame, base_pt: float = 400.0) -> DataFrame:
     words = own.groupBy("doc_id", "cell").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "")).alias("text"))
     out = cells.join(rows, ["doc_id", "tr"]).join(words, ["doc_id", "cell"], "left")
     ord_ = F.row_number().over(W.partitionBy("doc_id", "table", "row").orderBy("cell")) - 1
-    return out.withColumn("ord", ord_).withColumn("text", F.coalesce("text", F.lit(""))).drop("tr", "cell")
+    return out.withColumn("ord", ord_).withColumn("text", F.coalesce("text", F.lit(""))).drop("tr")
 
 
 def bands(nodes: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A document is a handful of tables, all keyed by doc_id:
     blocks(doc_id, ord, tag [, list_id, level, ordered, numbered, align, left, first_line, band, page_break, inside])
     runs(doc_id, ord, run, text [, bold, italic, underline, strike, color, size, font, position, link, note, field, picture, pic_width, pic_height])
-    cells(doc_id, ord, row, col, row_span, col_span, width, text [, cell]): the cells of the block `ord`, whose tag is table
+    cells(doc_id, ord, row, col, row_span, col_span, width, text [, cell, b_left, ..., p_left, ..., background, valign]): the cells of
+        the block `ord`, whose tag is table, with their borders and padding by side
     notes(doc_id, note, text), images(doc_id, image, ext, data)
 A cell holds the blocks whose `inside` is its `cell` (tables among them, to any depth), or
 its text where it has none. A run whose picture names an image shows it. XML is made by
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 from foliant.functions import units
 from foliant.functions.text import BULLETS, escape, xml_safe
 from foliant.operators.ordered import asof_join, intern, islands
+from foliant.operators.tables import BORDER, SIDES, shared_edges
 from foliant.session import written
 from foliant.sinks import packages, parts
 from foliant.sinks.packages import XML
 
 BLOCK = {"list_id": "int", "level": "int", "ordered": "boolean", "numbered": "boolean", "align": "string", "left": "double", "first_line": "double", "band": "string", "page_break": "boolean", "inside": "int"}
 RUN = {"bold": "boolean", "italic": "boolean", "underline": "boolean", "strike": "boolean", "color": "string", "size": "double", "font": "string", "position": "string", "link": "string", "note": "int", "field": "string", "picture": "string", "pic_width": "double", "pic_height": "double"}
-CELL = {"width": "double", "cell": "int"}
+CELL = {"width": "double", "cell": "int", **{f"b_{s}": BORDER for s in SIDES}, **parts.FORMAT}
 #: What a text style is made of, and what a paragraph style is.
 TEXT_STYLE = ["bold", "italic", "underline", "strike", "color", "size", "font", "position"]
 PARA_STYLE = ["align", "left", "first_line", "page_break"]
@@ -59,8 +61,8 @@ class Document:
         self.notes = self.notes if self.notes is not None else spark.createDataFrame([], "doc_id long, note int, text string")
 
     def stored(self) -> Document:
-        """With its tables written once: writers use each of them several times."""
-        return Document(*[written(df, name) for df, name in ((self.blocks, "blocks"), (self.runs, "runs"), (self.cells, "cells"), (self.notes, "notes"))], self.images)
+        """With its tables written once, as writers use each of them several times, and each edge of a table as one border."""
+        return Document(*[written(df, name) for df, name in ((self.blocks, "blocks"), (self.runs, "runs"), (shared_edges(self.cells, ["doc_id", "ord"], ["row", "col"]), "cells"), (self.notes, "notes"))], self.images)
 
 
 def _joined(value: str, *order: str) -> Column:
@@ -326,13 +328,15 @@ def write_odt(doc: Document) -> DataFrame:
     para = F.when(head.isNotNull(), F.concat(F.lit('<text:h text:outline-level="'), head, F.lit('"'), _if(~F.coalesce("numbered", F.lit(False)), ' text:is-list-header="true"'), named, content, F.lit("</text:h>"))).otherwise(F.concat(F.lit("<text:p"), named, content, F.lit("</text:p>")))
     open_list = F.concat(F.lit('<text:list text:style-name="L'), F.coalesce("list_id", F.lit(1)), F.lit('">'))
     listed = lambda rows: nested_lists(rows, open_list, "</text:list>", "<text:list-item>", "</text:list-item>")
-    rows = assemble(rows.withColumn("xml", para), doc.cells, lambda cells: _tables_of(parts.odt_tables, cells), listed)
+    cell_styles, cells = intern(doc.cells, ["doc_id"], F.struct("ord", "row", "col"), [*[f"b_{s}" for s in SIDES], *parts.FORMAT], "cell_style")
+    rows = assemble(rows.withColumn("xml", para), cells, lambda held: _tables_of(parts.odt_tables, held), listed)
+    boxes = cell_styles.withColumn("xml", _odt_style("table-cell", F.concat(F.lit("C"), "cell_style"), parts.odt_cell_style())).groupBy("doc_id").agg(_joined("xml", "cell_style").alias("c"))
     texts = text_styles.withColumn("xml", _odt_style("text", F.concat(F.lit("T"), "style"), _odt_text_properties())).groupBy("doc_id").agg(_joined("xml", "style").alias("t"))
     pt = lambda name, c: F.coalesce(F.concat(F.lit(f' fo:{name}="'), F.format_string("%.2fpt", F.when(F.col(c) != 0, F.col(c))), F.lit('"')), F.lit(""))
     margins = F.concat(F.lit("<style:paragraph-properties"), F.coalesce(F.concat(F.lit(' fo:text-align="'), F.col("align"), F.lit('"')), F.lit("")), F.when(F.col("left").isNotNull(), pt("margin-left", "left")).otherwise(""), F.when(F.col("first_line").isNotNull(), pt("text-indent", "first_line")).otherwise(""), _if(F.col("page_break"), ' fo:break-before="page"'), F.lit("/>"))
     paras = para_styles.withColumn("xml", _odt_style("paragraph", F.concat(F.lit("P"), "style"), margins)).groupBy("doc_id").agg(_joined("xml", "style").alias("p"))
-    styles = docs.join(texts, "doc_id", "left").join(paras, "doc_id", "left").join(_odt_list_levels(doc.blocks).withColumnRenamed("xml", "l"), "doc_id", "left")
-    automatic = styles.select("doc_id", F.concat(F.lit("<office:automatic-styles>"), *[F.coalesce(c, F.lit("")) for c in "tpl"], F.lit("</office:automatic-styles>")).alias("auto"))
+    styles = docs.join(texts, "doc_id", "left").join(paras, "doc_id", "left").join(boxes, "doc_id", "left").join(_odt_list_levels(doc.blocks).withColumnRenamed("xml", "l"), "doc_id", "left")
+    automatic = styles.select("doc_id", F.concat(F.lit("<office:automatic-styles>"), *[F.coalesce(c, F.lit("")) for c in "tpcl"], F.lit("</office:automatic-styles>")).alias("auto"))
     ns = packages.ODF_NS
     start = F.concat(F.lit(f'{XML}<office:document-content {ns} office:version="1.2">'), F.col("auto"), F.lit("<office:body><office:text>"))
     main = _body(rows.filter("band is null"), automatic, start, "</office:text></office:body></office:document-content>")
@@ -372,13 +376,23 @@ def _hwpx_lists(blocks: DataFrame) -> DataFrame:
 def _hwpx_tables(cells: DataFrame) -> DataFrame:
     unit = lambda c: F.coalesce(units.pt_to_units(F.col(c)), F.lit(6000))
     para = parts._content(cells, F.concat(F.lit('<hp:p id="0" paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'), packages.hwpx_text(F.col("text")), F.lit("</hp:run></hp:p>")))
-    xml = F.concat(F.lit("<hp:tc><hp:subList>"), para, F.lit('</hp:subList><hp:cellAddr colAddr="'), F.col("col"), F.lit('" rowAddr="'), F.col("row"), F.lit('"/><hp:cellSpan colSpan="'), F.col("col_span"), F.lit('" rowSpan="'), F.col("row_span"), F.lit('"/><hp:cellSz width="'), unit("width"), F.lit('" height="1500"/></hp:tc>'))
+    place = F.upper(F.when(F.col("valign") == "middle", "center").otherwise(F.coalesce("valign", F.lit("center"))))
+    room = F.concat(F.lit("<hp:cellMargin"), *[x for s in ("left", "right", "top", "bottom") for x in (F.lit(f' {s}="'), F.coalesce(units.pt_to_units(F.col(f"p_{s}")), F.lit(0)), F.lit('"'))], F.lit("/>"))
+    room = F.when(F.coalesce(*[f"p_{s}" for s in SIDES]).isNotNull(), room).otherwise("")
+    xml = F.concat(F.lit('<hp:tc borderFillIDRef="'), F.col("fill") + 1, F.lit('"><hp:subList vertAlign="'), place, F.lit('">'), para, F.lit('</hp:subList><hp:cellAddr colAddr="'), F.col("col"), F.lit('" rowAddr="'), F.col("row"), F.lit('"/><hp:cellSpan colSpan="'), F.col("col_span"), F.lit('" rowSpan="'), F.col("row_span"), F.lit('"/><hp:cellSz width="'), unit("width"), F.lit('" height="1500"/>'), room, F.lit("</hp:tc>"))
     rows = cells.withColumn("xml", xml).groupBy("doc_id", "ord", "row").agg(_joined("xml", "col").alias("xml"), F.max(F.col("col") + F.col("col_span")).alias("cols"))
     rows = rows.withColumn("xml", F.concat(F.lit("<hp:tr>"), F.col("xml"), F.lit("</hp:tr>")))
     whole = rows.groupBy("doc_id", "ord").agg(_joined("xml", "row").alias("xml"), F.count("*").alias("rows"), F.max("cols").alias("cols"))
     return whole.select("doc_id", "ord", F.concat(F.lit('<hp:tbl rowCnt="'), F.col("rows"), F.lit('" colCnt="'), F.col("cols"), F.lit('">'), F.col("xml"), F.lit("</hp:tbl>")).alias("table_xml"))
 
 
+def _hwpx_fill() -> Column:
+    """A border fill; widths are the format's, and an unsaid border is none."""
+    line = lambda s: F.concat(F.lit(f'<hh:{s}Border type="'), F.coalesce(parts.style_of("hwpx", s), F.lit("NONE")), F.lit('" width="'), F.format_string("%s mm", F.regexp_replace(F.coalesce(units.snap_border_mm(units.pt_to_mm(F.col(f"b_{s}.width"))), F.lit(0.1)).cast("string"), r"\.0$", "")), F.lit('" color="'), F.coalesce(F.col(f"b_{s}.color"), F.lit("#000000")), F.lit('"/>'))
+    brush = F.coalesce(F.concat(F.lit('<hc:fillBrush><hc:winBrush faceColor="'), F.col("background"), F.lit('" hatchColor="#000000" alpha="0"/></hc:fillBrush>')), F.lit(""))
+    return F.concat(F.lit('<hh:borderFill id="'), F.col("fill") + 1, F.lit('">'), *map(line, ("left", "right", "top", "bottom")), brush, F.lit("</hh:borderFill>"))
+
+
 def _in_run(tag: str, xml: str) -> Column:
     """What stands in a paragraph: its runs, or one that holds a table."""
     return F.when(F.col(tag) == "table", F.concat(F.lit('<hp:run charPrIDRef="0">'), F.coalesce(xml, F.lit("")), F.lit("</hp:run>"))).otherwise(F.coalesce(xml, F.lit('<hp:run charPrIDRef="0"/>')))
@@ -408,7 +422,10 @@ def write_hwpx(doc: Document) -> DataFrame:
     rows = blocks.filter("ord >= 0").join(inner, ["doc_id", "ord"], "left")
     start = F.concat(F.lit('<hp:p id="0" paraPrIDRef="'), F.col("para"), F.lit('" styleIDRef="0" pageBreak="'), F.when(F.coalesce("page_break", F.lit(False)), "1").otherwise("0"), F.lit('">'))
     listed = lambda rows: rows.withColumn("xml", F.when(F.col("inside").isNotNull(), F.concat("start", _in_run("tag", "xml"), F.lit("</hp:p>"))).otherwise(_in_run("tag", "xml")))
-    rows = assemble(rows.withColumn("start", start), doc.cells, _hwpx_tables, listed).withColumn("inner", F.col("xml"))
+    none = docs.select("doc_id", F.lit(-1).alias("ord"), F.lit(-1).alias("row"), F.lit(-1).alias("col"))
+    fills, cells = intern(doc.cells.unionByName(none, allowMissingColumns=True), ["doc_id"], F.struct("ord", "row", "col"), [*[f"b_{s}" for s in SIDES], "background"], "fill")
+    fill_xml = fills.withColumn("xml", _hwpx_fill()).groupBy("doc_id").agg(_joined("xml", "fill").alias("b"), F.count("*").alias("bn"))
+    rows = assemble(rows.withColumn("start", start), cells.filter("ord >= 0"), _hwpx_tables, listed).withColumn("inner", F.col("xml"))
     # bands are controls in the document's first paragraph
     bands = rows.filter("band is not null").withColumn("xml", F.concat("start", "inner", F.lit("</hp:p>"))).groupBy("doc_id", "band").agg(_joined("xml", "ord").alias("xml"))
     control = F.concat(F.lit('<hp:run charPrIDRef="0"><hp:ctrl><hp:'), F.col("band"), F.lit("><hp:subList>"), F.col("xml"), F.lit("</hp:subList></hp:"), F.col("band"), F.lit("></hp:ctrl></hp:run>"))
@@ -424,11 +441,11 @@ def write_hwpx(doc: Document) -> DataFrame:
     para_xml = shapes.withColumn("xml", shape).groupBy("doc_id").agg(_joined("xml", "para").alias("p"), F.count("*").alias("pn"))
     lists = _hwpx_lists(doc.blocks).groupBy("doc_id").agg(_joined("xml", "list_id").alias("l"), F.count("*").alias("ln"))
     font_xml = fonts.withColumn("xml", F.concat(F.lit('<hh:font id="'), F.col("font_nth") + 1, F.lit('" face="'), escape(F.col("font")), F.lit('" type="TTF"/>'))).groupBy("doc_id").agg(_joined("xml", "font_nth").alias("f"), F.count("*").alias("fn"))
-    head = docs.join(char_xml, "doc_id").join(para_xml, "doc_id").join(lists, "doc_id", "left").join(font_xml, "doc_id", "left")
+    head = docs.join(char_xml, "doc_id").join(para_xml, "doc_id").join(lists, "doc_id", "left").join(font_xml, "doc_id", "left").join(fill_xml, "doc_id")
     number = lambda c, plus=0: (F.coalesce(c, F.lit(0)) + plus).cast("string")
     faces = F.concat(*[x for g in packages.HWPX_LANGUAGES for x in (F.lit(f'<hh:fontface lang="{g}" fontCnt="'), number("fn", 1), F.lit(f'"><hh:font id="0" face="{BASE_FONT}" type="TTF"/>'), F.coalesce("f", F.lit("")), F.lit("</hh:fontface>"))])
     header = head.select("doc_id", F.concat(
-        F.lit(f'{XML}<hh:head {ns} version="1.4" secCnt="1"><hh:refList><hh:fontfaces itemCnt="7">'), faces, F.lit('</hh:fontfaces><hh:charProperties itemCnt="'), number("cn"), F.lit('">'), F.col("c"), F.lit('</hh:charProperties><hh:numberings itemCnt="'), number("ln"), F.lit('">'), F.coalesce("l", F.lit("")),
+        F.lit(f'{XML}<hh:head {ns} version="1.4" secCnt="1"><hh:refList><hh:fontfaces itemCnt="7">'), faces, F.lit('</hh:fontfaces><hh:borderFills itemCnt="'), number("bn"), F.lit('">'), F.col("b"), F.lit('</hh:borderFills><hh:charProperties itemCnt="'), number("cn"), F.lit('">'), F.col("c"), F.lit('</hh:charProperties><hh:numberings itemCnt="'), number("ln"), F.lit('">'), F.coalesce("l", F.lit("")),
         F.lit('</hh:numberings><hh:paraProperties itemCnt="'), number("pn"), F.lit('">'), F.col("p"), F.lit("</hh:paraProperties></hh:refList></hh:head>"),
     ).alias("xml"))
     item = F.concat(F.lit('<opf:item id="image'), F.col("bin"), F.lit('" href="'), F.col("path"), F.lit('" media-type="'), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in packages.MEDIA.items() for x in kv]), F.col("ext")), F.lit("application/octet-stream")), F.lit('" isEmbeded="1"/>'))

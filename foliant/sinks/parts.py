@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import units
 from foliant.functions.text import BULLETS, OUTLINE, escape, xml_safe
-from foliant.operators.tables import covered
+from foliant.operators.tables import SIDES, covered
 
 
 def _joined(value: str, *order: str) -> Column:
@@ -24,6 +24,36 @@ def _content(cells: DataFrame, of_text: Column) -> Column:
     return F.coalesce("body", of_text) if "body" in cells.columns else of_text
 
 
+#: Values of a cell's format that are not its borders: padding by side in points, fill, and where its text stands.
+FORMAT = {**{f"p_{s}": "double" for s in SIDES}, "background": "string", "valign": "string"}
+# fixed values: the vocabulary's border styles in the formats
+STYLES = {"docx": {"solid": "single", "dashed": "dashed", "dotted": "dotted", "double": "double", "none": "nil"}, "hwpx": {"solid": "SOLID", "dashed": "DASH", "dotted": "DOT", "double": "DOUBLE_SLIM", "none": "NONE"}}
+
+
+def style_of(kind: str, side: str) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in STYLES[kind].items() for x in kv]), F.col(f"b_{side}.style"))
+
+
+def _docx_cell_format() -> Column:
+    """tcBorders, shd, tcMar, vAlign: what is said, in the schema's order; an absent border is said to be nil."""
+    line = lambda s: F.coalesce(F.concat(F.lit(f'<w:{s} w:val="'), style_of("docx", s), F.when(F.col(f"b_{s}.style") == "none", F.lit("")).otherwise(F.concat(F.lit('" w:sz="'), F.greatest(F.lit(2), F.round(F.col(f"b_{s}.width") * 8).cast("int")), F.lit('" w:color="'), F.coalesce(F.substring(F.col(f"b_{s}.color"), 2, 6), F.lit("auto")))), F.lit('"/>')), F.lit(""))
+    room = lambda s: F.coalesce(F.concat(F.lit(f'<w:{s} w:w="'), units.pt_to_twips(F.col(f"p_{s}")), F.lit('" w:type="dxa"/>')), F.lit(""))
+    order = ("top", "left", "bottom", "right")
+    wrap = lambda tag, inner: F.when(inner != "", F.concat(F.lit(f"<w:{tag}>"), inner, F.lit(f"</w:{tag}>"))).otherwise("")
+    fill = F.coalesce(F.concat(F.lit('<w:shd w:val="clear" w:color="auto" w:fill="'), F.substring("background", 2, 6), F.lit('"/>')), F.lit(""))
+    place = F.coalesce(F.concat(F.lit('<w:vAlign w:val="'), F.when(F.col("valign") == "middle", "center").otherwise(F.col("valign")), F.lit('"/>')), F.lit(""))
+    return F.concat(wrap("tcBorders", F.concat(*map(line, order))), fill, wrap("tcMar", F.concat(*map(room, order))), place)
+
+
+def odt_cell_style() -> Column:
+    """The style of a table cell, without its name."""
+    line = lambda s: F.coalesce(F.concat(F.lit(f' fo:border-{s}="'), F.when(F.col(f"b_{s}.style") == "none", F.lit("none")).otherwise(F.concat(F.format_string("%.3fpt ", F.col(f"b_{s}.width")), F.col(f"b_{s}.style"), F.lit(" "), F.coalesce(F.col(f"b_{s}.color"), F.lit("#000000")))), F.lit('"')), F.lit(""))
+    room = lambda s: F.coalesce(F.concat(F.lit(f' fo:padding-{s}="'), F.format_string("%.2fpt", F.col(f"p_{s}")), F.lit('"')), F.lit(""))
+    fill = F.coalesce(F.concat(F.lit(' fo:background-color="'), F.col("background"), F.lit('"')), F.lit(""))
+    place = F.coalesce(F.concat(F.lit(' style:vertical-align="'), F.col("valign"), F.lit('"')), F.lit(""))
+    return F.concat(F.lit("<style:table-cell-properties"), *map(line, SIDES), *map(room, SIDES), fill, place, F.lit("/>"))
+
+
 def docx_tables(cells: DataFrame) -> DataFrame:
     """(doc_id, table, xml) from cells (doc_id, table, row, col, row_span, col_span, width, text [, body]): places that a
     cell covers downwards get filler cells that continue its merge; a cell ends with a paragraph."""
@@ -33,7 +63,7 @@ def docx_tables(cells: DataFrame) -> DataFrame:
     held = _content(cells, _para(F.col("text")))
     width = F.concat(F.lit('<w:tcW w:w="'), units.pt_to_twips(F.coalesce("width", F.lit(60.0))), F.lit('" w:type="dxa"/>'))
     span = F.when(F.col("col_span") > 1, F.concat(F.lit('<w:gridSpan w:val="'), F.col("col_span"), F.lit('"/>'))).otherwise("")
-    xml = F.concat(F.lit("<w:tc><w:tcPr>"), width, span, merge, F.lit("</w:tcPr>"), F.when(first, F.when(held.endswith("</w:tbl>"), F.concat(held, F.lit("<w:p/>"))).otherwise(held)).otherwise("<w:p/>"), F.lit("</w:tc>"))
+    xml = F.concat(F.lit("<w:tc><w:tcPr>"), width, span, merge, _docx_cell_format() if "b_left" in cells.columns else F.lit(""), F.lit("</w:tcPr>"), F.when(first, F.when(held.endswith("</w:tbl>"), F.concat(held, F.lit("<w:p/>"))).otherwise(held)).otherwise("<w:p/>"), F.lit("</w:tc>"))
     rows = each.withColumn("xml", xml).groupBy("doc_id", "table", "r").agg(_joined("xml", "c").alias("xml")).withColumn("xml", F.concat(F.lit("<w:tr>"), F.col("xml"), F.lit("</w:tr>")))
     return rows.groupBy("doc_id", "table").agg(F.concat(F.lit("<w:tbl><w:tblPr/>"), _joined("xml", "r"), F.lit("</w:tbl>")).alias("xml"))
 
@@ -43,7 +73,8 @@ def odt_tables(cells: DataFrame) -> DataFrame:
     each = covered(cells)
     own = (F.col("r") == F.col("row")) & (F.col("c") == F.col("col"))
     span = lambda c, n: F.when(F.col(c) > 1, F.concat(F.lit(f' table:number-{n}-spanned="'), F.col(c), F.lit('"'))).otherwise("")
-    cell = F.concat(F.lit("<table:table-cell"), span("col_span", "columns"), span("row_span", "rows"), F.lit(">"), _content(cells, F.concat(F.lit("<text:p>"), escape(xml_safe(F.col("text"))), F.lit("</text:p>"))), F.lit("</table:table-cell>"))
+    named = F.coalesce(F.concat(F.lit(' table:style-name="C'), F.col("cell_style"), F.lit('"')), F.lit("")) if "cell_style" in cells.columns else F.lit("")
+    cell = F.concat(F.lit("<table:table-cell"), named, span("col_span", "columns"), span("row_span", "rows"), F.lit(">"), _content(cells, F.concat(F.lit("<text:p>"), escape(xml_safe(F.col("text"))), F.lit("</text:p>"))), F.lit("</table:table-cell>"))
     rows = each.withColumn("xml", F.when(own, cell).otherwise("<table:covered-table-cell/>")).groupBy("doc_id", "table", "r").agg(_joined("xml", "c").alias("xml"))
     rows = rows.withColumn("xml", F.concat(F.lit("<table:table-row>"), F.col("xml"), F.lit("</table:table-row>")))
     return rows.groupBy("doc_id", "table").agg(F.concat(F.lit("<table:table>"), _joined("xml", "r"), F.lit("</table:table>")).alias("xml"))

@@ -13,6 +13,8 @@ are windows over a paragraph's nodes. Bytes of pictures are read when they are a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from foliant.functions import units
 from foliant.operators.intervals import open_count
 from foliant.operators.ordered import islands
+from foliant.operators.tables import SIDES
 from foliant.session import written
 from foliant.sinks.document import Document
 from foliant.sources import packages, rules, styles
@@ -27,6 +30,7 @@ from foliant.sources.containers import zip_entries
 from foliant.sources.markup import xml_nodes
 
 KEY = ["doc_id", "part", "bid"]
+CELL_FORMAT = [*[f"b_{s}" for s in SIDES], *[f"p_{s}" for s in SIDES], "background", "valign"]
 FORMAT = packages.FORMAT
 #: What is shredded of a package: the parts, and the names of blocks, cells and outer parts in them.
 SHRED = {
@@ -143,6 +147,34 @@ def docx_defaults(nodes: DataFrame) -> DataFrame:
     return named.join(inner.groupBy("doc_id").agg(*[v.alias(f"d_{k}") for k, v in said.items()]), "doc_id", "left")
 
 
+def _sides(value: Callable[[str], Column]) -> list[Column]:
+    return [value(s) for s in SIDES]
+
+
+def _border(style: Column, width: Column, tint: Column) -> Column:
+    return F.when(style.isNotNull(), F.struct(style.alias("style"), width.cast("double").alias("width"), tint.alias("color")))
+
+
+def _docx_cell_format(nodes: DataFrame) -> DataFrame:
+    """(doc_id, part, cell_id, b_left, ..., p_left, ..., background, valign): what a cell says itself, margins else by its table."""
+    also = {"left": ("left", "start"), "right": ("right", "end"), "top": ("top",), "bottom": ("bottom",)}
+    none = F.lower(_attr("val")).isin("nil", "none")
+    line = _border(F.when(none, "none").otherwise(rules.border_style(_attr("val"), "docx")), F.when(none, 0.0).otherwise(units.eighths_to_pt(_attr("sz").try_cast("double"))), packages.color.six_digits(_attr("color")))
+    room = units.twips_to_units(_attr("w").try_cast("int")).cast("double")
+    of = lambda parent, value: lambda s: F.max(F.when((F.col("parent_name") == parent) & _name().isin(*also[s]), value))
+    place = F.when(_attr("val") == "center", "middle").otherwise(_attr("val"))
+    said = nodes.filter("cell_id is not null and parent_name in ('tcBorders', 'tcMar', 'tcPr')").groupBy("doc_id", "part", "cell_id").agg(*[c.alias(f"b_{s}") for s, c in zip(SIDES, _sides(of("tcBorders", line)))], *[c.alias(f"_{s}") for s, c in zip(SIDES, _sides(of("tcMar", room)))], _pick("shd", packages.color.six_digits(_attr("fill")), "tcPr").alias("background"), _pick("vAlign", place, "tcPr").alias("valign"))
+    # a table's own margins: tblCellMar stands in the properties of the table
+    mar = nodes.filter("name = 'tblCellMar'").select("doc_id", "part", F.col("node_id").alias("mar"), F.col("parent_id").alias("pr"))
+    whose = mar.join(nodes.filter("name = 'tblPr'").select("doc_id", "part", F.col("node_id").alias("pr"), F.col("parent_id").alias("table")), ["doc_id", "part", "pr"])
+    own = nodes.filter("parent_name = 'tblCellMar'").withColumn("mar", F.col("parent_id")).join(whose, ["doc_id", "part", "mar"])
+    tables = own.groupBy("doc_id", "part", "table").agg(*[c.alias(f"t_{s}") for s, c in zip(SIDES, _sides(of("tblCellMar", room)))])
+    cells = nodes.filter("name = 'tc'").select("doc_id", "part", F.col("node_id").alias("cell_id"), F.col("parent_id").alias("tr"))
+    rows = nodes.filter("name = 'tr'").select("doc_id", "part", F.col("node_id").alias("tr"), F.col("parent_id").alias("table"))
+    each = cells.join(rows, ["doc_id", "part", "tr"]).join(tables, ["doc_id", "part", "table"], "left").join(said, ["doc_id", "part", "cell_id"], "left")
+    return each.select("doc_id", "part", "cell_id", *[f"b_{s}" for s in SIDES], *[rules.inherited_side(F.col(f"_{s}"), F.col(f"t_{s}")).cast("double").alias(f"p_{s}") for s in SIDES], "background", "valign")
+
+
 def docx_grid(nodes: DataFrame) -> DataFrame:
     """(doc_id, part, cell_id, table, row, col, row_span, col_span, width): grid columns from spans, vertical merges folded."""
     from foliant.operators.tables import fold_vertical_merges, grid_columns
@@ -162,7 +194,7 @@ def docx_grid(nodes: DataFrame) -> DataFrame:
     columns = nodes.filter("name = 'tblGrid'").select("doc_id", "part", F.col("node_id").alias("grid"), F.col("parent_id").alias("table")).join(columns, ["doc_id", "part", "grid"]).drop("grid")
     spanned = F.aggregate(F.slice("columns", F.col("col").cast("int") + 1, F.col("col_span")), F.lit(0), lambda total, c: total + F.coalesce(c, F.lit(0)).cast("int"))
     width = rules.docx_cell_width(F.col("w"), F.col("kind"), F.when(spanned > 0, spanned)).cast("double")
-    return folded.join(columns, ["doc_id", "part", "table"], "left").select("doc_id", "part", "cell_id", "table", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("row_span").cast("int").alias("row_span"), "col_span", width.alias("width"))
+    return folded.join(columns, ["doc_id", "part", "table"], "left").join(_docx_cell_format(nodes), ["doc_id", "part", "cell_id"], "left").select("doc_id", "part", "cell_id", "table", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("row_span").cast("int").alias("row_span"), "col_span", width.alias("width"), *CELL_FORMAT)
 
 
 def _in_word(target: str) -> Column:
@@ -222,12 +254,13 @@ def read_docx(files: DataFrame) -> Document:
 def odt_grid(nodes: DataFrame) -> DataFrame:
     """Cells by grid place: covered cells advance the column, repeated ones by as much as they say (512 at most)."""
     number = lambda k: F.greatest(F.coalesce(_attr(k).try_cast("int"), F.lit(1)), F.lit(1))
-    cell = nodes.filter("name in ('table-cell', 'covered-table-cell')").select("doc_id", "part", F.col("node_id").alias("cell_id"), F.col("parent_id").alias("tr"), (_name() == "table-cell").alias("own"), number("number-columns-spanned").alias("col_span"), number("number-rows-spanned").alias("row_span"), F.least(number("number-columns-repeated"), F.lit(512)).alias("again"))
+    cell = nodes.filter("name in ('table-cell', 'covered-table-cell')").select("doc_id", "part", F.col("node_id").alias("cell_id"), F.col("parent_id").alias("tr"), (_name() == "table-cell").alias("own"), _attr("style-name").alias("style"), number("number-columns-spanned").alias("col_span"), number("number-rows-spanned").alias("row_span"), F.least(number("number-columns-repeated"), F.lit(512)).alias("again"))
     w = W.partitionBy("doc_id", "part", "tr").orderBy("cell_id").rowsBetween(W.unboundedPreceding, -1)
     cell = cell.withColumn("col", F.coalesce(F.sum("again").over(w), F.lit(0)).cast("int"))
     rows = nodes.filter("name = 'table-row'").select("doc_id", "part", F.col("node_id").alias("tr"), F.col("parent_id").alias("table"))
     rows = rows.withColumn("row", F.row_number().over(W.partitionBy("doc_id", "part", "table").orderBy("tr")) - 1)
-    return cell.filter("own").join(rows, ["doc_id", "part", "tr"]).select("doc_id", "part", "cell_id", "table", "row", "col", "row_span", "col_span", F.lit(None).cast("double").alias("width"))
+    known = styles.odt_cell_styles(nodes)
+    return cell.filter("own").join(rows, ["doc_id", "part", "tr"]).join(known, ["doc_id", "style"], "left").select("doc_id", "part", "cell_id", "table", "row", "col", "row_span", "col_span", F.lit(None).cast("double").alias("width"), *CELL_FORMAT)
 
 
 def _of_outer(nodes: DataFrame, number: Column) -> DataFrame:
@@ -278,14 +311,29 @@ def read_odt(files: DataFrame) -> Document:
 # ---- hwpx
 
 
-def hwpx_grid(nodes: DataFrame) -> DataFrame:
+def hwpx_fills(nodes: DataFrame) -> DataFrame:
+    """(doc_id, fill, b_left, ..., background): the border fills of the header."""
+    nodes = nodes.filter("part = 'Contents/header.xml'")
+    none = F.coalesce(_attr("type"), F.lit("NONE")) == "NONE"
+    width = units.mm_to_pt(F.regexp_extract(F.coalesce(_attr("width"), F.lit("")), r"^([0-9.]+)", 1).try_cast("double"))
+    line = _border(F.when(none, "none").otherwise(rules.border_style(_attr("type"), "hwpx")), F.when(none, 0.0).otherwise(width), packages.color.six_digits(_attr("color")))
+    sides = nodes.filter("parent_name = 'borderFill'").groupBy("doc_id", F.col("parent_id").alias("node")).agg(*[_pick(f"{s}Border", line).alias(f"b_{s}") for s in SIDES])
+    face = nodes.filter("name = 'winBrush'").join(nodes.filter("name = 'fillBrush'").select("doc_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("node")), ["doc_id", "parent_id"]).select("doc_id", "node", packages.color.six_digits(_attr("faceColor")).alias("background"))
+    own = nodes.filter("name = 'borderFill'").select("doc_id", F.col("node_id").alias("node"), _attr("id").alias("fill"))
+    return own.join(sides, ["doc_id", "node"], "left").join(face, ["doc_id", "node"], "left").drop("node")
+
+
+def hwpx_grid(nodes: DataFrame, fills: DataFrame) -> DataFrame:
     """Cells by the address that they give."""
     own = ["doc_id", "part", "cell_id"]
     number = lambda name, key: F.max(F.when(_name() == name, _attr(key).try_cast("int")))
     cells = nodes.filter("name in ('cellAddr', 'cellSpan', 'cellSz') and parent_name = 'tc'").groupBy(*own).agg(number("cellAddr", "rowAddr").alias("row"), number("cellAddr", "colAddr").alias("col"), number("cellSpan", "rowSpan").alias("row_span"), number("cellSpan", "colSpan").alias("col_span"), number("cellSz", "width").cast("double").alias("width"))
-    tcs = nodes.filter("name = 'tc'").select("doc_id", "part", F.col("node_id").alias("cell_id"), F.col("parent_id").alias("tr"))
+    rooms = nodes.filter("name = 'cellMargin' and parent_name = 'tc'").select(*own, *[_attr(s).try_cast("double").alias(f"p_{s}") for s in SIDES])
+    lists = nodes.filter("name = 'subList' and parent_name = 'tc'").select("doc_id", "part", F.col("parent_id").alias("cell_id"), F.lower(_attr("vertAlign")).alias("v"))
+    tcs = nodes.filter("name = 'tc'").select("doc_id", "part", F.col("node_id").alias("cell_id"), F.col("parent_id").alias("tr"), _attr("borderFillIDRef").alias("fill"))
     trs = nodes.filter("name = 'tr'").select("doc_id", "part", F.col("node_id").alias("tr"), F.col("parent_id").alias("table"))
-    return tcs.join(trs, ["doc_id", "part", "tr"]).join(cells, own).select(*own, "table", "row", "col", "row_span", "col_span", "width")
+    placed = tcs.join(trs, ["doc_id", "part", "tr"]).join(cells, own).join(rooms, own, "left").join(lists, own, "left").join(fills, ["doc_id", "fill"], "left")
+    return placed.withColumn("valign", F.when(F.col("v") == "center", "middle").otherwise(F.col("v"))).select(*own, "table", "row", "col", "row_span", "col_span", "width", *CELL_FORMAT)
 
 
 def hwpx_lists(nodes: DataFrame) -> DataFrame:
@@ -321,7 +369,7 @@ def read_hwpx(files: DataFrame) -> Document:
     done = runs.join(shapes["char"], ["doc_id", "ref"], "left").select(*KEY, "run", "text", *FORMAT, F.when(href != "", href).alias("link"), "note", "field", "picture", "pic_width", "pic_height").filter("text <> '' or note is not null or field is not null or picture is not null")
     tbl = nodes.filter("name = 'tbl'").join(outers, ["doc_id", "part", "outer_id"], "left")
     tables = tbl.select("doc_id", "part", F.col("node_id").alias("bid"), "cell_id", where.alias("where"))
-    return _finish(shaped, done, tables, hwpx_grid(nodes), images_of(files), tbl.select(*KEY).distinct())
+    return _finish(shaped, done, tables, hwpx_grid(nodes, hwpx_fills(shredded)), images_of(files), tbl.select(*KEY).distinct())
 
 
 READERS = {"docx": read_docx, "odt": read_odt, "hwpx": read_hwpx}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import color, text, units
 from foliant.operators.ordered import inherit
+from foliant.operators.tables import SIDES
+from foliant.sources import rules
 
 
 def _attr(name: str) -> Column:
@@ -41,6 +43,25 @@ def odt_styles(nodes: DataFrame) -> DataFrame:
     return inherit(styles.join(read, ["doc_id", "part", "node"], "left"), ODT_VALUES, ["doc_id"])
 
 
+def odt_cell_styles(nodes: DataFrame) -> DataFrame:
+    """(doc_id, style, b_left, ..., p_left, ..., background, valign) of the styles of table cells: a side's own value, else the
+    one that is said for all sides."""
+    named = nodes.filter("name = 'style'").filter(_attr("family") == "table-cell").select("doc_id", "part", F.col("node_id").alias("parent_id"), _attr("name").alias("style"))
+    named = named.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "style").orderBy("part"))).filter("_n = 1").drop("_n")
+
+    def line(side: str) -> Column:
+        said = F.coalesce(_attr(f"border-{side}"), _attr("border"))
+        none = F.lower(F.trim(said)) == "none"
+        kind = F.regexp_extract(said, r"\b(solid|dashed|dotted|double)\b", 1)
+        width = units.odf_length(F.regexp_extract(said, r"([0-9.]+(?:pt|in|mm|cm|px|pc))", 1)).cast("double") / 100
+        drawn = F.struct(F.when(none, "none").otherwise(rules.border_style(F.when(kind != "", kind).otherwise("solid"), "odt")).alias("style"), F.when(none, 0.0).otherwise(width).alias("width"), F.when(~none, color.to_hex(F.regexp_extract(said, r"(#[0-9A-Fa-f]{6})", 1))).alias("color"))
+        return F.when(said.isNotNull(), drawn)
+
+    room = lambda side: units.odf_length(F.coalesce(_attr(f"padding-{side}"), _attr("padding"))).cast("double")
+    props = nodes.filter("name = 'table-cell-properties'").select("doc_id", "part", "parent_id", *[line(s).alias(f"b_{s}") for s in SIDES], *[room(s).alias(f"p_{s}") for s in SIDES], color.six_digits(_attr("background-color")).alias("background"), F.nullif(_attr("vertical-align"), F.lit("automatic")).alias("valign"))
+    return named.join(props, ["doc_id", "part", "parent_id"]).drop("part", "parent_id")
+
+
 def hwpx_shapes(nodes: DataFrame) -> dict[str, DataFrame]:
     """char(doc_id, ref, size, color, bold, italic), para(doc_id, ref, align, left, first_line): margins of a `case` branch
     are passed over for the default's."""

@@ -79,3 +79,59 @@ def test_nested_tables_and_pictures(spark, kind):
     shown = [(r.ord, data[r.picture], round(r.pic_width), round(r.pic_height)) for r in back.runs.filter("picture is not null").orderBy("ord", "run").collect()]
     assert shown == [(9, b"bytes of a", 7200, 3600), (9, b"bytes of b", 7200, 3600), (10, b"bytes of a", 7200, 3600)]
     assert source.orphan_images(back).count() == 0
+
+
+def test_nested_tables_in_the_ir(spark):
+    from foliant.plans import document_ir
+
+    blocks, runs, cells, _ = nested()
+    doc = Document(
+        spark.createDataFrame(blocks, "doc_id long, ord int, tag string, list_id int, level int, ordered boolean, inside int"),
+        spark.createDataFrame([r[:5] for r in runs], "doc_id long, ord int, run int, text string, bold boolean"),
+        spark.createDataFrame(cells, "doc_id long, ord int, row int, col int, row_span int, col_span int, width double, text string, cell int"),
+    )
+    back = document_ir.read_ir(document_ir.emit_document(doc))
+    got = [(r.ord, r.tag, r.level, r.inside is not None) for r in back.blocks.orderBy("ord").collect()]
+    assert got == [(b[1], b[2], b[4], b[6] is not None) for b in blocks]
+    inside = {r.ord: r.inside for r in back.blocks.collect()}
+    place = {r.cell: (r.ord, r.row, r.col) for r in back.cells.collect()}
+    assert [place[inside[k]] for k in (2, 4, 5, 6, 7, 8, 9)] == [(1, 0, 0)] * 3 + [(5, 0, 0)] * 2 + [(7, 0, 0), (1, 0, 1)]
+    assert [(r.text, r.bold) for r in back.runs.filter("ord = 6").orderBy("run").collect()] == [("in ", True), ("the inner", False)]
+
+
+def test_text_between_blocks_is_a_paragraph(spark):
+    from foliant.plans import document_ir
+
+    html = "<doc-section>loose <b>one</b><p>in p</p> <!-- --> \n<div>deep<div><span><i>deeper</i></span> still<br></div></div><table><tr><td>cell <b>text</b><ul><li>item</li></ul>rest</td><td> </td></tr></table>end<img src='x'></doc-section>"
+    doc = document_ir.read_ir(spark.createDataFrame([(1, html)], "doc_id long, html string"))
+    texts = {r.ord: r.text for r in doc.runs.groupBy("ord").agg({"text": "max"}).withColumnRenamed("max(text)", "text").collect()}
+    joined = {}
+    for r in doc.runs.orderBy("ord", "run").collect():
+        joined[r.ord] = joined.get(r.ord, "") + r.text
+    got = [(r.tag, joined.get(r.ord, "").strip(), r.inside is not None) for r in doc.blocks.orderBy("ord").collect()]
+    assert got == [("p", "loose one", False), ("p", "in p", False), ("p", "deep", False), ("p", "deeper still", False), ("table", "", False), ("p", "cell text", True), ("li", "item", True), ("p", "rest", True), ("p", "end", False)] and texts
+
+
+@pytest.mark.parametrize("kind", ["docx", "odt", "hwpx"])
+def test_cell_formats(spark, kind):
+    """Two cells side by side name their common edge each for itself: the wider border is drawn, an absent one loses."""
+    line = lambda style, mm, tint: {"style": style, "width": mm / 25.4 * 72, "color": tint}
+    none = {"style": "none", "width": 0.0, "color": None}
+    rows = [
+        (1, 1, 0, 0, 1, 1, "a", line("solid", 0.5, "#112233"), line("dashed", 0.5, "#000000"), line("double", 1.0, "#445566"), none, 4.0, 1.0, 2.0, 3.0, "#FFEECC", "top"),
+        (1, 1, 0, 1, 1, 1, "b", line("dotted", 0.5, "#FF0000"), line("solid", 0.5, "#000000"), none, line("solid", 0.5, "#00FF00"), None, None, None, None, None, "middle"),
+        (1, 1, 1, 0, 1, 2, "c", none, none, none, none, None, None, None, None, None, "bottom"),
+    ]
+    border = "struct<style:string,width:double,color:string>"
+    cells = spark.createDataFrame(rows, f"doc_id long, ord int, row int, col int, row_span int, col_span int, text string, b_left {border}, b_top {border}, b_right {border}, b_bottom {border}, p_left double, p_top double, p_right double, p_bottom double, background string, valign string")
+    blocks = spark.createDataFrame([(1, 0, "p"), (1, 1, "table"), (1, 2, "p")], "doc_id long, ord int, tag string")
+    runs = spark.createDataFrame([(1, 0, 0, "x")], "doc_id long, ord int, run int, text string")
+    back = source.read(sink.write(Document(blocks, runs, cells), kind), kind)
+    got = {r.text: r for r in back.cells.collect()}
+    side = lambda r, s: (r[f"b_{s}"].style, round(r[f"b_{s}"].width * 25.4 / 72, 1), r[f"b_{s}"].color if r[f"b_{s}"].style != "none" else None)
+    assert [side(got["a"], s) for s in ("left", "top", "right", "bottom")] == [("solid", 0.5, "#112233"), ("dashed", 0.5, "#000000"), ("double", 1.0, "#445566"), ("none", 0.0, None)]
+    assert [side(got["b"], s) for s in ("left", "top", "right", "bottom")] == [("double", 1.0, "#445566"), ("solid", 0.5, "#000000"), ("none", 0.0, None), ("solid", 0.5, "#00FF00")]
+    assert side(got["c"], "top")[0] == "none"  # its first edge is the one below a
+    assert [got["a"][f"p_{s}"] for s in ("left", "top", "right", "bottom")] == [400, 100, 200, 300]
+    assert (got["a"].background, got["b"].background) == ("#FFEECC", None)
+    assert [got[t].valign for t in "abc"] == ["top", "middle", "bottom"]

@@ -131,3 +131,52 @@ def implicit_paragraphs(spark, sf):
     paras = own.filter("para is not null").groupBy("doc_id", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda p: p["t"]), "").alias("t")).filter("t <> ''")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "t"))), lambda p: p["t"]), "|")
     return paras.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
+def _boxed(spark: SparkSession, sf: str) -> Document:
+    """A document for every nation, a table of one row a customer: both cells of a row name their common edge, each its own width."""
+    w = W.partitionBy("c_nationkey").orderBy("c_custkey")
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), (F.row_number().over(w) - 1).alias("row"))
+    mm = lambda n: F.element_at(F.array(F.lit(0.3), F.lit(0.5), F.lit(1.0)), (n % 3 + 1).cast("int")) / 25.4 * 72
+    border = lambda style, width, tint: F.struct(style.alias("style"), width.cast("double").alias("width"), tint.cast("string").alias("color"))
+    none = border(F.lit("none"), F.lit(0.0), F.lit(None))
+    style = F.when(F.col("k") % 2 == 0, "dashed").otherwise("solid")
+    k = F.col("k")
+
+    def cell(col: int, name, left, right):
+        return c.select("doc_id", F.lit(0).alias("ord"), "row", F.lit(col).alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit(90.0).alias("width"), name.alias("text"), left.alias("b_left"), none.alias("b_top"), right.alias("b_right"), none.alias("b_bottom"), (k % 4 + 1).cast("double").alias("p_left"), F.lit(2.0).alias("p_top"), F.lit(2.0).alias("p_right"), F.lit(2.0).alias("p_bottom"), F.when(k % 5 == 0, "#FFEE00").alias("background"), F.lit("top").alias("valign"))
+
+    cells = cell(0, F.col("name"), none, border(style, mm(k), F.lit("#112233"))).unionByName(cell(1, F.concat("name", F.lit(" too")), F.when(k % 7 == 0, none).otherwise(border(F.lit("dotted"), mm(k + 1), F.lit("#445566"))), border(F.lit("solid"), F.lit(0.5 / 25.4 * 72), F.lit("#000000"))))
+    docs = c.select("doc_id").distinct()
+    blocks = docs.select("doc_id", F.lit(0).alias("ord"), F.lit("table").alias("tag")).unionByName(docs.select("doc_id", F.lit(1).alias("ord"), F.lit("p").alias("tag")))
+    return Document(blocks, docs.select("doc_id", F.lit(1).alias("ord"), F.lit(0).alias("run"), F.lit("end").alias("text")), cells)
+
+
+_BOXED_SQL = """
+WITH c AS (SELECT c_nationkey::BIGINT AS doc_id, c_custkey AS k, c_name, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INTEGER AS row FROM customer),
+m AS (SELECT *, [0.3, 0.5, 1.0][k % 3 + 1] AS a, CASE WHEN k % 7 = 0 THEN -1 ELSE [0.3, 0.5, 1.0][(k + 1) % 3 + 1] END AS b FROM c),
+e AS (SELECT *, CASE WHEN a > b THEN CASE k % 2 WHEN 0 THEN 'dashed' ELSE 'solid' END ELSE 'dotted' END AS style, greatest(a, b)::DOUBLE AS mm, CASE WHEN a > b THEN '#112233' ELSE '#445566' END AS color FROM m)
+SELECT doc_id, row, col::INTEGER AS col, CASE col WHEN 0 THEN c_name ELSE c_name || ' too' END AS text, CASE col WHEN 0 THEN style ELSE 'solid' END AS right_style, CASE col WHEN 0 THEN mm ELSE 0.5 END AS right_mm, CASE col WHEN 0 THEN color ELSE '#000000' END AS right_color,
+ CASE col WHEN 0 THEN 'none' ELSE style END AS left_style, (k % 4 + 1) * 100 AS pad_left, CASE WHEN k % 5 = 0 THEN '#FFEE00' END AS background, 'top' AS valign FROM e, (SELECT unnest([0, 1]) AS col) x"""
+
+
+def _cell_format_roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    from foliant.functions import units
+
+    cells = source.read(sink.write(_boxed(spark, sf), kind), kind).cells
+    return cells.select("doc_id", "row", "col", "text", F.col("b_right.style").alias("right_style"), units.snap_border_mm(units.pt_to_mm(F.col("b_right.width"))).alias("right_mm"), F.col("b_right.color").alias("right_color"), F.col("b_left.style").alias("left_style"), F.col("p_left").cast("int").alias("pad_left"), "background", "valign")
+
+
+@query(_BOXED_SQL)
+def cell_format_roundtrip_docx(spark, sf):
+    return _cell_format_roundtrip(spark, sf, "docx")
+
+
+@query(_BOXED_SQL)
+def cell_format_roundtrip_odt(spark, sf):
+    return _cell_format_roundtrip(spark, sf, "odt")
+
+
+@query(_BOXED_SQL)
+def cell_format_roundtrip_hwpx(spark, sf):
+    return _cell_format_roundtrip(spark, sf, "hwpx")

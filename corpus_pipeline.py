@@ -4,6 +4,14 @@ Every stage takes the documents that its predecessor kept, written as Parquet
 and read again, and its decisions take effect: rejected, duplicate and
 contaminated documents go, secrets are blanked, and the last stage packs what
 is left into token sequences.
+
+Null and empty texts fail the quality rules, so they go at once; very long texts
+are judged and packed whole. Rows without an id pass the near-duplicate stage, as
+nothing names them as copies of one another; of rows that repeat an id and its text
+one stays, of a group of near copies the row of the smallest id, then (ties) of the
+smallest text hash. Benchmark items without words contaminate nothing. Columns of
+any other names, also those that operators use themselves, are handed on untouched
+up to the last stage, whose columns are its own. An empty table gives no rows.
 """
 
 from __future__ import annotations

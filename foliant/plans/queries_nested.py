@@ -180,3 +180,22 @@ def cell_format_roundtrip_odt(spark, sf):
 @query(_BOXED_SQL)
 def cell_format_roundtrip_hwpx(spark, sf):
     return _cell_format_roundtrip(spark, sf, "hwpx")
+
+
+@query("""
+SELECT 'c' || conv_id % 50 || '/' || conv_id || '.txt' AS path, strlen(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text))::BIGINT AS bytes, true AS saved, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS content_md5
+FROM conversations GROUP BY conv_id""")
+def saved_back(spark, sf):
+    """Every conversation saved as a file of its own under its folder, by a write with a commit; files and result read again."""
+    from foliant.session import scratch_path
+    from foliant.sinks import saveback
+
+    c = table(spark, sf, "conversations").select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), "\n")
+    rows = c.groupBy("conv_id").agg(whole.cast("binary").alias("content"))
+    root = scratch_path(spark, "saved")
+    target = F.concat(F.lit("c"), F.col("conv_id") % 50, F.lit("/"), F.col("conv_id"), F.lit(".txt"))
+    result = saveback.save(rows.select(target.alias("target"), "content", F.lit(False).alias("overwrote"), F.lit(None).cast("string").alias("note")), root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
+    read = files.select(F.regexp_extract("path", r"(c\d+/\d+\.txt)$", 1).alias("path"), F.md5("content").alias("content_md5"))
+    return result.join(read, "path", "left").select("path", "bytes", "saved", "content_md5")

@@ -71,7 +71,28 @@ class Encoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
         return out
 
+    def _lines(self, units: set[str]) -> list[tuple[str, list[str]]]:
+        """Units that hold lone line ends between visible characters, with their lines: a lone line end is a token of its own,
+        and what follows it begins like a text."""
+        if self.newline is None:
+            return []
+        cut = ((u, u.split("\n")) for u in units if "\n" in u)
+        return [(u, lines) for u, lines in cut if all(lines) and len(u.split()) == len(lines) and max(map(len, lines)) <= LONG_UNIT]
+
     def _learn(self, units: set[str]) -> None:
+        """Put units into the cache; those of several lines by their lines, which recur more often."""
+        lined = self._lines(units)
+        if not lined:
+            return self._learn_words(units)
+        self._learn_words(units.difference(u for u, _ in lined).union(lines[0] for _, lines in lined).difference(self.cache))
+        firsts = list({x for _, lines in lined for x in lines[1:]}.difference(self.heads))
+        self.heads.update(zip(firsts, self._encode(firsts)))
+        end = np.array([self.newline], self.dtype).tobytes()
+        known, heads = self.cache, self.heads
+        for unit, lines in lined:
+            known[unit] = end.join([known[lines[0]], *[heads[x] for x in lines[1:]]])
+
+    def _learn_words(self, units: set[str]) -> None:
         """Put units into the cache. A mark after a letter begins a new token, so marks at a unit's end go apart."""
         known, parts, cores, tails = self.cache, [], set(), set()
         for unit in units:

@@ -6,6 +6,8 @@ packages they turn any format into any other by way of the same tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,25 +51,53 @@ def _run_html(runs: DataFrame) -> DataFrame:
     return runs.withColumn("xml", F.when(F.col("note").isNotNull(), note).when(F.col("field").isNotNull(), field).otherwise(placed)).withColumn("rid", F.lit(None).cast("string"))
 
 
+def emission_ids(doc: Document) -> DataFrame:
+    """(doc_id, kind, ord, a, b, id): numbers of blocks, of the paragraphs of cells without blocks (kind cell, at row a and
+    column b of table ord) and of notes (kind note, note a), in the order in which they end: what is nested before what holds
+    it, a note before the block that refers to it, headers before footers before the body. The paragraph that carries a
+    table is not emitted, but has a number: the one after the table's.
+    """
+    rank = F.when(F.col("band") == "header", 0).when(F.col("band") == "footer", 1).otherwise(2)
+    held = doc.cells.filter("cell is not null").select("doc_id", F.col("cell").alias("inside"), F.col("ord").alias("up"))
+    step = written(doc.blocks.filter("inside is not null").join(held, ["doc_id", "inside"]).select("doc_id", "ord", "up"), "above")
+    above = [step]
+    while not above[-1].isEmpty():  # a round a level
+        above.append(written(above[-1].join(step.select("doc_id", F.col("ord").alias("up"), F.col("up").alias("next")), ["doc_id", "up"]).select("doc_id", "ord", F.col("next").alias("up")), "above"))
+    pairs = reduce(DataFrame.unionByName, above)
+    ends = pairs.groupBy("doc_id", F.col("up").alias("ord")).agg(F.max("ord").alias("end"))
+    blocks = doc.blocks.select("doc_id", "ord", "tag", rank.alias("rank")).join(ends, ["doc_id", "ord"], "left").withColumn("end", F.coalesce("end", "ord"))
+    none = F.lit(None).cast("int")
+    row = lambda df, kind, end, sub, a, b, weight=F.lit(1): df.select("doc_id", F.lit(kind).alias("kind"), "ord", "rank", end.alias("end"), F.lit(sub).alias("sub"), a.cast("int").alias("a"), b.cast("int").alias("b"), weight.alias("weight"))
+    own = row(blocks, "block", F.col("end"), 2, -F.col("ord"), none, F.when(F.col("tag") == "table", 2).otherwise(1))
+    filled = doc.blocks.filter("inside is not null").select("doc_id", F.col("inside").alias("cell")).distinct()
+    empty = doc.cells.join(filled, ["doc_id", "cell"], "left_anti").select("doc_id", "ord", "row", "col").join(blocks.select("doc_id", "ord", "rank"), ["doc_id", "ord"])
+    first = doc.runs.filter("note is not null").groupBy("doc_id", "note").agg(F.min("ord").alias("ord"))
+    notes = doc.notes.select("doc_id", "note").join(first, ["doc_id", "note"], "left").join(blocks.select("doc_id", "ord", "rank"), ["doc_id", "ord"], "left")
+    last = F.lit(2_147_483_647)  # of notes that nothing refers to
+    rows = own.unionByName(row(empty, "cell", F.col("ord"), 0, F.col("row"), F.col("col"))).unionByName(row(notes.withColumn("rank", F.coalesce("rank", F.lit(3))), "note", F.coalesce("ord", last), 1, F.col("note"), none))
+    w = W.partitionBy("doc_id").orderBy("rank", "end", "sub", "a", "b").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("id", F.sum("weight").over(w) - F.col("weight") + 1).select("doc_id", "kind", "ord", "a", "b", "id")
+
+
 def emit_document(doc: Document, page_width: int = 59528, page_height: int = 84188) -> DataFrame:
     """(doc_id, html): one section per document; lengths and sizes of the tables are points.
 
-    Ids go in document order, the paragraphs of cells and the notes after the blocks. Links that are not safe are left out.
+    Ids go in the order in which elements end (emission_ids). Links that are not safe are left out, and so are headers
+    and footers without content.
     """
     doc = doc.stored()
     runs = doc.runs.filter("text <> '' or note is not null or field is not null")  # empty runs say nothing
     runs = runs.withColumn("link", F.when(ir.safe_href(F.col("link")), F.col("link")))
     inner = sink._linked(_run_html(runs), F.concat(F.lit('<a href="'), escape(F.col("link")), F.lit('">')), "</a>")
-    numbered = doc.blocks.withColumn("id", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")))
-    sizes = numbered.groupBy("doc_id").agg(F.max("id").alias("blocks"))
-    cells = doc.cells.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("ord", "row", "col"))).join(sizes, "doc_id")
-    more = cells.groupBy("doc_id").agg(F.max("nth").alias("cells"))
+    ids = written(emission_ids(doc), "ids")
+    numbered = doc.blocks.join(ids.filter("kind = 'block'").select("doc_id", "ord", "id"), ["doc_id", "ord"])
+    cells = doc.cells.join(ids.filter("kind = 'cell'").select("doc_id", "ord", F.col("a").alias("row"), F.col("b").alias("col"), "id"), ["doc_id", "ord", "row", "col"], "left")
     span = lambda name, c: F.when(F.col(c) > 1, F.concat(F.lit(f' {name}="'), F.col(c), F.lit('"'))).otherwise("")
     body = F.replace(escape(F.col("text")), F.lit("\n"), F.lit("<br>"))
 
     def rows_of(held: DataFrame) -> DataFrame:
         """(doc_id, ord, table_xml): the rows of the tables that cells belong to; a cell holds its blocks, or a paragraph of its text."""
-        own = F.coalesce("body", F.concat(F.lit('<p data-id="b'), F.col("blocks") + F.col("nth"), F.lit('">'), body, F.lit("</p>")))
+        own = F.coalesce("body", F.concat(F.lit('<p data-id="b'), F.col("id"), F.lit('">'), body, F.lit("</p>")))
         td = F.concat(F.lit("<td"), span("colspan", "col_span"), span("rowspan", "row_span"), _declared(("width", F.when(F.col("width").isNotNull(), _pt(F.col("width"))))), F.lit(">"), own, F.lit("</td>"))
         rows = held.withColumn("xml", td).groupBy("doc_id", "ord", "row").agg(_joined("xml", "col").alias("xml")).withColumn("xml", F.concat(F.lit("<tr>"), F.col("xml"), F.lit("</tr>")))
         return rows.groupBy("doc_id", "ord").agg(_joined("xml", "row").alias("table_xml"))
@@ -83,9 +113,12 @@ def emit_document(doc: Document, page_width: int = 59528, page_height: int = 841
     whole = F.when(F.col("tag") == "table", F.concat(F.lit("<table"), id_, F.lit("><tbody>"), F.col("xml"), F.lit("</tbody></table>"))).otherwise(F.col("xml"))
     listed = lambda rows: sink.nested_lists(rows.withColumn("xml", whole), F.when(ordered, "<ol>").otherwise("<ul>"), (ordered, "</ol>", "</ul>"), item, "</li>")
     each = sink.assemble(each, cells, rows_of, listed)
-    notes = doc.notes.join(sizes, "doc_id").join(more, "doc_id", "left").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("note")))
-    note = F.concat(F.lit('<doc-footnote id="fn'), F.col("note"), F.lit('" data-id="b'), F.col("blocks") + F.coalesce("cells", F.lit(0)) + F.col("nth"), F.lit('">'), body, F.lit("</doc-footnote>"))
+    notes = doc.notes.join(ids.filter("kind = 'note'").select("doc_id", F.col("a").alias("note"), "id"), ["doc_id", "note"])
+    note = F.concat(F.lit('<doc-footnote id="fn'), F.col("note"), F.lit('" data-id="b'), F.col("id"), F.lit('">'), body, F.lit("</doc-footnote>"))
     notes = notes.withColumn("xml", note).groupBy("doc_id").agg(_joined("xml", "note").alias("notes"))
+    # a band that holds neither text nor a field would put an empty paragraph on every page
+    said = runs.filter("trim(text) <> '' or field is not null or note is not null").join(doc.blocks.filter("band is not null").select("doc_id", "ord", "band"), ["doc_id", "ord"]).select("doc_id", "band", F.lit(True).alias("said")).distinct()
+    each = each.join(said, ["doc_id", "band"], "left").filter("band is null or said")
     parts = each.groupBy("doc_id").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("band", F.lit("body")) == b, F.struct("ord", "xml")))), lambda x: x["xml"]), "").alias(b) for b in ("header", "body", "footer")])
     band = lambda b: F.when(F.col(b) != "", F.concat(F.lit(f"<doc-{b}>"), F.col(b), F.lit(f"</doc-{b}>"))).otherwise("")
     head = f'<doc-section data-ir="{ir.IR_VERSION}" class="hwp-page" style="width:{page_width / 7200:.3f}in;min-height:{page_height / 7200:.3f}in">'

@@ -135,3 +135,25 @@ def test_cell_formats(spark, kind):
     assert [got["a"][f"p_{s}"] for s in ("left", "top", "right", "bottom")] == [400, 100, 200, 300]
     assert (got["a"].background, got["b"].background) == ("#FFEECC", None)
     assert [got[t].valign for t in "abc"] == ["top", "middle", "bottom"]
+
+
+def test_ids_in_the_order_of_ends(spark):
+    """Nested content has smaller ids, a note comes before its block, bands before the body, and a table's carrier has a number."""
+    import re
+
+    from foliant.plans import document_ir
+
+    blocks = [(1, 0, "p", None, None), (1, 1, "table", None, None), (1, 2, "p", 10, None), (1, 3, "table", 10, None), (1, 4, "p", 30, None), (1, 5, "p", None, None), (1, 6, "p", None, "header"), (1, 7, "p", None, "footer"), (1, 8, "table", None, None)]
+    runs = [(1, 0, 0, "a", None), (1, 2, 0, "b", None), (1, 4, 0, "c", None), (1, 5, 0, "d", None), (1, 5, 1, "", 7), (1, 6, 0, "head", None), (1, 7, 0, "  ", None)]
+    cells = [(1, 1, 0, 0, 1, 1, "", 10), (1, 3, 0, 0, 1, 1, "", 30), (1, 8, 0, 0, 1, 1, "e", None), (1, 8, 0, 1, 1, 1, "f", None)]
+    doc = Document(
+        spark.createDataFrame(blocks, "doc_id long, ord int, tag string, inside int, band string"),
+        spark.createDataFrame(runs, "doc_id long, ord int, run int, text string, note int"),
+        spark.createDataFrame(cells, "doc_id long, ord int, row int, col int, row_span int, col_span int, text string, cell int"),
+        spark.createDataFrame([(1, 7, "n")], "doc_id long, note int, text string"),
+    )
+    html = document_ir.emit_document(doc).first().html
+    got = [(name, int(k)) for name, k in re.findall(r'<([a-z-]+)[^>]* data-id="b(\d+)"', html)]
+    # header 1, (footer 2 is empty and left out), a 3, b 4, c 5, inner table 6 (7 its carrier), outer 8 (9), note 10, d 11, e 12, f 13, table 14
+    assert got == [("p", 1), ("p", 3), ("table", 8), ("p", 4), ("table", 6), ("p", 5), ("p", 11), ("table", 14), ("p", 12), ("p", 13), ("doc-footnote", 10)]
+    assert "<doc-footer>" not in html and "<doc-header>" in html

@@ -96,11 +96,11 @@ def emit_document(doc: Document, page_width: int = 59528, page_height: int = 841
     body = F.replace(escape(F.col("text")), F.lit("\n"), F.lit("<br>"))
 
     def rows_of(held: DataFrame) -> DataFrame:
-        """(doc_id, ord, table_xml): the rows of the tables that cells belong to; a cell holds its blocks, or a paragraph of its text."""
+        """(doc_id, ord, r, xml, cols): the rows of the tables that cells belong to; a cell holds its blocks, or a paragraph of its text."""
         own = F.coalesce("body", F.concat(F.lit('<p data-id="b'), F.col("id"), F.lit('">'), body, F.lit("</p>")))
         td = F.concat(F.lit("<td"), span("colspan", "col_span"), span("rowspan", "row_span"), _declared(("width", F.when(F.col("width").isNotNull(), _pt(F.col("width"))))), F.lit(">"), own, F.lit("</td>"))
         rows = held.withColumn("xml", td).groupBy("doc_id", "ord", "row").agg(_joined("xml", "col").alias("xml")).withColumn("xml", F.concat(F.lit("<tr>"), F.col("xml"), F.lit("</tr>")))
-        return rows.groupBy("doc_id", "ord").agg(_joined("xml", "row").alias("table_xml"))
+        return rows.select("doc_id", "ord", F.col("row").alias("r"), "xml", F.lit(None).cast("int").alias("cols"))
 
     each = numbered.join(inner, ["doc_id", "ord"], "left")
     style = _declared(("text-align", F.col("align")), ("margin-left", F.when(F.col("left") != 0, _pt(F.col("left")))), ("text-indent", F.when(F.col("first_line") != 0, _pt(F.greatest(F.col("first_line"), -F.coalesce("left", F.lit(0.0)))))))
@@ -112,7 +112,7 @@ def emit_document(doc: Document, page_width: int = 59528, page_height: int = 841
     ordered = F.coalesce("ordered", F.lit(False))
     whole = F.when(F.col("tag") == "table", F.concat(F.lit("<table"), id_, F.lit("><tbody>"), F.col("xml"), F.lit("</tbody></table>"))).otherwise(F.col("xml"))
     listed = lambda rows: sink.nested_lists(rows.withColumn("xml", whole), F.when(ordered, "<ol>").otherwise("<ul>"), (ordered, "</ol>", "</ul>"), item, "</li>")
-    each = sink.assemble(each, cells, rows_of, listed)
+    each, _ = sink.assemble(each, cells, rows_of, (F.lit(""), F.lit("")), listed, whole=True)
     notes = doc.notes.join(ids.filter("kind = 'note'").select("doc_id", F.col("a").alias("note"), "id"), ["doc_id", "note"])
     note = F.concat(F.lit('<doc-footnote id="fn'), F.col("note"), F.lit('" data-id="b'), F.col("id"), F.lit('">'), body, F.lit("</doc-footnote>"))
     notes = notes.withColumn("xml", note).groupBy("doc_id").agg(_joined("xml", "note").alias("notes"))

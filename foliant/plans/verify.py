@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.sources.containers import zip_entries
-from foliant.sources.markup import xml_nodes
+from foliant.sources.markup import package_nodes
 
 
 def mimetype_rule(files: DataFrame) -> DataFrame:
@@ -18,13 +17,12 @@ def mimetype_rule(files: DataFrame) -> DataFrame:
 
 def broken_parts(files: DataFrame) -> DataFrame:
     """(doc_id, part, error) of XML parts that are not well formed."""
-    parts = zip_entries(files).filter(F.col("path").rlike(r"\.(xml|rels|hpf)$"))
-    return xml_nodes(parts, []).filter("name = '#error'").select("doc_id", "part", "error")
+    return package_nodes(files, r"(?s).*\.(xml|rels|hpf)", []).filter("name = '#error'").select("doc_id", "part", "error")
 
 
 def lost_tokens(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """(doc_id, token): words of the blocks that no part of the package holds."""
-    nodes = xml_nodes(zip_entries(files).filter(F.col("path").endswith(".xml")), []).filter("name = '#text'")
+    nodes = package_nodes(files, r"(?s).*\.xml", []).filter("name = '#text'")
     split = lambda df: df.select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).filter("token <> ''").distinct()
     return split(blocks).join(split(nodes), ["doc_id", "token"], "left_anti")
 

@@ -19,7 +19,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,25 +90,21 @@ def _linked(runs: DataFrame, before: Column, after: str) -> DataFrame:
     return one.groupBy("doc_id", "ord").agg(_joined("xml", "island").alias("xml"))
 
 
-def _parts(*tables: tuple[str, DataFrame]) -> DataFrame:
-    """(doc_id, parts): the parts (doc_id, xml) of each path as one map; a document lacks the parts that it has no row for."""
-    rows = reduce(DataFrame.unionByName, [df.select("doc_id", F.lit(path).alias("path"), "xml") for path, df in tables])
-    return rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "xml"))).alias("parts"))
+def _pieces(path: str | Column, df: DataFrame, seg: int = 1, at: Column | str = "ord", sub: Column | None = None, xml: Column | str = "xml") -> DataFrame:
+    """Pieces of a part: a part's segments come in order, and inside of one its pieces by `at` and `sub`."""
+    at, xml = (F.col(c) if isinstance(c, str) else c for c in (at, xml))
+    path = path if isinstance(path, Column) else F.lit(path)
+    return df.select("doc_id", path.alias("path"), F.lit(seg).alias("seg"), at.cast("int").alias("at"), (F.lit(0) if sub is None else sub).cast("int").alias("sub"), xml.alias("xml"))
 
 
-def package(made: DataFrame, fixed: dict[str, str], media: DataFrame | None = None) -> DataFrame:
-    """(doc_id, content) from (doc_id, parts), with the fixed parts that a document does not replace and the pictures of
-    media (doc_id, path, data): bytes are grouped by document once, here."""
-
-    @F.pandas_udf("binary")
-    def pack(parts_of: pd.Series, media_of: pd.Series) -> pd.Series:
-        return pd.Series([packages.zipped({**fixed, **dict(p), **{x["path"]: bytes(x["data"]) for x in (() if m is None else m)}}) for p, m in zip(parts_of, media_of)])
-
-    if media is None:
-        made = made.withColumn("media", F.lit(None).cast("array<struct<path:string,data:binary>>"))
-    else:
-        made = made.join(media.groupBy("doc_id").agg(F.collect_list(F.struct("path", "data")).alias("media")), "doc_id", "left")
-    return made.select("doc_id", pack("parts", "media").alias("content"))
+def package(pieces: list[DataFrame], fixed: dict[str, str], media: DataFrame | None = None) -> DataFrame:
+    """(doc_id, content) from pieces of parts, with the fixed parts that a document does not replace and the pictures of
+    media (doc_id, path, data). No part is ever a string of its own: pieces are sorted and zipped one after the other."""
+    rows = reduce(DataFrame.unionByName, pieces).withColumn("data", F.lit(None).cast("binary"))
+    if media is not None:
+        zero = F.lit(0)
+        rows = rows.unionByName(media.select("doc_id", "path", zero.alias("seg"), zero.alias("at"), zero.alias("sub"), F.lit(None).cast("string").alias("xml"), "data"))
+    return packages.packed(rows, fixed)
 
 
 def pictures(doc: Document, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -125,12 +120,19 @@ def pictures(doc: Document, folder: str) -> tuple[DataFrame, DataFrame]:
     return names, images.select("doc_id", "image", "data").join(first, ["doc_id", "image"]).select("doc_id", "path", "data")
 
 
-def assemble(rows: DataFrame, cells: DataFrame, tables: Callable[[DataFrame], DataFrame], listed: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """The blocks that stand in no cell, with xml: `rows` has the xml of paragraphs, `tables` makes (doc_id, ord, table_xml)
-    of cells with a body, `listed` puts list items of one place into lists.
+#: Stands in the XML of a table whose rows are pieces of their own; texts cannot hold it.
+ROWS = "<?rows?>"
+
+
+def assemble(rows: DataFrame, cells: DataFrame, rows_of: Callable[[DataFrame], DataFrame], around: tuple[Column, Column], listed: Callable[[DataFrame], DataFrame] = lambda rows: rows, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The blocks that stand in no cell, with xml: `rows` has the xml of paragraphs, `rows_of` makes (doc_id, ord, r, xml, cols)
+    of cells with a body, `around` is what stands before and after a table's rows (it may use the table's numbers of rows and
+    cols), `listed` puts list items of one place into lists.
 
     Blocks get the depth of the cells that they stand in by joining each level's tables with their cells and what is inside
     of these; then the deepest level goes into the cells of the one above, and so on: as many rounds as tables nest.
+    Tables of the body have ROWS in place of their rows, which are the second result, as a table may be as long as its
+    document; with `whole` they have their rows as well.
     """
     rows, cells = written(rows, "rows"), written(cells, "cells")
     levels = [rows.filter("inside is null")]
@@ -141,20 +143,35 @@ def assemble(rows: DataFrame, cells: DataFrame, tables: Callable[[DataFrame], Da
             break
         levels.append(below)
     content = None
-    for here in reversed(levels):
-        own = cells.join(here.filter("tag = 'table'").select("doc_id", "ord"), ["doc_id", "ord"], "left_semi")
+    for depth in reversed(range(len(levels))):
+        here = levels[depth]
+        own = cells.join(here.filter("tag = 'table'").select("doc_id", "ord", (F.lit(depth == 0 and not whole) & F.col("band").isNull()).alias("apart")), ["doc_id", "ord"])
         own = own.withColumn("body", F.lit(None).cast("string")) if content is None else own.join(content, ["doc_id", "cell"], "left")
-        whole = here.join(tables(own), ["doc_id", "ord"], "left")
-        whole = listed(whole.withColumn("xml", F.when(F.col("tag") == "table", F.coalesce("table_xml", F.lit(""))).otherwise(F.col("xml"))).drop("table_xml"))
-        content = whole.groupBy("doc_id", F.col("inside").alias("cell")).agg(_joined("xml", "ord").alias("body"))
-    return whole
+        inner = _whole_tables(rows_of(own.filter("not apart").drop("apart")), around, _joined("xml", "r"))
+        if depth == 0:
+            apart = written(rows_of(own.filter("apart").drop("apart")), "table-rows")
+            inner = inner.unionByName(_whole_tables(apart, around, F.first(F.lit(ROWS))))
+        made = here.join(inner, ["doc_id", "ord"], "left")
+        made = listed(made.withColumn("xml", F.when(F.col("tag") == "table", F.coalesce("table_xml", F.lit(""))).otherwise(F.col("xml"))).drop("table_xml"))
+        content = made.groupBy("doc_id", F.col("inside").alias("cell")).agg(_joined("xml", "ord").alias("body"))
+    return written(made, "made"), apart
+
+
+def _whole_tables(rows: DataFrame, around: tuple[Column, Column], inner: Column) -> DataFrame:
+    """(doc_id, ord, table_xml)."""
+    whole = rows.groupBy("doc_id", "ord").agg(inner.alias("xml"), F.count("*").alias("rows"), F.max("cols").alias("cols"))
+    return whole.select("doc_id", "ord", F.concat(around[0], F.col("xml"), around[1]).alias("table_xml"))
 
 
-def _body(blocks: DataFrame, docs: DataFrame, before: Column | str, after: Column | str) -> DataFrame:
-    """(doc_id, xml) of a part from the xml of its blocks; documents without blocks have an empty one."""
-    inner = blocks.groupBy("doc_id").agg(_joined("xml", "ord").alias("body"))
+def _body(path: str, blocks: DataFrame, docs: DataFrame, before: Column | str, after: Column | str, table_rows: DataFrame | None = None, first: int = 0) -> list[DataFrame]:
+    """The pieces of a part from the xml of its blocks; documents without blocks have an empty one."""
     lit = lambda c: c if isinstance(c, Column) else F.lit(c)
-    return docs.join(inner, "doc_id", "left").select("doc_id", F.concat(lit(before), F.coalesce("body", F.lit("")), lit(after)).alias("xml"))
+    zero, xml = F.lit(0), F.col("xml")
+    found = [_pieces(path, docs, first, zero, xml=lit(before)), _pieces(path, blocks, first + 1, xml=F.substring_index(xml, ROWS, 1) if table_rows is not None else xml), _pieces(path, docs, first + 2, zero, xml=lit(after))]
+    if table_rows is not None:
+        rest = F.substr(xml, F.instr(xml, ROWS) + len(ROWS))
+        found += [_pieces(path, table_rows, first + 1, sub=F.col("r") + 1), _pieces(path, blocks.filter(F.contains(xml, F.lit(ROWS))), first + 1, sub=F.lit(2_147_483_647), xml=rest)]
+    return found
 
 
 def _list_shape(blocks: DataFrame) -> DataFrame:
@@ -203,9 +220,13 @@ def nested_lists(blocks: DataFrame, open_list: Column, close_list: str | tuple[C
     return shaped.withColumn("xml", xml).drop("_list", "_run", "_before", "_last", "_level", "_kinds")
 
 
-def _tables_of(make: Callable[[DataFrame], DataFrame], cells: DataFrame) -> DataFrame:
-    """(doc_id, ord, table_xml)."""
-    return make(cells.withColumn("table", F.col("ord"))).select("doc_id", F.col("table").alias("ord"), F.col("xml").alias("table_xml"))
+def _rows_of(make: Callable[[DataFrame], DataFrame], cells: DataFrame) -> DataFrame:
+    """(doc_id, ord, r, xml, cols) of cells."""
+    return make(cells.withColumn("table", F.col("ord"))).select("doc_id", F.col("table").alias("ord"), "r", "xml", F.lit(None).cast("int").alias("cols"))
+
+
+def _around(before: str, after: str) -> tuple[Column, Column]:
+    return F.lit(before), F.lit(after)
 
 
 # ---- docx
@@ -227,6 +248,11 @@ def _docx_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("xml", F.when(F.col("note").isNotNull(), note).when(F.col("field").isNotNull(), field).when(F.col("bin").isNotNull(), _docx_picture()).otherwise(text))
 
 
+def _num(list_id: Column) -> Column:
+    """A list's number in a docx: the outline's own is passed over."""
+    return F.when(list_id >= OUTLINE_NUM, list_id + 1).otherwise(list_id)
+
+
 def _emu(c: str) -> Column:
     """Points, 3 inches where a picture's size is unsaid."""
     return F.round(F.coalesce(F.col(c), F.lit(216.0)) * 12700).cast("long")
@@ -251,32 +277,34 @@ def write_docx(doc: Document) -> DataFrame:
     sizes = doc.runs.groupBy("doc_id", "ord").agg(F.max("size").alias("most"))  # the line is as high as the largest run
     rows = doc.blocks.join(inner, ["doc_id", "ord"], "left").join(sizes, ["doc_id", "ord"], "left")
     head = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
-    num = F.when(F.col("tag") == "li", F.coalesce("list_id", F.lit(1))).when(head.isNotNull() & F.col("numbered"), F.lit(OUTLINE_NUM))
+    num = F.when(F.col("tag") == "li", _num(F.coalesce("list_id", F.lit(1)))).when(head.isNotNull() & F.col("numbered"), F.lit(OUTLINE_NUM))
     level = F.when(F.col("tag") == "li", F.coalesce("level", F.lit(0))).otherwise(head - 1)
     props = F.concat(_tag("w:pStyle", val=F.concat(F.lit("Heading"), head)), _if(F.col("page_break"), "<w:pageBreakBefore/>"), parts.docx_paragraph_properties(num, level, F.col("most"), head, F.col("align"), F.coalesce("left", F.lit(0.0)), F.coalesce("first_line", F.lit(0.0))))
     para = F.concat(F.lit("<w:p><w:pPr>"), props, F.lit("</w:pPr>"), F.coalesce("xml", F.lit("")), F.lit("</w:p>"))
-    rows = assemble(rows.select("doc_id", "ord", "tag", "band", "inside", para.alias("xml")), doc.cells, lambda cells: _tables_of(parts.docx_tables, cells))
+    rows, table_rows = assemble(rows.select("doc_id", "ord", "tag", "band", "inside", para.alias("xml")), doc.cells, lambda cells: _rows_of(parts.docx_rows, cells), _around(*parts.DOCX_TABLE))
     ns = f"{packages.W_NS} {packages.DRAWING_NS}"
     band = lambda name: rows.filter(F.col("band") == name)
     has = docs.join(band("header").select("doc_id", F.lit(True).alias("h")).distinct(), "doc_id", "left").join(band("footer").select("doc_id", F.lit(True).alias("f")).distinct(), "doc_id", "left")
     refs = F.concat(_if(F.col("h"), '<w:headerReference w:type="default" r:id="rId10"/>'), _if(F.col("f"), '<w:footerReference w:type="default" r:id="rId11"/>'))
     sect = F.concat(F.lit("<w:sectPr>"), refs, F.lit('<w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr></w:body></w:document>'))
-    body = _body(rows.filter("band is null"), has.select("doc_id", sect.alias("sect")), f"{XML}<w:document {ns}><w:body>", F.col("sect"))
-    lists = doc.blocks.filter("tag = 'li'").select("doc_id", F.coalesce("list_id", F.lit(1)).alias("list_id"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("ordered", F.lit(False)).alias("ordered"))
-    defined = lists.groupBy("doc_id", "list_id", "level").agg(F.first("ordered").alias("ordered"))
+    body = _body("word/document.xml", rows.filter("band is null"), has, f"{XML}<w:document {ns}><w:body>", sect, table_rows)
+    lists = doc.blocks.filter("tag = 'li'").select("doc_id", _num(F.coalesce("list_id", F.lit(1))).alias("list_id"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("ordered", F.lit(False)).alias("ordered"))
+    defined = parts.docx_lists(lists.groupBy("doc_id", "list_id", "level").agg(F.first("ordered").alias("ordered")))
     outline = "".join(f'<w:lvl w:ilvl="{k}"><w:start w:val="1"/><w:numFmt w:val="{kind}"/><w:lvlText w:val="{text}"/></w:lvl>' for k, kind, text in parts.outline_levels())
-    before, after = F.lit(f'{XML}<w:numbering {ns}><w:abstractNum w:abstractNumId="{OUTLINE_NUM}">{outline}</w:abstractNum>'), F.lit(f'<w:num w:numId="{OUTLINE_NUM}"><w:abstractNumId w:val="{OUTLINE_NUM}"/></w:num></w:numbering>')
-    numbering = docs.join(parts.docx_numbering(defined), "doc_id", "left").select("doc_id", F.concat(before, F.coalesce("xml", F.lit("")), after).alias("xml"))
-    notes = docs.join(parts.docx_footnotes(doc.notes.withColumnRenamed("note", "n")), "doc_id", "left").select("doc_id", F.concat(F.lit(f"{XML}<w:footnotes {ns}>"), F.coalesce("xml", F.lit("")), F.lit("</w:footnotes>")).alias("xml"))
+    whole = lambda path, before, after: [_pieces(path, docs, seg, F.lit(0), xml=F.lit(x)) for seg, x in ((0, before), (9, after))]
+    numbering = whole("word/numbering.xml", f'{XML}<w:numbering {ns}><w:abstractNum w:abstractNumId="{OUTLINE_NUM}">{outline}</w:abstractNum>', f'<w:num w:numId="{OUTLINE_NUM}"><w:abstractNumId w:val="{OUTLINE_NUM}"/></w:num></w:numbering>')
+    numbering += [_pieces("word/numbering.xml", defined, seg, "list_id", xml=c) for seg, c in ((1, "abstract"), (2, "num"))]
+    noted = doc.notes.select("doc_id").distinct().withColumn("xml", F.lit(parts.SEPARATORS))
+    notes = [*whole("word/footnotes.xml", f"{XML}<w:footnotes {ns}>", "</w:footnotes>"), _pieces("word/footnotes.xml", noted, 1, F.lit(0)), _pieces("word/footnotes.xml", parts.docx_notes(doc.notes.withColumnRenamed("note", "n")), 2, "n")]
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     relation = lambda i, name, path: f'<Relationship Id="{i}" Type="{rel}/{name}" Target="{path}"/>'
     fixed = "".join(relation(i, n, f"{n}.xml") for i, n in (("rId1", "styles"), ("rId2", "numbering"), ("rId3", "footnotes")))
-    own = links.groupBy("doc_id").agg(_joined("xml", "rid").alias("links"))
     shown = names.select("doc_id", "bin", F.concat(F.lit('<Relationship Id="rIdImage'), F.col("bin"), F.lit(f'" Type="{rel}/image" Target="'), F.substring("path", 6, 1000), F.lit('"/>')).alias("xml")).distinct()
-    rels = has.join(own, "doc_id", "left").join(shown.groupBy("doc_id").agg(_joined("xml", "bin").alias("shown")), "doc_id", "left").select("doc_id", F.concat(F.lit(f'{XML}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{fixed}'), _if(F.col("h"), relation("rId10", "header", "header1.xml")), _if(F.col("f"), relation("rId11", "footer", "footer1.xml")), F.coalesce("links", F.lit("")), F.coalesce("shown", F.lit("")), F.lit("</Relationships>")).alias("xml"))
-    bands = [(f"word/{n}1.xml", _body(band(n), band(n).select("doc_id").distinct(), f"{XML}<w:{t} {ns}>", f"</w:{t}>")) for n, t in (("header", "hdr"), ("footer", "ftr"))]
-    made = _parts(("word/document.xml", body), ("word/numbering.xml", numbering), ("word/footnotes.xml", notes), ("word/_rels/document.xml.rels", rels), *bands)
-    return package(made, packages.DOCX | {"[Content_Types].xml": packages.docx_content_types()}, media)
+    rels = "word/_rels/document.xml.rels"
+    of_bands = F.concat(_if(F.col("h"), relation("rId10", "header", "header1.xml")), _if(F.col("f"), relation("rId11", "footer", "footer1.xml")))
+    relations = [*whole(rels, f'{XML}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{fixed}', "</Relationships>"), _pieces(rels, has, 1, F.lit(0), xml=of_bands), _pieces(rels, links, 2, F.substr("rid", F.lit(4))), _pieces(rels, shown, 3, "bin")]
+    bands = [x for n, t in (("header", "hdr"), ("footer", "ftr")) for x in _body(f"word/{n}1.xml", band(n), band(n).select("doc_id").distinct(), f"{XML}<w:{t} {ns}>", f"</w:{t}>")]
+    return package([*body, *numbering, *notes, *relations, *bands], packages.DOCX | {"[Content_Types].xml": packages.docx_content_types()}, media)
 
 
 # ---- odt
@@ -298,14 +326,13 @@ def _odt_text_properties() -> Column:
 
 
 def _odt_list_levels(blocks: DataFrame) -> DataFrame:
-    """(doc_id, xml): a list style for every list, its levels numbered or with the level's bullet."""
+    """(doc_id, list_id, xml): a list style for every list, its levels numbered or with the level's bullet."""
     each = blocks.filter("tag = 'li'").groupBy("doc_id", F.coalesce("list_id", F.lit(1)).alias("list_id"), F.coalesce("level", F.lit(0)).alias("level")).agg(F.coalesce(F.first("ordered"), F.lit(False)).alias("ordered"))
     n = F.col("level") + 1
     number = F.concat(F.lit('<text:list-level-style-number text:level="'), n, F.lit('" style:num-format="1" style:num-suffix="."/>'))
     bullet = F.concat(F.lit('<text:list-level-style-bullet text:level="'), n, F.lit('" text:bullet-char="'), F.element_at(F.array(*map(F.lit, BULLETS)), F.least(n, F.lit(3))), F.lit('"/>'))
     levels = each.withColumn("xml", F.when(F.col("ordered"), number).otherwise(bullet)).groupBy("doc_id", "list_id").agg(_joined("xml", "level").alias("xml"))
-    named = levels.withColumn("xml", F.concat(F.lit('<text:list-style style:name="L'), F.col("list_id"), F.lit('">'), F.col("xml"), F.lit("</text:list-style>")))
-    return named.groupBy("doc_id").agg(_joined("xml", "list_id").alias("xml"))
+    return levels.withColumn("xml", F.concat(F.lit('<text:list-style style:name="L'), F.col("list_id"), F.lit('">'), F.col("xml"), F.lit("</text:list-style>")))
 
 
 def write_odt(doc: Document) -> DataFrame:
@@ -329,25 +356,26 @@ def write_odt(doc: Document) -> DataFrame:
     open_list = F.concat(F.lit('<text:list text:style-name="L'), F.coalesce("list_id", F.lit(1)), F.lit('">'))
     listed = lambda rows: nested_lists(rows, open_list, "</text:list>", "<text:list-item>", "</text:list-item>")
     cell_styles, cells = intern(doc.cells, ["doc_id"], F.struct("ord", "row", "col"), [*[f"b_{s}" for s in SIDES], *parts.FORMAT], "cell_style")
-    rows = assemble(rows.withColumn("xml", para), cells, lambda held: _tables_of(parts.odt_tables, held), listed)
-    boxes = cell_styles.withColumn("xml", _odt_style("table-cell", F.concat(F.lit("C"), "cell_style"), parts.odt_cell_style())).groupBy("doc_id").agg(_joined("xml", "cell_style").alias("c"))
-    texts = text_styles.withColumn("xml", _odt_style("text", F.concat(F.lit("T"), "style"), _odt_text_properties())).groupBy("doc_id").agg(_joined("xml", "style").alias("t"))
+    rows, table_rows = assemble(rows.withColumn("xml", para), cells, lambda held: _rows_of(parts.odt_rows, held), _around(*parts.ODT_TABLE), listed)
+    boxes = cell_styles.withColumn("xml", _odt_style("table-cell", F.concat(F.lit("C"), "cell_style"), parts.odt_cell_style()))
+    texts = text_styles.withColumn("xml", _odt_style("text", F.concat(F.lit("T"), "style"), _odt_text_properties()))
     pt = lambda name, c: F.coalesce(F.concat(F.lit(f' fo:{name}="'), F.format_string("%.2fpt", F.when(F.col(c) != 0, F.col(c))), F.lit('"')), F.lit(""))
     margins = F.concat(F.lit("<style:paragraph-properties"), F.coalesce(F.concat(F.lit(' fo:text-align="'), F.col("align"), F.lit('"')), F.lit("")), F.when(F.col("left").isNotNull(), pt("margin-left", "left")).otherwise(""), F.when(F.col("first_line").isNotNull(), pt("text-indent", "first_line")).otherwise(""), _if(F.col("page_break"), ' fo:break-before="page"'), F.lit("/>"))
-    paras = para_styles.withColumn("xml", _odt_style("paragraph", F.concat(F.lit("P"), "style"), margins)).groupBy("doc_id").agg(_joined("xml", "style").alias("p"))
-    styles = docs.join(texts, "doc_id", "left").join(paras, "doc_id", "left").join(boxes, "doc_id", "left").join(_odt_list_levels(doc.blocks).withColumnRenamed("xml", "l"), "doc_id", "left")
-    automatic = styles.select("doc_id", F.concat(F.lit("<office:automatic-styles>"), *[F.coalesce(c, F.lit("")) for c in "tpcl"], F.lit("</office:automatic-styles>")).alias("auto"))
-    ns = packages.ODF_NS
-    start = F.concat(F.lit(f'{XML}<office:document-content {ns} office:version="1.2">'), F.col("auto"), F.lit("<office:body><office:text>"))
-    main = _body(rows.filter("band is null"), automatic, start, "</office:text></office:body></office:document-content>")
+    paras = para_styles.withColumn("xml", _odt_style("paragraph", F.concat(F.lit("P"), "style"), margins))
+    # both parts have all automatic styles: of texts, paragraphs, cells and lists
+    both = F.explode(F.array(F.lit("content.xml"), F.lit("styles.xml")))
+    automatic = [_pieces(both, df, seg, at) for seg, df, at in ((1, texts, "style"), (2, paras, "style"), (3, boxes, "cell_style"), (4, _odt_list_levels(doc.blocks), "list_id"))]
+    ns, begin, end = packages.ODF_NS, "<office:automatic-styles>", "</office:automatic-styles>"
+    start = lambda path, root: _pieces(path, docs, 0, F.lit(0), xml=F.lit(f'{XML}<office:document-{root} {ns} office:version="1.2">{begin}'))
+    main = [start("content.xml", "content"), *_body("content.xml", rows.filter("band is null"), docs, f"{end}<office:body><office:text>", "</office:text></office:body></office:document-content>", table_rows, 5)]
     bands = rows.filter("band is not null").groupBy("doc_id").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("band") == n, F.struct("ord", "xml")))), lambda x: x["xml"]), "").alias(n) for n in ("header", "footer")])
     some = lambda n: F.when(F.coalesce(n, F.lit("")) != "", F.concat(F.lit(f"<style:{n}>"), F.col(n), F.lit(f"</style:{n}>"))).otherwise("")
-    page = automatic.join(bands, "doc_id", "left").select("doc_id", F.concat(F.lit(f'{XML}<office:document-styles {ns} office:version="1.2">'), F.col("auto"), F.lit('<office:master-styles><style:master-page style:name="Standard">'), some("header"), some("footer"), F.lit("</style:master-page></office:master-styles></office:document-styles>")).alias("xml"))
+    master = F.concat(F.lit(f'{end}<office:master-styles><style:master-page style:name="Standard">'), some("header"), some("footer"), F.lit("</style:master-page></office:master-styles></office:document-styles>"))
+    page = [start("styles.xml", "styles"), _pieces("styles.xml", docs.join(bands, "doc_id", "left"), 5, F.lit(0), xml=master)]
     entry = F.concat(F.lit('<manifest:file-entry manifest:full-path="'), F.col("path"), F.lit('" manifest:media-type="'), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in packages.MEDIA.items() for x in kv]), F.col("ext")), F.lit("application/octet-stream")), F.lit('"/>'))
-    entries = names.select("doc_id", "bin", entry.alias("xml")).distinct().groupBy("doc_id").agg(_joined("xml", "bin").alias("entries"))
+    entries = names.select("doc_id", F.col("bin").alias("ord"), entry.alias("xml")).distinct()
     before, after = packages.odt_manifest(["content.xml", "styles.xml"]).rsplit("</manifest:manifest>", 1)[0], "</manifest:manifest>"
-    manifest = docs.join(entries, "doc_id", "left").select("doc_id", F.concat(F.lit(before), F.coalesce("entries", F.lit("")), F.lit(after)).alias("xml"))
-    return package(_parts(("content.xml", main), ("styles.xml", page), ("META-INF/manifest.xml", manifest)), packages.ODT, media)
+    return package([*automatic, *main, *page, *_body("META-INF/manifest.xml", entries, docs, before, after)], packages.ODT, media)
 
 
 # ---- hwpx
@@ -373,7 +401,8 @@ def _hwpx_lists(blocks: DataFrame) -> DataFrame:
     return each.select("doc_id", "list_id", F.concat(F.lit('<hh:numbering id="'), F.col("list_id"), F.lit('" start="0">'), heads, F.lit("</hh:numbering>")).alias("xml"))
 
 
-def _hwpx_tables(cells: DataFrame) -> DataFrame:
+def _hwpx_rows(cells: DataFrame) -> DataFrame:
+    """(doc_id, ord, r, xml, cols)."""
     unit = lambda c: F.coalesce(units.pt_to_units(F.col(c)), F.lit(6000))
     para = parts._content(cells, F.concat(F.lit('<hp:p id="0" paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'), packages.hwpx_text(F.col("text")), F.lit("</hp:run></hp:p>")))
     place = F.upper(F.when(F.col("valign") == "middle", "center").otherwise(F.coalesce("valign", F.lit("center"))))
@@ -381,9 +410,7 @@ def _hwpx_tables(cells: DataFrame) -> DataFrame:
     room = F.when(F.coalesce(*[f"p_{s}" for s in SIDES]).isNotNull(), room).otherwise("")
     xml = F.concat(F.lit('<hp:tc borderFillIDRef="'), F.col("fill") + 1, F.lit('"><hp:subList vertAlign="'), place, F.lit('">'), para, F.lit('</hp:subList><hp:cellAddr colAddr="'), F.col("col"), F.lit('" rowAddr="'), F.col("row"), F.lit('"/><hp:cellSpan colSpan="'), F.col("col_span"), F.lit('" rowSpan="'), F.col("row_span"), F.lit('"/><hp:cellSz width="'), unit("width"), F.lit('" height="1500"/>'), room, F.lit("</hp:tc>"))
     rows = cells.withColumn("xml", xml).groupBy("doc_id", "ord", "row").agg(_joined("xml", "col").alias("xml"), F.max(F.col("col") + F.col("col_span")).alias("cols"))
-    rows = rows.withColumn("xml", F.concat(F.lit("<hp:tr>"), F.col("xml"), F.lit("</hp:tr>")))
-    whole = rows.groupBy("doc_id", "ord").agg(_joined("xml", "row").alias("xml"), F.count("*").alias("rows"), F.max("cols").alias("cols"))
-    return whole.select("doc_id", "ord", F.concat(F.lit('<hp:tbl rowCnt="'), F.col("rows"), F.lit('" colCnt="'), F.col("cols"), F.lit('">'), F.col("xml"), F.lit("</hp:tbl>")).alias("table_xml"))
+    return rows.select("doc_id", "ord", F.col("row").alias("r"), F.concat(F.lit("<hp:tr>"), F.col("xml"), F.lit("</hp:tr>")).alias("xml"), "cols")
 
 
 def _hwpx_fill() -> Column:
@@ -425,7 +452,9 @@ def write_hwpx(doc: Document) -> DataFrame:
     none = docs.select("doc_id", F.lit(-1).alias("ord"), F.lit(-1).alias("row"), F.lit(-1).alias("col"))
     fills, cells = intern(doc.cells.unionByName(none, allowMissingColumns=True), ["doc_id"], F.struct("ord", "row", "col"), [*[f"b_{s}" for s in SIDES], "background"], "fill")
     fill_xml = fills.withColumn("xml", _hwpx_fill()).groupBy("doc_id").agg(_joined("xml", "fill").alias("b"), F.count("*").alias("bn"))
-    rows = assemble(rows.withColumn("start", start), cells.filter("ord >= 0"), _hwpx_tables, listed).withColumn("inner", F.col("xml"))
+    around = F.concat(F.lit('<hp:tbl rowCnt="'), F.col("rows"), F.lit('" colCnt="'), F.col("cols"), F.lit('">')), F.lit("</hp:tbl>")
+    rows, table_rows = assemble(rows.withColumn("start", start), cells.filter("ord >= 0"), _hwpx_rows, around, listed)
+    rows = rows.withColumn("inner", F.col("xml"))
     # bands are controls in the document's first paragraph
     bands = rows.filter("band is not null").withColumn("xml", F.concat("start", "inner", F.lit("</hp:p>"))).groupBy("doc_id", "band").agg(_joined("xml", "ord").alias("xml"))
     control = F.concat(F.lit('<hp:run charPrIDRef="0"><hp:ctrl><hp:'), F.col("band"), F.lit("><hp:subList>"), F.col("xml"), F.lit("</hp:subList></hp:"), F.col("band"), F.lit("></hp:ctrl></hp:run>"))
@@ -433,26 +462,28 @@ def write_hwpx(doc: Document) -> DataFrame:
     body = rows.filter("band is null").join(controls, "doc_id", "left").withColumn("first", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) == 1)
     body = body.withColumn("xml", F.concat("start", F.when(F.col("first"), F.coalesce("controls", F.lit(""))).otherwise(""), "inner", F.lit("</hp:p>")))
     ns = packages.HP_NS
-    section = _body(body, docs, f"{XML}<hs:sec {ns}>", "</hs:sec>")
+    section = _body("Contents/section0.xml", body, docs, f"{XML}<hs:sec {ns}>", "</hs:sec>", table_rows)
     char_xml = chars.withColumn("xml", _hwpx_char("shape")).groupBy("doc_id").agg(_joined("xml", "shape").alias("c"), F.count("*").alias("cn"))
     heading = F.when(F.col("list_id").isNotNull(), F.concat(F.lit('<hh:heading type="NUMBER" idRef="'), F.col("list_id"), F.lit('" level="'), F.col("level"), F.lit('"/>'))).when(F.col("level") < -1, F.concat(F.lit('<hh:heading type="OUTLINE" idRef="0" level="'), -2 - F.col("level"), F.lit('"/>'))).otherwise("")
     unit = lambda name, c: F.concat(F.lit(f'<hc:{name} value="'), F.coalesce(units.pt_to_units(F.col(c)), F.lit(0)), F.lit('" unit="HWPUNIT"/>'))
     shape = F.concat(F.lit('<hh:paraPr id="'), F.col("para"), F.lit('"><hh:align horizontal="'), F.upper(F.coalesce("align", F.lit("justify"))), F.lit('"/>'), heading, F.lit("<hh:margin>"), unit("intent", "first_line"), unit("left", "left"), F.lit("</hh:margin></hh:paraPr>"))
-    para_xml = shapes.withColumn("xml", shape).groupBy("doc_id").agg(_joined("xml", "para").alias("p"), F.count("*").alias("pn"))
-    lists = _hwpx_lists(doc.blocks).groupBy("doc_id").agg(_joined("xml", "list_id").alias("l"), F.count("*").alias("ln"))
+    paras, lists = shapes.withColumn("xml", shape), written(_hwpx_lists(doc.blocks), "lists")
+    counted = paras.groupBy("doc_id").agg(F.count("*").alias("pn")).join(lists.groupBy("doc_id").agg(F.count("*").alias("ln")), "doc_id", "left")
     font_xml = fonts.withColumn("xml", F.concat(F.lit('<hh:font id="'), F.col("font_nth") + 1, F.lit('" face="'), escape(F.col("font")), F.lit('" type="TTF"/>'))).groupBy("doc_id").agg(_joined("xml", "font_nth").alias("f"), F.count("*").alias("fn"))
-    head = docs.join(char_xml, "doc_id").join(para_xml, "doc_id").join(lists, "doc_id", "left").join(font_xml, "doc_id", "left").join(fill_xml, "doc_id")
+    head = docs.join(char_xml, "doc_id").join(counted, "doc_id").join(font_xml, "doc_id", "left").join(fill_xml, "doc_id")
     number = lambda c, plus=0: (F.coalesce(c, F.lit(0)) + plus).cast("string")
     faces = F.concat(*[x for g in packages.HWPX_LANGUAGES for x in (F.lit(f'<hh:fontface lang="{g}" fontCnt="'), number("fn", 1), F.lit(f'"><hh:font id="0" face="{BASE_FONT}" type="TTF"/>'), F.coalesce("f", F.lit("")), F.lit("</hh:fontface>"))])
-    header = head.select("doc_id", F.concat(
-        F.lit(f'{XML}<hh:head {ns} version="1.4" secCnt="1"><hh:refList><hh:fontfaces itemCnt="7">'), faces, F.lit('</hh:fontfaces><hh:borderFills itemCnt="'), number("bn"), F.lit('">'), F.col("b"), F.lit('</hh:borderFills><hh:charProperties itemCnt="'), number("cn"), F.lit('">'), F.col("c"), F.lit('</hh:charProperties><hh:numberings itemCnt="'), number("ln"), F.lit('">'), F.coalesce("l", F.lit("")),
-        F.lit('</hh:numberings><hh:paraProperties itemCnt="'), number("pn"), F.lit('">'), F.col("p"), F.lit("</hh:paraProperties></hh:refList></hh:head>"),
-    ).alias("xml"))
+    top = F.concat(
+        F.lit(f'{XML}<hh:head {ns} version="1.4" secCnt="1"><hh:refList><hh:fontfaces itemCnt="7">'), faces, F.lit('</hh:fontfaces><hh:borderFills itemCnt="'), number("bn"), F.lit('">'), F.col("b"), F.lit('</hh:borderFills><hh:charProperties itemCnt="'), number("cn"), F.lit('">'), F.col("c"), F.lit('</hh:charProperties><hh:numberings itemCnt="'), number("ln"), F.lit('">'),
+    )
+    part, zero = "Contents/header.xml", F.lit(0)
+    middle = F.concat(F.lit('</hh:numberings><hh:paraProperties itemCnt="'), number("pn"), F.lit('">'))
+    header = [_pieces(part, head, 0, zero, xml=top), _pieces(part, lists, 1, "list_id"), _pieces(part, head, 2, zero, xml=middle), _pieces(part, paras, 3, "para"), _pieces(part, head, 4, zero, xml=F.lit("</hh:paraProperties></hh:refList></hh:head>"))]
     item = F.concat(F.lit('<opf:item id="image'), F.col("bin"), F.lit('" href="'), F.col("path"), F.lit('" media-type="'), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in packages.MEDIA.items() for x in kv]), F.col("ext")), F.lit("application/octet-stream")), F.lit('" isEmbeded="1"/>'))
-    items = names.select("doc_id", "bin", item.alias("xml")).distinct().groupBy("doc_id").agg(_joined("xml", "bin").alias("items"))
+    items = names.select("doc_id", F.col("bin").alias("ord"), item.alias("xml")).distinct()
     before, after = packages.HWPX["Contents/content.hpf"].split("</opf:manifest>")
-    content = docs.join(items, "doc_id", "left").select("doc_id", F.concat(F.lit(before), F.coalesce("items", F.lit("")), F.lit("</opf:manifest>" + after)).alias("xml"))
-    return package(_parts(("Contents/section0.xml", section), ("Contents/header.xml", header), ("Contents/content.hpf", content)), packages.HWPX, media)
+    content = _body("Contents/content.hpf", items, docs, before, "</opf:manifest>" + after)
+    return package([*section, *header, *content], packages.HWPX, media)
 
 
 WRITERS = {"docx": write_docx, "odt": write_odt, "hwpx": write_hwpx}

@@ -54,9 +54,13 @@ def odt_cell_style() -> Column:
     return F.concat(F.lit("<style:table-cell-properties"), *map(line, SIDES), *map(room, SIDES), fill, place, F.lit("/>"))
 
 
-def docx_tables(cells: DataFrame) -> DataFrame:
-    """(doc_id, table, xml) from cells (doc_id, table, row, col, row_span, col_span, width, text [, body]): places that a
-    cell covers downwards get filler cells that continue its merge; a cell ends with a paragraph."""
+# fixed values: what stands around a table's rows
+DOCX_TABLE, ODT_TABLE = ("<w:tbl><w:tblPr/>", "</w:tbl>"), ("<table:table>", "</table:table>")
+
+
+def docx_rows(cells: DataFrame) -> DataFrame:
+    """(doc_id, table, r, xml) of rows from cells (doc_id, table, row, col, row_span, col_span, width, text [, body]): places
+    that a cell covers downwards get filler cells that continue its merge; a cell ends with a paragraph."""
     each = covered(cells).filter(F.col("c") == F.col("col"))
     first = F.col("r") == F.col("row")
     merge = F.when(F.col("row_span") > 1, F.when(first, '<w:vMerge w:val="restart"/>').otherwise("<w:vMerge/>")).otherwise("")
@@ -64,20 +68,28 @@ def docx_tables(cells: DataFrame) -> DataFrame:
     width = F.concat(F.lit('<w:tcW w:w="'), units.pt_to_twips(F.coalesce("width", F.lit(60.0))), F.lit('" w:type="dxa"/>'))
     span = F.when(F.col("col_span") > 1, F.concat(F.lit('<w:gridSpan w:val="'), F.col("col_span"), F.lit('"/>'))).otherwise("")
     xml = F.concat(F.lit("<w:tc><w:tcPr>"), width, span, merge, _docx_cell_format() if "b_left" in cells.columns else F.lit(""), F.lit("</w:tcPr>"), F.when(first, F.when(held.endswith("</w:tbl>"), F.concat(held, F.lit("<w:p/>"))).otherwise(held)).otherwise("<w:p/>"), F.lit("</w:tc>"))
-    rows = each.withColumn("xml", xml).groupBy("doc_id", "table", "r").agg(_joined("xml", "c").alias("xml")).withColumn("xml", F.concat(F.lit("<w:tr>"), F.col("xml"), F.lit("</w:tr>")))
-    return rows.groupBy("doc_id", "table").agg(F.concat(F.lit("<w:tbl><w:tblPr/>"), _joined("xml", "r"), F.lit("</w:tbl>")).alias("xml"))
+    return each.withColumn("xml", xml).groupBy("doc_id", "table", "r").agg(_joined("xml", "c").alias("xml")).withColumn("xml", F.concat(F.lit("<w:tr>"), F.col("xml"), F.lit("</w:tr>")))
 
 
-def odt_tables(cells: DataFrame) -> DataFrame:
-    """(doc_id, table, xml): covered places are elements of their own in ODF."""
+def docx_tables(cells: DataFrame) -> DataFrame:
+    """(doc_id, table, xml): whole tables."""
+    return docx_rows(cells).groupBy("doc_id", "table").agg(F.concat(F.lit(DOCX_TABLE[0]), _joined("xml", "r"), F.lit(DOCX_TABLE[1])).alias("xml"))
+
+
+def odt_rows(cells: DataFrame) -> DataFrame:
+    """(doc_id, table, r, xml): covered places are elements of their own in ODF."""
     each = covered(cells)
     own = (F.col("r") == F.col("row")) & (F.col("c") == F.col("col"))
     span = lambda c, n: F.when(F.col(c) > 1, F.concat(F.lit(f' table:number-{n}-spanned="'), F.col(c), F.lit('"'))).otherwise("")
     named = F.coalesce(F.concat(F.lit(' table:style-name="C'), F.col("cell_style"), F.lit('"')), F.lit("")) if "cell_style" in cells.columns else F.lit("")
     cell = F.concat(F.lit("<table:table-cell"), named, span("col_span", "columns"), span("row_span", "rows"), F.lit(">"), _content(cells, F.concat(F.lit("<text:p>"), escape(xml_safe(F.col("text"))), F.lit("</text:p>"))), F.lit("</table:table-cell>"))
     rows = each.withColumn("xml", F.when(own, cell).otherwise("<table:covered-table-cell/>")).groupBy("doc_id", "table", "r").agg(_joined("xml", "c").alias("xml"))
-    rows = rows.withColumn("xml", F.concat(F.lit("<table:table-row>"), F.col("xml"), F.lit("</table:table-row>")))
-    return rows.groupBy("doc_id", "table").agg(F.concat(F.lit("<table:table>"), _joined("xml", "r"), F.lit("</table:table>")).alias("xml"))
+    return rows.withColumn("xml", F.concat(F.lit("<table:table-row>"), F.col("xml"), F.lit("</table:table-row>")))
+
+
+def odt_tables(cells: DataFrame) -> DataFrame:
+    """(doc_id, table, xml): whole tables."""
+    return odt_rows(cells).groupBy("doc_id", "table").agg(F.concat(F.lit(ODT_TABLE[0]), _joined("xml", "r"), F.lit(ODT_TABLE[1])).alias("xml"))
 
 
 def docx_links(links: DataFrame) -> DataFrame:
@@ -88,15 +100,19 @@ def docx_links(links: DataFrame) -> DataFrame:
     return out.withColumn("xml", F.concat(F.lit('<Relationship Id="'), F.col("rid"), F.lit('" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/hyperlink" Target="'), escape(F.col("href")), F.lit('" TargetMode="External"/>')))
 
 
-def docx_numbering(lists: DataFrame) -> DataFrame:
-    """(doc_id, xml) from (doc_id, list_id, level, ordered): abstract definitions first, ids ascending."""
+def docx_lists(lists: DataFrame) -> DataFrame:
+    """(doc_id, list_id, abstract, num) from (doc_id, list_id, level, ordered)."""
     level = F.col("level")
     mark = F.when(F.col("ordered"), F.concat(F.lit("%"), level + 1, F.lit("."))).otherwise(F.element_at(F.array(*map(F.lit, BULLETS)), F.least(level + 1, F.lit(3))))
     kind = F.when(F.col("ordered"), "decimal").otherwise("bullet")
     lvl = F.concat(F.lit('<w:lvl w:ilvl="'), level, F.lit('"><w:start w:val="1"/><w:numFmt w:val="'), kind, F.lit('"/><w:lvlText w:val="'), mark, F.lit('"/></w:lvl>'))
     each = lists.select("doc_id", "list_id", "level", "ordered").distinct().withColumn("lvl", lvl).groupBy("doc_id", "list_id").agg(_joined("lvl", "level").alias("levels"))
-    each = each.withColumn("abstract", F.concat(F.lit('<w:abstractNum w:abstractNumId="'), F.col("list_id"), F.lit('">'), F.col("levels"), F.lit("</w:abstractNum>"))).withColumn("num", F.concat(F.lit('<w:num w:numId="'), F.col("list_id"), F.lit('"><w:abstractNumId w:val="'), F.col("list_id"), F.lit('"/></w:num>')))
-    return each.groupBy("doc_id").agg(F.concat(_joined("abstract", "list_id"), _joined("num", "list_id")).alias("xml"))
+    return each.withColumn("abstract", F.concat(F.lit('<w:abstractNum w:abstractNumId="'), F.col("list_id"), F.lit('">'), F.col("levels"), F.lit("</w:abstractNum>"))).withColumn("num", F.concat(F.lit('<w:num w:numId="'), F.col("list_id"), F.lit('"><w:abstractNumId w:val="'), F.col("list_id"), F.lit('"/></w:num>')))
+
+
+def docx_numbering(lists: DataFrame) -> DataFrame:
+    """(doc_id, xml) from (doc_id, list_id, level, ordered): abstract definitions first, ids ascending."""
+    return docx_lists(lists).groupBy("doc_id").agg(F.concat(_joined("abstract", "list_id"), _joined("num", "list_id")).alias("xml"))
 
 
 def outline_levels() -> list[tuple[int, str, str]]:
@@ -104,11 +120,17 @@ def outline_levels() -> list[tuple[int, str, str]]:
     return [(k, "ganada" if kind == "hangul" else "decimal", f"{before}%{k + 1}{after}") for k, (before, kind, after) in enumerate(OUTLINE)]
 
 
+SEPARATORS = '<w:footnote w:type="separator" w:id="-1"><w:p/></w:footnote><w:footnote w:type="continuationSeparator" w:id="0"><w:p/></w:footnote>'
+
+
+def docx_notes(notes: DataFrame) -> DataFrame:
+    """Adds xml to (doc_id, n, text)."""
+    return notes.withColumn("xml", F.concat(F.lit('<w:footnote w:id="'), F.col("n"), F.lit('">'), _para(F.col("text")), F.lit("</w:footnote>")))
+
+
 def docx_footnotes(notes: DataFrame) -> DataFrame:
     """(doc_id, xml) from (doc_id, n, text): the two separators, then the notes by number."""
-    note = F.concat(F.lit('<w:footnote w:id="'), F.col("n"), F.lit('">'), _para(F.col("text")), F.lit("</w:footnote>"))
-    rules = '<w:footnote w:type="separator" w:id="-1"><w:p/></w:footnote><w:footnote w:type="continuationSeparator" w:id="0"><w:p/></w:footnote>'
-    return notes.withColumn("xml", note).groupBy("doc_id").agg(F.concat(F.lit(rules), _joined("xml", "n")).alias("xml"))
+    return docx_notes(notes).groupBy("doc_id").agg(F.concat(F.lit(SEPARATORS), _joined("xml", "n")).alias("xml"))
 
 
 def docx_paragraph_properties(num_id: Column, level: Column, size: Column, heading: Column, align: Column, indent: Column, first_line: Column) -> Column:

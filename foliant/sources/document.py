@@ -27,7 +27,7 @@ from foliant.session import written
 from foliant.sinks.document import Document
 from foliant.sources import packages, rules, styles
 from foliant.sources.containers import zip_entries
-from foliant.sources.markup import xml_nodes
+from foliant.sources.markup import package_nodes
 
 KEY = ["doc_id", "part", "bid"]
 CELL_FORMAT = [*[f"b_{s}" for s in SIDES], *[f"p_{s}" for s in SIDES], "background", "valign"]
@@ -57,7 +57,7 @@ def shred(files: DataFrame, kind: str) -> DataFrame:
     """The nodes of all parts of a format's packages that readers look at, in one scan, written. bid is the paragraph that
     a node belongs to (a paragraph to itself)."""
     parts, blocks, cells, outers = SHRED[kind]
-    nodes = xml_nodes(zip_entries(files, parts), blocks, cells, outers)
+    nodes = package_nodes(files, parts, blocks, cells, outers)
     return written(nodes.withColumn("bid", F.when(_name().isin(*blocks), F.col("node_id")).otherwise(F.col("block_id"))), "nodes")
 
 

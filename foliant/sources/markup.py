@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import re
+import zipfile
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from xml.parsers import expat
 
@@ -12,8 +15,9 @@ from pyspark.sql import DataFrame
 MAX_DEPTH = 256
 NODE = "doc_id long, part string, node_id int, parent_id int, depth int, name string, attrs map<string,string>, text string, block_id int, path string, parent_name string, error string, last_id int, post_id int, cell_id int, outer_id int"
 COLUMNS = [c.split()[0] for c in NODE.split(", ")]
-#: Nodes of a frame, about; documents are not cut.
-FRAME_ROWS = 20_000
+#: Nodes and characters of a frame, about, and what is parsed at once: bytes of XML, characters of HTML.
+FRAME_ROWS, FRAME_CHARS = 20_000, 8_000_000
+PIECE, HTML_PIECE = 1 << 16, 1 << 20
 # fixed values: elements without content, elements whose text is raw, and the vocabulary of blocks
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style".split())
@@ -25,68 +29,99 @@ class _Rows:
     """Nodes with their parents, depths, paths, nearest ancestors that are blocks, cells and outer parts, and their intervals.
 
     A node's descendants are the nodes after it up to last_id, so "inside of" is a range of numbers; post_id numbers
-    nodes in the order in which they end.
+    nodes in the order in which they end. A node is done when it ends, so no more is held than the open ones and what
+    was not taken yet.
     """
 
     def __init__(self, doc_id, part: str, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()):
-        self.rows: list[list] = []
-        self.open: list[tuple[int, str, int | None, str, int | None, int | None]] = []  # node, name, block, path, cell, outer
+        self.done: list[list] = []
+        self.open: list[tuple[list, str, int | None, str, int | None, int | None]] = []  # row, name, block, path, cell, outer
         self.doc_id, self.part, self.blocks, self.cells, self.outers = doc_id, part, blocks, cells, outers
-        self.ended = 0
+        self.count = self.ended = 0
+        self.words: list | None = None  # the text that may go on
+        self.pieces: list[str] = []
 
-    def add(self, name: str, attrs: dict | None, text: str | None) -> int:
-        k = len(self.rows)
-        parent, parent_name, block, path, cell, outer = self.open[-1] if self.open else (None, None, None, "", None, None)
+    def taken(self) -> list[list]:
+        done, self.done = self.done, []
+        return done
+
+    def add(self, name: str, attrs: dict | None) -> list:
+        self._say()
+        parent, parent_name, block, path, cell, outer = (self.open[-1][0][2], *self.open[-1][1:]) if self.open else (None, None, None, "", None, None)
         if name != "#text":
             key = (attrs or {}).get("data-id") or (attrs or {}).get("id")
             path = f"{path} > {name}" if path else name
             path = f"{path}#{key}" if key else path
-        self.rows.append([self.doc_id, self.part, k, parent, len(self.open), name, attrs, text, block, path, parent_name, None, k, None, cell, outer])
-        if name == "#text":
-            self._end(k)
-        return k
-
-    def _end(self, k: int) -> None:
-        self.rows[k][12], self.rows[k][13] = len(self.rows) - 1, self.ended
+        row = [self.doc_id, self.part, self.count, parent, len(self.open), name, attrs, None, block, path, parent_name, None, self.count, None, cell, outer]
+        self.count += 1
+        return row
+
+    def _say(self) -> None:
+        if self.words is not None:
+            self.words[7] = "".join(self.pieces)
+            self.done.append(self.words)
+            self.words, self.pieces = None, []
+
+    def _end(self, row: list) -> None:
+        row[12], row[13] = self.count - 1, self.ended
         self.ended += 1
 
     def leave(self, down_to: int) -> None:
         """Closes the open nodes down to a depth."""
         while len(self.open) > down_to:
-            self._end(self.open.pop()[0])
+            self._say()
+            row = self.open.pop()[0]
+            self._end(row)
+            self.done.append(row)
 
     def fail(self, e: Exception) -> None:
+        self._say()
         self.leave(0)
-        self.rows.append([self.doc_id, self.part, len(self.rows), None, 0, "#error", None, None, None, "", None, f"{type(e).__name__}: {e}", len(self.rows), self.ended, None, None])
+        self.done.append([self.doc_id, self.part, self.count, None, 0, "#error", None, None, None, "", None, f"{type(e).__name__}: {e}", self.count, self.ended, None, None])
 
     def enter(self, name: str, attrs: dict) -> None:
-        k = self.add(name, attrs, None)
+        row = self.add(name, attrs)
         if len(self.open) >= MAX_DEPTH:
+            self.done.append(row)
             raise ValueError(f"nested deeper than {MAX_DEPTH}")
-        row = self.rows[k]
-        self.open.append((k, name, k if name in self.blocks else row[8], row[9], k if name in self.cells else row[14], k if name in self.outers else row[15]))
+        k = row[2]
+        self.open.append((row, name, k if name in self.blocks else row[8], row[9], k if name in self.cells else row[14], k if name in self.outers else row[15]))
 
     def text(self, data: str) -> None:
-        if self.rows and self.rows[-1][5] == "#text" and self.rows[-1][3] == (self.open[-1][0] if self.open else None):
-            self.rows[-1][7] += data
-        else:
-            self.add("#text", None, data)
+        if self.words is None:
+            row = self.add("#text", None)
+            self._end(row)
+            self.words = row
+        self.pieces.append(data)
 
 
-def xml_rows(doc_id, part: str, data: bytes, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> list[list]:
-    """Names and attribute names lose their prefixes; too deep or broken parts end in a row with an error."""
+def xml_stream(doc_id, part: str, data: Iterable[bytes], blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> Iterator[list[list]]:
+    """The nodes of a part that comes in pieces, as they end. Names and attribute names lose their prefixes; too deep or
+    broken parts end in a row with an error."""
     rows = _Rows(doc_id, part, blocks, cells, outers)
     local = lambda n: n.rpartition(":")[2]
-    p = expat.ParserCreate()
-    p.buffer_text = True
+    p = expat.ParserCreate()  # unbuffered, so that no text before a break is lost
     p.StartElementHandler = lambda n, a: rows.enter(local(n), {local(k): v for k, v in a.items()})
     p.EndElementHandler = lambda n: rows.leave(len(rows.open) - 1)
     p.CharacterDataHandler = rows.text
     try:
-        p.Parse(data, True)
+        for some in data:
+            p.Parse(some, False)
+            yield rows.taken()
+        p.Parse(b"", True)
+        rows.leave(0)
     except Exception as e:
         rows.fail(e)
-    return rows.rows
+    yield rows.taken()
+
+
+def _in_order(found: Iterable[list[list]]) -> list[list]:
+    return sorted((row for some in found for row in some), key=lambda row: row[2])
+
+
+def xml_rows(doc_id, part: str, data: bytes, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> list[list]:
+    """All nodes of a part, in document order."""
+    return _in_order(xml_stream(doc_id, part, [data], blocks, cells, outers))
 
 
 class _Html(HTMLParser):
@@ -126,16 +161,25 @@ class _Html(HTMLParser):
         self.to.text(data)
 
 
-def html_rows(doc_id, html: str, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> list[list]:
+def html_stream(doc_id, html: str, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> Iterator[list[list]]:
+    """The nodes of a page, as they end: it is fed in pieces."""
     rows = _Rows(doc_id, "html", blocks, cells, outers)
     try:
         parser = _Html(rows)
-        parser.feed(html)
+        for at in range(0, len(html), HTML_PIECE):
+            parser.feed(html[at : at + HTML_PIECE])
+            yield rows.taken()
         parser.close()
+        rows._say()
         rows.leave(0)
     except Exception as e:
         rows.fail(e)
-    return rows.rows
+    yield rows.taken()
+
+
+def html_rows(doc_id, html: str, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> list[list]:
+    """All nodes of a page, in document order."""
+    return _in_order(html_stream(doc_id, html, blocks, cells, outers))
 
 
 def _frame(rows: list[list]) -> pd.DataFrame:
@@ -145,11 +189,14 @@ def _frame(rows: list[list]) -> pd.DataFrame:
 def _frames(found: Iterator[list[list]]) -> Iterator[pd.DataFrame]:
     """Few large frames of many small lists."""
     rows: list[list] = []
+    size = 0
     for some in found:
-        rows += some
-        if len(rows) >= FRAME_ROWS:
-            yield _frame(rows)
-            rows = []
+        for row in some:
+            rows.append(row)
+            size += len(row[7] or "") + len(row[9])
+            if len(rows) >= FRAME_ROWS or size >= FRAME_CHARS:
+                yield _frame(rows)
+                rows, size = [], 0
     if rows:
         yield _frame(rows)
 
@@ -159,11 +206,44 @@ def xml_nodes(parts: DataFrame, blocks: list[str], cells: list[str] = (), outers
     names = [frozenset(x) for x in (blocks, cells, outers)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames(xml_rows(i, part, data, *names) for pdf in frames for i, part, data in zip(pdf["doc_id"], pdf["path"], pdf["data"]) if data is not None)
+        yield from _frames(some for pdf in frames for i, part, data in zip(pdf["doc_id"], pdf["path"], pdf["data"]) if data is not None for some in xml_stream(i, part, (data[at : at + PIECE] for at in range(0, len(data), PIECE)), *names))
 
     return parts.select("doc_id", "path", "data").mapInPandas(run, NODE)
 
 
+def package_nodes(files: DataFrame, parts: str, blocks: list[str], cells: list[str] = (), outers: list[str] = (), content: str = "content") -> DataFrame:
+    """The nodes of the XML parts of packages whose path matches a pattern, none of a damaged package.
+
+    Parts are inflated and parsed by pieces: a worker holds packages as they are and one frame of nodes, however long a
+    part is.
+    """
+    names = [frozenset(x) for x in (blocks, cells, outers)]
+    wanted = re.compile(parts).fullmatch
+
+    def pieces(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> Iterator[bytes]:
+        with z.open(info) as f:
+            while some := f.read(PIECE):
+                yield some
+
+    def opened(data: bytes) -> tuple[zipfile.ZipFile, list[zipfile.ZipInfo]] | None:
+        """The package and its wanted parts, once all of these were read to their checksums."""
+        try:
+            z = zipfile.ZipFile(io.BytesIO(data))
+            found = [i for i in z.infolist() if wanted(i.filename)]
+            for info in found:
+                for _ in pieces(z, info):
+                    pass
+            return z, found
+        except Exception:  # zip_entries says what is wrong with it
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packages = ((i, *p) for pdf in frames for i, data in zip(pdf["doc_id"], pdf[content]) if (p := opened(data)) is not None)
+        yield from _frames(some for i, z, found in packages for info in found for some in xml_stream(i, info.filename, pieces(z, info), *names))
+
+    return files.select("doc_id", content).mapInPandas(run, NODE)
+
+
 def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", blocks: list[str] | None = None, cells: list[str] = ("td", "th"), outers: list[str] = ("doc-footnote", "doc-header", "doc-footer")) -> DataFrame:
     """The nodes of HTML pages."""
     from pyspark.sql import functions as F
@@ -171,6 +251,6 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     names = [frozenset(x) for x in (blocks or ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "doc-footnote"], cells, outers)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames(html_rows(i, html, *names) for pdf in frames for i, html in zip(pdf["doc_id"], pdf["html"]))
+        yield from _frames(some for pdf in frames for i, html in zip(pdf["doc_id"], pdf["html"]) for some in html_stream(i, html, *names))
 
     return pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(run, NODE)

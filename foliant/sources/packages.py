@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import color, units
 from foliant.operators.ordered import inherit
-from foliant.sources.containers import zip_entries
-from foliant.sources.markup import xml_nodes
+from foliant.sources.markup import package_nodes
 
 #: Parts with the text (a pattern), name of a paragraph, and what stands for a line break, a tab and repeated spaces.
 BODY = {"docx": r"word/document\.xml", "odt": r"content\.xml", "hwpx": r"Contents/section\d+\.xml"}
@@ -28,7 +27,7 @@ MARGIN = 7200
 
 def nodes_of(files: DataFrame, kind: str) -> DataFrame:
     """The nodes of a package's text parts: of all sections."""
-    return xml_nodes(zip_entries(files, BODY[kind]), PARAGRAPHS[kind])
+    return package_nodes(files, BODY[kind], PARAGRAPHS[kind])
 
 
 def part_number(part: str = "part") -> Column:

@@ -13,6 +13,17 @@ FIELD_BEGIN, FIELD_SEPARATOR, FIELD_END = 0x13, 0x14, 0x15
 PARAGRAPH_END, CELL_END = 0x0D, 0x07
 
 
+def stretches(docs: DataFrame, text: str) -> DataFrame:
+    """(docs' columns but text, cp, code, shown): the text's control characters and, as one row each with code 0, what stands
+    between two of them, in order. Windows over these see a few rows a paragraph and not a row a character."""
+    marks = "".join(f"\\x{c:02x}" for c in (FIELD_BEGIN, FIELD_SEPARATOR, FIELD_END, PARAGRAPH_END, CELL_END))
+    parts = F.regexp_extract_all(text, F.lit(f"([{marks}]|[^{marks}]+)"), F.lit(1))
+    rest = [c for c in docs.columns if c != text]
+    each = docs.select(*rest, F.posexplode(parts).alias("cp", "shown"))
+    mark = F.col("shown").rlike(f"^[{marks}]$")
+    return each.select(*rest, "cp", F.when(mark, F.ascii("shown")).otherwise(0).alias("code"), "shown")
+
+
 def _upto(by: list[str], at: str, before: bool = False):
     return W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1 if before else 0)
 
@@ -38,10 +49,13 @@ def hide_field_codes(chars: DataFrame, by: list[str], at: str = "cp", code: str
 
 
 def paragraphs(chars: DataFrame, by: list[str], at: str = "cp", code: str = "code") -> DataFrame:
-    """(by, par, start, in_cell, text): a paragraph ends with its mark, which it does not show; a cell's end ends one too."""
+    """(by, par, start, in_cell, text): a paragraph ends with its mark, which it does not show; a cell's end ends one too.
+
+    Rows are characters, or stretches of them with what they show (column shown).
+    """
     ends = F.col(code).isin(PARAGRAPH_END, CELL_END)
     numbered = chars.withColumn("par", F.coalesce(F.sum(ends.cast("int")).over(_upto(by, at, before=True)), F.lit(0)))
-    shown = F.when(~ends, F.char(F.col(code)))
+    shown = F.when(~ends, F.col("shown") if "shown" in chars.columns else F.char(F.col(code)))
     parts = F.array_sort(F.collect_list(F.struct(F.col(at).alias("k"), F.coalesce(shown, F.lit("")).alias("c"))))
     return numbered.groupBy(*by, "par").agg(F.min(at).alias("start"), F.bool_or(F.col(code) == CELL_END).alias("in_cell"), F.array_join(F.transform(parts, lambda p: p["c"]), "").alias("text"))
 

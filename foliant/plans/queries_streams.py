@@ -41,7 +41,7 @@ def _coded(text: Column) -> Column:
 SELECT doc_id, (len(string_split(text, chr(10))))::BIGINT AS paragraphs, md5(replace(regexp_replace(text, '[\x07\r]', '', 'g'), chr(10), ' and ' || chr(10))) AS text_md5 FROM documents""")
 def field_paragraphs(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", _coded(F.regexp_replace("text", r"[\x07\r]", "")).alias("text"))
-    chars = docs.select("doc_id", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("cp", "c")).select("doc_id", "cp", F.ascii("c").alias("code"))
+    chars = streams.stretches(docs, "text")
     found = streams.paragraphs(streams.hide_field_codes(chars, ["doc_id"]), ["doc_id"])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("par", "text"))), lambda p: p["text"]), "\n")
     # a text that ends with a line end has no characters after it, so the last paragraph is counted by its mark

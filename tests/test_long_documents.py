@@ -37,3 +37,13 @@ def test_lists_beside_the_number_of_the_outline(spark, kind):
     runs = spark.createDataFrame([(1, k, 0, f"t{k}") for k in range(5)], "doc_id long, ord int, run int, text string")
     back = source.read(sink.write(Document(blocks, runs), kind), kind).blocks.orderBy("ord").collect()
     assert [(r.ord, r.tag, r.ordered, r.numbered) for r in back] == [(0, "h1", None, True), (1, "li", False, False), (2, "li", True, False), (3, "li", False, False), (4, "li", True, False)]
+
+
+def test_fields_are_stretches(spark):
+    from foliant.operators import streams
+
+    docs = spark.createDataFrame([(1, "ab\x13 LINK \x13x\x14y\x15 \x14é and\x15\r\rend"), (2, "")], "doc_id long, text string")
+    rows = streams.stretches(docs, "text")
+    assert rows.count() == 15
+    shown = streams.paragraphs(streams.hide_field_codes(rows, ["doc_id"]), ["doc_id"]).orderBy("par").collect()
+    assert [(r.par, r.text) for r in shown] == [(0, "abé and"), (1, ""), (2, "end")]

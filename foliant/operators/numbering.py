@@ -7,16 +7,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text
+from foliant.session import written
 
 
 def outline_numbers(headings: DataFrame, by: list[str], order: str, level: str = "level") -> DataFrame:
-    """Adds n and label: the count of a heading among those of its level since the last shallower one, at any level."""
-    nested = list_nesting(headings, by, order, level, "_above")
-    w = W.partitionBy(*by, level, "_above").orderBy(order)
-    out = nested.withColumn("n", F.row_number().over(w).cast("long")).drop("_above")
+    """Adds n and label: the count of a heading among those of its level since the last shallower one, at any level.
+
+    With `by` empty, all rows are one document: it is cut into ranges that tasks number, see _one_outline.
+    """
+    if by:
+        nested = list_nesting(headings, by, order, level, "_above")
+        w = W.partitionBy(*by, level, "_above").orderBy(order)
+        out = nested.withColumn("n", F.row_number().over(w).cast("long")).drop("_above")
+    else:
+        out = _one_outline(headings, order, level)
     return out.withColumn("label", text.outline_label(F.col(level), F.col("n")))
 
 
+def _one_outline(headings: DataFrame, order: str, level: str) -> DataFrame:
+    """headings with n, where no window holds the whole document: ranges of it are nested and counted by themselves, and what
+    a range needs of those before it is, by level, their last heading (a row per range and level) and, by heading, how many
+    they have counted under it."""
+    ranges = written(headings.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    nested = list_nesting(ranges, ["_part"], order, level, "_here")
+    lasts = written(ranges.groupBy("_part", F.col(level).alias("_level")).agg(F.max(order).alias("_last")), "lasts")
+    asks = lasts.select(F.col("_part").alias("_p"), F.col("_level").alias("_l"))
+    before = asks.join(lasts, (F.col("_part") < F.col("_p")) & (F.col("_level") < F.col("_l"))).groupBy(F.col("_p").alias("_part"), F.col("_l").alias(level)).agg(F.max("_last").alias("_carried"))
+    placed = nested.join(before, ["_part", level], "left").withColumn("_above", F.coalesce("_here", "_carried")).drop("_here", "_carried")
+    placed = written(placed, "nested")
+    group = [level, "_above", "_part"]
+    counts = placed.groupBy(*group).agg(F.count("*").alias("_count"))
+    earlier = F.coalesce(F.sum("_count").over(W.partitionBy(level, "_above").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(group)], earlier.alias("_earlier"))
+    on = (F.col("_c0") == F.col(level)) & F.col("_c1").eqNullSafe(F.col("_above")) & (F.col("_c2") == F.col("_part"))
+    nth = F.row_number().over(W.partitionBy("_part", level, "_above").orderBy(order))
+    return placed.withColumn("_nth", nth).join(counts, on).withColumn("n", (F.col("_nth") + F.col("_earlier")).cast("long")).select(*headings.columns, "n")
+
+
 def list_numbers(items: DataFrame, instance: list[str], order: str, parent: str | None = None) -> DataFrame:
     """Adds n: 1, 2, ... in every list instance, and under every parent item of nested ones."""
     w = W.partitionBy(*instance, *([parent] if parent else [])).orderBy(order)

@@ -181,18 +181,18 @@ def replace_all(spark, sf):
 WITH h AS (SELECT r_regionkey AS r, 0 AS n, 0 AS s, 1 AS level, r_name AS title FROM region
  UNION ALL SELECT n_regionkey, n_nationkey + 1, 0, 2, n_name FROM nation
  UNION ALL SELECT n_regionkey, n_nationkey + 1, s_suppkey, 3, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-c AS (SELECT level, title, CASE level WHEN 1 THEN 1 WHEN 2 THEN row_number() OVER (PARTITION BY level, r ORDER BY n) ELSE row_number() OVER (PARTITION BY level, r, n ORDER BY s) END AS n FROM h),
+c AS (SELECT level, title, CASE level WHEN 1 THEN dense_rank() OVER (PARTITION BY level ORDER BY r) WHEN 2 THEN row_number() OVER (PARTITION BY level, r ORDER BY n) ELSE row_number() OVER (PARTITION BY level, r, n ORDER BY s) END AS n FROM h),
 k AS (SELECT ['가','나','다','라','마','바','사','아','자','차','카','타','파','하'] AS g)
 SELECT level, title, n::BIGINT AS n, CASE level WHEN 1 THEN n || '.' WHEN 2 THEN (CASE WHEN n <= 14 THEN g[n] ELSE g[((n - 1) // 14 - 1) % 14 + 1] || g[(n - 1) % 14 + 1] END) || '.' ELSE n || ')' END AS label FROM c, k""")
 def outline_numbers(spark, sf):
-    """A document for every region: its nations are the second level, their suppliers the third."""
+    """One document: regions are its first level, their nations the second, the nations' suppliers the third."""
     r, n, s = (table(spark, sf, t) for t in ("region", "nation", "supplier"))
     key = lambda *k: F.format_string("%06d-%06d-%09d", *k)
     zero = F.lit(0)
     heads = r.select(key(F.col("r_regionkey"), zero, zero).alias("path"), F.lit(1).alias("level"), F.col("r_name").alias("title"))
     heads = heads.unionByName(n.select(key(F.col("n_regionkey"), F.col("n_nationkey") + 1, zero).alias("path"), F.lit(2).alias("level"), F.col("n_name").alias("title")))
     deep = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(key(F.col("n_regionkey"), F.col("n_nationkey") + 1, F.col("s_suppkey") + 1).alias("path"), F.lit(3).alias("level"), F.col("s_name").alias("title"))
-    return numbering.outline_numbers(heads.unionByName(deep).withColumn("doc", F.substring("path", 1, 6)), ["doc"], "path").select("level", "title", "n", "label")
+    return numbering.outline_numbers(heads.unionByName(deep), [], "path").select("level", "title", "n", "label")
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem")

@@ -57,3 +57,22 @@ def test_styles_are_inherited_without_pairs(spark):
     styled = tree.inherited_styles(nodes)
     assert [(r.text, r.size_pt, r.color) for r in styled.orderBy("node_id").collect()] == [("x", 12.0, "#00FF00"), ("y", 10.0, "#00FF00")]
     assert "_top" not in styled._jdf.queryExecution().toString() and "distance" not in styled._jdf.queryExecution().toString()
+
+
+def test_one_outline_in_ranges(spark):
+    from foliant.operators import numbering
+
+    levels = [1, 2, 3, 3, 2, 3, 1, 3, 2, 3, 3, 1] * 40
+    rows = [(k, level) for k, level in enumerate(levels)]
+    heads = spark.createDataFrame(rows, "at int, level int")
+    counts, want = {}, []
+    for level in levels:
+        counts = {x: n for x, n in counts.items() if x <= level}
+        counts[level] = counts.get(level, 0) + 1
+        want.append(counts[level])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    try:
+        made = numbering.outline_numbers(heads, [], "at")
+        assert [r.n for r in made.orderBy("at").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -3,7 +3,8 @@
 A byte-level BPE tokenizer splits a text before a space that a visible character
 follows, whatever stands around it, so such units can be encoded one by one.
 Natural text repeats its units; a bounded cache of them saves most of the merging
-work. Texts that hold the string of an added token, and all texts where the file
+work. Units of Latin letters are one pre-token each: they go to the library's model
+alone, which saves looking for pre-tokens and places in them. Texts that hold the string of an added token, and all texts where the file
 has another pre-tokenizer, a normalizer or a post-processor, are encoded whole.
 """
 
@@ -14,6 +15,7 @@ import os
 import re
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -24,6 +26,8 @@ _ODD = re.compile(r" (?=\s)| $")
 _CUT = re.compile(r" (?=\S)")
 _TAIL = ".,!?;:#$%&*|"
 _MARKS = frozenset(_TAIL)
+#: Latin letters: a run of them is one pre-token, with the space before it.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -57,6 +61,11 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
+        if self.by_units:  # what the pre-tokenizer makes of a space and of the letters that are not ASCII
+            shown = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.space = shown(" ")[0][0]
+            self.letters = {c: shown(chr(c))[0][0] for c in range(0xC0, 0x250) if _LETTERS(chr(c))}
+            self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}  # of a unit without its space: the ids of the space and the unit
         self.heads: dict[str, bytes] = {}  # of what stands before a text's first cut
 
@@ -71,6 +80,26 @@ class Encoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
         return out
 
+    def _words(self, words: list[str], before: str) -> Iterator[tuple[str, bytes]]:
+        """Words of Latin letters with their ids, by the model alone: each is one pre-token, with `before` in front of it."""
+        split, letters = self.model.tokenize, self.letters
+        width = self.dtype.itemsize
+        for i in range(0, len(words), 4096):
+            some, ids, ends = words[i : i + 4096], [], []
+            for word in some:
+                ids += [t.id for t in split(before + (word if word.isascii() else word.translate(letters)))]
+                ends.append(len(ids) * width)
+            raw, start = np.array(ids, self.dtype).tobytes(), 0
+            for word, end in zip(some, ends):
+                yield word, raw[start:end]
+                start = end
+
+    def _learn_heads(self, firsts: set[str]) -> None:
+        words = [x for x in firsts if _LETTERS(x)]
+        self.heads.update(self._words(words, ""))
+        rest = list(firsts.difference(words))
+        self.heads.update(zip(rest, self._encode(rest)))
+
     def _lines(self, units: set[str]) -> list[tuple[str, list[str]]]:
         """Units that hold lone line ends between visible characters, with their lines: a lone line end is a token of its own,
         and what follows it begins like a text."""
@@ -85,8 +114,7 @@ class Encoder:
         if not lined:
             return self._learn_words(units)
         self._learn_words(units.difference(u for u, _ in lined).union(lines[0] for _, lines in lined).difference(self.cache))
-        firsts = list({x for _, lines in lined for x in lines[1:]}.difference(self.heads))
-        self.heads.update(zip(firsts, self._encode(firsts)))
+        self._learn_heads({x for _, lines in lined for x in lines[1:]}.difference(self.heads))
         end = np.array([self.newline], self.dtype).tobytes()
         known, heads = self.cache, self.heads
         for unit, lines in lined:
@@ -108,6 +136,9 @@ class Encoder:
             else:
                 cores.add(unit)
         cores = cores.difference(known)
+        words = [u for u in cores if _LETTERS(u)]
+        known.update(self._words(words, self.space))
+        cores.difference_update(words)
         # printable units without a space have no white space at all
         plain = [u for u in cores if u.isprintable() and " " not in u and u] if self.newline is not None else []
         width = self.dtype.itemsize
@@ -149,8 +180,8 @@ class Encoder:
             seen.update(units)
         new = seen.difference(self.cache)
         self._learn(new)
-        firsts = list(set(heads).difference(self.heads))
-        self.heads.update(zip(firsts, self._encode(firsts)))
+        firsts = set(heads).difference(self.heads)
+        self._learn_heads(firsts)
         find = self.cache.__getitem__
         out = [np.frombuffer(self.heads[head] + b"".join(map(find, units)), self.dtype) for head, units in zip(heads, split)]
         for cache, units in ((self.cache, new), (self.heads, firsts)):

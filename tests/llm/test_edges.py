@@ -52,3 +52,19 @@ def test_null_ids_lose_to_numbered_ones(spark):
     got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_substrings(docs).collect()}
     assert got[5] == 0 and got[None] >= len(text)
     assert suffix_dedup.dedup_substrings(docs.filter("doc_id is null")).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_words_of_letters_go_to_the_model_alone():
+    """Ids are those of the library for whole texts, and the pre-tokenizer is not asked about words of Latin letters."""
+    from foliant.llm.tokens import Encoder, vocabulary
+
+    e = Encoder(vocabulary())
+    texts = ["Über größere Wörter, señor\nThe same\n\nȺll ɏ", "ÀÖØöøÿ Àé×é ÷é éÞ é.é it's éͰ", *[f"{chr(c)} a{chr(c)}b {chr(c)}\n{chr(c)}z" for c in range(0x20, 0x300)]]
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in e.encode(texts)] == want
+    asked = []
+    encode = e._encode
+    e._encode = lambda units: (asked.extend(units), encode(units))[1]
+    e.tokenizer = None  # words of letters need it no more
+    assert [len(ids) > 0 for ids in e.encode(["naïve Straße", "mañana"])] == [True, True]
+    assert asked == []

@@ -25,6 +25,15 @@ def get_session(app: str = "foliant", cores: str = "*", shuffle_partitions: int
     )
 
 
+#: Bytes of an Arrow batch of packages, pages or pieces of them; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is given at once, however many rows a partition has."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 

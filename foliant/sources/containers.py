@@ -13,10 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import bounded_batches
+
 CFB_MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 #: Path of the entry that tells a zip's format.
 MARKERS = {"docx": "word/document.xml", "hwpx": "Contents/header.xml", "odt": "content.xml"}
 ENTRY = "doc_id long, path string, ord int, method int, data binary, error string"
+#: Bytes of the entries of a frame, about, and its entries.
+FRAME_BYTES, FRAME_ROWS = 8 << 20, 10_000
 RECORD = "doc_id long, stream string, seq int, tag int, level int, payload binary, error string"
 
 
@@ -104,21 +108,44 @@ def with_format(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("_names", entry_names(F.col(content))).withColumn("format", F.when(zipped, by_marker).when(compound & F.coalesce(word, F.lit(False)), "doc").when(compound, "hwp")).drop("_names")
 
 
+def _entry_frames(found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Frames of entries that hold no more bytes at once than a few pictures have."""
+    frame = lambda: pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")]).astype({"ord": "Int32", "method": "Int32"})
+    rows: list[tuple] = []
+    size = 0
+    for row in found:
+        rows.append(row)
+        size += len(row[4] or b"")
+        if size >= FRAME_BYTES or len(rows) >= FRAME_ROWS:
+            yield frame()
+            rows, size = [], 0
+    if rows:
+        yield frame()
+
+
 def zip_entries(files: DataFrame, parts: list[str] | str | None = None, content: str = "content") -> DataFrame:
     """One row per entry (of the named parts, or those that match a pattern); a damaged package gives one row with an error."""
     wanted = (lambda name: True) if parts is None else re.compile(parts).fullmatch if isinstance(parts, str) else frozenset(parts).__contains__
 
+    def entries(doc_id, data: bytes) -> Iterator[tuple]:
+        """The wanted entries one by one, once all of these were read to their checksums."""
+        try:
+            z = zipfile.ZipFile(io.BytesIO(data))
+            found = [(k, i) for k, i in enumerate(z.infolist()) if wanted(i.filename)]
+            for _, info in found:
+                with z.open(info) as f:
+                    while f.read(1 << 16):
+                        pass
+        except Exception as e:
+            yield doc_id, None, None, None, None, f"{type(e).__name__}: {e}"
+            return
+        for k, info in found:
+            yield doc_id, info.filename, k, info.compress_type, z.read(info), None
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for doc_id, data in zip(pdf["doc_id"], pdf[content]):
-                try:
-                    z = zipfile.ZipFile(io.BytesIO(data))
-                    rows += [(doc_id, i.filename, k, i.compress_type, z.read(i), None) for k, i in enumerate(z.infolist()) if wanted(i.filename)]
-                except Exception as e:
-                    rows.append((doc_id, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")]).astype({"ord": "Int32", "method": "Int32"})
+        yield from _entry_frames(row for pdf in frames for doc_id, data in zip(pdf["doc_id"], pdf[content]) for row in entries(doc_id, data))
 
+    bounded_batches(files.sparkSession)
     return files.select("doc_id", content).mapInPandas(run, ENTRY)
 
 

@@ -12,6 +12,8 @@ from xml.parsers import expat
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliant.session import bounded_batches
+
 MAX_DEPTH = 256
 NODE = "doc_id long, part string, node_id int, parent_id int, depth int, name string, attrs map<string,string>, text string, block_id int, path string, parent_name string, error string, last_id int, post_id int, cell_id int, outer_id int"
 COLUMNS = [c.split()[0] for c in NODE.split(", ")]
@@ -208,6 +210,7 @@ def xml_nodes(parts: DataFrame, blocks: list[str], cells: list[str] = (), outers
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _frames(some for pdf in frames for i, part, data in zip(pdf["doc_id"], pdf["path"], pdf["data"]) if data is not None for some in xml_stream(i, part, (data[at : at + PIECE] for at in range(0, len(data), PIECE)), *names))
 
+    bounded_batches(parts.sparkSession)
     return parts.select("doc_id", "path", "data").mapInPandas(run, NODE)
 
 
@@ -241,6 +244,7 @@ def package_nodes(files: DataFrame, parts: str, blocks: list[str], cells: list[s
         packages = ((i, *p) for pdf in frames for i, data in zip(pdf["doc_id"], pdf[content]) if (p := opened(data)) is not None)
         yield from _frames(some for i, z, found in packages for info in found for some in xml_stream(i, info.filename, pieces(z, info), *names))
 
+    bounded_batches(files.sparkSession)
     return files.select("doc_id", content).mapInPandas(run, NODE)
 
 
@@ -253,4 +257,5 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _frames(some for pdf in frames for i, html in zip(pdf["doc_id"], pdf["html"]) for some in html_stream(i, html, *names))
 
+    bounded_batches(pages.sparkSession)
     return pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(run, NODE)

@@ -76,3 +76,26 @@ def test_one_outline_in_ranges(spark):
         assert [r.n for r in made.orderBy("at").collect()] == want
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_pictures_of_many_packages_are_no_frame_of_their_own():
+    """Entries leave a worker by bytes, not by batches of packages."""
+    from foliant.sources.containers import FRAME_BYTES, _entry_frames
+
+    made = ((k, f"a{k}.png", 0, 8, bytes(1 << 20), None) for k in range(40))
+    sizes = [(len(f), f["data"].map(len).sum()) for f in _entry_frames(made)]
+    assert sum(n for n, _ in sizes) == 40
+    assert max(size for _, size in sizes) <= FRAME_BYTES + (1 << 20)
+
+
+def test_damaged_packages_beside_whole_ones(spark):
+    """Batches are bounded by bytes; a damaged package is one row with an error, and the others are read."""
+    from foliant.session import BATCH_BYTES
+    from foliant.sinks.packages import zipped
+    from foliant.sources.containers import zip_entries
+
+    whole = zipped({"a.png": b"1" * 100, "b.xml": "<a/>", "c.png": b"2"})
+    files = spark.createDataFrame([(1, whole), (2, whole[:-30]), (3, whole), (4, None)], "doc_id long, content binary").coalesce(1)
+    got = sorted((r.doc_id, r.path or "", len(r.data or b""), r.error is None) for r in zip_entries(files, r".*\.png").collect())
+    assert got == [(1, "a.png", 100, True), (1, "c.png", 1, True), (2, "", 0, False), (3, "a.png", 100, True), (3, "c.png", 1, True), (4, "", 0, False)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) == BATCH_BYTES

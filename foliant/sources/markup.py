@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import chain, groupby
 from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliant.session import bounded_batches
 
@@ -20,6 +23,8 @@ COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 #: Nodes and characters of a frame, about, and what is parsed at once: bytes of XML, characters of HTML.
 FRAME_ROWS, FRAME_CHARS = 20_000, 8_000_000
 PIECE, HTML_PIECE = 1 << 16, 1 << 20
+#: Bytes of a page that a worker is given at once: as many as HTML_PIECE characters have at most.
+PAGE_BYTES = 4 * HTML_PIECE
 # fixed values: elements without content, elements whose text is raw, and the vocabulary of blocks
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style".split())
@@ -163,14 +168,15 @@ class _Html(HTMLParser):
         self.to.text(data)
 
 
-def html_stream(doc_id, html: str, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> Iterator[list[list]]:
-    """The nodes of a page, as they end: it is fed in pieces."""
+def html_stream(doc_id, html: Iterable[str], blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> Iterator[list[list]]:
+    """The nodes of a page that comes in pieces, as they end."""
     rows = _Rows(doc_id, "html", blocks, cells, outers)
     try:
         parser = _Html(rows)
-        for at in range(0, len(html), HTML_PIECE):
-            parser.feed(html[at : at + HTML_PIECE])
-            yield rows.taken()
+        for some in html:
+            for at in range(0, len(some), HTML_PIECE):
+                parser.feed(some[at : at + HTML_PIECE])
+                yield rows.taken()
         parser.close()
         rows._say()
         rows.leave(0)
@@ -181,7 +187,7 @@ def html_stream(doc_id, html: str, blocks: frozenset[str], cells: frozenset[str]
 
 def html_rows(doc_id, html: str, blocks: frozenset[str], cells: frozenset[str] = frozenset(), outers: frozenset[str] = frozenset()) -> list[list]:
     """All nodes of a page, in document order."""
-    return _in_order(html_stream(doc_id, html, blocks, cells, outers))
+    return _in_order(html_stream(doc_id, [html], blocks, cells, outers))
 
 
 def _frame(rows: list[list]) -> pd.DataFrame:
@@ -195,7 +201,7 @@ def _frames(found: Iterator[list[list]]) -> Iterator[pd.DataFrame]:
     for some in found:
         for row in some:
             rows.append(row)
-            size += len(row[7] or "") + len(row[9])
+            size += len(row[7] or "") + len(row[9]) + sum(map(len, (row[6] or {}).values()))
             if len(rows) >= FRAME_ROWS or size >= FRAME_CHARS:
                 yield _frame(rows)
                 rows, size = [], 0
@@ -248,14 +254,35 @@ def package_nodes(files: DataFrame, parts: str, blocks: list[str], cells: list[s
     return files.select("doc_id", content).mapInPandas(run, NODE)
 
 
-def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", blocks: list[str] | None = None, cells: list[str] = ("td", "th"), outers: list[str] = ("doc-footnote", "doc-header", "doc-footer")) -> DataFrame:
-    """The nodes of HTML pages."""
-    from pyspark.sql import functions as F
+def page_pieces(pages: DataFrame) -> DataFrame:
+    """(doc_id, at, data): the bytes of pages (doc_id, html) in pieces, at least one a page, those of a page in order."""
+    count = F.greatest(F.ceil(F.octet_length("html") / PAGE_BYTES), F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(F.col("html").cast("binary"), k * PAGE_BYTES + 1, PAGE_BYTES))
+    return pages.select("doc_id", F.posexplode_outer(cut).alias("at", "data"))
+
+
+def _pages(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(doc_id, texts) of the pages whose pieces (doc_id, at, data) follow one another."""
+    nth = 0
 
+    def page(row: tuple) -> int:
+        nonlocal nth
+        nth += row[1] == 0
+        return nth
+
+    for _, own in groupby(rows, page):
+        first = next(own)
+        yield first[0], codecs.iterdecode((row[2] for row in chain([first], own)), "utf-8", "replace")
+
+
+def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", blocks: list[str] | None = None, cells: list[str] = ("td", "th"), outers: list[str] = ("doc-footnote", "doc-header", "doc-footer")) -> DataFrame:
+    """The nodes of HTML pages. Pages leave Spark by pieces: a worker holds one of these and one frame of nodes, however
+    long a page is."""
     names = [frozenset(x) for x in (blocks or ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "doc-footnote"], cells, outers)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames(some for pdf in frames for i, html in zip(pdf["doc_id"], pdf["html"]) for some in html_stream(i, html, *names))
+        rows = (row for pdf in frames for row in zip(pdf["doc_id"], pdf["at"], pdf["data"]))
+        yield from _frames(some for i, html in _pages(rows) for some in html_stream(i, html, *names))
 
     bounded_batches(pages.sparkSession)
-    return pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(run, NODE)
+    return page_pieces(pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))).mapInPandas(run, NODE)

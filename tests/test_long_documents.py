@@ -99,3 +99,22 @@ def test_damaged_packages_beside_whole_ones(spark):
     got = sorted((r.doc_id, r.path or "", len(r.data or b""), r.error is None) for r in zip_entries(files, r".*\.png").collect())
     assert got == [(1, "a.png", 100, True), (1, "c.png", 1, True), (2, "", 0, False), (3, "a.png", 100, True), (3, "c.png", 1, True), (4, "", 0, False)]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) == BATCH_BYTES
+
+
+def test_pages_come_to_a_worker_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(markup, "PAGE_BYTES", 7)
+    html = {1: "<p id='a'>가나다 &amp; é&lt;b&gt;</p><br>" * 3, 2: "", 3: "<div>" * 300 + "too deep, and more of it", 4: "x<p>😀 end"}
+    pages = spark.createDataFrame([*html.items(), (5, None)], "doc_id long, html string").coalesce(1)
+    pieces = markup.page_pieces(pages.fillna("")).collect()
+    assert max(len(r.data) for r in pieces) == 7 and {i: b"".join(r.data for r in pieces if r.doc_id == i).decode() for i in html} == html
+    got = {i: [] for i in (*html, 5)}
+    for r in markup.html_nodes(pages, "doc_id").orderBy("node_id").collect():
+        got[r.doc_id].append((r.node_id, r.name, r.text, r.path, r.error))
+    blocks = frozenset(["p"])
+    assert got == {i: [(r[2], r[5], r[7], r[9], r[11]) for r in markup.html_rows(i, text, blocks)] for i, text in {**html, 5: ""}.items()}
+
+
+def test_frames_are_bounded_by_attributes_too():
+    made = ([["", "", k, None, 0, "img", {"src": "x" * (1 << 20)}, None, None, "", None, None, k, k, None, None]] for k in range(40))
+    sizes = [len(f) for f in markup._frames(made)]
+    assert sum(sizes) == 40 and max(sizes) <= 8

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +42,11 @@ LINK_COLOR, OUTLINE_NUM = "#0563C1", 900
 BASE_FONT = "함초롬바탕"
 
 
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows that no Python worker makes, as those do that createDataFrame makes of a list."""
+    return spark.range(1).limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in map(str.split, schema.split(", "))])
+
+
 @dataclass
 class Document:
     blocks: DataFrame
@@ -54,10 +59,10 @@ class Document:
         fill = lambda df, known: df.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in df.columns})
         self.blocks, self.runs = fill(self.blocks, BLOCK), fill(self.runs, RUN)
         spark = self.blocks.sparkSession
-        self.cells = self.cells if self.cells is not None else spark.createDataFrame([], "doc_id long, ord int, row int, col int, row_span int, col_span int, width double, text string")
+        self.cells = self.cells if self.cells is not None else _empty(spark, "doc_id long, ord int, row int, col int, row_span int, col_span int, width double, text string")
         self.cells = fill(self.cells, CELL)
-        self.images = self.images if self.images is not None else spark.createDataFrame([], "doc_id long, image string, ext string, data binary")
-        self.notes = self.notes if self.notes is not None else spark.createDataFrame([], "doc_id long, note int, text string")
+        self.images = self.images if self.images is not None else _empty(spark, "doc_id long, image string, ext string, data binary")
+        self.notes = self.notes if self.notes is not None else _empty(spark, "doc_id long, note int, text string")
 
     def stored(self) -> Document:
         """With its tables written once, as writers use each of them several times, and each edge of a table as one border."""

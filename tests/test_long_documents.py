@@ -118,3 +118,11 @@ def test_frames_are_bounded_by_attributes_too():
     made = ([["", "", k, None, 0, "img", {"src": "x" * (1 << 20)}, None, None, "", None, None, k, k, None, None]] for k in range(40))
     sizes = [len(f) for f in markup._frames(made)]
     assert sum(sizes) == 40 and max(sizes) <= 8
+
+
+def test_tables_that_a_document_lacks_start_no_worker(spark):
+    blocks = spark.range(1).selectExpr("id as doc_id", "0 as ord", "'p' as tag")
+    doc = Document(blocks, blocks.selectExpr("doc_id", "ord", "0 as run", "'x' as text"))
+    for name, columns in (("cells", ["row", "row_span"]), ("notes", ["note", "text"]), ("images", ["ext", "data"])):
+        df = getattr(doc, name)
+        assert df.count() == 0 and set(columns) < set(df.columns) and "RDD" not in df._jdf.queryExecution().analyzed().toString()

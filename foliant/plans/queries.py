@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import color, text, units
 from foliant.operators import edits, layout, numbering, ordered, tables
 from foliant.plans import ir
-from foliant.session import table
+from foliant.session import table, written
 from foliant.sinks import packages as sink
 from foliant.sources import containers, document, markup, packages
 from foliant.streaming import sessions
@@ -46,7 +46,7 @@ def doc_paragraph_stats(spark, sf):
 
 def _roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     blocks = ir.blocks_of_text(table(spark, sf, "documents"))
-    back = packages.read_text(sink.write(blocks, kind), kind)
+    back = packages.read_text(written(sink.write(blocks, kind), "packages"), kind)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), "\n")
     return back.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"), F.md5(joined.cast("binary")).alias("text_md5"))
 

@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 from itertools import chain, groupby
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +19,10 @@ from foliant.session import bounded_batches
 
 MAX_DEPTH = 256
 NODE = "doc_id long, part string, node_id int, parent_id int, depth int, name string, attrs map<string,string>, text string, block_id int, path string, parent_name string, error string, last_id int, post_id int, cell_id int, outer_id int"
-COLUMNS = [c.split()[0] for c in NODE.split(", ")]
+#: The same for Arrow: workers make its batches themselves, as one with pandas loaded is half as large again.
+NODE_ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(t, pa.map_(pa.string(), pa.string()))) for n, t in map(str.split, NODE.split(", "))])
 #: Nodes and characters of a frame, about, and what is parsed at once: bytes of XML, characters of HTML.
-FRAME_ROWS, FRAME_CHARS = 20_000, 8_000_000
+FRAME_ROWS, FRAME_CHARS = 4_000, 2_000_000
 PIECE, HTML_PIECE = 1 << 16, 1 << 20
 #: Bytes of a page that a worker is given at once: as many as HTML_PIECE characters have at most.
 PAGE_BYTES = 4 * HTML_PIECE
@@ -190,12 +191,14 @@ def html_rows(doc_id, html: str, blocks: frozenset[str], cells: frozenset[str] =
     return _in_order(html_stream(doc_id, [html], blocks, cells, outers))
 
 
-def _frame(rows: list[list]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=COLUMNS).astype({c: "Int32" for c in ("parent_id", "block_id", "last_id", "post_id", "cell_id", "outer_id")})
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    columns = [list(c) for c in zip(*rows)]
+    columns[6] = [None if a is None else list(a.items()) for a in columns[6]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, NODE_ARROW)], schema=NODE_ARROW)
 
 
-def _frames(found: Iterator[list[list]]) -> Iterator[pd.DataFrame]:
-    """Few large frames of many small lists."""
+def _frames(found: Iterator[list[list]]) -> Iterator[list[list]]:
+    """Few large lists of many small ones."""
     rows: list[list] = []
     size = 0
     for some in found:
@@ -203,21 +206,29 @@ def _frames(found: Iterator[list[list]]) -> Iterator[pd.DataFrame]:
             rows.append(row)
             size += len(row[7] or "") + len(row[9]) + sum(map(len, (row[6] or {}).values()))
             if len(rows) >= FRAME_ROWS or size >= FRAME_CHARS:
-                yield _frame(rows)
+                yield rows
                 rows, size = [], 0
     if rows:
-        yield _frame(rows)
+        yield rows
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, one by one."""
+    for batch in batches:
+        columns = batch.columns
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in columns)
 
 
 def xml_nodes(parts: DataFrame, blocks: list[str], cells: list[str] = (), outers: list[str] = ()) -> DataFrame:
     """The nodes of XML parts (doc_id, path, data); block_id, cell_id and outer_id are the nearest ancestors of these names."""
     names = [frozenset(x) for x in (blocks, cells, outers)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames(some for pdf in frames for i, part, data in zip(pdf["doc_id"], pdf["path"], pdf["data"]) if data is not None for some in xml_stream(i, part, (data[at : at + PIECE] for at in range(0, len(data), PIECE)), *names))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(_batch, _frames(some for i, part, data in _rows(batches) if data is not None for some in xml_stream(i, part, (data[at : at + PIECE] for at in range(0, len(data), PIECE)), *names)))
 
     bounded_batches(parts.sparkSession)
-    return parts.select("doc_id", "path", "data").mapInPandas(run, NODE)
+    return parts.select("doc_id", "path", "data").mapInArrow(run, NODE)
 
 
 def package_nodes(files: DataFrame, parts: str, blocks: list[str], cells: list[str] = (), outers: list[str] = (), content: str = "content") -> DataFrame:
@@ -246,12 +257,12 @@ def package_nodes(files: DataFrame, parts: str, blocks: list[str], cells: list[s
         except Exception:  # zip_entries says what is wrong with it
             return None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packages = ((i, *p) for pdf in frames for i, data in zip(pdf["doc_id"], pdf[content]) if (p := opened(data)) is not None)
-        yield from _frames(some for i, z, found in packages for info in found for some in xml_stream(i, info.filename, pieces(z, info), *names))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packages = ((i, *p) for i, data in _rows(batches) if (p := opened(data)) is not None)
+        yield from map(_batch, _frames(some for i, z, found in packages for info in found for some in xml_stream(i, info.filename, pieces(z, info), *names)))
 
     bounded_batches(files.sparkSession)
-    return files.select("doc_id", content).mapInPandas(run, NODE)
+    return files.select("doc_id", content).mapInArrow(run, NODE)
 
 
 def page_pieces(pages: DataFrame) -> DataFrame:
@@ -280,9 +291,8 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     long a page is."""
     names = [frozenset(x) for x in (blocks or ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "doc-footnote"], cells, outers)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for pdf in frames for row in zip(pdf["doc_id"], pdf["at"], pdf["data"]))
-        yield from _frames(some for i, html in _pages(rows) for some in html_stream(i, html, *names))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(_batch, _frames(some for i, html in _pages(_rows(batches)) for some in html_stream(i, html, *names)))
 
     bounded_batches(pages.sparkSession)
-    return page_pieces(pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))).mapInPandas(run, NODE)
+    return page_pieces(pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))).mapInArrow(run, NODE)

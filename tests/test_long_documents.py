@@ -126,3 +126,25 @@ def test_tables_that_a_document_lacks_start_no_worker(spark):
     for name, columns in (("cells", ["row", "row_span"]), ("notes", ["note", "text"]), ("images", ["ext", "data"])):
         df = getattr(doc, name)
         assert df.count() == 0 and set(columns) < set(df.columns) and "RDD" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_workers_of_packages_load_no_pandas(spark):
+    """Packing and parsing are Arrow alone: a worker with pandas is half as large again."""
+    blocks = spark.createDataFrame([(1, 0, "p", "one"), (1, 1, "p", "two & more"), (2, 0, "h1", "x")], "doc_id long, ord int, tag string, text string")
+    files = packages.write(blocks, "docx")
+    back = source.packages.nodes_of(files, "docx")
+    plans = files._jdf.queryExecution().toString() + back._jdf.queryExecution().toString()
+    assert "MapInArrow" in plans and "MapInPandas" not in plans and "ArrowEvalPython" not in plans
+    assert "pd" not in vars(packages) and "pd" not in vars(markup)
+    assert sorted((r.doc_id, r.ord, r.text) for r in source.packages.read_text(files, "docx").collect()) == [(1, 0, "one"), (1, 1, "two & more"), (2, 0, "x")]
+
+
+def test_bodies_come_to_a_worker_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(markup, "PAGE_BYTES", 7)
+    monkeypatch.setattr(packages, "BATCH_ROWS", 2)
+    texts = {k: "가나다 & é 😀 " * k for k in range(5)}
+    bodies = spark.createDataFrame([(k // 2, t.replace("&", "&amp;")) for k, t in texts.items()], "doc_id long, xml string").coalesce(1)
+    made = [zipfile.ZipFile(io.BytesIO(r.content)) for r in packages.package_body(bodies, "odt").collect()]
+    _, before, after, fixed = packages._BODY["odt"]
+    assert [z.read("content.xml").decode() for z in made] == [before + t.replace("&", "&amp;") + after for t in texts.values()]
+    assert all(set(z.namelist()) == {"content.xml", *fixed} for z in made)

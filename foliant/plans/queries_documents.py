@@ -15,6 +15,12 @@ from foliant.sources import document as source
 KINDS = ("docx", "odt", "hwpx")
 
 
+def through(doc: Document, kind: str) -> Document:
+    """A document written as packages and read back. The packages are stored between: no task has a worker that zips and
+    another that parses, and pictures are read without packing again."""
+    return source.read(written(sink.write(doc, kind), "packages"), kind)
+
+
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     """A document for every nation, a block for each of its customers (k), in order."""
     ord_ = (F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).alias("ord")
@@ -41,7 +47,7 @@ UNION ALL SELECT doc_id, ord, 1, c_mktsegment, false, true, true, false, '#0000F
 
 
 def _styled_roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    runs = source.read(sink.write(_styled(spark, sf), kind), kind).runs
+    runs = through(_styled(spark, sf), kind).runs
     return runs.select("doc_id", "ord", "run", "text", "bold", "italic", "underline", "strike", "color", "size", F.nullif("font", F.lit(sink.BASE_FONT)).alias("font"), "position", "link")
 
 
@@ -69,7 +75,7 @@ SELECT kind, doc_id, ord, CASE k % 3 WHEN 0 THEN 'center' WHEN 1 THEN 'right' EN
 def paragraph_shapes_roundtrip(spark, sf):
     out = None
     for kind in KINDS:
-        one = source.read(sink.write(_styled(spark, sf), kind), kind).blocks.select(F.lit(kind).alias("kind"), "doc_id", "ord", "align", "left", "first_line", "page_break")
+        one = through(_styled(spark, sf), kind).blocks.select(F.lit(kind).alias("kind"), "doc_id", "ord", "align", "left", "first_line", "page_break")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -88,7 +94,7 @@ SELECT doc_id, ord, tag, c_name AS text, CASE WHEN tag = 'li' THEN CASE ord % 8
 
 
 def _list_roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    return source.read(sink.write(_listed(spark, sf), kind), kind).blocks.select("doc_id", "ord", "tag", "text", "level", "ordered", "numbered")
+    return through(_listed(spark, sf), kind).blocks.select("doc_id", "ord", "tag", "text", "level", "ordered", "numbered")
 
 
 @query(_LISTS_SQL)
@@ -135,7 +141,7 @@ UNION ALL SELECT doc_id, 'pages', last + 1, 2, '' FROM n"""
 
 def _note_roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Notes with the block of their reference, texts by their band, fields by their place."""
-    back = source.read(sink.write(_noted(spark, sf), kind), kind)
+    back = through(_noted(spark, sf), kind)
     runs = written(back.runs.select("doc_id", "ord", "run", "note", "field"), "runs")
     refs = runs.filter("note is not null").select("doc_id", "note", F.col("ord").alias("at"))
     row = lambda df, what, place, at, text: df.select("doc_id", what.alias("what"), place.cast("int").alias("place"), at.cast("int").alias("at"), text.alias("text"))
@@ -182,7 +188,7 @@ UNION ALL SELECT doc_id, i + 1, 1, 1, 1, n_name FROM n"""
 
 
 def _table_roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    cells = source.read(sink.write(_tabled(spark, sf), kind), kind).cells
+    cells = through(_tabled(spark, sf), kind).cells
     return cells.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("row", "col", "row_span", "col_span")], "text")
 
 
@@ -231,7 +237,7 @@ def _package_to_ir(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     from foliant.plans import document_ir, ir
     from foliant.sources import markup
 
-    pages = written(document_ir.to_ir(sink.write(_listed(spark, sf), kind), kind), "pages")
+    pages = written(document_ir.to_ir(written(sink.write(_listed(spark, sf), kind), "packages"), kind), "pages")
     bad = ir.validate(markup.html_nodes(pages, "doc_id")).groupBy("doc_id").agg(F.count("*").alias("violations"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "|")
     back = document_ir.read_ir(pages).runs.groupBy("doc_id").agg(F.md5(text.cast("binary")).alias("text_md5"))

@@ -148,3 +148,15 @@ def test_bodies_come_to_a_worker_in_pieces(spark, monkeypatch):
     _, before, after, fixed = packages._BODY["odt"]
     assert [z.read("content.xml").decode() for z in made] == [before + t.replace("&", "&amp;") + after for t in texts.values()]
     assert all(set(z.namelist()) == {"content.xml", *fixed} for z in made)
+
+
+def test_a_round_trip_reads_stored_packages(spark, monkeypatch):
+    """No task has a worker that zips and another that parses."""
+    from foliant.plans import queries_documents
+
+    blocks = spark.range(2).selectExpr("id as doc_id", "0 as ord", "'p' as tag")
+    seen, read = [], queries_documents.source.read
+    monkeypatch.setattr(queries_documents.source, "read", lambda files, kind: seen.append(files) or read(files, kind))
+    back = queries_documents.through(Document(blocks, blocks.selectExpr("doc_id", "ord", "0 as run", "'x' as text")), "docx")
+    assert "MapInArrow" not in seen[0]._jdf.queryExecution().toString() and seen[0].count() == 2
+    assert sorted((r.doc_id, r.text) for r in back.runs.collect()) == [(0, "x"), (1, "x")]

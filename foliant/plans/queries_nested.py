@@ -7,10 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.plans.queries import query
+from foliant.plans.queries_documents import through
 from foliant.session import table
-from foliant.sinks import document as sink
 from foliant.sinks.document import Document
-from foliant.sources import document as source
 
 
 def _nested(spark: SparkSession, sf: str) -> Document:
@@ -39,7 +38,7 @@ UNION ALL SELECT doc_id, i, 1, true, true, md5('turn ' || turn) FROM t"""
 
 def _nested_roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """What stands in the cells: of the inner tables the place of the cell that holds them."""
-    back = source.read(sink.write(_nested(spark, sf), kind), kind)
+    back = through(_nested(spark, sf), kind)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "")
     texts = back.runs.groupBy("doc_id", "ord").agg(F.bool_and("bold").alias("bold"), text.alias("text"))
     held = back.blocks.filter("inside is not null and tag = 'p'").select("doc_id", "ord", F.col("inside").alias("cell")).join(texts, ["doc_id", "ord"], "left")
@@ -89,7 +88,7 @@ FROM e LEFT JOIN f ON e.doc_id = f.doc_id WHERE e.ord % 5 <> 4"""
 
 def _picture_roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Which vector's bytes each block shows, and the pictures that a package has."""
-    back = source.read(sink.write(_pictured(spark, sf), kind), kind)
+    back = through(_pictured(spark, sf), kind)
     e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("long").alias("doc_id"), (F.col("vec_id") % 10).cast("int").alias("vector"), F.sha2(F.to_json(F.struct("embedding")).cast("binary"), 256).alias("sha"))
     data = back.images.select("doc_id", F.col("image").alias("picture"), F.sha2("data", 256).alias("sha"))
     files = data.groupBy("doc_id").agg(F.count("*").alias("files"))
@@ -163,7 +162,7 @@ SELECT doc_id, row, col::INTEGER AS col, CASE col WHEN 0 THEN c_name ELSE c_name
 def _cell_format_roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     from foliant.functions import units
 
-    cells = source.read(sink.write(_boxed(spark, sf), kind), kind).cells
+    cells = through(_boxed(spark, sf), kind).cells
     return cells.select("doc_id", "row", "col", "text", F.col("b_right.style").alias("right_style"), units.snap_border_mm(units.pt_to_mm(F.col("b_right.width"))).alias("right_mm"), F.col("b_right.color").alias("right_color"), F.col("b_left.style").alias("left_style"), F.col("p_left").cast("int").alias("pad_left"), "background", "valign")
 
 

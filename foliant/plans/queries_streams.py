@@ -32,21 +32,38 @@ def record_tree(spark, sf):
     return found.select("doc_id", "seq", "tag", "level", F.octet_length(found.columns[5]).cast("int").alias("size"), "parent")
 
 
+#: Characters of a text that a stream would take for field marks, and the one that stands before those put in their place.
+_OWN_MARKS = {"\x10": "\x10P", "\x13": "\x10S", "\x14": "\x10T", "\x15": "\x10U"}
+
+
 def _coded(text: Column) -> Column:
-    """Text with a field in each line: its code is hidden, its result shown."""
-    return F.replace(text, F.lit("\n"), F.lit("\x13 LINK \x13x\x14y\x15 \x14 and \x15\r"))
+    """Text with a field in each line: its code is hidden, its result shown. Marks of the text's own are put otherwise, and
+    the last paragraph ends with its mark as all others do, so that an empty text has one."""
+    for own, other in _OWN_MARKS.items():
+        text = F.replace(text, F.lit(own), F.lit(other))
+    return F.concat(F.replace(text, F.lit("\n"), F.lit("\x13 LINK \x13x\x14y\x15 \x14 and \x15\r")), F.lit("\r"))
+
+
+def _plain(text: Column) -> Column:
+    """The text whose own marks were put otherwise."""
+    for own, other in reversed(_OWN_MARKS.items()):
+        text = F.replace(text, F.lit(other), F.lit(own))
+    return text
 
 
 @query(r"""
 SELECT doc_id, (len(string_split(text, chr(10))))::BIGINT AS paragraphs, md5(replace(regexp_replace(text, '[\x07\r]', '', 'g'), chr(10), ' and ' || chr(10))) AS text_md5 FROM documents""")
 def field_paragraphs(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", _coded(F.regexp_replace("text", r"[\x07\r]", "")).alias("text"))
-    chars = streams.stretches(docs, "text")
-    found = streams.paragraphs(streams.hide_field_codes(chars, ["doc_id"]), ["doc_id"])
+    """A row of documents is a stream of its own, also where its id is not unique; a null text is none."""
+    copy = F.row_number().over(W.partitionBy("doc_id").orderBy("text")).alias("copy")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x07\r]", "")
+    by = ["doc_id", "copy", "missing"]
+    docs = table(spark, sf, "documents").select("doc_id", copy, F.col("text").isNull().alias("missing"), _coded(text).alias("text"))
+    found = streams.paragraphs(streams.hide_field_codes(streams.stretches(docs, "text"), by), by)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("par", "text"))), lambda p: p["text"]), "\n")
-    # a text that ends with a line end has no characters after it, so the last paragraph is counted by its mark
-    whole = docs.select("doc_id", F.size(F.split("text", "\r")).cast("long").alias("paragraphs"))
-    return found.groupBy("doc_id").agg(joined.alias("text"), F.max("par").alias("last")).join(whole, "doc_id").select("doc_id", "paragraphs", F.md5(F.concat("text", F.when(F.col("last") + 1 < F.col("paragraphs"), "\n").otherwise("")).cast("binary")).alias("text_md5"))
+    whole = found.groupBy(*by).agg(F.count("*").alias("paragraphs"), joined.alias("text"))
+    there = lambda c: F.when(~F.col("missing"), c)
+    return whole.select("doc_id", there(F.col("paragraphs")).alias("paragraphs"), there(F.md5(_plain(F.col("text")).cast("binary"))).alias("text_md5"))
 
 
 @query("""

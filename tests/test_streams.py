@@ -32,3 +32,19 @@ def test_pictures(spark):
     assert bytes(streams.floating_pictures(anchors, shapes, store, ["doc"]).first()["data"]) == b"A"
     places = spark.createDataFrame([(1, 2, bytearray(b"own"), None), (1, 3, None, 1), (1, 4, None, 9)], "doc int, cp int, own binary, pib int")
     assert {r.cp: bytes(r["data"]) for r in streams.inline_pictures(places, store, ["doc"]).collect()} == {2: b"own", 3: b"A", 4: b"A"}
+
+
+def test_field_paragraphs_of_odd_texts(spark, tmp_path):
+    """Empty and null texts, control characters that texts bring themselves, and ids that are not unique, as the SQL has them."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from __spark_entry__ import oracle_sql, queries
+
+    texts = ["", None, "\r", "\x07\r\n", "\n", "\n\nx\n", "a\x13b\x14c\x15d", "\x15\x14\x13", "\x10S\x10\x13P\x10\x10\nT", "é𝄞\x00\x0b\x85 z", "twice", "twice", "other\nof one id"]
+    ids = [*range(10), 10, 10, 10]
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    want = duckdb.sql(oracle_sql()["field_paragraphs"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")).fetchall()
+    got = queries()["field_paragraphs"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import color, text, units
 from foliant.operators import edits, layout, numbering, ordered, tables
 from foliant.plans import ir
-from foliant.session import table, written
+from foliant.session import discard, table, written
 from foliant.sinks import packages as sink
 from foliant.sources import containers, document, markup, packages
 from foliant.streaming import sessions
@@ -70,17 +70,24 @@ def hwpx_roundtrip(spark, sf):
     return _roundtrip(spark, sf, "hwpx")
 
 
+def _dealt_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The paragraphs of all documents, whose texts are dealt by document before they are cut, so that a writer that groups
+    by document finds them in place."""
+    return ir.blocks_of_text(table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"))
+
+
 @query("""
 SELECT kind, count(*)::BIGINT AS documents, 0::BIGINT AS pieces_missing FROM documents, (VALUES ('docx'), ('odt'), ('hwpx')) AS v(kind) GROUP BY kind""")
 def conversion_matrix(spark, sf):
-    blocks = ir.blocks_of_text(table(spark, sf, "documents"))
-    made = sink.build(blocks, ["docx", "odt", "hwpx"])
-    out = None
+    """A format after the other: its packages are stored, read and deleted, and only its counts stay."""
+    blocks, out = _dealt_blocks(spark, sf), None
     for kind in ("docx", "odt", "hwpx"):
-        back = packages.read_text(made.filter(F.col("kind") == kind), kind).withColumn("kind", F.lit(kind))
-        out = back if out is None else out.unionByName(back)
-    lost = sink.missing_text(blocks, out, ["doc_id", "kind"])
-    return lost.groupBy("kind").agg(F.count("*").alias("documents"), F.sum(F.size("missing")).alias("pieces_missing"))
+        files = written(sink.write(blocks, kind), "packages")
+        lost = sink.missing_text(blocks, packages.read_text(files, kind), ["doc_id"])
+        one = written(lost.groupBy(F.lit(kind).alias("kind")).agg(F.count("*").alias("documents"), F.sum(F.size("missing")).alias("pieces_missing")), "counts")
+        discard(files)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _mixed_files(spark: SparkSession, sf: str) -> DataFrame:

@@ -67,12 +67,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Whether a query's shuffle files go with its end; else they stay until the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: the lineage is cut."""
+    """Write a DataFrame to the shared folder and read it back: the lineage is cut, and what was shuffled for it is deleted."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    said = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        if said is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, said)
     back = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
     back._scratch = path
     return back

@@ -231,13 +231,15 @@ def xml_nodes(parts: DataFrame, blocks: list[str], cells: list[str] = (), outers
     return parts.select("doc_id", "path", "data").mapInArrow(run, NODE)
 
 
-def package_nodes(files: DataFrame, parts: str, blocks: list[str], cells: list[str] = (), outers: list[str] = (), content: str = "content") -> DataFrame:
-    """The nodes of the XML parts of packages whose path matches a pattern, none of a damaged package.
+def package_nodes(files: DataFrame, parts: str, blocks: list[str], cells: list[str] = (), outers: list[str] = (), content: str = "content", only: list[str] | None = None) -> DataFrame:
+    """The nodes of the XML parts of packages whose path matches a pattern, none of a damaged package; with `only`, those of
+    these names, and no others leave their worker.
 
     Parts are inflated and parsed by pieces: a worker holds packages as they are and one frame of nodes, however long a
     part is.
     """
     names = [frozenset(x) for x in (blocks, cells, outers)]
+    kept = None if only is None else frozenset(only)
     wanted = re.compile(parts).fullmatch
 
     def pieces(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> Iterator[bytes]:
@@ -259,7 +261,8 @@ def package_nodes(files: DataFrame, parts: str, blocks: list[str], cells: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packages = ((i, *p) for i, data in _rows(batches) if (p := opened(data)) is not None)
-        yield from map(_batch, _frames(some for i, z, found in packages for info in found for some in xml_stream(i, info.filename, pieces(z, info), *names)))
+        found = (some for i, z, parts in packages for info in parts for some in xml_stream(i, info.filename, pieces(z, info), *names))
+        yield from map(_batch, _frames(found if kept is None else ([row for row in some if row[5] in kept] for some in found)))
 
     bounded_batches(files.sparkSession)
     return files.select("doc_id", content).mapInArrow(run, NODE)

@@ -52,15 +52,16 @@ def paragraphs(nodes: DataFrame, kind: str) -> DataFrame:
         words = words & (F.col("parent_name") == TEXT_PARENT[kind])
     shown = shown.when(words, F.col("text")).when(own, F.lit(""))
     parts = nodes.select("doc_id", "part", F.when(own, F.col("node_id")).otherwise(F.col("block_id")).alias("block_id"), "node_id", shown.alias("t")).filter("block_id is not null and t is not null")
-    # strings are joined in the group: runs of a paragraph are few
-    out = parts.groupBy("doc_id", "part", "block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda x: x["t"]), "").alias("text"))
+    # dealt by document once, for the paragraphs and for their numbers; strings are joined in the group: runs of a paragraph are few
+    out = parts.repartition("doc_id").groupBy("doc_id", "part", "block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda x: x["t"]), "").alias("text"))
     w = W.partitionBy("doc_id").orderBy(part_number(), "part", "block_id")
     return out.select("doc_id", (F.row_number().over(w) - 1).alias("ord"), "block_id", "text")
 
 
 def read_text(files: DataFrame, kind: str) -> DataFrame:
     """(doc_id, ord, text) of packages of one format."""
-    return paragraphs(nodes_of(files, kind), kind).select("doc_id", "ord", "text")
+    shown = ["#text", *PARAGRAPHS[kind], *filter(None, BREAKS[kind])]
+    return paragraphs(package_nodes(files, BODY[kind], PARAGRAPHS[kind], only=shown), kind).select("doc_id", "ord", "text")
 
 
 def read_any(files: DataFrame) -> DataFrame:

@@ -160,3 +160,32 @@ def test_a_round_trip_reads_stored_packages(spark, monkeypatch):
     back = queries_documents.through(Document(blocks, blocks.selectExpr("doc_id", "ord", "0 as run", "'x' as text")), "docx")
     assert "MapInArrow" not in seen[0]._jdf.queryExecution().toString() and seen[0].count() == 2
     assert sorted((r.doc_id, r.text) for r in back.runs.collect()) == [(0, "x"), (1, "x")]
+
+
+def test_what_was_shuffled_for_a_written_table_is_deleted(spark, tmp_path):
+    import pathlib
+    import time
+
+    from __spark_entry__ import queries
+    from foliant.session import SHUFFLE_CLEANUP, scratch_made, written
+
+    root = pathlib.Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {f.name for f in root.rglob("shuffle_*.data")}
+    before = files()
+    back = written(spark.range(1000).repartition(7, "id"), "dealt")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(SHUFFLE_CLEANUP, None) is None and back.count() == 1000
+    spark.createDataFrame([(k, f"a {k}\nb") for k in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = scratch_made()
+    found = queries()["conversion_matrix"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(kind, 30, 0) for kind in ("docx", "hwpx", "odt")]
+    assert not [p for p in scratch_made(made) if "-packages-" in p]
+
+
+def test_paragraphs_are_dealt_once(spark):
+    from foliant.sources import packages as reader
+
+    files = spark.createDataFrame([(1, b"")], "doc_id long, content binary")
+    assert reader.read_text(files, "odt")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

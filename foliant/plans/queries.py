@@ -542,12 +542,12 @@ def style_inheritance(spark, sf):
 def package_rules(spark, sf):
     from foliant.plans import verify
 
-    blocks = ir.blocks_of_text(table(spark, sf, "documents"))
-    out = None
+    blocks, out = _dealt_blocks(spark, sf), None
+    wanted = ir.blocks_of_text(table(spark, sf, "documents")).select("doc_id", text.xml_safe(F.col("text")).alias("text"))
     for kind in ("docx", "odt", "hwpx"):
-        files = sink.write(blocks, kind)
-        one = verify.mimetype_rule(files).agg(F.count("*").alias("files"), F.count_if("ok").alias("mimetype_first"))
-        broken, lost = verify.broken_parts(files).agg(F.count("*").alias("broken")), verify.lost_tokens(blocks.withColumn("text", text.xml_safe(F.col("text"))), files).agg(F.count("*").alias("lost_tokens"))
-        one = one.crossJoin(broken).crossJoin(lost).withColumn("kind", F.lit(kind))  # three tables of one row
+        files = written(sink.write(blocks, kind), "packages")
+        one = verify.mimetype_rule(files).agg(F.count("*").alias("files"), F.count_if("ok").alias("mimetype_first")).filter("files > 0")
+        one = written(one.crossJoin(verify.faults(wanted, files)).withColumn("kind", F.lit(kind)), "counts")  # tables of one row
+        discard(files)
         out = one if out is None else out.unionByName(one)
     return out.select("kind", "files", "mimetype_first", "broken", "lost_tokens")

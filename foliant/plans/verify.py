@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.sources.markup import package_nodes
@@ -15,18 +16,37 @@ def mimetype_rule(files: DataFrame) -> DataFrame:
     return files.select("doc_id", ((c.substr(31, 8) == F.lit(b"mimetype")) & method).alias("ok"))
 
 
+PARTS = r"(?s).*\.(xml|rels|hpf)"
+
+
 def broken_parts(files: DataFrame) -> DataFrame:
     """(doc_id, part, error) of XML parts that are not well formed."""
-    return package_nodes(files, r"(?s).*\.(xml|rels|hpf)", []).filter("name = '#error'").select("doc_id", "part", "error")
+    return package_nodes(files, PARTS, [], only=["#error"]).filter("name = '#error'").select("doc_id", "part", "error")
 
 
 def lost_tokens(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """(doc_id, token): words of the blocks that no part of the package holds."""
-    nodes = package_nodes(files, r"(?s).*\.xml", []).filter("name = '#text'")
+    nodes = package_nodes(files, r"(?s).*\.xml", [], only=["#text"])
     split = lambda df: df.select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).filter("token <> ''").distinct()
     return split(blocks).join(split(nodes), ["doc_id", "token"], "left_anti")
 
 
+def faults(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """(broken, lost_tokens), one row: how many rows broken_parts and lost_tokens have. Packages are opened once, and texts
+    are dealt by document once. A block that a text of the package equals has lost nothing, so words are compared only
+    where a document has a block without its like."""
+    nodes = package_nodes(files, PARTS, [], only=["#text", "#error"])
+    row = lambda df, text, wanted, broken: df.select("doc_id", text.alias("text"), F.lit(wanted).alias("wanted"), F.lit(not wanted).alias("found"), broken.cast("long").alias("broken"))
+    text = F.when((F.col("name") == "#text") & F.col("part").endswith(".xml"), F.col("text"))
+    said = row(blocks, F.col("text"), True, F.lit(0)).unionByName(row(nodes, text, False, F.col("name") == "#error")).filter(F.col("text").rlike(r"\S") | (F.col("broken") > 0))
+    both = [F.bool_or(c).alias(c) for c in ("wanted", "found")] + [F.sum("broken").alias("broken")]
+    lines = said.repartition("doc_id").groupBy("doc_id", "text").agg(*both)
+    lacks = F.bool_or(F.col("wanted") & ~F.col("found")).over(W.partitionBy("doc_id"))
+    left = lines.withColumn("lacks", lacks).filter("lacks or broken > 0")
+    words = left.select("doc_id", F.explode_outer(F.when(F.col("lacks"), F.split("text", r"\s+"))).alias("token"), "wanted", "found", "broken").groupBy("doc_id", "token").agg(*both)
+    return words.agg(F.coalesce(F.sum("broken"), F.lit(0)).alias("broken"), F.count_if((F.col("token") != "") & F.col("wanted") & ~F.col("found")).alias("lost_tokens"))
+
+
 def same_structure(a: DataFrame, b: DataFrame) -> DataFrame:
     """(doc_id, same): two tables of (doc_id, html) are equal but for ids, styles and texts."""
     bare = lambda c: F.regexp_replace(F.regexp_replace(c, r'\s(?:data-id|style|id)="[^"]*"', ""), ">[^<]+<", "><")

@@ -162,6 +162,25 @@ def test_a_round_trip_reads_stored_packages(spark, monkeypatch):
     assert sorted((r.doc_id, r.text) for r in back.runs.collect()) == [(0, "x"), (1, "x")]
 
 
+def test_faults_are_counted_in_one_pass(spark, tmp_path):
+    from __spark_entry__ import queries
+    from foliant.plans import verify
+
+    rows = [(1, 0, "all  is\there "), (1, 1, ""), (2, 0, "kept whole"), (2, 1, "kept lost lost gone"), (3, 0, "in a broken part"), (4, 0, " \t "), (5, 0, "no package")]
+    blocks = spark.createDataFrame(rows, "doc_id long, ord int, text string").selectExpr("*", "'p' as tag")
+    kept = blocks.filter("doc_id < 3 and not (doc_id = 2 and ord = 1)").unionByName(blocks.filter("doc_id = 4"))
+    for kind in ("docx", "odt"):
+        damaged = packages.zipped({"mimetype": "m", "a.xml": "<a><b>in a part", "x.rels": "<a>", "y.hpf": "<a>kept</a>", "z.png": b"<a>"})
+        files = packages.write(kept, kind).unionByName(spark.createDataFrame([(3, damaged)], "doc_id long, content binary"))
+        want = (verify.broken_parts(files).count(), verify.lost_tokens(blocks, files).count())
+        assert want[0] == 2 and want[1] > 2
+        assert tuple(verify.faults(blocks, files).first()) == want
+    spark.createDataFrame([(1, "a  b\nc\td"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries()["package_rules"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [("docx", 3, 0, 0, 0), ("hwpx", 3, 3, 0, 0), ("odt", 3, 3, 0, 0)]
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()  # packages are opened for the counts, and not again
+
+
 def test_what_was_shuffled_for_a_written_table_is_deleted(spark, tmp_path):
     import pathlib
     import time

@@ -20,7 +20,7 @@ from foliant.session import written
 from foliant.sinks import document as sink
 from foliant.sinks.document import Document
 from foliant.sources import document as source
-from foliant.sources.markup import html_nodes
+from foliant.sources.markup import html_nodes, piece_nodes
 
 HEADS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 BLOCKS = ["p", *HEADS, "li", "table", "doc-footnote", "doc-pagebreak"]
@@ -79,8 +79,9 @@ def emission_ids(doc: Document) -> DataFrame:
     return rows.withColumn("id", F.sum("weight").over(w) - F.col("weight") + 1).select("doc_id", "kind", "ord", "a", "b", "id")
 
 
-def emit_document(doc: Document, page_width: int = 59528, page_height: int = 84188) -> DataFrame:
-    """(doc_id, html): one section per document; lengths and sizes of the tables are points.
+def emit_pieces(doc: Document, page_width: int = 59528, page_height: int = 84188) -> DataFrame:
+    """(doc_id, seg, at, sub, xml): the pieces of a page for every document, in the order of seg, at and sub; no page is a
+    string of its own. One section per document; lengths and sizes of the tables are points.
 
     Ids go in the order in which elements end (emission_ids). Links that are not safe are left out, and so are headers
     and footers without content.
@@ -112,22 +113,40 @@ def emit_document(doc: Document, page_width: int = 59528, page_height: int = 841
     ordered = F.coalesce("ordered", F.lit(False))
     whole = F.when(F.col("tag") == "table", F.concat(F.lit("<table"), id_, F.lit("><tbody>"), F.col("xml"), F.lit("</tbody></table>"))).otherwise(F.col("xml"))
     listed = lambda rows: sink.nested_lists(rows.withColumn("xml", whole), F.when(ordered, "<ol>").otherwise("<ul>"), (ordered, "</ol>", "</ul>"), item, "</li>")
-    each, _ = sink.assemble(each, cells, rows_of, (F.lit(""), F.lit("")), listed, whole=True)
+    each, table_rows = sink.assemble(each, cells, rows_of, (F.lit(""), F.lit("")), listed)
     notes = doc.notes.join(ids.filter("kind = 'note'").select("doc_id", F.col("a").alias("note"), "id"), ["doc_id", "note"])
     note = F.concat(F.lit('<doc-footnote id="fn'), F.col("note"), F.lit('" data-id="b'), F.col("id"), F.lit('">'), body, F.lit("</doc-footnote>"))
-    notes = notes.withColumn("xml", note).groupBy("doc_id").agg(_joined("xml", "note").alias("notes"))
     # a band that holds neither text nor a field would put an empty paragraph on every page
     said = runs.filter("trim(text) <> '' or field is not null or note is not null").join(doc.blocks.filter("band is not null").select("doc_id", "ord", "band"), ["doc_id", "ord"]).select("doc_id", "band", F.lit(True).alias("said")).distinct()
-    each = each.join(said, ["doc_id", "band"], "left").filter("band is null or said")
-    parts = each.groupBy("doc_id").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("band", F.lit("body")) == b, F.struct("ord", "xml")))), lambda x: x["xml"]), "").alias(b) for b in ("header", "body", "footer")])
-    band = lambda b: F.when(F.col(b) != "", F.concat(F.lit(f"<doc-{b}>"), F.col(b), F.lit(f"</doc-{b}>"))).otherwise("")
+    each = written(each.join(said, ["doc_id", "band"], "left").filter("band is null or said"), "said")
+    docs = each.select("doc_id").distinct()
     head = f'<doc-section data-ir="{ir.IR_VERSION}" class="hwp-page" style="width:{page_width / 7200:.3f}in;min-height:{page_height / 7200:.3f}in">'
-    return parts.join(notes, "doc_id", "left").select("doc_id", F.concat(F.lit(head), band("header"), F.col("body"), band("footer"), F.coalesce("notes", F.lit("")), F.lit("</doc-section>")).alias("html"))
+    pieces = sink._body("html", each.filter("band is null"), docs, head, "", table_rows, first=3)
+    pieces[0] = pieces[0].withColumn("seg", F.lit(0))  # the section begins before the header
+    for b, first in (("header", 1), ("footer", 7)):
+        band = each.filter(F.col("band") == b)
+        pieces += sink._body("html", band, band.select("doc_id").distinct(), f"<doc-{b}>", f"</doc-{b}>", first=first)
+    pieces.append(sink._pieces("html", notes.withColumn("xml", note).join(docs, "doc_id", "left_semi"), 10, "note"))
+    pieces.append(sink._pieces("html", docs, 11, F.lit(0), xml=F.lit("</doc-section>")))
+    return reduce(DataFrame.unionByName, pieces).filter("xml <> ''").select("doc_id", "seg", "at", "sub", "xml")
+
+
+def emit_document(doc: Document, page_width: int = 59528, page_height: int = 84188) -> DataFrame:
+    """(doc_id, html): the pages of emit_pieces, each as one string."""
+    return emit_pieces(doc, page_width, page_height).groupBy("doc_id").agg(_joined("xml", "seg", "at", "sub").alias("html"))
 
 
 def read_ir(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> Document:
     """The tables of IR pages, in points: styles inherited down the tree, neighbouring runs of one style merged."""
-    nodes = html_nodes(pages, id_col, html_col, blocks=BLOCKS)
+    return _read(html_nodes(pages, id_col, html_col, blocks=BLOCKS))
+
+
+def read_pieces(pieces: DataFrame) -> Document:
+    """The tables of IR pages that come in pieces, as emit_pieces makes them."""
+    return _read(piece_nodes(pieces, blocks=BLOCKS))
+
+
+def _read(nodes: DataFrame) -> Document:
     clone = F.coalesce(F.try_element_at("attrs", F.lit("data-pg")), F.lit(""))
     nodes = nodes.withColumn("bid", F.when(F.col("name").isin(*BLOCKS), F.col("node_id")).otherwise(F.col("block_id"))).filter(clone == "")
     # text that stands in no paragraph makes one of its own between the blocks around it
@@ -194,6 +213,11 @@ def to_ir(files: DataFrame, kind: str) -> DataFrame:
     return emit_document(in_points(source.read(files, kind)))
 
 
+def to_pieces(files: DataFrame, kind: str) -> DataFrame:
+    """The same pages in pieces."""
+    return emit_pieces(in_points(source.read(files, kind)))
+
+
 def from_ir(pages: DataFrame, kind: str, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
     """(doc_id, content): IR pages written as packages of a format."""
     return sink.write(read_ir(pages, id_col, html_col), kind)

@@ -215,7 +215,7 @@ def ir_document_roundtrip(spark, sf):
     """Written as IR pages and read back."""
     from foliant.plans import document_ir
 
-    runs = document_ir.read_ir(document_ir.emit_document(_styled(spark, sf))).runs
+    runs = document_ir.read_pieces(document_ir.emit_pieces(_styled(spark, sf))).runs
     return runs.select("doc_id", "ord", "run", "text", "bold", "italic", "underline", "strike", "color", F.round(F.col("size") * 100).cast("int").alias("size"), "font", "position", "link")
 
 
@@ -223,7 +223,7 @@ def ir_document_roundtrip(spark, sf):
 def ir_list_roundtrip(spark, sf):
     from foliant.plans import document_ir
 
-    back = document_ir.read_ir(document_ir.emit_document(_listed(spark, sf)))
+    back = document_ir.read_pieces(document_ir.emit_pieces(_listed(spark, sf)))
     texts = back.runs.groupBy("doc_id", "ord").agg(F.first("text").alias("text"))
     return back.blocks.join(texts, ["doc_id", "ord"]).select("doc_id", "ord", "tag", "text", "level", "ordered", "numbered")
 
@@ -237,10 +237,10 @@ def _package_to_ir(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     from foliant.plans import document_ir, ir
     from foliant.sources import markup
 
-    pages = written(document_ir.to_ir(written(sink.write(_listed(spark, sf), kind), "packages"), kind), "pages")
-    bad = ir.validate(markup.html_nodes(pages, "doc_id")).groupBy("doc_id").agg(F.count("*").alias("violations"))
+    pages = written(document_ir.to_pieces(written(sink.write(_listed(spark, sf), kind), "packages"), kind), "pages")
+    bad = ir.validate(markup.piece_nodes(pages)).groupBy("doc_id").agg(F.count("*").alias("violations"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "|")
-    back = document_ir.read_ir(pages).runs.groupBy("doc_id").agg(F.md5(text.cast("binary")).alias("text_md5"))
+    back = document_ir.read_pieces(pages).runs.groupBy("doc_id").agg(F.md5(text.cast("binary")).alias("text_md5"))
     return back.join(bad, "doc_id", "left").select("doc_id", F.coalesce("violations", F.lit(0)).alias("violations"), "text_md5")
 
 

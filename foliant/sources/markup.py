@@ -13,6 +13,7 @@ from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.session import bounded_batches
@@ -289,13 +290,32 @@ def _pages(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield first[0], codecs.iterdecode((row[2] for row in chain([first], own)), "utf-8", "replace")
 
 
-def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", blocks: list[str] | None = None, cells: list[str] = ("td", "th"), outers: list[str] = ("doc-footnote", "doc-header", "doc-footer")) -> DataFrame:
-    """The nodes of HTML pages. Pages leave Spark by pieces: a worker holds one of these and one frame of nodes, however
-    long a page is."""
-    names = [frozenset(x) for x in (blocks or ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "doc-footnote"], cells, outers)]
+#: What is block, cell and outer part in a page.
+PAGE_NAMES = (["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "doc-footnote"], ("td", "th"), ("doc-footnote", "doc-header", "doc-footer"))
+
+
+def _page_nodes(pieces: DataFrame, blocks: list[str], cells: list[str], outers: list[str]) -> DataFrame:
+    """The nodes of pages from pieces (doc_id, at, data) as they come; one whose `at` is 0 begins a page."""
+    names = [frozenset(x) for x in (blocks, cells, outers)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(_batch, _frames(some for i, html in _pages(_rows(batches)) for some in html_stream(i, html, *names)))
 
-    bounded_batches(pages.sparkSession)
-    return page_pieces(pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))).mapInArrow(run, NODE)
+    bounded_batches(pieces.sparkSession)
+    return pieces.mapInArrow(run, NODE)
+
+
+def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", blocks: list[str] | None = None, cells: list[str] = PAGE_NAMES[1], outers: list[str] = PAGE_NAMES[2]) -> DataFrame:
+    """The nodes of HTML pages. Pages leave Spark by pieces: a worker holds one of these and one frame of nodes, however
+    long a page is."""
+    return _page_nodes(page_pieces(pages.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))), blocks or PAGE_NAMES[0], cells, outers)
+
+
+def piece_nodes(pieces: DataFrame, blocks: list[str] | None = None, cells: list[str] = PAGE_NAMES[1], outers: list[str] = PAGE_NAMES[2]) -> DataFrame:
+    """The nodes of HTML pages that come in pieces (doc_id, seg, at, sub, xml): they are sorted and parsed one after the
+    other, and no page is a string of its own, in Spark neither."""
+    order = ["doc_id", "seg", "at", "sub"]
+    own = pieces.withColumn("doc_id", F.col("doc_id").cast("long")).repartition("doc_id").sortWithinPartitions(*order)
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*order[1:])) == 1
+    marked = own.withColumn("_at", F.when(first, 0).otherwise(1)).select("doc_id", F.col("_at").alias("at"), F.col("xml").cast("binary").alias("data"))
+    return _page_nodes(marked, blocks or PAGE_NAMES[0], cells, outers)

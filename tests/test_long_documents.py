@@ -208,3 +208,24 @@ def test_paragraphs_are_dealt_once(spark):
 
     files = spark.createDataFrame([(1, b"")], "doc_id long, content binary")
     assert reader.read_text(files, "odt")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_pages_are_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.plans import document_ir
+
+    rows = [(d, 2, "table", None) for d in (1, 2)] + [(d, k, "p", "header" if k == 0 else "footer" if k == 1 else None) for d in (1, 2) for k in (0, 1, *range(3, 60))] + [(3, 0, "p", "header")]
+    blocks = spark.createDataFrame(rows, "doc_id long, ord int, tag string, band string")
+    runs = blocks.filter("tag = 'p'").select("doc_id", "ord", F.lit(0).alias("run"), F.when(F.col("doc_id") < 3, F.concat(F.lit("é <text> "), "ord")).otherwise("").alias("text"), F.when((F.col("ord") == 5) & (F.col("doc_id") == 1), 1).alias("note"))
+    cells = spark.createDataFrame([(d, 2, r, c, 1, 1, 50.0, f"cell {r} {c}") for d in (1, 2) for r in range(200) for c in range(2)], "doc_id long, ord int, row int, col int, row_span int, col_span int, width double, text string")
+    doc = Document(blocks, runs, cells, spark.createDataFrame([(1, 1, "a note")], "doc_id long, note int, text string"))
+    pieces = document_ir.emit_pieces(doc).cache()
+    assert max(len(r.xml) for r in pieces.collect()) < 300  # neither a page nor a table is a string of its own
+    pages = document_ir.emit_document(doc).collect()
+    assert {r.doc_id: r.html for r in pages} == {d: "".join(r.xml for r in pieces.filter(f"doc_id = {d}").orderBy("seg", "at", "sub").collect()) for d in (1, 2)}
+    for r in pages:
+        assert r.html.startswith("<doc-section") and "><doc-header><p " in r.html and r.html.count("<tr>") == 200 and r.html.endswith("</doc-footnote></doc-section>" if r.doc_id == 1 else "</doc-footer></doc-section>")
+    whole = markup.html_nodes(spark.createDataFrame(pages), "doc_id", blocks=document_ir.BLOCKS)
+    assert sorted(map(str, markup.piece_nodes(pieces, blocks=document_ir.BLOCKS).collect())) == sorted(map(str, whole.collect()))
+    pieces.unpersist()

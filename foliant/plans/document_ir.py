@@ -16,7 +16,7 @@ from foliant.functions.text import escape, visible
 from foliant.operators.intervals import open_count
 from foliant.operators.ordered import islands
 from foliant.plans import ir, tree
-from foliant.session import written
+from foliant.session import written_by_rows as written
 from foliant.sinks import document as sink
 from foliant.sinks.document import Document
 from foliant.sources import document as source

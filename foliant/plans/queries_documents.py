@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.plans.queries import query
-from foliant.session import table, written
+from foliant.session import table
+from foliant.session import written_by_rows as written
 from foliant.sinks import document as sink
 from foliant.sinks.document import Document
 from foliant.sources import document as source

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.plans.queries import query
 from foliant.plans.queries_documents import through
-from foliant.session import table
+from foliant.session import table, written_by_rows
 from foliant.sinks.document import Document
 
 
@@ -47,7 +47,7 @@ def _nested_roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     around = back.blocks.filter("tag = 'table'").select("doc_id", F.col("ord").alias("table_ord"), F.col("inside").alias("outer"))
     outer = places.select("doc_id", F.col("cell").alias("outer"), F.col("row").alias("o_row"), F.col("col").alias("o_col"))
     found = own.join(places, ["doc_id", "cell"]).join(around, ["doc_id", "table_ord"]).join(outer, ["doc_id", "outer"], "left")
-    return found.select("doc_id", F.coalesce("o_row", "row").cast("int").alias("row"), F.coalesce("o_col", "col").cast("int").alias("col"), F.col("outer").isNotNull().alias("inner_table"), "bold", "text_md5")
+    return written_by_rows(found.select("doc_id", F.coalesce("o_row", "row").cast("int").alias("row"), F.coalesce("o_col", "col").cast("int").alias("col"), F.col("outer").isNotNull().alias("inner_table"), "bold", "text_md5"), "found")
 
 
 @query(_NESTED_SQL)

@@ -90,6 +90,27 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return back
 
 
+#: Joins broadcast no table because its file is small: keys take a byte a row or less in a file, and some hundred in the hash
+#: table that the driver makes. What counts is the bytes of the rows, once they were shuffled.
+BY_ROWS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "2MB"}
+
+
+def written_by_rows(df: DataFrame, name: str) -> DataFrame:
+    """The same, with no broadcast whose rows were not measured: the driver's memory does not grow with the tables."""
+    conf = df.sparkSession.conf
+    said = {k: conf.get(k, None) for k in BY_ROWS}
+    for k, v in BY_ROWS.items():
+        conf.set(k, v)
+    try:
+        return written(df, name)
+    finally:
+        for k, v in said.items():
+            if v is None:
+                conf.unset(k)
+            else:
+                conf.set(k, v)
+
+
 def discard(*what: DataFrame | str) -> None:
     """Delete written tables (or scratch paths) that no later job reads: those made from them are written themselves."""
     for x in what:

@@ -27,7 +27,7 @@ from foliant.functions import units
 from foliant.functions.text import BULLETS, escape, xml_safe
 from foliant.operators.ordered import asof_join, intern, islands
 from foliant.operators.tables import BORDER, SIDES, shared_edges
-from foliant.session import written
+from foliant.session import written_by_rows as written
 from foliant.sinks import packages, parts
 from foliant.sinks.packages import XML
 

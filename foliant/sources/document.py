@@ -23,7 +23,7 @@ from foliant.functions import units
 from foliant.operators.intervals import open_count
 from foliant.operators.ordered import islands
 from foliant.operators.tables import SIDES
-from foliant.session import written
+from foliant.session import written_by_rows as written
 from foliant.sinks.document import Document
 from foliant.sources import packages, rules, styles
 from foliant.sources.containers import zip_entries

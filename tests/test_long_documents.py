@@ -229,3 +229,17 @@ def test_pages_are_pieces(spark):
     whole = markup.html_nodes(spark.createDataFrame(pages), "doc_id", blocks=document_ir.BLOCKS)
     assert sorted(map(str, markup.piece_nodes(pieces, blocks=document_ir.BLOCKS).collect())) == sorted(map(str, whole.collect()))
     pieces.unpersist()
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    from foliant import session
+
+    keys = session.written(spark.range(400_000).selectExpr("id div 1000 as doc_id", "cast(id % 1000 as int) as ord"), "keys")  # a file of 47 KB
+    joined = keys.join(keys.selectExpr("doc_id", "ord", "ord * 2 as twice"), ["doc_id", "ord"])
+    plans = []
+    kept = session.written
+    monkeypatch.setattr(session, "written", lambda df, name: (plans.append(df.select("*")._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    before = {k: spark.conf.get(k, None) for k in session.BY_ROWS}
+    assert session.written_by_rows(joined, "joined").count() == 400_000
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
+    assert {k: spark.conf.get(k, None) for k in session.BY_ROWS} == before
